@@ -21,8 +21,10 @@ Rounds.
    intersection of the sorted shingle arrays.  Links give components.
 3. Only tiles whose members are in more than one component are opened again:
    there, pairs across components are compared with the bit-count bound in
-   numpy blocks, and the survivors exactly.  Tiles larger than ``TILE`` members
-   are cut into block pairs that are spread over tasks.
+   numpy blocks, and of the survivors as many are passed on to the exact test as
+   it takes to join what they join.  This repeats until no tile has a pair left.
+   Tiles larger than ``TILE`` members are cut into block pairs that are spread
+   over tasks.
 """
 
 from __future__ import annotations
@@ -291,44 +293,103 @@ def _verified(pairs: DataFrame, features: DataFrame, num: int, den: int) -> Data
 
 
 def _across(num: int, den: int):
-    """Tile rows sorted by (tile, x, y) -> pairs of different components that may link.
+    """Tile rows sorted by (tile, x, y) -> pairs that may link, a spanning forest of them in each tile part.
 
     A row is (tile, x, y, block, node, component, n, bits): the tile part (x, y)
-    compares block x with block y, and within itself when x = y.
+    compares block x with block y, and within itself when x = y.  Rows with
+    block -1 name pairs (node, component) that the exact test has refused.  A
+    pair that would join what an earlier pair of the part already joins is left
+    out; should the earlier one be refused, the next round finds the later one.
     """
 
-    def compare(rows: list[tuple], x: int, y: int) -> Iterator[pa.RecordBatch]:
+    def compare(key: tuple[int, int, int], rows: list[tuple]) -> list[tuple]:
+        tile, x, y = key
+        refused = {(r[1], r[2]) for r in rows if r[0] < 0}
+        rows = [r for r in rows if r[0] >= 0]
         block, node, comp, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
         bits = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint64).reshape(-1, BITS // 64)
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        out = []
         for at in range(0, len(left), 64):
             i = left[at : at + 64]
-            ok = comp[i][:, None] != comp[right][None, :]
-            if x == y:
-                ok &= node[i][:, None] < node[right][None, :]
-            p, q = np.nonzero(ok)
-            if len(p):
-                i, j = i[p], right[q]
-                keep = _may_link(n[i], n[j], _differing(bits[i], bits[j]), num, den)
+            p, q = np.nonzero(comp[i][:, None] != comp[right][None, :])
+            i, j = i[p], right[q]
+            keep = _may_link(n[i], n[j], _differing(bits[i], bits[j]), num, den)
+            i, j = i[keep], j[keep]
+            if refused:
+                keep = [(min(v), max(v)) not in refused for v in zip(node[i].tolist(), node[j].tolist(), strict=True)]
                 i, j = i[keep], j[keep]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+            while len(i):
+                u, v = int(node[i[0]]), int(node[j[0]])
+                out.append((tile, x, y, min(u, v), max(u, v)))
+                comp[comp == comp[j[0]]] = comp[i[0]]
+                keep = comp[i] != comp[j]
+                i, j = i[keep], j[keep]
+        return out
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["tile", "x", "y", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
+            out: list[tuple] = []
             for tile, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (tile, x, y) != now:
                     if rows:
-                        yield from compare(rows, now[1], now[2])
+                        out += compare(now, rows)
                     now, rows = (tile, x, y), []
                 rows.append(row)
+            yield batch_of(out)
         if rows:
-            yield from compare(rows, now[1], now[2])
+            yield batch_of(compare(now, rows))
 
     return run
 
 
+def _join_across(tiles: DataFrame, features: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
+    """Components (node, component) once no pair of a tile that links is left between two components.
+
+    Each round joins components or refuses pairs for good; components are few
+    after the pivot round, so rounds are few.
+    """
+    bits = features.select("node", "n", "bits")
+    entries = checkpoint(tiles.select("tile", "node").union(tiles.select("tile", F.col("pivot").alias("node"))).distinct())
+    components, refused = first, None
+    while True:
+        placed = entries.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = (
+            placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+            .filter("lo <> hi").select("tile", F.ceil(F.col("members") / TILE).cast("int").alias("parts"))
+        )
+        spread = (
+            placed.join(apart, "tile").join(bits, "node")
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("tile", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "component", "n", "bits")
+        )
+        if refused is not None:
+            spread = spread.union(refused.select("tile", "x", "y", F.lit(-1), "a", "b", F.lit(0).cast("long"), F.lit(b"")))
+        dealt = spread.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y")
+        found = checkpoint(dealt.mapInArrow(_across(num, den), "tile long, x int, y int, a long, b long"))
+        if found.isEmpty():
+            return components
+        links = checkpoint(_verified(found.select("a", "b").distinct(), features, num, den))
+        out = found.join(links, ["a", "b"], "left_anti").select("tile", "x", "y", "a", "b")
+        refused = checkpoint(out if refused is None else refused.union(out))
+        # the new links as links between components
+        of = components.select("node", "component")
+        between = (
+            links.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
+            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        )
+        merged = connected_components(between).toDF("component", "into")
+        old = components.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+        new = merged.join(of.select(F.col("node").alias("component")), "component", "left_anti").toDF("node", "component")
+        components = checkpoint(old.union(new))
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per input row: doc_id, text_key, n_shingles, component_id, is_first.
 
@@ -378,27 +439,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     links = checkpoint(_verified(sides.mapInArrow(_bounded(num, den), "a long, b long"), features, num, den))
     first = connected_components(links)
 
-    # tiles whose members are still apart
-    entries = tiles.select("tile", "node").union(tiles.select("tile", F.col("pivot").alias("node"))).distinct()
-    placed = entries.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = (
-        placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
-        .filter("lo <> hi").select("tile", "members")
-    )
-    cut = F.ceil(F.col("members") / TILE).cast("int")
-    spread = (
-        placed.join(apart, "tile").join(bits, "node")
-        .withColumn("parts", cut)
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("tile", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "component", "n", "bits")
-    )
-    rest = (
-        spread.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y")
-        .mapInArrow(_across(num, den), "a long, b long").distinct()
-    )
-    more = _verified(rest, features, num, den)
-    final = connected_components(links.union(more))
+    final = _join_across(tiles, features, first, num, den)
 
     labelled = (
         records.join(leads, "node", "left").withColumn("lead", F.coalesce("lead", "node"))
@@ -406,7 +447,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         .withColumn("component", F.coalesce("component", "lead"))
     )
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "node"))
-    smallest = labelled.groupBy("component").agg(best.alias("best"))
+    smallest = checkpoint(labelled.groupBy("component").agg(best.alias("best")))
     return labelled.join(smallest, "component").select(
         "doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"),
         (F.col("best.node") == F.col("node")).alias("is_first"),
