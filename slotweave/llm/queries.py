@@ -2,13 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from slotweave.llm import jaccard, substring
-from slotweave.llm.text import read_table
+from slotweave.llm import dac, decontaminate, jaccard, licenses, packing, quality, secrets, sharding, substring, toxicity
+from slotweave.llm.text import read_table, shared_folder
+
+VOCABULARY = "word_bpe_49k.json"
+SHARDS = [f"shard-{k:03d}" for k in range(128)]
+
+
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.contaminated(docs, benchmark).select("doc_id", "item_id", "n_windows", "item_windows", "n_slots")
+
+
+def op2_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")
+
+
+def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op4_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"), SHARDS).select("doc_id", "slot", "shard")
+
+
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    dac.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY))
+    return dac.read_documents(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +49,31 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.score(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), with_ids=False)
+    return out.drop("ids")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), size=3, num=90, den=100)
     return out.select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_template_decontamination": op1_template_decontamination,
+    "op2_secret_crf": op2_secret_crf,
+    "op3_license_dice": op3_license_dice,
+    "op4_lookup_sharding": op4_lookup_sharding,
+    "op5_weak_supervision": op5_weak_supervision,
+    "op6_addressable_codes": op6_addressable_codes,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_compression_toxicity": op8_compression_toxicity,
+    "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
@@ -49,4 +100,8 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_words - len(words) AS
 FROM kept
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": _OP7}
+ORACLE_SQL: dict[str, str] = {
+    "op3_license_dice": licenses.oracle_sql(),
+    "op5_weak_supervision": quality.oracle_sql(),
+    "op7_substring_dedup": _OP7,
+}
