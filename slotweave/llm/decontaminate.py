@@ -7,8 +7,14 @@ template tokens are hashed and joined with the windows of the benchmark.  Where
 matched windows hold placeholders, the values behind them are compared along the
 alignment: one benchmark value must always stand for the same document value.
 
-The benchmark's windows are broadcast only while their number is below
-``BROADCAST_WINDOWS`` (it is counted first); beyond it the join shuffles.
+Templates are made only of documents that can matter.  A document must hold
+``MIN_SHARE`` of an item's windows, hence an anchor (the longest word) of each of
+these windows.  So the plain words of all texts are joined with the anchors
+first, and documents with too few anchors of every item are left out: exact,
+and one cheap pass over the corpus.
+
+The benchmark's tables are broadcast only while their rows are below
+``BROADCAST_WINDOWS`` (they are counted first); beyond it the joins shuffle.
 """
 
 from __future__ import annotations
@@ -30,11 +36,15 @@ UNITS = (
 )
 
 # a placeholder is START, its kind, the value it stands for, and END
-START, END = "\ue000", "\ue001"
-_NUMBER = r"(?<![\p{L}\p{N}])[+-]?\p{N}+(?:[.,:/]\p{N}+)*(?![\p{L}\p{N}])"
-_UNIT = rf"{END}\s?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
-_NAME = r"(?<=[\p{Ll},;:]\s)\p{Lu}\p{Ll}+(?:\s\p{Lu}\p{Ll}+)*(?![\p{L}\p{N}])"
-_TOKEN = rf"{START}[^{END}]*{END}|[\p{{L}}\p{{N}}\p{{M}}]+"
+START, END = "", ""
+# plain ranges: classes of Unicode categories cost a lookup for each character
+_LETTERS = r"0-9A-Za-zÀ-῿Ⰰ-퟿豈-�\x{10000}-\x{10FFFF}"
+_UPPER, _LOWER = r"[A-ZÀ-ÞΑ-ΩА-Я]", r"[a-zß-ÿα-ωа-я]"
+_NUMBER = rf"(?=[0-9+-])(?<![{_LETTERS}])[+-]?[0-9]+(?:[.,:/][0-9]+)*(?![{_LETTERS}])"
+_UNIT = rf"{END}\s?({'|'.join(UNITS)})(?![{_LETTERS}])"
+_NAME = rf"{_UPPER}(?<=[,;:a-zß-ÿ]\s{_UPPER}){_LOWER}+(?:\s{_UPPER}{_LOWER}+)*(?![{_LETTERS}])"
+_WORD = rf"[{_LETTERS}]+"
+_TOKEN = rf"{START}[^{END}]*{END}|{_WORD}"
 
 
 def tokens_of(text: Column) -> Column:
@@ -57,8 +67,13 @@ def _hashes(template: str) -> Column:
 
 
 def _windows(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
-    """(keep..., at, window): one row for each window of the token column."""
-    return rows.withColumn("_template", _template(F.col(tokens))).withColumn("_hashes", _hashes("_template")).select(*keep, F.posexplode("_hashes").alias("at", "window"))
+    """(keep..., at, window): one row for each window of the token column.
+
+    The explode is an outer one: for an inner one Spark would infer a filter on
+    the array's size and copy the whole computation into each of its terms.
+    """
+    hashed = rows.withColumn("_template", _template(F.col(tokens))).withColumn("_hashes", _hashes("_template"))
+    return hashed.select(*keep, F.posexplode_outer("_hashes").alias("at", "window")).filter("at IS NOT NULL")
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -69,20 +84,39 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return alone.union(inside).distinct()
 
 
-def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item_id, shift, windows): benchmark windows found in documents, by item and alignment."""
-    items = benchmark_items(benchmark)
-    words = F.size(F.filter(F.slice("tokens", F.col("at") + 1, WINDOW), lambda t: ~F.startswith(t, F.lit(START))))
-    known = (
-        _windows(items, "tokens", "item_id", "tokens").withColumn("words", words)
-        .filter(F.col("words") * 2 > WINDOW)  # windows that are placeholders mostly say nothing
-        .select("item_id", F.col("at").alias("item_at"), "window").distinct()
+def _broadcast(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def benchmark_windows(items: DataFrame) -> DataFrame:
+    """(item_id, item_at, window, anchor): windows that are words for the most part, with their longest word."""
+    own = F.filter(F.slice("tokens", F.col("at") + 1, WINDOW), lambda t: ~F.startswith(t, F.lit(START)))
+    longest = F.array_max(F.transform("own", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    return (
+        _windows(items, "tokens", "item_id", "tokens").withColumn("own", own)
+        .filter(F.size("own") * 2 > WINDOW)  # windows that are placeholders mostly say nothing
+        .select("item_id", F.col("at").alias("item_at"), "window", longest.alias("anchor")).distinct()
     )
-    known = checkpoint(known)
-    if known.count() <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), tokens_of(F.col("text")).alias("_tokens"))
-    found = _windows(rows, "_tokens", "doc_id", "text_key").join(known, "window")
+
+
+def candidates(docs: DataFrame, windows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, text_key, item_id): documents with anchors of MIN_SHARE of an item's windows."""
+    weights = windows.groupBy("item_id", "anchor").agg(F.countDistinct("item_at").alias("weight")).join(sizes, "item_id")
+    anchors = _broadcast(checkpoint(weights.select(F.xxhash64("anchor").alias("hash"), "item_id", "weight", "item_windows")), BROADCAST_WINDOWS)
+    words = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
+        F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0))).alias("word"),
+    )
+    met = words.select("doc_id", "text_key", F.xxhash64(F.lower("word")).alias("hash")).join(anchors, "hash")
+    held = met.groupBy("doc_id", "text_key", "item_id", "item_windows").agg(F.collect_set(F.struct("hash", "weight")).alias("anchors"))
+    enough = F.aggregate("anchors", F.lit(0).cast("long"), lambda n, x: n + x["weight"]) >= MIN_SHARE * F.col("item_windows")
+    return held.filter(enough).select("doc_id", "text_key", "item_id")
+
+
+def alignments(read: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, text_key, item_id, shift, windows): benchmark windows found in templates, by item and alignment."""
+    known = _broadcast(windows.select("item_id", "item_at", "window"), BROADCAST_WINDOWS)
+    found = _windows(read, "doc_tokens", "doc_id", "text_key").join(known, "window")
     return found.groupBy("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("windows"))
 
 
@@ -96,21 +130,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     a null doc_id are reported with a null doc_id; repeated rows give one row.
     ``text_key`` is ``xxhash64(text)``.  Other columns are ignored.
     """
-    hits = checkpoint(alignments(docs, benchmark))
-    items = benchmark_items(benchmark)
+    items = checkpoint(benchmark_items(benchmark))
     sizes = items.groupBy("item_id").agg(F.greatest(F.max(F.size("tokens")) - WINDOW + 1, F.lit(0)).alias("item_windows"))
+    windows = checkpoint(benchmark_windows(items))
+    wanted = _broadcast(checkpoint(candidates(docs, windows, sizes).select("doc_id", "text_key").distinct()), BROADCAST_ALIGNMENTS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), "text")
+    both_keys = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key"))
+    read = texts.join(wanted, both_keys).groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    read = checkpoint(read.select("doc_id", "text_key", tokens_of(F.col("text")).alias("doc_tokens")))
+    hits = checkpoint(alignments(read, windows))
     # tokens by position of either reading of an item; a slot in one reading may be a word in the other
     spots = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w, w + WINDOW - 1))))
     slots = items.filter(F.exists("tokens", lambda t: F.startswith(t, F.lit(START))))
     with_slots = hits.join(slots.select("item_id").distinct(), "item_id", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), "text")
-    wanted = with_slots.select("doc_id", "text_key").distinct()
-    if wanted.count() <= BROADCAST_ALIGNMENTS:
-        wanted = F.broadcast(wanted)
-    read = (
-        texts.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key")))
-        .select("doc_id", "text_key", tokens_of(F.col("text")).alias("doc_tokens"))
-    )
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_key")]
     both = with_slots.alias("a").join(read.alias("b"), same[0] & same[1]).select("a.*", "doc_tokens").join(slots, "item_id")
     pairs = F.filter(

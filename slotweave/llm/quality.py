@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.llm.text import SEPARATORS, checkpoint, words_of
+from slotweave.llm.text import WORD, checkpoint, spaced
 
 MIN_WORDS = 50
 ROUNDS = 20
@@ -42,10 +42,15 @@ def _count_of(text: str, pattern: str) -> Column:
 
 def with_counts(docs: DataFrame) -> DataFrame:
     """Add the counts that the rules read, as columns of the struct ``_q`` (null text: none of anything)."""
-    text = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    split = text.withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.length(F.regexp_replace(x, SEPARATORS, "")) > 0))
-    word = lambda i: F.get("_words", i)
-    windows = F.when(F.size("_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)))).otherwise(F.array().cast("array<long>"))
+    text = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_spaced", spaced(F.col("text")))
+    split = text.withColumns({
+        "_hashes": F.transform(F.array_remove(F.split("_spaced", " "), ""), lambda w: F.xxhash64(w)),
+        "_lines": F.filter(F.split("_text", "\n"), lambda x: F.rlike(x, F.lit(WORD))),
+        # one pass over the text leaves the few characters that are counted one by one
+        "_marks": F.regexp_replace("_text", r"[^#*$%&|<>A-Z!]+", ""),
+    })
+    ahead = lambda i, k: F.get("_hashes", i + k)
+    windows = F.slice(F.transform("_hashes", lambda h, i: F.xxhash64(h, ahead(i, 1), ahead(i, 2))), F.lit(1), F.greatest(F.size("_hashes") - 2, F.lit(0)))
     hashed = split.withColumn("_windows", windows)
     # only texts with a repeated window need their windows in order
     ordered = F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -56,15 +61,15 @@ def with_counts(docs: DataFrame) -> DataFrame:
     return ordered.withColumn(
         "_q",
         F.struct(
-            F.size("_words").cast("long").alias("n_words"),
-            F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-            _count_of("_text", r"[#*$%&|<>]+").alias("n_symbols"),
+            F.size("_hashes").cast("long").alias("n_words"),
+            F.length(F.replace("_spaced", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
+            _count_of("_marks", r"[#*$%&|<>]+").alias("n_symbols"),
             (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
             F.when(F.col("_ordered").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"),
             F.size("_lines").cast("long").alias("n_lines"),
-            _count_of("_text", r"\p{Lu}+").alias("n_capitals"),
-            _count_of("_text", r"!+").alias("n_exclaims"),
-            F.size(F.array_distinct("_words")).cast("long").alias("n_distinct_words"),
+            _count_of("_marks", r"[A-Z]+").alias("n_capitals"),
+            _count_of("_marks", r"!+").alias("n_exclaims"),
+            F.size(F.array_distinct("_hashes")).cast("long").alias("n_distinct_words"),
         ),
     ).select(*docs.columns, "_q")
 
@@ -134,14 +139,13 @@ def score(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``score`` keeps, with all their columns.
 
-    The fitted model is a handful of numbers, so the second pass over the texts
-    filters in place and moves no text between executors.
+    Rows and counts are written once, so that texts are counted once: a filter
+    on computed counts would be pushed into their computation.
     """
-    counts = with_counts(docs.select("text")).select("_q.*")
-    p = fit(counts).posterior(votes())
     # the input travels as one struct, so its columns may be named like a count
-    judged = with_counts(docs.select(F.struct(*docs.columns).alias("_row"), "text")).select("_row", "_q.*")
-    return judged.filter(~base_failed() & (p >= 0.5)).select("_row.*")
+    counted = checkpoint(with_counts(docs.select(F.struct(*docs.columns).alias("_row"), "text")).select("_row", "_q"))
+    p = fit(counted.select("_q.*")).posterior(votes())
+    return counted.select("_row", "_q.*").filter(~base_failed() & (p >= 0.5)).select("_row.*")
 
 
 def oracle_sql() -> str:
@@ -178,7 +182,7 @@ counts AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words,
-         len(ls) AS n_lines, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_capitals,
+         len(ls) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
          length(t) - length(replace(t, '!', '')) AS n_exclaims, len(list_distinct(ws)) AS n_distinct_words
   FROM w LEFT JOIN rep USING (doc_id)
 ),

@@ -57,9 +57,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spaced(text: Column) -> Column:
+    """Text with a space for each separator (null: empty); much cheaper than a pattern over the whole text."""
+    out = F.coalesce(text, F.lit(""))
+    for separator in "\n\t\r\x0b\x0c":
+        out = F.replace(out, F.lit(separator), F.lit(" "))
+    return out
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text column (null: no words), JVM-side."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
