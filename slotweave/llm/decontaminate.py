@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.llm.text import checkpoint
+from slotweave.llm.text import LETTERS, broadcast_below, checkpoint, rows_of, term_hashes
 
 WINDOW = 8
 MIN_SHARE = 0.5
@@ -37,14 +37,11 @@ UNITS = (
 
 # a placeholder is START, its kind, the value it stands for, and END
 START, END = "", ""
-# plain ranges: classes of Unicode categories cost a lookup for each character
-_LETTERS = r"0-9A-Za-zÀ-῿Ⰰ-퟿豈-�\x{10000}-\x{10FFFF}"
 _UPPER, _LOWER = r"[A-ZÀ-ÞΑ-ΩА-Я]", r"[a-zß-ÿα-ωа-я]"
-_NUMBER = rf"(?=[0-9+-])(?<![{_LETTERS}])[+-]?[0-9]+(?:[.,:/][0-9]+)*(?![{_LETTERS}])"
-_UNIT = rf"{END}\s?({'|'.join(UNITS)})(?![{_LETTERS}])"
-_NAME = rf"{_UPPER}(?<=[,;:a-zß-ÿ]\s{_UPPER}){_LOWER}+(?:\s{_UPPER}{_LOWER}+)*(?![{_LETTERS}])"
-_WORD = rf"[{_LETTERS}]+"
-_TOKEN = rf"{START}[^{END}]*{END}|{_WORD}"
+_NUMBER = rf"(?=[0-9+-])(?<![{LETTERS}])[+-]?[0-9]+(?:[.,:/][0-9]+)*(?![{LETTERS}])"
+_UNIT = rf"{END}\s?({'|'.join(UNITS)})(?![{LETTERS}])"
+_NAME = rf"{_UPPER}(?<=[,;:a-zß-ÿ]\s{_UPPER}){_LOWER}+(?:\s{_UPPER}{_LOWER}+)*(?![{LETTERS}])"
+_TOKEN = rf"{START}[^{END}]*{END}|[{LETTERS}]+"
 
 
 def tokens_of(text: Column) -> Column:
@@ -84,10 +81,6 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return alone.union(inside).distinct()
 
 
-def _broadcast(df: DataFrame, most: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """(item_id, item_at, window, anchor): windows that are words for the most part, with their longest word."""
     own = F.filter(F.slice("tokens", F.col("at") + 1, WINDOW), lambda t: ~F.startswith(t, F.lit(START)))
@@ -102,12 +95,8 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, windows: DataFrame, sizes: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id): documents with anchors of MIN_SHARE of an item's windows."""
     weights = windows.groupBy("item_id", "anchor").agg(F.countDistinct("item_at").alias("weight")).join(sizes, "item_id")
-    anchors = _broadcast(checkpoint(weights.select(F.xxhash64("anchor").alias("hash"), "item_id", "weight", "item_windows")), BROADCAST_WINDOWS)
-    words = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
-        F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0))).alias("word"),
-    )
-    met = words.select("doc_id", "text_key", F.xxhash64(F.lower("word")).alias("hash")).join(anchors, "hash")
+    anchors = broadcast_below(checkpoint(weights.select(F.xxhash64("anchor").alias("hash"), "item_id", "weight", "item_windows")), BROADCAST_WINDOWS)
+    met = term_hashes(docs).join(anchors, "hash")
     held = met.groupBy("doc_id", "text_key", "item_id", "item_windows").agg(F.collect_set(F.struct("hash", "weight")).alias("anchors"))
     enough = F.aggregate("anchors", F.lit(0).cast("long"), lambda n, x: n + x["weight"]) >= MIN_SHARE * F.col("item_windows")
     return held.filter(enough).select("doc_id", "text_key", "item_id")
@@ -115,7 +104,7 @@ def candidates(docs: DataFrame, windows: DataFrame, sizes: DataFrame) -> DataFra
 
 def alignments(read: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id, shift, windows): benchmark windows found in templates, by item and alignment."""
-    known = _broadcast(windows.select("item_id", "item_at", "window"), BROADCAST_WINDOWS)
+    known = broadcast_below(windows.select("item_id", "item_at", "window"), BROADCAST_WINDOWS)
     found = _windows(read, "doc_tokens", "doc_id", "text_key").join(known, "window")
     return found.groupBy("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("windows"))
 
@@ -133,10 +122,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = checkpoint(benchmark_items(benchmark))
     sizes = items.groupBy("item_id").agg(F.greatest(F.max(F.size("tokens")) - WINDOW + 1, F.lit(0)).alias("item_windows"))
     windows = checkpoint(benchmark_windows(items))
-    wanted = _broadcast(checkpoint(candidates(docs, windows, sizes).select("doc_id", "text_key").distinct()), BROADCAST_ALIGNMENTS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), "text")
-    both_keys = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key"))
-    read = texts.join(wanted, both_keys).groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    wanted = checkpoint(candidates(docs, windows, sizes).select("doc_id", "text_key").distinct())
+    read = rows_of(docs, wanted, BROADCAST_ALIGNMENTS)
     read = checkpoint(read.select("doc_id", "text_key", tokens_of(F.col("text")).alias("doc_tokens")))
     hits = checkpoint(alignments(read, windows))
     # tokens by position of either reading of an item; a slot in one reading may be a word in the other

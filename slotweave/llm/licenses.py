@@ -7,15 +7,22 @@ bigrams.  A Dice coefficient of ``t`` needs set sizes within a factor
 ``(2 - t) / t``; passages outside the bounds of all templates are dropped before
 their bigrams are looked up, pairs outside their own bounds right after.
 
+Such a passage also shares a known part of a template's bigrams, so of slightly
+more than the rest of them at least one; their longest words are anchors, and
+only documents that hold an anchor are cut into passages.  That is exact, and one
+cheap join over the words of the corpus.
+
 The templates are a parameter; their bigrams are broadcast while there are fewer
 than ``BROADCAST_BIGRAMS`` of them (they are counted first).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slotweave.llm.text import LETTERS, broadcast_below, checkpoint, rows_of, term_hashes
+
 THRESHOLD = 0.8
 BROADCAST_BIGRAMS = 1_000_000
 
@@ -48,13 +55,13 @@ def default_templates(spark: SparkSession) -> DataFrame:
 
 
 def _words(passage: Column) -> Column:
-    return F.array_remove(F.split(F.lower(passage), r"[^\p{L}\p{N}]+"), "")
+    return F.array_remove(F.split(F.lower(passage), f"[^{LETTERS}]+"), "")
 
 
 def _bigrams(words: str) -> Column:
-    last = F.size(words) - 2
-    pairs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1)))
-    return F.when(last >= 0, F.array_distinct(pairs)).otherwise(F.array().cast("array<long>"))
+    """Distinct bigrams, hashed."""
+    pairs = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+    return F.array_distinct(F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
 
 
 def passages_of(text: Column) -> Column:
@@ -65,6 +72,19 @@ def passages_of(text: Column) -> Column:
     return F.array_distinct(F.concat(lines, sentences, F.array(whole)))
 
 
+def _anchors(worded: DataFrame, factor: float) -> DataFrame:
+    """Hashes of words of which every passage that matches a template holds one.
+
+    Of a template's m bigrams a matching passage shares m / factor at least, so
+    of any m - m / factor + 1 bigrams it holds one, with both words.
+    """
+    pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1 << 30).alias("b"))
+    each = worded.select("template", F.explode_outer(pairs).alias("p")).filter("p.b IS NOT NULL").distinct()
+    longest = F.when(F.length("p.a") >= F.length("p.b"), F.col("p.a")).otherwise(F.col("p.b"))
+    ranked = each.select("template", longest.alias("word"), F.row_number().over(Window.partitionBy("template").orderBy(F.length(longest).desc(), longest)).alias("rank"), F.count("*").over(Window.partitionBy("template")).alias("m"))
+    return ranked.filter(F.col("rank") <= F.floor(F.col("m") * (1 - 1 / factor) + 1e-9) + 1).select(F.xxhash64("word").alias("hash")).distinct()
+
+
 def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """License notices in documents: doc_id, license_id, dice, n_passages.
 
@@ -77,23 +97,26 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
     never match.  Other columns are ignored.
     """
     templates = default_templates(docs.sparkSession) if templates is None else templates
-    grams = (
-        templates.select("license_id", F.monotonically_increasing_id().alias("template"), _words(F.col("text")).alias("w"))
-        .withColumn("b", _bigrams("w")).select("license_id", "template", F.size("b").alias("size"), F.explode("b").alias("bigram"))
-    )
+    worded = checkpoint(templates.select("license_id", F.monotonically_increasing_id().alias("template"), _words(F.col("text")).alias("w")))
+    grams = worded.withColumn("b", _bigrams("w")).select("license_id", "template", F.size("b").alias("size"), F.explode_outer("b").alias("bigram")).filter("size > 0")
     bounds = grams.agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("n")).first()
     if bounds["n"] == 0:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("license_id"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_passages")).limit(0)
-    if bounds["n"] <= BROADCAST_BIGRAMS:
-        grams = F.broadcast(grams)
+    grams = broadcast_below(grams, BROADCAST_BIGRAMS)
     factor = (2 - threshold) / threshold
     low, high = bounds["least"] / factor, bounds["most"] * factor
+    wanted = checkpoint(term_hashes(docs).join(broadcast_below(checkpoint(_anchors(worded, factor)), BROADCAST_BIGRAMS), "hash").select("doc_id", "text_key").distinct())
     # a passage of n characters has fewer than n / 2 words; one of n words at most n - 1 bigrams
-    passages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(passages_of(F.col("text"))).alias("passage"))
-    short = passages.filter(F.length("passage") > 2 * low).withColumn("w", _words(F.col("passage"))).filter(F.size("w") - 1 >= low).withColumn("b", _bigrams("w"))
-    sized = short.select("doc_id", F.xxhash64("passage").alias("passage"), "b", F.size("b").alias("n")).filter(F.col("n").between(low, high))
+    passages = rows_of(docs, wanted).select("doc_id", F.explode_outer(passages_of(F.col("text"))).alias("passage"))
+    worded_passages = passages.filter(F.length("passage") > 2 * low).select("doc_id", F.xxhash64("passage").alias("passage"), _words(F.col("passage")).alias("w"))
+    # the outer explodes keep filters on computed arrays from being pushed into their computation
+    sized = (
+        worded_passages.select("doc_id", "passage", F.explode_outer(F.array(_bigrams("w"))).alias("b"))
+        .select("doc_id", "passage", "b", F.size("b").alias("n")).filter(F.col("n").between(low, high))
+        .select("doc_id", "passage", "n", F.explode_outer("b").alias("bigram"))
+    )
     shared = (
-        sized.select("doc_id", "passage", "n", F.explode("b").alias("bigram")).join(grams, "bigram")
+        sized.join(grams, "bigram")
         .filter((F.col("n") <= factor * F.col("size")) & (F.col("size") <= factor * F.col("n")))
         .groupBy("doc_id", "passage", "n", "license_id", "template", "size").agg(F.countDistinct("bigram").alias("both"))
         .withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("size"))).filter(F.col("dice") >= threshold)
@@ -108,7 +131,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
 def oracle_sql(threshold: float = THRESHOLD) -> str:
     values = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + f", {k})" for k, pair in enumerate(NOTICES))
     bigrams = "CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) ELSE [] END"
-    words = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    words = "list_filter(regexp_split_to_array(lower({}), '[^" + LETTERS.replace("{", "{{").replace("}", "}}") + "]+'), lambda x: x <> '')"
     return rf"""
 WITH t AS (SELECT license_id, template, {words.format('txt')} AS w FROM (VALUES {values}) v(license_id, txt, template)),
 tb AS (SELECT license_id, template, len(b) AS size, unnest(b) AS bigram FROM (SELECT license_id, template, {bigrams} AS b FROM t)),

@@ -4,7 +4,7 @@ The field tags every word as secret begin (B), inside (I) or outside (O) from
 its shape, the words before it and features of the whole text, and is decoded by
 Viterbi.  It is trained by maximum likelihood on generated lines (secrets and
 look-alikes of many kinds) and on at most ``SAMPLE_ROWS`` documents of the
-corpus, ``SAMPLE_CHARS`` characters each, tagged by the base patterns.
+corpus of at most ``SAMPLE_CHARS`` characters each, tagged by the base patterns.
 
 Decoding whole texts is cheap because most words are outside beyond doubt: where
 O leads by more than any two transitions could make up, the best path must pass
@@ -32,7 +32,7 @@ SAMPLE_ROWS = 400
 SAMPLE_CHARS = 8000
 GENERATED_LINES = 1500
 CHUNK_WORDS = 32
-STEPS = 250
+STEPS = 120
 O, B, I = 0, 1, 2  # noqa: E741
 KINDS = ("assign", "access", "hex", "crf")
 
@@ -274,9 +274,13 @@ def _value_spans(text: str) -> list[tuple[int, int]]:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Field:
-    """Train the field on generated lines and on a bounded sample of documents (those of the smallest hashed doc_id)."""
-    sample = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample_rows)
-    labelled = generated_lines() + [(r["text"], _value_spans(r["text"])) for r in sample.collect()]
+    """Train the field on generated lines and on a bounded sample of documents (whole ones, those of the smallest hashes)."""
+    keyed = docs.filter(F.length("text") <= sample_chars).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    # the hashes alone are ordered; texts follow for the chosen ones only
+    drawn = [r["h"] for r in keyed.select("h").orderBy("h").limit(sample_rows).collect()]
+    chosen = docs.sparkSession.createDataFrame([(h,) for h in sorted(set(drawn))], "h long")
+    sample = keyed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("text").alias("text")).orderBy("h").collect()
+    labelled = generated_lines() + [(r["text"], _value_spans(r["text"])) for r in sample]
     data, offsets = string_buffers(pa.array([t for t, _ in labelled], pa.string()))
     features, starts, ends, bounds = word_features(data, offsets, _keyword_hashes())
     tags = np.zeros(len(features), dtype=np.int64)

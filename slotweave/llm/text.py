@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
+#: Letters and digits as plain ranges: classes of Unicode categories cost a lookup for each character.
+LETTERS = r"0-9A-Za-z\x{C0}-\x{1FFF}\x{2C00}-\x{D7FF}\x{F900}-\x{FFFD}\x{10000}-\x{10FFFF}"
+
 BLOCK_BYTES = 4 << 20
 
 U64 = np.uint64
@@ -70,6 +73,27 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(spaced(text), " "), "")
 
 
+def term_hashes(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, hash): one row for each run of letters and digits, hashed in lower case."""
+    terms = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
+        F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"[{LETTERS}]+"), F.lit(0))).alias("term"),
+    )
+    return terms.select("doc_id", "text_key", F.xxhash64(F.lower("term")).alias("hash"))
+
+
+def broadcast_below(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``most`` rows (it is counted), else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, most: int = 100_000) -> DataFrame:
+    """(doc_id, text_key, text) of the rows named by distinct ``keys`` (doc_id, text_key), once each."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), "text")
+    on = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key"))
+    return texts.join(broadcast_below(keys, most), on).groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole value."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
