@@ -53,16 +53,16 @@ def _version(text: Column) -> Column:
     return F.slice(F.concat(numbers, F.array_repeat(F.lit(0), _PARTS)), 1, _PARTS)
 
 
-def _holds(operator: Column, wanted: Column, text: Column, have: Column) -> Column:
-    n = F.size(F.filter(F.split(text, r"\."), lambda x: x != ""))
-    compatible = (have >= wanted) & (F.slice(have, F.lit(1), F.greatest(n - 1, F.lit(1))) == F.slice(wanted, F.lit(1), F.greatest(n - 1, F.lit(1))))
-    return (
-        F.when(operator == "==", have == wanted).when(operator == "!=", have != wanted)
-        .when(operator == ">=", have >= wanted).when(operator == "<=", have <= wanted)
-        .when(operator == ">", have > wanted).when(operator == "<", have < wanted)
-        .when(operator == "~=", compatible)
-        .otherwise(F.raise_error(F.concat(F.lit("invalid version operator: "), operator)).cast("boolean"))
-    )
+#: Version operators and what they ask of (have, wanted, parts named by wanted).
+_OPERATORS = {
+    "==": lambda have, want, n: have == want,
+    "!=": lambda have, want, n: have != want,
+    ">=": lambda have, want, n: have >= want,
+    "<=": lambda have, want, n: have <= want,
+    ">": lambda have, want, n: have > want,
+    "<": lambda have, want, n: have < want,
+    "~=": lambda have, want, n: (have >= want) & (F.slice(have, F.lit(1), n - 1) == F.slice(want, F.lit(1), n - 1)),
+}
 
 
 def passes(selectors: Column, run: RunSelectors) -> Column:
@@ -76,17 +76,20 @@ def passes(selectors: Column, run: RunSelectors) -> Column:
     ok = ~F.arrays_overlap(included, run_out) & ~F.arrays_overlap(excluded, run_in)
     ok &= (F.size(included) == 0) | F.arrays_overlap(included, run_in)
 
-    def met(x: Column) -> Column:
-        name, operator, text = (F.regexp_extract(x, _CONDITION, k) for k in (1, 2, 3))
-        out = F.lit(False)
-        for module, versions in run.modules.items():
-            every = F.lit(True)
+    # one step for each operator: a lambda that repeats an expression on its variable may see another element's value
+    told = F.transform(conditions, lambda x: F.struct(F.regexp_extract(x, _CONDITION, 1).alias("module"), F.regexp_extract(x, _CONDITION, 2).alias("operator"), F.regexp_extract(x, _CONDITION, 3).alias("text")))
+    ok &= F.forall(told, lambda x: x["module"].isin(list(run.modules)))
+    odd = F.filter(told, lambda x: ~x["operator"].isin(list(_OPERATORS)))
+    ok &= F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("invalid version operator in: "), selectors)).cast("boolean")).otherwise(True)
+    for module, versions in run.modules.items():
+        for operator, holds in _OPERATORS.items():
+            own = F.filter(told, lambda x: x["operator"] == operator)  # noqa: B023
+            own = F.filter(own, lambda x: x["module"] == module)  # noqa: B023
+            texts = F.transform(own, lambda x: x["text"])
+            pairs = F.transform(texts, lambda t: F.struct(_version(t).alias("want"), (F.length(t) - F.length(F.replace(t, F.lit("."), F.lit(""))) + 1).alias("n")))
             for v in versions:
-                every = every & _holds(operator, _version(text), text, _version(F.lit(v)))
-            out = F.when(name == module, every).otherwise(out)
-        return out
-
-    return ok & F.forall(conditions, met)
+                ok &= F.forall(pairs, lambda p: holds(_version(F.lit(v)), p["want"], F.greatest(p["n"], F.lit(2))))
+    return ok
 
 
 def apply_selectors(rows: DataFrame, run: RunSelectors, column: str = "selectors", drop: bool = False) -> DataFrame:

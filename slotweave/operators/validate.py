@@ -20,8 +20,8 @@ def bound_enums(specs: Specs) -> DataFrame:
     slots = specs.slots.filter("kind = 'copy'").select("deriv_id", "target_slot", "source_class", "target_class", "source_slot")
     used = specs.bindings.withColumnRenamed("target_enum", "_enum").join(slots, ["deriv_id", "target_slot"])
     values = specs.values.groupBy(*SCOPE, "target_enum").agg(F.collect_list(F.struct("target_value", "source_values")).alias("entries"))
-    on = [F.col(c).eqNullSafe(F.col(f"v.{c}")) for c in SCOPE]
-    joined = used.select("deriv_id", "target_slot", "source_class", "target_class", "source_slot", "source_enum", "mirror_source", "_enum", *SCOPE).join(values.alias("v"), on[0] & on[1] & on[2] & on[3] & (F.col("_enum") == F.col("v.target_enum")), "left")
+    on = [F.col(f"u.{c}").eqNullSafe(F.col(f"v.{c}")) for c in SCOPE]
+    joined = used.select("deriv_id", "target_slot", "source_class", "target_class", "source_slot", "source_enum", "mirror_source", "_enum", *SCOPE).alias("u").join(values.alias("v"), on[0] & on[1] & on[2] & on[3] & (F.col("_enum") == F.col("v.target_enum")), "left")
     return joined.select(
         F.col("source_class").alias("sourceClass"), F.col("source_slot").alias("sourceSlot"), F.col("source_enum").alias("sourceEnumName"), F.col("target_class").alias("targetClass"), F.col("target_slot").alias("targetSlot"),
         F.col("_enum").alias("targetEnumName"), "mirror_source", F.col("deriv_id").cast("string").alias("mapper"), "entries",
