@@ -67,7 +67,7 @@ _OPERATORS = {
 
 def passes(selectors: Column, run: RunSelectors) -> Column:
     """Whether a row with these selectors takes part in the run; blank selectors always do."""
-    parts = F.filter(F.transform(F.split(F.coalesce(selectors, F.lit("")), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(selectors, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     excluded = F.transform(F.filter(parts, lambda x: F.startswith(x, F.lit("!"))), lambda x: F.trim(F.ltrim(x, F.lit("!"))))
     plain = F.filter(parts, lambda x: ~F.startswith(x, F.lit("!")))
     conditions = F.filter(plain, lambda x: F.rlike(x, F.lit(_CONDITION)))
@@ -76,7 +76,6 @@ def passes(selectors: Column, run: RunSelectors) -> Column:
     ok = ~F.arrays_overlap(included, run_out) & ~F.arrays_overlap(excluded, run_in)
     ok &= (F.size(included) == 0) | F.arrays_overlap(included, run_in)
 
-    # one step for each operator: a lambda that repeats an expression on its variable may see another element's value
     told = F.transform(conditions, lambda x: F.struct(F.regexp_extract(x, _CONDITION, 1).alias("module"), F.regexp_extract(x, _CONDITION, 2).alias("operator"), F.regexp_extract(x, _CONDITION, 3).alias("text")))
     ok &= F.forall(told, lambda x: x["module"].isin(list(run.modules)))
     odd = F.filter(told, lambda x: ~x["operator"].isin(list(_OPERATORS)))
