@@ -1,57 +1,92 @@
 """Token ids of documents, block by block, with a public tokenizer file.
 
 Tokenizers of this kind drop white space, so the ids of a text are the ids of
-its white-space separated pieces, one after another.  Pieces repeat a lot: a
-block's distinct pieces are found by Arrow's dictionary encoding, only pieces
-that the worker has not met are encoded, and numpy gathers the ids.
+its white-space separated pieces, one after another, whatever the case of their
+ASCII letters (the tokenizer lowers them); punctuation behind a letter is a piece
+of its own.  Pieces repeat a lot: a block's distinct pieces are found by Arrow's
+dictionary encoding, those that the worker has not met are encoded, and numpy
+gathers the ids from one pool.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 2
-CACHED_PIECES = 400_000
+CACHED_PARTS = 600_000
+#: Punctuation that the tokenizer always cuts from a letter before it.
+TAIL = ".,;:!?&*#%$|"
+
+
+def _gathered(begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions begin[k] .. begin[k] + counts[k] - 1 for all k in turn, and the ends of the runs."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(begin - (ends - counts), counts) + np.arange(total), ends
 
 
 class PieceEncoder:
-    """Encodes blocks of texts; keeps the ids of at most CACHED_PIECES pieces."""
+    """Encodes blocks of texts; keeps the ids of about CACHED_PARTS words."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+
+    def _looked_up(self, parts: list[str]) -> np.ndarray:
+        """Numbers of the parts among all that are known."""
+        if len(self.known) > CACHED_PARTS:
+            self._forget()
+        new = [p for p in parts if p not in self.known]
+        if new:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+            self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+            self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum()))))
+            self.sizes = np.concatenate((self.sizes, sizes))
+        return np.fromiter(map(self.known.__getitem__, parts), dtype=np.int64, count=len(parts))
 
-    def _ids_of(self, pieces: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, dtype=np.uint32)
-        return [self.known[p] for p in pieces]
+    def _parts(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(part codes of all pieces, parts of each piece, distinct parts): words and the punctuation behind them."""
+        tailed = pc.match_substring_regex(pieces, f"[a-z][{TAIL}]+$")
+        stems = pc.if_else(tailed, pc.utf8_rtrim(pieces, TAIL), pieces)
+        tails = pc.replace_substring_regex(pieces.filter(tailed), f"(?s)^.*[a-z]([{TAIL}]+)$", r"\1")
+        coded = pa.concat_arrays([stems, tails]).dictionary_encode()
+        codes, two = coded.indices.to_numpy(), tailed.to_numpy(zero_copy_only=False).astype(bool)
+        at = np.arange(len(pieces)) + np.cumsum(two) - two
+        flat = np.zeros(len(codes), dtype=np.int64)
+        flat[at] = codes[: len(pieces)]
+        flat[at[two] + 1] = codes[len(pieces) :]
+        return flat, 1 + two.astype(np.int64), coded.dictionary
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): ids of all texts, END_ID after each, and each text's bounds. Null is empty."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy()
-        per_piece = self._ids_of(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in per_piece], dtype=np.int64)
-        pool = np.concatenate([*per_piece, np.zeros(0, dtype=np.uint32)])
-        begin = np.cumsum(sizes) - sizes
-        counts = sizes[codes]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(begin[codes] - (ends - counts), counts) + np.arange(total)]
+        flat, parts, distinct = self._parts(coded.dictionary)
+        numbers = self._looked_up(distinct.to_pylist())
+        begin = np.cumsum(self.sizes) - self.sizes
+        # occurrences -> parts -> ids
+        where, part_ends = _gathered((np.cumsum(parts) - parts)[codes], parts[codes])
+        part = numbers[flat[where]]
+        spots, id_ends = _gathered(begin[part], self.sizes[part])
+        ids = self.pool[spots]
         pieces_before = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
-        cut = np.concatenate(([0], ends))[pieces_before]
+        parts_before = np.concatenate(([0], part_ends))[pieces_before]
+        cut = np.concatenate(([0], id_ends))[parts_before]
         ids = np.insert(ids, cut[1:], END_ID)
         return ids, cut + np.arange(len(cut))
 
