@@ -11,7 +11,8 @@ Templates are made only of documents that can matter.  A document must hold
 ``MIN_SHARE`` of an item's windows, hence an anchor (the longest word) of each of
 these windows.  So the plain words of all texts are joined with the anchors
 first, and documents with too few anchors of every item are left out: exact,
-and one cheap pass over the corpus.
+and one cheap pass over the corpus.  Windows without a word are taken as given
+there, and any of their values serves as an anchor.
 
 The benchmark's tables are broadcast only while their rows are below
 ``BROADCAST_WINDOWS`` (they are counted first); beyond it the joins shuffle.
@@ -53,24 +54,45 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0))
 
 
+def _marked(token: Column) -> Column:
+    return F.startswith(token, F.lit(START))
+
+
+def _kind(token: Column) -> Column:
+    """Kind of a placeholder, empty for a word."""
+    return F.when(_marked(token), F.substring(token, 2, 1)).otherwise(F.lit(""))
+
+
+def _value(token: Column) -> Column:
+    """The text that a token stands for."""
+    return F.when(_marked(token), F.regexp_replace(token, f"^{START}.|{END}$", "")).otherwise(token)
+
+
 def _template(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit(START)), F.substring(t, 1, 2)).otherwise(t))
+    return F.transform(tokens, lambda t: F.when(_marked(t), F.substring(t, 1, 2)).otherwise(t))
+
 
+def _words_mostly(template: Column) -> Column:
+    return F.size(F.filter(template, lambda t: ~_marked(t))) * 2 > WINDOW
 
-def _hashes(template: str) -> Column:
-    """Hash of every window of WINDOW template tokens."""
-    last = F.size(template) - WINDOW
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(template, i + 1, WINDOW)))).otherwise(F.array().cast("array<long>"))
+
+def _hashes(tokens: Column) -> Column:
+    """Hashes of one window: of its template, or of its values where placeholders are half of it or more."""
+    template = _template(tokens)
+    values = F.xxhash64(F.lit(START), F.transform(tokens, _value))
+    return F.array(F.when(_words_mostly(template), F.xxhash64(template)).otherwise(values))
 
 
 def _windows(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
-    """(keep..., at, window): one row for each window of the token column.
+    """(keep..., at, window): one row for each hash of each window of the token column.
 
     The explode is an outer one: for an inner one Spark would infer a filter on
     the array's size and copy the whole computation into each of its terms.
     """
-    hashed = rows.withColumn("_template", _template(F.col(tokens))).withColumn("_hashes", _hashes("_template"))
-    return hashed.select(*keep, F.posexplode_outer("_hashes").alias("at", "window")).filter("at IS NOT NULL")
+    last = F.size(tokens) - WINDOW
+    each = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: _hashes(F.slice(tokens, i + 1, WINDOW)))).otherwise(F.array().cast("array<array<long>>"))
+    hashed = rows.withColumn("_hashes", each)
+    return hashed.select(*keep, F.posexplode_outer("_hashes").alias("at", "_each")).filter("at IS NOT NULL").select(*keep, "at", F.explode_outer("_each").alias("window"))
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -82,31 +104,72 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """(item_id, item_at, window, anchor): windows that are words for the most part, with their longest word."""
-    own = F.filter(F.slice("tokens", F.col("at") + 1, WINDOW), lambda t: ~F.startswith(t, F.lit(START)))
+    """(item_id, version, item_at, window, weight, anchors): every window, with terms of which a document that holds it has one.
+
+    That is the longest word.  Windows without a word weigh nothing and have the
+    first term of each value, for a number also with the unit behind it attached.
+    """
+    own = F.filter("_tokens", lambda t: ~_marked(t))
     longest = F.array_max(F.transform("own", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    first = lambda t: F.regexp_extract(_value(t), f"[{LETTERS}]+", 0)
+    values = F.flatten(F.transform("_tokens", lambda t, i: F.array(first(t), F.concat(first(t), F.coalesce(_value(F.get("_tokens", i + 1)), F.lit(""))))))
     return (
-        _windows(items, "tokens", "item_id", "tokens").withColumn("own", own)
-        .filter(F.size("own") * 2 > WINDOW)  # windows that are placeholders mostly say nothing
-        .select("item_id", F.col("at").alias("item_at"), "window", longest.alias("anchor")).distinct()
+        _windows(items, "tokens", "item_id", "version", "tokens").withColumn("_tokens", F.slice("tokens", F.col("at") + 1, WINDOW)).withColumn("own", own)
+        .withColumn("weight", F.when(F.size("own") > 0, 1).otherwise(0))
+        .withColumn("anchors", F.when(F.col("weight") == 1, F.array(longest)).otherwise(values))
+        .select("item_id", "version", F.col("at").alias("item_at"), "window", "weight", "anchors").distinct()
     )
 
 
 def candidates(docs: DataFrame, windows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item_id): documents with anchors of MIN_SHARE of an item's windows."""
-    weights = windows.groupBy("item_id", "anchor").agg(F.countDistinct("item_at").alias("weight")).join(sizes, "item_id")
-    anchors = broadcast_below(checkpoint(weights.select(F.xxhash64("anchor").alias("hash"), "item_id", "weight", "item_windows")), BROADCAST_WINDOWS)
+    """(doc_id, text_key, item_id): documents with anchors of MIN_SHARE of an item's windows, those without a word taken as given."""
+    given = windows.groupBy("item_id").agg(F.countDistinct(F.when(F.col("weight") == 0, F.col("item_at"))).alias("given"))
+    each = windows.select("item_id", "item_at", "weight", F.explode("anchors").alias("anchor"))
+    weights = each.groupBy("item_id", "anchor").agg(F.countDistinct(F.when(F.col("weight") == 1, F.col("item_at"))).alias("weight")).join(sizes, "item_id").join(given, "item_id")
+    needed = (MIN_SHARE * F.col("item_windows") - F.col("given")).alias("needed")
+    anchors = broadcast_below(checkpoint(weights.select(F.xxhash64("anchor").alias("hash"), "item_id", "weight", needed)), BROADCAST_WINDOWS)
     met = term_hashes(docs).join(anchors, "hash")
-    held = met.groupBy("doc_id", "text_key", "item_id", "item_windows").agg(F.collect_set(F.struct("hash", "weight")).alias("anchors"))
-    enough = F.aggregate("anchors", F.lit(0).cast("long"), lambda n, x: n + x["weight"]) >= MIN_SHARE * F.col("item_windows")
+    held = met.groupBy("doc_id", "text_key", "item_id", "needed").agg(F.collect_set(F.struct("hash", "weight")).alias("anchors"))
+    enough = F.aggregate("anchors", F.lit(0).cast("long"), lambda n, x: n + x["weight"]) >= F.col("needed")
     return held.filter(enough).select("doc_id", "text_key", "item_id")
 
 
 def alignments(read: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item_id, shift, windows): benchmark windows found in templates, by item and alignment."""
-    known = broadcast_below(windows.select("item_id", "item_at", "window"), BROADCAST_WINDOWS)
+    """(doc_id, text_key, item_id, version, shift): where a window of an item is found in a document."""
+    known = broadcast_below(windows.select("item_id", "version", "item_at", "window").distinct(), BROADCAST_WINDOWS)
     found = _windows(read, "doc_tokens", "doc_id", "text_key").join(known, "window")
-    return found.groupBy("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("windows"))
+    return found.select("doc_id", "text_key", "item_id", "version", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+
+
+def _compared(tokens: str, doc_tokens: str) -> Column:
+    """An item's tokens beside those of a document along an alignment."""
+
+    def one(token: Column, at: Column) -> Column:
+        other = F.get(doc_tokens, at + F.col("shift").cast("int"))
+        word = F.coalesce((token == other) & ~_marked(token), F.lit(False))
+        slot = F.coalesce(_marked(token) & (_kind(token) == _kind(other)), F.lit(False))
+        same = F.coalesce(_value(token) == _value(other), F.lit(False))
+        return F.struct(_value(token).alias("item"), _value(other).alias("doc"), word.alias("word"), slot.alias("slot"), same.alias("same"))
+
+    return F.transform(tokens, one)
+
+
+def _held(compared: str) -> tuple[Column, Column]:
+    """Starts of the windows that an alignment holds, in three sets: all, those of words mostly, those of equal values.
+
+    Windows that are placeholders mostly say nothing alone: they count beside one
+    of words mostly, or with equal values.
+    """
+
+    def one(at: Column) -> Column:
+        part = F.slice(compared, at + 1, WINDOW)
+        mostly = F.size(F.filter(part, lambda x: x["word"])) * 2 > WINDOW
+        return F.struct(at.alias("at"), F.forall(part, lambda x: x["word"] | x["slot"]).alias("fits"), mostly.alias("mostly"), F.forall(part, lambda x: x["same"]).alias("same"))
+
+    each = F.transform(F.sequence(F.lit(0), F.size(compared) - WINDOW), one)
+    starts = lambda wanted: F.transform(F.filter("each", wanted), lambda w: w["at"])
+    clear = starts(lambda w: w["fits"] & w["mostly"])
+    return each, F.array(F.when(F.size(clear) > 0, starts(lambda w: w["fits"])).otherwise(clear), clear, starts(lambda w: w["same"]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -114,41 +177,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     One row for each document and item of which at least MIN_SHARE of the item's
     windows occur in the document with consistent slots; ``n_slots`` counts the
-    placeholders compared.  Items of fewer than WINDOW template tokens never
-    match; null or empty texts and an empty benchmark match nothing.  Rows with
-    a null doc_id are reported with a null doc_id; repeated rows give one row.
-    ``text_key`` is ``xxhash64(text)``.  Other columns are ignored.
+    placeholders compared.  Windows of which half or more are placeholders count
+    along an alignment that has a window of words mostly, or where their values
+    are equal.  Items of fewer than WINDOW template tokens never match; null or
+    empty texts and an empty benchmark match nothing.  Rows with a null doc_id
+    are reported with a null doc_id; repeated rows give one row.  ``text_key`` is
+    ``xxhash64(text)``.  Other columns are ignored.
     """
-    items = checkpoint(benchmark_items(benchmark))
+    items = checkpoint(benchmark_items(benchmark).withColumn("version", F.xxhash64("tokens")))
     sizes = items.groupBy("item_id").agg(F.greatest(F.max(F.size("tokens")) - WINDOW + 1, F.lit(0)).alias("item_windows"))
     windows = checkpoint(benchmark_windows(items))
     wanted = checkpoint(candidates(docs, windows, sizes).select("doc_id", "text_key").distinct())
     read = rows_of(docs, wanted, BROADCAST_ALIGNMENTS)
     read = checkpoint(read.select("doc_id", "text_key", tokens_of(F.col("text")).alias("doc_tokens")))
     hits = checkpoint(alignments(read, windows))
-    # tokens by position of either reading of an item; a slot in one reading may be a word in the other
-    spots = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w, w + WINDOW - 1))))
-    slots = items.filter(F.exists("tokens", lambda t: F.startswith(t, F.lit(START))))
-    with_slots = hits.join(slots.select("item_id").distinct(), "item_id", "left_semi")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_key")]
-    both = with_slots.alias("a").join(read.alias("b"), same[0] & same[1]).select("a.*", "doc_tokens").join(slots, "item_id")
-    pairs = F.filter(
-        F.transform(spots, lambda p: F.struct(F.get("tokens", p).alias("item"), F.get("doc_tokens", p + F.col("shift").cast("int")).alias("doc"))),
-        lambda x: F.startswith(x["item"], F.lit(START)) & F.startswith(x["doc"], F.lit(START)),
-    )
-    paired = both.withColumn("pairs", F.array_distinct(pairs))
-    judged = paired.groupBy("doc_id", "text_key", "item_id", "shift").agg(
-        F.max(F.size("pairs")).alias("slots"),
-        F.max(F.size("pairs") > F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"])))).alias("clash"),
-    )
-    on = [F.col(f"h.{c}").eqNullSafe(F.col(f"j.{c}")) for c in ("doc_id", "text_key", "item_id", "shift")]
-    kept = (
-        hits.alias("h").join(judged.alias("j"), on[0] & on[1] & on[2] & on[3], "left")
-        .filter("NOT coalesce(j.clash, false)").select("h.*", F.coalesce("j.slots", F.lit(0)).alias("slots"))
-    )
-    found = kept.groupBy("doc_id", "text_key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("windows")))).alias("n_windows"), F.max("slots").alias("n_slots"))
+    both = hits.alias("a").join(read.alias("b"), same[0] & same[1]).select("a.*", "doc_tokens").join(items, ["item_id", "version"])
+    each, sets = _held("compared")
+    # the outer explodes keep filters on computed arrays from being pushed into their computation
+    compared = both.select("doc_id", "text_key", "item_id", F.explode_outer(F.array(_compared("tokens", "doc_tokens"))).alias("compared"))
+    held = compared.withColumn("each", F.explode_outer(F.array(each))).withColumn("windows", F.explode_outer(sets))
+    spots = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w, w + WINDOW - 1))))
+    pairs = F.transform(F.filter(F.transform(spots, lambda p: F.get("compared", p)), lambda x: x["slot"]), lambda x: F.struct(x["item"].alias("item"), x["doc"].alias("doc")))
+    judged = held.withColumn("pairs", F.explode_outer(F.array(F.array_distinct(pairs))))
+    # one benchmark value always stands for the same document value
+    kept = judged.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"]))))
+    found = kept.groupBy("doc_id", "text_key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).alias("n_windows"), F.max(F.size("pairs")).alias("n_slots"))
     return (
-        found.join(sizes, "item_id").filter(F.col("n_windows") >= MIN_SHARE * F.col("item_windows"))
+        found.join(sizes, "item_id").filter((F.col("n_windows") > 0) & (F.col("n_windows") >= MIN_SHARE * F.col("item_windows")))
         .select("doc_id", "text_key", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("item_windows").cast("long").alias("item_windows"), F.col("n_slots").cast("long").alias("n_slots"))
     )
 

@@ -120,6 +120,20 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(empty, benchmark).count() == 0
 
 
+def leaks(spark, items, texts):
+    """{(doc number, item number): (n_windows, item_windows)}"""
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"]) for r in decontaminate.contaminated(table, benchmark).collect()}
+
+
+def test_decontamination_of_items_that_are_placeholders_mostly(spark):
+    items = ["Tom has 3 apples, Anna has 5 pears, Ben has 7 figs and Sue has 2 plums.", "Compute 12 + 45 - 33 * 2 / 7 + 18 and give the result as a number", "What is 12 + 45 * 3 - 8 + 96 / 4 - 17 + 5 ?", "11 12 13 14 15 16 17 18 19"]
+    changed = items[1].replace("12", "13").replace("45", "46"), items[2].replace("12", "13").replace("96", "95"), items[3].replace("14", "24").replace("16", "26")
+    got = leaks(spark, items, [*(f"some words before, {x} and some behind" for x in items), *changed, "1 2 3 4 5 6 7 8 9 10 11 12"])
+    assert got == {(0, 0): (10, 10), (1, 1): (7, 7), (2, 2): (3, 3), (3, 3): (2, 2), (4, 1): (7, 7)}
+
+
 def test_secrets(docs, empty):
     field = secrets.train(*_chunks())
     got = {r["doc_id"]: r for r in secrets.scan(docs, field).collect()}
