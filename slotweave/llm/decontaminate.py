@@ -39,8 +39,10 @@ UNITS = (
 # a placeholder is START, its kind, the value it stands for, and END
 START, END = "", ""
 _UPPER, _LOWER = r"[A-ZÀ-ÞΑ-ΩА-Я]", r"[a-zß-ÿα-ωа-я]"
-_NUMBER = rf"(?=[0-9+-])(?<![{LETTERS}])[+-]?[0-9]+(?:[.,:/][0-9]+)*(?![{LETTERS}])"
-_UNIT = rf"{END}\s?({'|'.join(UNITS)})(?![{LETTERS}])"
+_UNITS = "|".join(UNITS)
+#: a number ends before a unit attached to it, but before no other letter
+_NUMBER = rf"(?=[0-9+-])(?<![{LETTERS}])[+-]?[0-9]+(?:[.,:/][0-9]+)*(?=(?i:{_UNITS})?(?![{LETTERS}]))"
+_UNIT = rf"{END}\s?({_UNITS})(?![{LETTERS}])"
 _NAME = rf"{_UPPER}(?<=[,;:a-zß-ÿ]\s{_UPPER}){_LOWER}+(?:\s{_UPPER}{_LOWER}+)*(?![{LETTERS}])"
 _TOKEN = rf"{START}[^{END}]*{END}|[{LETTERS}]+"
 

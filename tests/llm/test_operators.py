@@ -134,6 +134,13 @@ def test_decontamination_of_items_that_are_placeholders_mostly(spark):
     assert got == {(0, 0): (10, 10), (1, 1): (7, 7), (2, 2): (3, 3), (3, 3): (2, 2), (4, 1): (7, 7)}
 
 
+def test_decontamination_of_numbers_with_units_attached(spark):
+    item = "two vehicles leave town at noon and the first drives 120km in one direction while the second covers 60KM before it stops for 5h and then turns back"
+    changed = item.replace("120km", "95km").replace("60KM", "45km").replace("5h", "2h")
+    got = leaks(spark, [item], [changed, changed.replace("95km", "95 km"), item.replace("120km", "120kmx").replace("60KM", "60th").replace("5h", "5g5")])
+    assert got == {(0, 0): (24, 24), (1, 0): (24, 24)}
+
+
 def test_secrets(docs, empty):
     field = secrets.train(*_chunks())
     got = {r["doc_id"]: r for r in secrets.scan(docs, field).collect()}
