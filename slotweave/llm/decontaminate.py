@@ -2,7 +2,8 @@
 
 Texts become streams of lower-case words in which numbers, units after numbers
 and names inside a sentence stand as typed placeholders, so a benchmark question
-that was given other numbers or names keeps its template.  Windows of ``WINDOW``
+that was given other numbers or names keeps its template.  A capitalised word
+where a sentence may start counts as a word and as a name.  Windows of ``WINDOW``
 template tokens are hashed and joined with the windows of the benchmark.  Where
 matched windows hold placeholders, the values behind them are compared along the
 alignment: one benchmark value must always stand for the same document value.
@@ -42,20 +43,36 @@ _UPPER, _LOWER = r"[A-ZÀ-ÞΑ-ΩА-Я]", r"[a-zß-ÿα-ωа-я]"
 _UNITS = "|".join(UNITS)
 #: a number ends before a unit attached to it, but before no other letter
 _NUMBER = rf"(?=[0-9+-])(?<![{LETTERS}])[+-]?[0-9]+(?:[.,:/][0-9]+)*(?=(?i:{_UNITS})?(?![{LETTERS}]))"
-_UNIT = rf"{END}\s?({_UNITS})(?![{LETTERS}])"
-_NAME = rf"{_UPPER}(?<=[,;:a-zß-ÿ]\s{_UPPER}){_LOWER}+(?:\s{_UPPER}{_LOWER}+)*(?![{LETTERS}])"
+_UNIT = rf"({START}[np][^{END}]*{END})\s?({_UNITS})(?![{LETTERS}])"
+_ALONE = rf"{_UPPER}(?<![,;:a-zß-ÿ]\s{_UPPER})(?<![{LETTERS}]{_UPPER}){_LOWER}+"
+_FIRST = rf"{_ALONE}(?![{LETTERS}])"
+_FIRST_RUN = rf"{_ALONE}(?:(?<=[a-zß-ÿ])\s{_UPPER}{_LOWER}+)+(?![{LETTERS}])"
+_NAME = rf"{_UPPER}(?<=[,;:a-zß-ÿ{END}]\s{_UPPER}){_LOWER}+(?:\s{_UPPER}{_LOWER}+)*(?![{LETTERS}])(?![{LETTERS}\s]*{END})"
 _TOKEN = rf"{START}[^{END}]*{END}|[{LETTERS}]+"
 
 
-def tokens_of(text: Column) -> Column:
-    """Template tokens of a text, placeholders with their values."""
+def tokens_of(text: Column, runs: bool = False) -> Column:
+    """Template tokens of a text, placeholders with their values.
+
+    A capitalised word where a sentence may start is of the kind ``s``, a word or
+    a name.  With ``runs``, one with more capitalised words behind it is one name
+    with them, of the kind ``r``.
+    """
     t = F.translate(F.coalesce(text, F.lit("")), START + END, "")
+    if runs:
+        t = F.regexp_replace(t, _FIRST_RUN, f"{START}r$0{END}")
+    t = F.regexp_replace(t, _FIRST, f"{START}s$0{END}")
     t = F.regexp_replace(t, _NAME, f"{START}p$0{END}")
     t = F.regexp_replace(t, _NUMBER, f"{START}n$0{END}")
-    t = F.regexp_replace(F.lower(t), _UNIT, f"{END} {START}u$1{END}")
+    t = F.regexp_replace(F.lower(t), _UNIT, f"$1 {START}u$2{END}")
     return F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0))
 
 
+def readings_of(text: Column) -> Column:
+    """Both token arrays of a text, or one where they are the same."""
+    return F.array_distinct(F.array(tokens_of(text), tokens_of(text, runs=True)))
+
+
 def _marked(token: Column) -> Column:
     return F.startswith(token, F.lit(START))
 
@@ -70,8 +87,32 @@ def _value(token: Column) -> Column:
     return F.when(_marked(token), F.regexp_replace(token, f"^{START}.|{END}$", "")).otherwise(token)
 
 
-def _template(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(_marked(t), F.substring(t, 1, 2)).otherwise(t))
+def _loose(token: Column) -> Column:
+    """Whether a token may be a word or a name."""
+    return F.startswith(token, F.lit(START + "s"))
+
+
+def _is_name(kind: Column) -> Column:
+    return kind.isin("p", "r", "s")
+
+
+def _templates(tokens: Column) -> Column:
+    """Every template of one window: a word that may be a name stands for both."""
+
+    def one(token: Column) -> Column:
+        return F.when(_loose(token), _value(token)).when(_is_name(_kind(token)), F.lit(START + "p")).when(_marked(token), F.substring(token, 1, 2)).otherwise(token)
+
+    def longer(known: Column, token: Column) -> Column:
+        named = F.when(_loose(token), F.transform(known, lambda k: F.array_append(k, F.lit(START + "p")))).otherwise(F.array().cast("array<array<string>>"))
+        return F.concat(F.transform(known, lambda k: F.array_append(k, one(token))), named)
+
+    every = F.aggregate(tokens, F.array(F.array().cast("array<string>")), longer)
+    return F.when(F.exists(tokens, _loose), every).otherwise(F.array(F.transform(tokens, one)))
+
+
+def _place(tokens: str, at: Column) -> Column:
+    """A position in the reading without runs, in which a run is two tokens."""
+    return at + F.size(F.filter(F.slice(tokens, 1, at), lambda t: F.startswith(t, F.lit(START + "r"))))
 
 
 def _words_mostly(template: Column) -> Column:
@@ -79,10 +120,9 @@ def _words_mostly(template: Column) -> Column:
 
 
 def _hashes(tokens: Column) -> Column:
-    """Hashes of one window: of its template, or of its values where placeholders are half of it or more."""
-    template = _template(tokens)
+    """Hashes of one window: of its templates, or of its values where placeholders are half of a template or more."""
     values = F.xxhash64(F.lit(START), F.transform(tokens, _value))
-    return F.array(F.when(_words_mostly(template), F.xxhash64(template)).otherwise(values))
+    return F.array_distinct(F.transform(_templates(tokens), lambda t: F.when(_words_mostly(t), F.xxhash64(t)).otherwise(values)))
 
 
 def _windows(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
@@ -98,18 +138,16 @@ def _windows(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, tokens): an item twice if its first word might be read as a name inside a sentence."""
+    """(item_id, tokens): an item once for each of its readings."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL")
-    alone = items.select("item_id", tokens_of(F.col("text")).alias("tokens"))
-    inside = items.select("item_id", tokens_of(F.concat(F.lit("a "), F.col("text"))).alias("tokens")).withColumn("tokens", F.expr("slice(tokens, 2, greatest(size(tokens) - 1, 0))"))
-    return alone.union(inside).distinct()
+    return items.select("item_id", F.explode_outer(readings_of(F.col("text"))).alias("tokens")).distinct()
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """(item_id, version, item_at, window, weight, anchors): every window, with terms of which a document that holds it has one.
+    """(item_id, version, item_at, place, window, weight, anchors): every window, with terms of which a document that holds it has one.
 
-    That is the longest word.  Windows without a word weigh nothing and have the
-    first term of each value, for a number also with the unit behind it attached.
+    That is the longest word that can't be a name.  Windows without one weigh nothing
+    and have the first term of each value, for a number also with the unit behind it attached.
     """
     own = F.filter("_tokens", lambda t: ~_marked(t))
     longest = F.array_max(F.transform("own", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
@@ -117,17 +155,18 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     values = F.flatten(F.transform("_tokens", lambda t, i: F.array(first(t), F.concat(first(t), F.coalesce(_value(F.get("_tokens", i + 1)), F.lit(""))))))
     return (
         _windows(items, "tokens", "item_id", "version", "tokens").withColumn("_tokens", F.slice("tokens", F.col("at") + 1, WINDOW)).withColumn("own", own)
+        .withColumn("place", _place("tokens", F.col("at")))
         .withColumn("weight", F.when(F.size("own") > 0, 1).otherwise(0))
         .withColumn("anchors", F.when(F.col("weight") == 1, F.array(longest)).otherwise(values))
-        .select("item_id", "version", F.col("at").alias("item_at"), "window", "weight", "anchors").distinct()
+        .select("item_id", "version", F.col("at").alias("item_at"), "place", "window", "weight", "anchors").distinct()
     )
 
 
 def candidates(docs: DataFrame, windows: DataFrame, sizes: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id): documents with anchors of MIN_SHARE of an item's windows, those without a word taken as given."""
-    given = windows.groupBy("item_id").agg(F.countDistinct(F.when(F.col("weight") == 0, F.col("item_at"))).alias("given"))
-    each = windows.select("item_id", "item_at", "weight", F.explode("anchors").alias("anchor"))
-    weights = each.groupBy("item_id", "anchor").agg(F.countDistinct(F.when(F.col("weight") == 1, F.col("item_at"))).alias("weight")).join(sizes, "item_id").join(given, "item_id")
+    given = windows.groupBy("item_id").agg(F.countDistinct(F.when(F.col("weight") == 0, F.col("place"))).alias("given"))
+    each = windows.select("item_id", "place", "weight", F.explode("anchors").alias("anchor"))
+    weights = each.groupBy("item_id", "anchor").agg(F.countDistinct(F.when(F.col("weight") == 1, F.col("place"))).alias("weight")).join(sizes, "item_id").join(given, "item_id")
     needed = (MIN_SHARE * F.col("item_windows") - F.col("given")).alias("needed")
     anchors = broadcast_below(checkpoint(weights.select(F.xxhash64("anchor").alias("hash"), "item_id", "weight", needed)), BROADCAST_WINDOWS)
     met = term_hashes(docs).join(anchors, "hash")
@@ -137,10 +176,10 @@ def candidates(docs: DataFrame, windows: DataFrame, sizes: DataFrame) -> DataFra
 
 
 def alignments(read: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item_id, version, shift): where a window of an item is found in a document."""
+    """(doc_id, text_key, doc_version, item_id, version, shift): where a window of an item is found in a document."""
     known = broadcast_below(windows.select("item_id", "version", "item_at", "window").distinct(), BROADCAST_WINDOWS)
-    found = _windows(read, "doc_tokens", "doc_id", "text_key").join(known, "window")
-    return found.select("doc_id", "text_key", "item_id", "version", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    found = _windows(read, "doc_tokens", "doc_id", "text_key", "doc_version").join(known, "window")
+    return found.select("doc_id", "text_key", "doc_version", "item_id", "version", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
 def _compared(tokens: str, doc_tokens: str) -> Column:
@@ -148,10 +187,12 @@ def _compared(tokens: str, doc_tokens: str) -> Column:
 
     def one(token: Column, at: Column) -> Column:
         other = F.get(doc_tokens, at + F.col("shift").cast("int"))
-        word = F.coalesce((token == other) & ~_marked(token), F.lit(False))
-        slot = F.coalesce(_marked(token) & (_kind(token) == _kind(other)), F.lit(False))
+        kind, doc_kind = _kind(token), _kind(other)
         same = F.coalesce(_value(token) == _value(other), F.lit(False))
-        return F.struct(_value(token).alias("item"), _value(other).alias("doc"), word.alias("word"), slot.alias("slot"), same.alias("same"))
+        word = F.coalesce(same & kind.isin("", "s") & doc_kind.isin("", "s"), F.lit(False))
+        slot = F.coalesce(~word & _marked(token) & ((kind == doc_kind) | (_is_name(kind) & _is_name(doc_kind))), F.lit(False))
+        sure = word | (slot & ((kind != "s") | (at == 0)) & (doc_kind != "s"))
+        return F.struct(_value(token).alias("item"), _value(other).alias("doc"), word.alias("word"), slot.alias("slot"), sure.alias("sure"), same.alias("same"))
 
     return F.transform(tokens, one)
 
@@ -160,18 +201,19 @@ def _held(compared: str) -> tuple[Column, Column]:
     """Starts of the windows that an alignment holds, in three sets: all, those of words mostly, those of equal values.
 
     Windows that are placeholders mostly say nothing alone: they count beside one
-    of words mostly, or with equal values.
+    of words mostly, or with equal values.  The second set takes words at sentence
+    starts as words, so it holds where such a word was exchanged without a system.
     """
 
     def one(at: Column) -> Column:
         part = F.slice(compared, at + 1, WINDOW)
         mostly = F.size(F.filter(part, lambda x: x["word"])) * 2 > WINDOW
-        return F.struct(at.alias("at"), F.forall(part, lambda x: x["word"] | x["slot"]).alias("fits"), mostly.alias("mostly"), F.forall(part, lambda x: x["same"]).alias("same"))
+        return F.struct(at.alias("at"), F.forall(part, lambda x: x["word"] | x["slot"]).alias("fits"), F.forall(part, lambda x: x["sure"]).alias("sure"), mostly.alias("mostly"), F.forall(part, lambda x: x["same"]).alias("same"))
 
     each = F.transform(F.sequence(F.lit(0), F.size(compared) - WINDOW), one)
     starts = lambda wanted: F.transform(F.filter("each", wanted), lambda w: w["at"])
     clear = starts(lambda w: w["fits"] & w["mostly"])
-    return each, F.array(F.when(F.size(clear) > 0, starts(lambda w: w["fits"])).otherwise(clear), clear, starts(lambda w: w["same"]))
+    return each, F.array(F.when(F.size(clear) > 0, starts(lambda w: w["fits"])).otherwise(clear), starts(lambda w: w["sure"] & w["mostly"]), starts(lambda w: w["same"]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -191,19 +233,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = checkpoint(benchmark_windows(items))
     wanted = checkpoint(candidates(docs, windows, sizes).select("doc_id", "text_key").distinct())
     read = rows_of(docs, wanted, BROADCAST_ALIGNMENTS)
-    read = checkpoint(read.select("doc_id", "text_key", tokens_of(F.col("text")).alias("doc_tokens")))
+    read = checkpoint(read.select("doc_id", "text_key", F.posexplode_outer(readings_of(F.col("text"))).alias("doc_version", "doc_tokens")))
     hits = checkpoint(alignments(read, windows))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_key")]
-    both = hits.alias("a").join(read.alias("b"), same[0] & same[1]).select("a.*", "doc_tokens").join(items, ["item_id", "version"])
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_key", "doc_version")]
+    both = hits.alias("a").join(read.alias("b"), same[0] & same[1] & same[2]).select("a.*", "doc_tokens").join(items, ["item_id", "version"])
     each, sets = _held("compared")
     # the outer explodes keep filters on computed arrays from being pushed into their computation
-    compared = both.select("doc_id", "text_key", "item_id", F.explode_outer(F.array(_compared("tokens", "doc_tokens"))).alias("compared"))
+    compared = both.select("doc_id", "text_key", "item_id", "tokens", F.explode_outer(F.array(_compared("tokens", "doc_tokens"))).alias("compared"))
     held = compared.withColumn("each", F.explode_outer(F.array(each))).withColumn("windows", F.explode_outer(sets))
     spots = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w, w + WINDOW - 1))))
     pairs = F.transform(F.filter(F.transform(spots, lambda p: F.get("compared", p)), lambda x: x["slot"]), lambda x: F.struct(x["item"].alias("item"), x["doc"].alias("doc")))
     judged = held.withColumn("pairs", F.explode_outer(F.array(F.array_distinct(pairs))))
     # one benchmark value always stands for the same document value
     kept = judged.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"]))))
+    kept = kept.withColumn("windows", F.transform("windows", lambda w: _place("tokens", w)))
     found = kept.groupBy("doc_id", "text_key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).alias("n_windows"), F.max(F.size("pairs")).alias("n_slots"))
     return (
         found.join(sizes, "item_id").filter((F.col("n_windows") > 0) & (F.col("n_windows") >= MIN_SHARE * F.col("item_windows")))

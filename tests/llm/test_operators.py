@@ -141,6 +141,17 @@ def test_decontamination_of_numbers_with_units_attached(spark):
     assert got == {(0, 0): (24, 24), (1, 0): (24, 24)}
 
 
+def test_decontamination_of_names_at_sentence_starts(spark):
+    item = "Anna opens a shop and sells bread every morning. Anna pays rent to the owner each month. When the week ends the money that Anna keeps is counted twice."
+    changed = item.replace("Anna", "Maria")
+    mixed = item.replace("Anna pays", "Maria pays")  # no system: the windows without the exchanged word count
+    got = leaks(spark, [item, item.replace("Anna", "Anna Smith")], ["Some text. " + changed, "a text, " + changed, "a text, " + changed.replace("When", "when"), mixed, "Some text. " + item.replace("Anna", "Maria Jones")])
+    assert {k: v for k, v in got.items() if k[1] == 0} == {(0, 0): (22, 22), (1, 0): (22, 22), (2, 0): (22, 22), (3, 0): (14, 22), (4, 0): (22, 22)}
+    assert got[4, 1] == (24, 24)
+    item = "Three hours later the guests had left the house and nobody knew where the keys were"
+    assert leaks(spark, [item], ["it was said that, " + item.replace("Three", "three")]) == {(0, 0): (9, 9)}
+
+
 def test_secrets(docs, empty):
     field = secrets.train(*_chunks())
     got = {r["doc_id"]: r for r in secrets.scan(docs, field).collect()}
