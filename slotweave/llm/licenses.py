@@ -1,7 +1,7 @@
 """License scan: Dice coefficient of word bigrams between text and license templates, with DataFrame functions only.
 
-A document's candidate passages are its lines, the sentences in its lines, and
-the document itself.  Passages and templates are normalised (lower case, runs of
+A document's candidate passages are its lines, the sentences in its lines, the
+document itself, and paragraphs and sentences that are wrapped over lines.  Passages and templates are normalised (lower case, runs of
 anything but letters and digits become one space) and become sets of word
 bigrams.  A Dice coefficient of ``t`` needs set sizes within a factor
 ``(2 - t) / t``; passages outside the bounds of all templates are dropped before
@@ -25,6 +25,7 @@ from slotweave.llm.text import LETTERS, broadcast_below, checkpoint, rows_of, te
 
 THRESHOLD = 0.8
 BROADCAST_BIGRAMS = 1_000_000
+PART, JOIN = "\x1e", "\x1f"
 
 #: Short notices by which texts name their license (fixed values, public wording).
 NOTICES: list[tuple[str, str]] = [
@@ -65,11 +66,17 @@ def _bigrams(words: str) -> Column:
 
 
 def passages_of(text: Column) -> Column:
-    """Distinct lines, sentences of lines, and the whole of a text."""
+    """Distinct lines, sentences of lines, and the whole of a text; paragraphs and sentences that go over lines, joined: (text, joined)."""
     whole = F.coalesce(text, F.lit(""))
     lines = F.split(whole, "\n")
     sentences = F.split(F.regexp_replace(whole, r"([.!?])[ \t]+", "$1\n"), "\n")
-    return F.array_distinct(F.concat(lines, sentences, F.array(whole)))
+    # a line without letters or digits ends a paragraph; JOIN stands for the other line ends and the marks of comments behind them
+    parts = F.split(F.regexp_replace(whole, rf"\n(?:[^{LETTERS}\n]*\n)+", PART), PART)
+    parts = F.transform(parts, lambda p: F.regexp_replace(p, r"[ \t\r]*\n[ \t]*(?:[#*;%>]+|//+|--+)?[ \t]*", JOIN))
+    inner = F.flatten(F.transform(parts, lambda p: F.split(F.regexp_replace(p, rf"([.!?])[ \t{JOIN}]+", f"$1{PART}"), PART)))
+    wrapped = F.transform(F.filter(F.transform(F.concat(parts, inner), lambda p: F.btrim(p, F.lit(JOIN + " \t"))), lambda p: F.contains(p, F.lit(JOIN))), lambda p: F.replace(p, F.lit(JOIN), F.lit(" ")))
+    mark = lambda passages, joined: F.transform(passages, lambda p: F.struct(p.alias("text"), F.lit(joined).alias("joined")))
+    return F.array_distinct(F.concat(mark(F.concat(lines, sentences, F.array(whole)), False), mark(wrapped, True)))
 
 
 def _anchors(worded: DataFrame, factor: float) -> DataFrame:
@@ -108,7 +115,9 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
     wanted = checkpoint(term_hashes(docs).join(broadcast_below(checkpoint(_anchors(worded, factor)), BROADCAST_BIGRAMS), "hash").select("doc_id", "text_key").distinct())
     # a passage of n characters has fewer than n / 2 words; one of n words at most n - 1 bigrams
     passages = rows_of(docs, wanted).select("doc_id", F.explode_outer(passages_of(F.col("text"))).alias("passage"))
-    worded_passages = passages.filter(F.length("passage") > 2 * low).select("doc_id", F.xxhash64("passage").alias("passage"), _words(F.col("passage")).alias("w"))
+    worded_passages = passages.filter(F.length("passage.text") > 2 * low).select("doc_id", "passage", _words(F.col("passage.text")).alias("w"))
+    key = F.struct(F.col("passage.joined").alias("joined"), F.xxhash64("w").alias("words"), F.xxhash64(F.when(~F.col("passage.joined"), F.col("passage.text"))).alias("text"))
+    worded_passages = worded_passages.select("doc_id", key.alias("passage"), "w")
     # the outer explodes keep filters on computed arrays from being pushed into their computation
     sized = (
         worded_passages.select("doc_id", "passage", F.explode_outer(F.array(_bigrams("w"))).alias("b"))
@@ -122,6 +131,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
         .withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("size"))).filter(F.col("dice") >= threshold)
     )
     best = shared.groupBy("doc_id", "passage").agg(F.min(F.struct((-F.col("dice")).alias("minus"), "license_id")).alias("best"))
+    # joined passages of the words of another one are no further passages
+    best = best.withColumn("other", F.max(~F.col("passage.joined")).over(Window.partitionBy("doc_id", "passage.words"))).filter(~F.col("passage.joined") | ~F.col("other"))
     return (
         best.groupBy("doc_id", F.col("best.license_id").alias("license_id"))
         .agg(F.max(-F.col("best.minus")).alias("dice"), F.count("*").alias("n_passages"))

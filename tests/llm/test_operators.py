@@ -120,6 +120,17 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(empty, benchmark).count() == 0
 
 
+def licensed(spark, *texts):
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {(r["doc_id"], r["license_id"]): r["dice"] for r in rows}
+
+
+def test_licenses_wrapped_over_lines(spark):
+    plain = "Some text stands here.\nThis work is licensed under the GNU\nGeneral Public License, version 3.\nMore text follows in this line."
+    marks = "int main;\n\n# This work is licensed under the GNU\n# General Public License,\n# version 3.\n#\n# More text follows.\ncode"
+    assert licensed(spark, plain, marks, marks.replace("General Public License", "Other Things")) == {(0, "GPL-3.0"): 1.0, (1, "GPL-3.0"): 1.0}
+
+
 def leaks(spark, items, texts):
     """{(doc number, item number): (n_windows, item_windows)}"""
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
