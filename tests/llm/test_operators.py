@@ -131,6 +131,15 @@ def test_licenses_wrapped_over_lines(spark):
     assert licensed(spark, plain, marks, marks.replace("General Public License", "Other Things")) == {(0, "GPL-3.0"): 1.0, (1, "GPL-3.0"): 1.0}
 
 
+def test_license_bodies(spark):
+    import textwrap
+
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
+    wrapped = "\n".join(" * " + x for x in textwrap.wrap(mit, 70))
+    got = licensed(spark, f"Copyright (c) 2020 A. Body\n\n{mit}\n\nmore", f"/*\n * Copyright (c) 2020 A. Body\n *\n{wrapped}\n *\n * more\n */")
+    assert got == {(0, "MIT"): 1.0, (1, "MIT"): 1.0}
+
+
 def leaks(spark, items, texts):
     """{(doc number, item number): (n_windows, item_windows)}"""
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
