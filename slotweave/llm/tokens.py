@@ -6,6 +6,10 @@ ASCII letters (the tokenizer lowers them); punctuation behind a letter is a piec
 of its own.  Pieces repeat a lot: a block's distinct pieces are found by Arrow's
 dictionary encoding, those that the worker has not met are encoded, and numpy
 gathers the ids from one pool.
+
+Whether a file's tokenizer is of this kind is tried out on probes when the file is
+loaded; any other one encodes whole texts.  So are texts in which a special token
+stands in any case, because such a token counts in its own case only.
 """
 
 from __future__ import annotations
@@ -39,8 +43,24 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.by_piece = self._splits()
         self._forget()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _splits(self) -> bool:
+        """Whether white space, the case of ASCII letters and punctuation behind letters are treated as ``encode`` assumes."""
+        words = ["Hello", "WORLD", "x1", "don't", "a-b", "(é)", "12", "ß", "can't.", "«q»"]
+        probes = [" ".join(words), "\n\n".join(words), "  " + "\t ".join(words) + "\x0b\x0c\r", *(f"ab{c}{e} cd" for c in TAIL for e in ("", c, "!?"))]
+
+        def cut(piece: str) -> list[str]:
+            stem = piece.rstrip(TAIL)
+            return [stem, piece[len(stem) :]] if stem != piece and "a" <= stem[-1:] <= "z" else [piece]
+
+        return all(self._ids(p) == [i for w in p.lower().split() for part in cut(w) for i in self._ids(part)] for p in probes)
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
@@ -73,7 +93,22 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): ids of all texts, END_ID after each, and each text's bounds. Null is empty."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        texts = pc.fill_null(texts, "")
+        low = pc.ascii_lower(texts)
+        whole = np.full(len(texts), not self.by_piece)
+        for token in self.special:
+            whole |= pc.match_substring(low, token).to_numpy(zero_copy_only=False).astype(bool)
+        if not whole.any():
+            return self._encoded(low)
+        ids, bounds = self._encoded(pc.if_else(pa.array(whole), pa.scalar("", low.type), low))
+        parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for k in np.flatnonzero(whole):
+            parts[k] = np.array([*self._ids(texts[int(k)].as_py()), END_ID], dtype=ids.dtype)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+    def _encoded(self, low: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for lower-case texts, by their pieces."""
+        split = pc.ascii_split_whitespace(low)
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy()
         flat, parts, distinct = self._parts(coded.dictionary)
