@@ -9,8 +9,9 @@ from slotweave.functions import names, selectors
 from slotweave.operators import reshape
 from slotweave.sources.tables import strip_cells
 
-MAPS = ["sourceClass", "sourceSlot", "sourceValue", "targetClass", "targetSlot", "targetValue", "targetExpr", "customData", "slotDerivationSettings", "enumDerivationSettings"]
-ENUMS = ["sourceClass", "sourceSlot", "sourceEnum", "sourceValue", "targetClass", "targetSlot", "targetEnum", "targetValue", "slotDerivationSettings", "enumDerivationSettings"]
+#: The columns of prepared rows, in this order.
+MAPS = ["sourceClass", "sourceSlot", "sourceValue", "targetClass", "targetSlot", "targetValue", "targetExpr", "customData", "enumDerivationSettings", "slotDerivationSettings"]
+ENUMS = ["sourceClass", "sourceSlot", "sourceEnum", "sourceValue", "targetClass", "targetSlot", "targetEnum", "targetValue", "enumDerivationSettings", "slotDerivationSettings"]
 WIDE = ["sourceClass", "sourceSlot", "sourceValue", "targetClass", "targetSlot", "targetValue", "wideGroup", "wideOtherSlots", "slotDerivationSettings", "enumDerivationSettings"]
 
 

@@ -37,11 +37,20 @@ def test_cells(spark):
 @pytest.mark.parametrize("row, run, kept", [
     (None, ["b"], True), ("", ["!b"], True), ("amr", [], False), ("amr", ["amr"], True), ("b,c", ["c"], True), ("b", ["!b"], False), ("!b", ["b"], False), ("!b", [], True),
     ("odm>=3.0,odm<=3.1", ["odm=3.0.5"], True), ("odm>=3.0,odm<=3.1", ["odm=3.2"], False), ("odm~=2.1", ["odm=2.4"], True), ("odm~=2.1", ["odm=3.0"], False), ("odm>3", [], False), ("odm!=3", ["odm=3.0"], False),
+    ("odm>=3.0", ["odm=3.0rc1"], False), ("odm<4", ["odm=3.0.dev1"], False), ("b", ["b", "odm=3.0rc1"], True), ("odm>=3.0", ["odm=3.0.post1"], True), ("odm>3.0", ["odm=3.0.post1"], False), ("odm==3.0", ["odm=3.0.post1"], False), ("odm==3.0", ["odm=v3.0+local.1"], True),
+    ("odm<1.2.3.4.5.6.7.8.9", ["odm=1.2.3.4.5.6.7.8.8"], True), ("odm<1.2.3.4.5.6.7.8.9", ["odm=1.2.3.4.5.6.7.8.9"], False), ("odm~=2.1.4", ["odm=2.1.9"], True), ("odm~=2.1.4", ["odm=2.2"], False),
 ])
 def test_selectors(spark, row, run, kept):
     assert one(spark, lambda c: selectors.passes(c, selectors.parse_run(run)), row) is kept
 
 
+def test_versions_that_are_none(spark):
+    with pytest.raises(ValueError):
+        one(spark, lambda c: selectors.passes(c, selectors.parse_run(["odm=new"])), "odm>=3")
+    with pytest.raises(Exception, match="invalid version condition"):
+        one(spark, lambda c: selectors.passes(c, selectors.parse_run(["odm=3.1"])), "odm~=3")
+
+
 def test_expressions(spark):
     assert exprs.slots_in("case((src.a.strip() == 'x', src.b), (True, src.a))") == ["a", "b"]
     assert one(spark, lambda c: exprs.to_column("'n' if src.c == 'a' else src.c", lambda n: c), "a") == "n"
