@@ -7,10 +7,9 @@ bigrams.  A Dice coefficient of ``t`` needs set sizes within a factor
 ``(2 - t) / t``; passages outside the bounds of all templates are dropped before
 their bigrams are looked up, pairs outside their own bounds right after.
 
-Such a passage also shares a known part of a template's bigrams, so of slightly
-more than the rest of them at least one; their longest words are anchors, and
-only documents that hold an anchor are cut into passages.  That is exact, and one
-cheap join over the words of the corpus.
+Such a passage also shares a known part of a template's bigrams, so only
+documents that hold as many of the templates' bigrams are cut into passages, in
+the scan that reads them.  That is exact; no text is read twice or shuffled.
 
 The templates are a parameter; their bigrams are broadcast while there are fewer
 than ``BROADCAST_BIGRAMS`` of them (they are counted first).
@@ -18,13 +17,16 @@ than ``BROADCAST_BIGRAMS`` of them (they are counted first).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotweave.llm.text import LETTERS, broadcast_below, checkpoint, rows_of, term_hashes
+from slotweave.llm.text import LETTERS, broadcast_below, checkpoint
 
 THRESHOLD = 0.8
 BROADCAST_BIGRAMS = 1_000_000
+MOST_LITERALS = 1 << 16
 PART, JOIN = "\x1e", "\x1f"
 
 #: Short notices by which texts name their license (fixed values, public wording).
@@ -79,10 +81,15 @@ def _words(passage: Column) -> Column:
     return F.array_remove(F.split(F.lower(passage), f"[^{LETTERS}]+"), "")
 
 
+def _pairs(words: str) -> Column:
+    """Bigrams in order, hashed."""
+    pairs = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+    return F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
+
+
 def _bigrams(words: str) -> Column:
     """Distinct bigrams, hashed."""
-    pairs = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
-    return F.array_distinct(F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
+    return F.array_distinct(_pairs(words))
 
 
 def passages_of(text: Column) -> Column:
@@ -99,17 +106,19 @@ def passages_of(text: Column) -> Column:
     return F.array_distinct(F.concat(mark(F.concat(lines, sentences, F.array(whole)), False), mark(wrapped, True)))
 
 
-def _anchors(worded: DataFrame, factor: float) -> DataFrame:
-    """Hashes of words of which every passage that matches a template holds one.
+def candidates(docs: DataFrame, grams: DataFrame, least: int) -> DataFrame:
+    """(doc_id, text): the documents that hold ``least`` distinct bigrams of the templates, found in one scan.
 
-    Of a template's m bigrams a matching passage shares m / factor at least, so
-    of any m - m / factor + 1 bigrams it holds one, with both words.
+    The bigrams' hashes are literals of the filter, ``MOST_LITERALS`` at most; of more
+    bigrams, classes of hashes are, which lets more documents through and loses none.
     """
-    pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1 << 30).alias("b"))
-    each = worded.select("template", F.explode_outer(pairs).alias("p")).filter("p.b IS NOT NULL").distinct()
-    longest = F.when(F.length("p.a") >= F.length("p.b"), F.col("p.a")).otherwise(F.col("p.b"))
-    ranked = each.select("template", longest.alias("word"), F.row_number().over(Window.partitionBy("template").orderBy(F.length(longest).desc(), longest)).alias("rank"), F.count("*").over(Window.partitionBy("template")).alias("m"))
-    return ranked.filter(F.col("rank") <= F.floor(F.col("m") * (1 - 1 / factor) + 1e-9) + 1).select(F.xxhash64("word").alias("hash")).distinct()
+    wide = grams.select("bigram").distinct().count() > MOST_LITERALS
+    reduced = lambda b: F.pmod(b, F.lit(MOST_LITERALS)) if wide else b
+    known = [r["b"] for r in grams.select(reduced(F.col("bigram")).alias("b")).distinct().collect()]
+    # the outer explode keeps the filter from being pushed into the computation of the words
+    worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.explode_outer(F.array(_words(F.coalesce("text", F.lit(""))))).alias("w"))
+    met = F.filter(_pairs("w"), lambda b: reduced(b).isin(known))
+    return worded.withColumn("met", F.explode_outer(F.array(met))).filter(F.size(F.array_distinct("met")) >= least).select("doc_id", "text")
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -121,20 +130,21 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
     for that license.  Documents without a notice, null and empty texts give no
     row.  Rows with a null doc_id are reported under a null doc_id; rows that
     repeat a doc_id count as one document.  Templates of fewer than two words
-    never match.  Other columns are ignored.
+    never match, and an empty template table matches nothing.  Other columns are
+    ignored.
     """
     templates = default_templates(docs.sparkSession) if templates is None else templates
-    worded = checkpoint(templates.select("license_id", F.monotonically_increasing_id().alias("template"), _words(F.col("text")).alias("w")))
-    grams = worded.withColumn("b", _bigrams("w")).select("license_id", "template", F.size("b").alias("size"), F.explode_outer("b").alias("bigram")).filter("size > 0")
+    worded = templates.select("license_id", F.monotonically_increasing_id().alias("template"), _words(F.col("text")).alias("w"))
+    grams = checkpoint(worded.withColumn("b", _bigrams("w")).select("license_id", "template", F.size("b").alias("size"), F.explode_outer("b").alias("bigram")).filter("size > 0"))
     bounds = grams.agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("n")).first()
     if bounds["n"] == 0:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("license_id"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_passages")).limit(0)
-    grams = broadcast_below(grams, BROADCAST_BIGRAMS)
     factor = (2 - threshold) / threshold
     low, high = bounds["least"] / factor, bounds["most"] * factor
-    wanted = checkpoint(term_hashes(docs).join(broadcast_below(checkpoint(_anchors(worded, factor)), BROADCAST_BIGRAMS), "hash").select("doc_id", "text_key").distinct())
+    # a passage shares size / factor bigrams at least with a template that it matches
+    found = candidates(docs, grams, max(1, math.ceil(bounds["least"] / factor - 1e-9)))
     # a passage of n characters has fewer than n / 2 words; one of n words at most n - 1 bigrams
-    passages = rows_of(docs, wanted).select("doc_id", F.explode_outer(passages_of(F.col("text"))).alias("passage"))
+    passages = found.select("doc_id", F.explode_outer(passages_of(F.col("text"))).alias("passage"))
     worded_passages = passages.filter(F.length("passage.text") > 2 * low).select("doc_id", "passage", _words(F.col("passage.text")).alias("w"))
     key = F.struct(F.col("passage.joined").alias("joined"), F.xxhash64("w").alias("words"), F.xxhash64(F.when(~F.col("passage.joined"), F.col("passage.text"))).alias("text"))
     worded_passages = worded_passages.select("doc_id", key.alias("passage"), "w")
@@ -145,40 +155,54 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
         .select("doc_id", "passage", "n", F.explode_outer("b").alias("bigram"))
     )
     shared = (
-        sized.join(grams, "bigram")
+        sized.join(broadcast_below(grams, BROADCAST_BIGRAMS), "bigram")
         .filter((F.col("n") <= factor * F.col("size")) & (F.col("size") <= factor * F.col("n")))
         .groupBy("doc_id", "passage", "n", "license_id", "template", "size").agg(F.countDistinct("bigram").alias("both"))
         .withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("size"))).filter(F.col("dice") >= threshold)
     )
     best = shared.groupBy("doc_id", "passage").agg(F.min(F.struct((-F.col("dice")).alias("minus"), "license_id")).alias("best"))
     # joined passages of the words of another one are no further passages
-    best = best.withColumn("other", F.max(~F.col("passage.joined")).over(Window.partitionBy("doc_id", "passage.words"))).filter(~F.col("passage.joined") | ~F.col("other"))
+    of_words = best.groupBy("doc_id", "passage.words").agg(F.max(~F.col("passage.joined")).alias("plain"), F.count_if(~F.col("passage.joined")).alias("n_plain"), F.min("best").alias("best"))
     return (
-        best.groupBy("doc_id", F.col("best.license_id").alias("license_id"))
-        .agg(F.max(-F.col("best.minus")).alias("dice"), F.count("*").alias("n_passages"))
+        of_words.groupBy("doc_id", F.col("best.license_id").alias("license_id"))
+        .agg(F.max(-F.col("best.minus")).alias("dice"), F.sum(F.when(F.col("plain"), F.col("n_plain")).otherwise(1)).alias("n_passages"))
     )
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
-    values = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + f", {k})" for k, pair in enumerate(NOTICES))
+    values = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + f", {k})" for k, pair in enumerate(NOTICES + BODIES))
     bigrams = "CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) ELSE [] END"
     words = "list_filter(regexp_split_to_array(lower({}), '[^" + LETTERS.replace("{", "{{").replace("}", "}}") + "]+'), lambda x: x <> '')"
     return rf"""
 WITH t AS (SELECT license_id, template, {words.format('txt')} AS w FROM (VALUES {values}) v(license_id, txt, template)),
 tb AS (SELECT license_id, template, len(b) AS size, unnest(b) AS bigram FROM (SELECT license_id, template, {bigrams} AS b FROM t)),
+x AS (
+  SELECT doc_id, x, list_transform(string_split(regexp_replace(x, '\n(?:[^{LETTERS}\n]*\n)+', chr(30), 'g'), chr(30)),
+         lambda p: regexp_replace(p, '[ \t\r]*\n[ \t]*(?:[#*;%>]+|//+|--+)?[ \t]*', chr(31), 'g')) AS parts
+  FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS x FROM documents)
+),
 p AS (
-  SELECT doc_id, unnest(list_distinct(list_concat(list_concat(string_split(x, chr(10)),
+  SELECT doc_id, false AS joined, unnest(list_distinct(list_concat(list_concat(string_split(x, chr(10)),
          string_split(regexp_replace(x, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10))), [x]))) AS passage
-  FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)
+  FROM x
+  UNION
+  SELECT doc_id, true, unnest(list_transform(list_filter(list_transform(
+         list_concat(parts, flatten(list_transform(parts, lambda p: string_split(regexp_replace(p, '([.!?])[ \t\x1f]+', '\1' || chr(30), 'g'), chr(30))))),
+         lambda p: trim(p, chr(31) || ' ' || chr(9))), lambda p: contains(p, chr(31))), lambda p: replace(p, chr(31), ' ')))
+  FROM x
 ),
+pw AS (SELECT DISTINCT doc_id, joined, CASE WHEN NOT joined THEN passage END AS passage, {words.format('passage')} AS w FROM p),
 pb AS (
-  SELECT doc_id, passage, len(b) AS n, unnest(b) AS bigram
-  FROM (SELECT doc_id, passage, {bigrams} AS b FROM (SELECT doc_id, passage, {words.format('passage')} AS w FROM p))
+  SELECT doc_id, joined, passage, array_to_string(w, ' ') AS words, len(b) AS n, unnest(b) AS bigram FROM (SELECT *, {bigrams} AS b FROM pw)
 ),
 d AS (
-  SELECT doc_id, passage, license_id, template, 2.0::DOUBLE * count(DISTINCT bigram) / (n + size) AS dice
-  FROM pb JOIN tb USING (bigram) GROUP BY doc_id, passage, n, license_id, template, size
+  SELECT doc_id, joined, passage, words, license_id, template, 2.0::DOUBLE * count(DISTINCT bigram) / (n + size) AS dice
+  FROM pb JOIN tb USING (bigram) GROUP BY doc_id, joined, passage, words, n, license_id, template, size
+),
+best AS (
+  SELECT doc_id, joined, passage, words, max(dice) AS dice, arg_min(license_id, (-dice, license_id)) AS license_id
+  FROM d WHERE dice >= {threshold} GROUP BY doc_id, joined, passage, words
 ),
-best AS (SELECT doc_id, passage, max(dice) AS dice, arg_min(license_id, (-dice, license_id)) AS license_id FROM d WHERE dice >= {threshold} GROUP BY doc_id, passage)
-SELECT doc_id, license_id, max(dice) AS dice, count(*) AS n_passages FROM best GROUP BY doc_id, license_id
+of_words AS (SELECT doc_id, max(dice) AS dice, min(license_id) AS license_id, greatest(1, count(*) FILTER (NOT joined)) AS n FROM best GROUP BY doc_id, words)
+SELECT doc_id, license_id, max(dice) AS dice, CAST(sum(n) AS BIGINT) AS n_passages FROM of_words GROUP BY doc_id, license_id
 """
