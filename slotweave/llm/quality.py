@@ -4,7 +4,9 @@ Each rule looks at counts of one document and votes good (1), bad (0) or
 abstains (-1).  Nothing is known about a rule's accuracy; expectation-
 maximisation over the votes of all documents estimates, for each rule, how often
 a vote is right on good and on bad documents.  A document's posterior
-probability of being good then replaces the demand that every rule pass.
+probability of being good then replaces the demand that every rule pass.  The
+estimates are held where a rule cannot point the wrong way (``LEAST_GOOD``,
+``LEAST_BAD``, ``TIMES``), so the two classes cannot change places.
 
 Documents with equal votes are equal for the model, so Spark counts the
 documents of each vote pattern and the model is fitted on those counts: with m
@@ -21,21 +23,29 @@ from pyspark.sql import functions as F
 from slotweave.llm.text import WORD, checkpoint, spaced
 
 MIN_WORDS = 50
+SYMBOL = "[#*$%&|<>]"
+SHORT = r"[A-Za-z\x{C0}-\x{24F}]{1,3}"
 ROUNDS = 20
 SMOOTHING = 1.0
-START = {"prior": 0.8, "good": 0.95, "bad": 0.5}
+START = {"prior": 0.9, "good": 0.95, "bad": 0.5}
+#: A rule is right on most good documents, may know one kind of bad document only, and never points the wrong way.
+LEAST_GOOD, LEAST_BAD, TIMES = 0.9, 0.1, 2.0
 
 #: Rule: (votes bad where, votes good where), in SQL over the counts of ``with_counts``; bad is tried first.
 RULES: dict[str, tuple[str, str]] = {
     "symbols": ("20 * n_symbols > word_chars", "200 * n_symbols <= word_chars"),
-    "dup_lines": ("10 * n_dup_lines > 4 * n_lines", "10 * n_dup_lines <= n_lines"),
+    "symbol_words": ("4 * n_symbol_words > n_words", "50 * n_symbol_words <= n_words"),
+    "short_words": ("25 * n_short_words < n_words", "10 * n_short_words >= n_words"),
+    "sentences": ("60 * n_ends < n_words OR 3 * n_ends > n_words", "30 * n_ends >= n_words AND 5 * n_ends <= n_words"),
+    "dup_lines": ("10 * n_dup_lines > 3 * n_lines", "20 * n_dup_lines <= n_lines"),
     "repeats": ("10 * n_repeat_words > 3 * n_words", "20 * n_repeat_words <= 3 * n_words"),
     "capitals": ("5 * n_capitals > word_chars", "10 * n_capitals <= word_chars"),
-    "exclaims": ("5 * n_exclaims > n_words", "50 * n_exclaims <= n_words"),
+    "exclaims": ("20 * n_exclaims > n_words", "100 * n_exclaims <= n_words"),
     "variety": ("20 * n_distinct_words < 3 * n_words", "10 * n_distinct_words >= 3 * n_words"),
-    "word_length": ("word_chars > 9 * n_words OR 2 * word_chars < 5 * n_words", "word_chars BETWEEN 4 * n_words AND 7 * n_words"),
+    "word_length": ("word_chars > 9 * n_words OR 2 * word_chars < 5 * n_words", "word_chars BETWEEN 3 * n_words AND 8 * n_words"),
 }
 
+
 def _count_of(text: str, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(F.col(text), pattern, ""))).cast("long")
 
@@ -43,8 +53,9 @@ def _count_of(text: str, pattern: str) -> Column:
 def with_counts(docs: DataFrame) -> DataFrame:
     """Add the counts that the rules read, as columns of the struct ``_q`` (null text: none of anything)."""
     text = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_spaced", spaced(F.col("text")))
-    split = text.withColumns({
-        "_hashes": F.transform(F.array_remove(F.split("_spaced", " "), ""), lambda w: F.xxhash64(w)),
+    worded = text.withColumn("_words", F.array_remove(F.split("_spaced", " "), ""))
+    split = worded.withColumns({
+        "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
         "_lines": F.filter(F.split("_text", "\n"), lambda x: F.rlike(x, F.lit(WORD))),
         # one pass over the text leaves the few characters that are counted one by one
         "_marks": F.regexp_replace("_text", r"[^#*$%&|<>A-Z!]+", ""),
@@ -70,6 +81,9 @@ def with_counts(docs: DataFrame) -> DataFrame:
             _count_of("_marks", r"[A-Z]+").alias("n_capitals"),
             _count_of("_marks", r"!+").alias("n_exclaims"),
             F.size(F.array_distinct("_hashes")).cast("long").alias("n_distinct_words"),
+            F.when(F.length("_marks") == 0, F.lit(0)).otherwise(F.size(F.filter("_words", lambda w: F.rlike(w, F.lit(SYMBOL))))).cast("long").alias("n_symbol_words"),
+            F.size(F.filter("_words", lambda w: (F.length(w) <= 3) & F.rlike(w, F.lit(rf"\A{SHORT}\z")))).cast("long").alias("n_short_words"),
+            F.size(F.filter("_words", lambda w: F.endswith(w, F.lit(".")) | F.endswith(w, F.lit("!")) | F.endswith(w, F.lit("?")))).cast("long").alias("n_ends"),
         ),
     ).select(*docs.columns, "_q")
 
@@ -119,6 +133,8 @@ def fit(counts: DataFrame) -> Model:
             spoke = [(p[name], y, n) for p, y, n in sure if p[name] >= 0]
             good[name] = (sum(y for v, y, _ in spoke if v == 1) + SMOOTHING) / (sum(y for _, y, _ in spoke) + 2 * SMOOTHING)
             bad[name] = (sum(n for v, _, n in spoke if v == 0) + SMOOTHING) / (sum(n for _, _, n in spoke) + 2 * SMOOTHING)
+            good[name] = max(good[name], LEAST_GOOD)
+            bad[name] = max(bad[name], LEAST_BAD, TIMES * (1 - good[name]))
     return Model(prior, good, bad)
 
 
@@ -158,13 +174,14 @@ def oracle_sql() -> str:
     s = SMOOTHING
     for r in range(ROUNDS):
         rates = ", ".join(
-            f"(coalesce(sum(y) FILTER (v_{k} = 1), 0) + {s}) / (coalesce(sum(y) FILTER (v_{k} >= 0), 0) + 2 * {s}) AS g_{k}, "
-            f"(coalesce(sum(z) FILTER (v_{k} = 0), 0) + {s}) / (coalesce(sum(z) FILTER (v_{k} >= 0), 0) + 2 * {s}) AS b_{k}"
+            f"greatest({LEAST_GOOD}, (coalesce(sum(y) FILTER (v_{k} = 1), 0) + {s}) / (coalesce(sum(y) FILTER (v_{k} >= 0), 0) + 2 * {s})) AS g_{k}, "
+            f"(coalesce(sum(z) FILTER (v_{k} = 0), 0) + {s}) / (coalesce(sum(z) FILTER (v_{k} >= 0), 0) + 2 * {s}) AS c_{k}"
             for k in names
         )
+        held = ", ".join(f"g_{k}, greatest(c_{k}, {LEAST_BAD}, {TIMES} * (1 - g_{k})) AS b_{k}" for k in names)
         rounds.append(
-            f"m{r + 1} AS MATERIALIZED (SELECT (sum(y) + {s}) / (sum(n) + 2 * {s}) AS prior, {rates} FROM "
-            f"(SELECT *, n * yes / (yes + no) AS y, n * no / (yes + no) AS z FROM (SELECT *, {yes} AS yes, {no} AS no FROM patterns, m{r})))"
+            f"m{r + 1} AS MATERIALIZED (SELECT prior, {held} FROM (SELECT (sum(y) + {s}) / (sum(n) + 2 * {s}) AS prior, {rates} FROM "
+            f"(SELECT *, n * yes / (yes + no) AS y, n * no / (yes + no) AS z FROM (SELECT *, {yes} AS yes, {no} AS no FROM patterns, m{r}))))"
         )
     return rf"""
 WITH w AS (
@@ -183,7 +200,10 @@ counts AS (
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words,
          len(ls) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
-         length(t) - length(replace(t, '!', '')) AS n_exclaims, len(list_distinct(ws)) AS n_distinct_words
+         length(t) - length(replace(t, '!', '')) AS n_exclaims, len(list_distinct(ws)) AS n_distinct_words,
+         len(list_filter(ws, lambda w: regexp_matches(w, '{SYMBOL}'))) AS n_symbol_words,
+         len(list_filter(ws, lambda w: regexp_full_match(w, '{SHORT}'))) AS n_short_words,
+         len(list_filter(ws, lambda w: regexp_matches(w, '[.!?]\z'))) AS n_ends
   FROM w LEFT JOIN rep USING (doc_id)
 ),
 voted AS (SELECT *, {vote} FROM counts),
