@@ -28,6 +28,15 @@ def to_column(expression: str, resolve: Callable[[str], Column] = F.col) -> Colu
     def literal(node: ast.expr):
         return node.value if isinstance(node, ast.Constant) else None
 
+    def textual(node: ast.expr) -> bool:
+        """Whether the expression itself shows that it is text."""
+        match node:
+            case ast.BinOp(left=a, op=ast.Add(), right=b):
+                return textual(a) or textual(b)
+            case ast.Call(func=ast.Name(id=name) | ast.Attribute(attr=name)):
+                return name in ("str", "strip", "lower", "upper")
+        return isinstance(literal(node), str)
+
     def walk(node: ast.expr) -> Column:
         match node:
             case ast.Constant(value=value):
@@ -36,7 +45,7 @@ def to_column(expression: str, resolve: Callable[[str], Column] = F.col) -> Colu
                 return resolve(name)
             case ast.Attribute(value=ast.Name(id=space), attr=name) if space in NAMESPACES:
                 return resolve(name)
-            case ast.BinOp(left=a, op=ast.Add(), right=b) if any(isinstance(literal(x), str) for x in (a, b)):
+            case ast.BinOp(left=a, op=ast.Add(), right=b) if textual(node):
                 return F.concat(walk(a), walk(b))
             case ast.BinOp(left=a, op=op, right=b) if type(op) in _BINARY:
                 return _BINARY[type(op)](walk(a), walk(b))

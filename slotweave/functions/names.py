@@ -116,3 +116,20 @@ def is_quoted(c: Column) -> Column:
 
 def unquoted(c: Column) -> Column:
     return F.substring(c, 2, 1 << 30).substr(F.lit(1), F.length(c) - 2)
+
+
+def parse_cell(c: Column) -> Column:
+    """A cell's number as it is usually written (whole numbers without a fraction), or the cell itself where it holds none."""
+    number = parse_float(c)
+    return F.coalesce(parse_integer(c).cast("string"), F.when(number == F.floor(number), F.floor(number).cast("string")), number.cast("string"), c)
+
+
+def parse_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``parse_cell`` on all text columns, or on those named."""
+    chosen = [c for c, t in df.dtypes if t == "string"] if columns is None else columns
+    return df.withColumns({c: parse_cell(F.col(f"`{c}`")) for c in chosen})
+
+
+def order_headers(columns: list[str]) -> list[str]:
+    """Class names of the headers that end in ``Order``, in their order."""
+    return [c.removesuffix("Order") for c in columns if c.endswith("Order") and c != "Order"]

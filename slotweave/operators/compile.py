@@ -5,27 +5,39 @@ aggregations over them; broken rows become diagnostics instead of stopping the
 run.  The result has four tables:
 
 * ``classes``: deriv_id, source_class, target_class, is_wide, ord
-* ``slots``: deriv_id, target_slot, kind (copy, expr, const), source_slot, expr, ord
-* ``enums``: scope (source_class, target_class, source_slot, target_slot; blank is any), target_enum, source_enum
+* ``slots``: deriv_id, target_slot, kind (copy, expr, const), source_slot, expr, settings, ord
+* ``enums``: scope (source_class, target_class, source_slot, target_slot; blank is any), target_enum, source_enum, settings
 * ``values``: the same scope and target_enum, target_value, source_values
+
+``settings`` are those of the rows' YAML cells, each value as JSON text; of equal
+names the last row's counts.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections import OrderedDict
 from dataclasses import dataclass
 
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotweave.functions import names
 from slotweave.operators import reshape
-from slotweave.sources.local import local_table, settled
+from slotweave.sources.local import local_table, settled, small_jobs
 from slotweave.sources.metadata import Schema
 
 PAIR = ["sourceClass", "targetClass"]
 SCOPE = ["sourceClass", "targetClass", "sourceSlot", "targetSlot"]
 
 
+SETTINGS = ["slotDerivationSettings", "enumDerivationSettings"]
+#: Compiled specs of a session are kept by their rows and schemas.
+KEPT_SPECS = 64
+
+
 class MappingError(ValueError):
     pass
 
@@ -48,6 +60,36 @@ def _filled(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) != ""
 
 
+def _settings_cells(rows: list, columns: list[str], ord_at: int | None) -> tuple[list[tuple], list[tuple]]:
+    """(rows with YAML settings as JSON objects of JSON texts, diagnostics of cells that aren't mappings)."""
+    at = [columns.index(c) for c in SETTINGS if c in columns]
+    out, bad = [], []
+    for row in map(list, rows):
+        for k in at:
+            if row[k] is not None and row[k].strip():
+                try:
+                    held = yaml.safe_load(row[k])
+                except yaml.YAMLError:
+                    held = ""
+                if isinstance(held, dict):
+                    row[k] = json.dumps({str(n): json.dumps(v, sort_keys=True, default=str) for n, v in sorted(held.items(), key=lambda x: str(x[0]))})
+                else:
+                    bad.append(("error", "E_SETTINGS", None if ord_at is None else row[ord_at], f"settings that are no YAML mapping: {row[k]}"))
+                    row[k] = None
+        out.append(tuple(row))
+    return out, bad
+
+
+def _read_settings(c: Column) -> Column:
+    return F.coalesce(F.map_entries(F.from_json(c, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))
+
+
+def _last_settings(cells: Column) -> Column:
+    """One map of an array of settings cells: of equal names the last counts."""
+    merged = F.flatten(F.transform(cells, _read_settings))
+    return F.aggregate(merged, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
+
+
 def class_derivations(maps: DataFrame, source: Schema) -> tuple[DataFrame, DataFrame]:
     """(pair slots, diagnostics): one slot derivation for each class pair and target slot."""
     spark = maps.sparkSession
@@ -57,18 +99,16 @@ def class_derivations(maps: DataFrame, source: Schema) -> tuple[DataFrame, DataF
     lost = _note(maps.join(known, "sourceClass", "left_anti").filter(_filled("sourceClass")), "warning", "W_UNKNOWN_CLASS", F.concat(F.lit("no source class "), F.col("sourceClass")))
     bad = rows.filter("kind = 'copy'").join(slots, ["sourceClass", "sourceSlot"], "left_anti")
     unknown = _note(bad, "error", "E_UNKNOWN_SLOT", F.concat_ws("", F.lit("no source slot "), "sourceClass", F.lit("."), "sourceSlot"))
-    entry = F.struct("kind", F.when(F.col("kind") == "copy", F.col("sourceSlot")).alias("source_slot"), F.when(F.col("kind") == "expr", F.col("targetExpr")).alias("expr"))
+    # an expression's settings belong to what must not differ; those of copies are merged
+    told = F.when((F.col("kind") == "expr") & _filled("slotDerivationSettings"), F.col("slotDerivationSettings"))
+    entry = F.struct("kind", F.when(F.col("kind") == "copy", F.col("sourceSlot")).alias("source_slot"), F.when(F.col("kind") == "expr", F.col("targetExpr")).alias("expr"), told.alias("told"))
     folded = (
         rows.withColumn("entry", entry).groupBy(*PAIR, "targetSlot")
-        .agg(F.collect_set("entry").alias("entries"), F.min("_ord").alias("_ord"), F.array_sort(F.collect_list(F.struct("_ord", F.col("slotDerivationSettings").alias("s"), F.col("customData").alias("d")))).alias("extras"))
+        .agg(F.collect_set("entry").alias("entries"), F.min("_ord").alias("_ord"), F.array_sort(F.collect_list(F.struct("_ord", F.col("slotDerivationSettings").alias("s")))).alias("extras"))
     )
     conflict = _note(folded.filter(F.size("entries") > 1), "error", "E_CONFLICT", F.concat_ws("", F.lit("several derivations of "), "targetClass", F.lit("."), "targetSlot"))
-    entries = "array<struct<key:string,value:string>>"
-    read = lambda c: F.coalesce(F.map_entries(F.from_json(c, "map<string,string>")), F.array().cast(entries))
-    merged = F.flatten(F.transform("extras", lambda x: F.concat(read(x["s"]), read(x["d"]))))
-    # later settings win: of equal keys the last entry counts
-    last = F.map_from_entries(F.filter("_all", lambda e, i: ~F.exists(F.slice("_all", i + 2, F.size("_all")), lambda o: o["key"] == e["key"])))
-    out = folded.withColumn("_all", merged).select(*PAIR, "targetSlot", F.get("entries", 0).alias("e"), last.alias("settings"), "_ord").select(*PAIR, "targetSlot", "e.*", "settings", "_ord")
+    settings = _last_settings(F.transform("extras", lambda x: x["s"]))
+    out = folded.select(*PAIR, "targetSlot", F.get("entries", 0).alias("e"), settings.alias("settings"), "_ord").select(*PAIR, "targetSlot", "e.kind", "e.source_slot", "e.expr", "settings", "_ord")
     return out, reshape.union_all([lost, unknown, conflict])
 
 
@@ -107,8 +147,11 @@ def enum_derivations(rows: DataFrame, source: Schema, target: Schema, ontology:
     aimed = aimed.withColumn("target_enum", F.when(_filled("targetClass") & _filled("targetSlot"), by_slot).otherwise(fallback))
     full = _full_value(_full_value(aimed, source, "source_enum", "sourceValue", ontology), target, "target_enum", "targetValue", ontology)
     key = [*SCOPE, "target_enum"]
-    mirror = F.coalesce(F.get_json_object("enumDerivationSettings", "$.mirror_source").cast("boolean"), F.lit(False))
-    enums = full.groupBy(*key).agg(F.min_by("source_enum", "_ord").alias("source_enum"), F.count_distinct("source_enum").alias("_n"), F.max_by(mirror, "_ord").alias("mirror_source"), F.min("_ord").alias("_ord"))
+    enums = full.groupBy(*key).agg(
+        F.min_by("source_enum", "_ord").alias("source_enum"), F.count_distinct("source_enum").alias("_n"),
+        _last_settings(F.transform(F.array_sort(F.collect_list(F.struct("_ord", F.col("enumDerivationSettings").alias("s")))), lambda x: x["s"])).alias("settings"), F.min("_ord").alias("_ord"),
+    )
+    enums = enums.withColumn("mirror_source", F.coalesce(F.try_element_at("settings", F.lit("mirror_source")).try_cast("boolean"), F.lit(False)))
     two = _note(enums.filter("_n > 1"), "error", "E_TWO_SOURCES", F.concat_ws("", F.lit("several source enums feed "), "target_enum"))
     pairs = full.withColumnRenamed("targetValue", "target_value")
     values = reshape.ordered_fold(pairs, [*key, "target_value"], "sourceValue", "_ord").withColumnRenamed("values", "source_values")
@@ -130,54 +173,88 @@ def wide_cells(wide: DataFrame, source_ops: list | None = None) -> DataFrame:
     cell = names.empty_sentinel(F.col("cell"))
     copied = names.variable_reference(F.col("cell"), source_ops)
     kind = F.when(F.col("kind") == "expr", "expr").when(copied.isNotNull(), "copy").otherwise("const")
-    return both.select(*keys, "_ord", F.col("slot").alias("targetSlot"), kind.alias("kind"), F.when(kind == "copy", copied).alias("source_slot"), F.when(F.col("kind") == "expr", F.col("cell")).when(copied.isNull(), cell).alias("expr"), "rank", "pos")
+    return both.select(*keys, "_ord", F.col("slot").alias("targetSlot"), kind.alias("kind"), F.when(kind == "copy", copied).alias("source_slot"), F.when(F.col("kind") == "expr", F.col("cell")).when(copied.isNull(), cell).alias("expr"), F.lit(None).cast("map<string,string>").alias("settings"), "rank", "pos")
 
 
 def overlay(base: DataFrame, cells: DataFrame) -> DataFrame:
     """Slots of each wide group: the pair's base slots (rank 0) under the group's cells; the highest rank of a slot stays."""
     keys = ["sourceClass", "sourceSlot", "targetClass", "wideGroup"]
     groups = cells.select(*keys).distinct()
-    under = groups.join(base.select(*PAIR, "targetSlot", "kind", "source_slot", "expr", F.col("_ord").alias("pos")), PAIR).withColumn("rank", F.lit(0))
-    both = under.unionByName(cells.select(*keys, "targetSlot", "kind", "source_slot", "expr", F.col("pos").cast("long").alias("pos"), "rank"))
+    under = groups.join(base.select(*PAIR, "targetSlot", "kind", "source_slot", "expr", "settings", F.col("_ord").alias("pos")), PAIR).withColumn("rank", F.lit(0))
+    both = under.unionByName(cells.select(*keys, "targetSlot", "kind", "source_slot", "expr", "settings", F.col("pos").cast("long").alias("pos"), "rank"))
     w = Window.partitionBy(*keys, "targetSlot")
     ranked = both.withColumn("_n", F.row_number().over(w.orderBy(F.desc("rank"), F.desc("pos")))).withColumn("_first", F.min(F.struct(F.col("rank") > 0, "pos")).over(w))
-    return ranked.filter("_n = 1").select(*keys, "targetSlot", "kind", "source_slot", "expr", "_first")
+    return ranked.filter("_n = 1").select(*keys, "targetSlot", "kind", "source_slot", "expr", "settings", "_first")
 
 
 def bind_enums(slots: DataFrame, enums: DataFrame, source: Schema) -> tuple[DataFrame, DataFrame]:
-    """(bindings, diagnostics): the enum derivation of each copied slot with an enum range.
+    """(bindings, diagnostics): the enum derivations of each copied slot with enum ranges, one for each range.
 
     A scope matches where each of its keys is blank or equal; exactly one match
-    binds, none mirrors the values, several are an error.
+    binds, none mirrors the range's values, several are an error.  ``mirrored``
+    has the values of a range that is mirrored.
     """
     ranges = source.range_table(slots.sparkSession).filter("kind = 'enum'").select(F.col("class").alias("source_class"), F.col("slot").alias("source_slot"), F.col("range").alias("source_enum"))
     wanted = slots.filter("kind = 'copy'").join(ranges, ["source_class", "source_slot"])
     fits = lambda a, b: (F.col(f"e.{a}") == "") | (F.col(f"e.{a}") == F.col(f"s.{b}"))
     on = (F.col("e.source_enum") == F.col("s.source_enum")) & fits("sourceClass", "source_class") & fits("targetClass", "target_class") & fits("sourceSlot", "source_slot") & fits("targetSlot", "target_slot")
     matched = wanted.alias("s").join(enums.alias("e"), on, "left")
-    counted = matched.groupBy("s.deriv_id", "s.target_slot").agg(
-        F.count("e.target_enum").alias("n"), F.min("s.ord").alias("_ord"), F.min("s.source_enum").alias("source_enum"), F.first(F.struct("e.sourceClass", "e.targetClass", "e.sourceSlot", "e.targetSlot", "e.target_enum", "e.mirror_source"), ignorenulls=True).alias("b")
+    counted = matched.groupBy("s.deriv_id", "s.target_slot", "s.source_enum").agg(
+        F.count("e.target_enum").alias("n"), F.min("s.ord").alias("_ord"), F.first(F.struct("e.sourceClass", "e.targetClass", "e.sourceSlot", "e.targetSlot", "e.target_enum", "e.mirror_source", "e.settings"), ignorenulls=True).alias("b")
     )
     many = _note(counted.filter("n > 1"), "error", "E_AMBIGUOUS", F.concat_ws("", F.lit("several enum derivations fit "), "target_slot"))
-    mirrored = F.concat("source_enum", F.lit("[=mirrored=]"))
+    known = source.value_table(slots.sparkSession).groupBy(F.col("enum").alias("source_enum")).agg(F.collect_list("value").alias("mirrored"))
     found = F.col("n") == 1
-    return counted.filter("n <= 1").select(
+    bound = counted.filter("n <= 1").select(
         "deriv_id", "target_slot", "source_enum", *(F.when(found, F.col(f"b.{c}")).alias(c) for c in SCOPE),
-        F.when(found, F.col("b.target_enum")).otherwise(mirrored).alias("target_enum"), F.when(found, F.col("b.mirror_source")).otherwise(True).alias("mirror_source"),
-    ), many
+        F.when(found, F.col("b.target_enum")).otherwise(F.concat("source_enum", F.lit("[=mirrored=]"))).alias("target_enum"), F.when(found, F.col("b.mirror_source")).otherwise(True).alias("mirror_source"), F.when(found, F.col("b.settings")).alias("settings"),
+    )
+    return bound.join(known, "source_enum", "left").withColumn("mirrored", F.when(F.col("mirror_source"), F.col("mirrored"))).select(*bound.columns, "mirrored"), many
+
+
+_KEPT: OrderedDict[str, tuple[SparkSession, Specs]] = OrderedDict()
 
 
 def compile_mapping(spark: SparkSession, source: Schema, target: Schema, maps: DataFrame | None = None, wide: DataFrame | None = None, enums: DataFrame | None = None, source_ops: list | None = None, ontology: str | None = None, strict: bool = False) -> Specs:
-    """Specs of prepared ``maps``, ``wide`` and ``enums`` rows; ``strict`` raises on the first errors."""
+    """Specs of prepared ``maps``, ``wide`` and ``enums`` rows; ``strict`` raises on the first errors.
+
+    Specs that the session has compiled from the same rows and schemas are used again.
+    """
+    with small_jobs(spark):
+        given = {k: (None if x is None else (x, x.collect())) for k, x in (("maps", maps), ("wide", wide), ("enums", enums))}
+        told = [(k, x and x[0].dtypes, x and [tuple(r) for r in x[1]]) for k, x in given.items()]
+        key = hashlib.sha256(repr((told, source.raw, target.raw, source_ops, ontology, spark.conf.get("spark.sql.session.timeZone"))).encode()).hexdigest()
+        held = _KEPT.get(key)
+        if held and held[0] is spark and spark.sparkContext._jsc is not None:
+            specs = held[1]
+        else:
+            specs = _compiled(spark, source, target, given, source_ops, ontology)
+            _KEPT[key] = (spark, specs)
+            while len(_KEPT) > KEPT_SPECS:
+                _KEPT.popitem(last=False)
+        if strict and (errors := specs.diagnostics.filter("severity = 'error'").orderBy("ord").limit(20).collect()):
+            raise MappingError("; ".join(f"{r['code']}: {r['message']}" for r in errors))
+        return specs
+
+
+def _compiled(spark: SparkSession, source: Schema, target: Schema, given: dict[str, tuple[DataFrame, list] | None], source_ops: list | None, ontology: str | None) -> Specs:
     empty = local_table(spark, [], ", ".join(f"{c} string" for c in ("sourceClass", "sourceSlot", "sourceValue", "targetClass", "targetSlot", "targetValue", "targetExpr", "customData", "slotDerivationSettings", "enumDerivationSettings", "sourceEnum", "targetEnum", "wideGroup", "wideOtherSlots")) + ", _ord long")
-    maps = empty if maps is None else settled(maps)
-    wide = empty if wide is None else settled(wide)
+    tables, bad = {"maps": empty, "wide": empty, "enums": None}, []
+    for name, held in given.items():
+        if held is not None:
+            frame, rows = held
+            read, wrong = _settings_cells(rows, frame.columns, frame.columns.index("_ord") if "_ord" in frame.columns else None)
+            tables[name] = settled(frame, read)
+            bad += wrong
+    maps, wide, enums = tables["maps"], tables["wide"], tables["enums"]
+    has_wide = given["wide"] is not None and bool(given["wide"][1])
     base, notes = class_derivations(maps.filter(_filled("targetSlot") | _filled("targetExpr")), source)
     base = settled(base)
+    notes = notes.unionByName(local_table(spark, bad, "severity string, code string, ord long, message string"))
     parts = [reshape.pad(x, [*SCOPE, "sourceEnum", "targetEnum", "sourceValue", "targetValue", "enumDerivationSettings", "_ord"]) for x in (maps, enums, wide) if x is not None]
     value_rows = settled(reshape.union_all(parts).filter(_filled("sourceValue") | _filled("targetValue")).withColumn("_ord", F.col("_ord").cast("long")))
-    if value_rows.isEmpty():
-        enum_table = local_table(spark, [], ", ".join(f"{c} string" for c in (*SCOPE, "target_enum", "source_enum")) + ", mirror_source boolean, _ord long")
+    if not value_rows.head(1):
+        enum_table = local_table(spark, [], ", ".join(f"{c} string" for c in (*SCOPE, "target_enum", "source_enum")) + ", settings map<string,string>, mirror_source boolean, _ord long")
         values = local_table(spark, [], ", ".join(f"{c} string" for c in (*SCOPE, "target_enum", "target_value")) + ", source_values array<string>")
     else:
         enum_table, values, enum_notes = enum_derivations(value_rows, source, target, ontology)
@@ -187,12 +264,12 @@ def compile_mapping(spark: SparkSession, source: Schema, target: Schema, maps: D
     pairs = base.groupBy(*PAIR).agg(F.min("_ord").alias("ord"))
     everything = pairs.withColumns({"sourceSlot": F.lit(""), "wideGroup": F.lit(""), "is_wide": F.lit(False)})
     cells = None
-    if not wide.isEmpty():
+    if has_wide:
         cells = settled(wide_cells(wide, source_ops))
         order = cells.groupBy(*keys).agg(F.min("_ord").alias("ord")).withColumn("is_wide", F.lit(True))
         everything = order.unionByName(everything.join(order.select(*PAIR).distinct(), PAIR, "left_anti").select(*order.columns))
     numbered = settled(everything.withColumn("deriv_id", F.row_number().over(Window.orderBy(F.desc("is_wide"), "ord", *keys)) - 1))  # mapping rows only: a few thousand
-    entry = [F.col("sourceClass").alias("source_class"), F.col("targetClass").alias("target_class"), F.col("targetSlot").alias("target_slot"), "kind", "source_slot", "expr"]
+    entry = [F.col("sourceClass").alias("source_class"), F.col("targetClass").alias("target_class"), F.col("targetSlot").alias("target_slot"), "kind", "source_slot", "expr", "settings"]
     slots = base.join(numbered.filter("NOT is_wide").select(*PAIR, "deriv_id"), PAIR).select("deriv_id", *entry, F.col("_ord").alias("ord"))
     if cells is not None:
         by_group = overlay(base, cells).join(numbered, keys).select("deriv_id", *entry, F.row_number().over(Window.partitionBy("deriv_id").orderBy("_first", "targetSlot")).cast("long").alias("ord"))
@@ -202,7 +279,5 @@ def compile_mapping(spark: SparkSession, source: Schema, target: Schema, maps: D
     bindings, many = bind_enums(slots, enum_table, source)
     bindings = settled(bindings)
     diagnostics = settled(notes.unionByName(many))
-    if strict and (errors := diagnostics.filter("severity = 'error'").orderBy("ord").limit(20).collect()):
-        raise MappingError("; ".join(f"{r['code']}: {r['message']}" for r in errors))
     classes = numbered.select("deriv_id", F.col("sourceClass").alias("source_class"), F.col("targetClass").alias("target_class"), "is_wide", "ord")
     return Specs(classes, slots, enum_table, values, bindings, diagnostics)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from slotweave.functions import exprs
 from slotweave.functions.names import EXTRA_PREFIX
 from slotweave.operators.compile import SCOPE, Specs
+from slotweave.sources.local import small_jobs
 from slotweave.sources.metadata import Schema
 
 
@@ -32,13 +33,25 @@ def translate(value: Column, mapping: dict[str, str], unmapped: str = "null") ->
 
 
 def _value_maps(specs: Specs) -> dict[tuple, tuple[dict[str, str], bool]]:
-    """(deriv, slot) -> (source value -> target value, mirror). Specs hold as many rows as the mapping sheets."""
-    values = specs.bindings.join(specs.values, [*SCOPE, "target_enum"], "left").select("deriv_id", "target_slot", "mirror_source", "target_value", "source_values")
-    out: dict[tuple, tuple[dict[str, str], bool]] = {}
+    """(deriv, slot) -> (source value -> target value, mirror). Specs hold as many rows as the mapping sheets.
+
+    Of a slot with several enum ranges each one's derivation maps its values; the
+    values of a range that is mirrored stand for themselves, unless another one maps them.
+    """
+    values = specs.bindings.join(specs.values, [*SCOPE, "target_enum"], "left").select("deriv_id", "target_slot", "source_enum", "mirror_source", "mirrored", "target_value", "source_values")
+    mapped: dict[tuple, dict[str, str]] = {}
+    kept: dict[tuple, dict[str, tuple[bool, list[str]]]] = {}
     for r in values.collect():
-        held = out.setdefault((r["deriv_id"], r["target_slot"]), ({}, bool(r["mirror_source"])))
+        key = (r["deriv_id"], r["target_slot"])
+        kept.setdefault(key, {})[r["source_enum"]] = (bool(r["mirror_source"]), list(r["mirrored"] or []))
+        held = mapped.setdefault(key, {})
         for v in r["source_values"] or []:
-            held[0][v] = r["target_value"]
+            held[v] = r["target_value"]
+    out = {}
+    for key, enums in kept.items():
+        mirrors = [m for m, _ in enums.values()]
+        own = {v: v for m, values in enums.values() if m and not all(mirrors) for v in values}
+        out[key] = (own | mapped[key], all(mirrors))
     return out
 
 
@@ -61,10 +74,11 @@ def _slot_column(slot, data: DataFrame, held: tuple[dict[str, str], bool] | None
 
 def execute(specs: Specs, tables: dict[str, DataFrame], target: Schema, on_multi: str = "first", keep_extra: bool = False) -> dict[str, DataFrame]:
     """{target class: rows}. Streaming tables work too: the plan has no state."""
-    maps = _value_maps(specs)
     groups: dict[tuple[str, str], dict[int, list]] = {}
-    for r in specs.slots.orderBy("deriv_id", "ord").collect():
-        groups.setdefault((r["source_class"], r["target_class"]), {}).setdefault(r["deriv_id"], []).append(r)
+    with small_jobs(specs.slots.sparkSession):
+        maps = _value_maps(specs)
+        for r in specs.slots.orderBy("deriv_id", "ord").collect():
+            groups.setdefault((r["source_class"], r["target_class"]), {}).setdefault(r["deriv_id"], []).append(r)
     out: dict[str, DataFrame] = {}
     for (source_class, target_class), derivations in groups.items():
         data = tables[source_class]

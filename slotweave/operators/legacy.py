@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import names
 from slotweave.operators import reshape
+from slotweave.sources.local import local_table
 
 HEADERS = ["header", "fk", "pk"]
 
@@ -48,6 +49,30 @@ def class_slots(rows: DataFrame, pair: list[str], target: str, source: str, orde
     return rows.join(several, pair, "left_semi").groupBy(*pair, target).agg(F.max_by(source, order).alias(source), F.count("*").alias("n"))
 
 
+def allowed_pairs(rows: DataFrame, pair: list[str], pairs: dict[str, list[str]] | str) -> DataFrame:
+    """Rows of the class pairs that a run takes: ``all``, or {source class: target classes}."""
+    if pairs == "all":
+        return rows
+    listed = local_table(rows.sparkSession, [(s, t) for s, targets in pairs.items() for t in targets], ", ".join(f"{c} string" for c in pair))
+    return rows.join(F.broadcast(listed), pair, "left_semi")
+
+
 def overridden(slots: DataFrame, overrides: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Set slots from an override table; a null there removes the slot."""
     return slots.join(overrides.select(*keys), keys, "left_anti").select(*keys, value).unionByName(overrides.filter(F.col(value).isNotNull()).select(*keys, value))
+
+
+def run(parts: DataFrame, renames: dict[str, str], multi: list[str], pair: list[str], columns: dict[str, str], pairs: dict[str, list[str]] | str = "all", overrides: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The whole older mapping of a parts sheet: prepared rows, enum values with their errors, and class slots.
+
+    ``columns`` names the roles ``tables``, ``variable``, ``location``, ``target_enum``, ``target_value``, ``value``,
+    ``target``, ``source`` and ``order``.  Slots are those of the class pairs that the run takes, under the overrides.
+    """
+    at = columns
+    rows = prepare_parts(parts, renames, multi, at["tables"], at["variable"], at["location"])
+    coded = rows.filter(F.col("sourceEnumName").isNotNull() & F.col(at["target_enum"]).isNotNull())
+    values, errors = enum_values(coded, "sourceEnumName", at["target_enum"], at["target_value"], at["value"], at["order"])
+    slots = class_slots(allowed_pairs(rows, pair, pairs), pair, at["target"], at["source"], at["order"])
+    if overrides is not None:
+        slots = overridden(slots, overrides, [*pair, at["target"]], at["source"])
+    return {"rows": rows, "enums": values, "enum_errors": errors, "slots": slots}

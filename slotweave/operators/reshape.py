@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotweave.functions import names
+
 
 def ordered_columns(df: DataFrame, first: list[str]) -> DataFrame:
     """Named columns first, the others after them in their order."""
@@ -66,11 +68,11 @@ def unpivot_cells(df: DataFrame, ids: list[str], suffixes: tuple[str, ...] = ("_
     return df.select(*ids, F.inline(made)).filter("cell IS NOT NULL")
 
 
-def json_cells(df: DataFrame, column: str, names: list[str]) -> DataFrame:
-    """Overwrite columns with the keys that a JSON object in ``column`` has."""
-    parsed = df.withColumn("_json", F.from_json(F.col(column).cast("string"), "map<string,string>"))
-    held = {n: F.coalesce(F.get_json_object(column, f"$.{n}"), F.col(n).cast("string") if n in df.columns else F.lit(None).cast("string")) for n in names}
-    return parsed.withColumns(held).drop("_json")
+def json_cells(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Overwrite columns with the keys that a JSON object in ``column`` has, whatever characters the keys are of."""
+    parsed = F.from_json(F.col(column).cast("string"), "map<string,string>")
+    held = {n: F.coalesce(F.try_element_at(parsed, F.lit(n)), F.col(f"`{n}`").cast("string") if n in df.columns else F.lit(None).cast("string")) for n in keys}
+    return df.withColumns(held)
 
 
 def wide_to_long(df: DataFrame, groups: list[dict[str, Column]]) -> DataFrame:
@@ -100,6 +102,12 @@ def canonical_case(df: DataFrame, column: str, known: DataFrame, name: str) -> D
     return df.join(F.broadcast(lowered), F.lower(column) == F.col("_low"), "left").withColumn(column, F.coalesce("_name", column)).drop("_low", "_name")
 
 
+def class_of(df: DataFrame, column: str, known: DataFrame | None, name: str) -> DataFrame:
+    """Replace cells that name a class, with what may stand in brackets behind it, by the class as a schema spells it; without a schema by the bare name."""
+    bare = df.withColumn(column, F.trim(names.cut_class_name(F.col(column))))
+    return bare if known is None else canonical_case(bare, column, known, name)
+
+
 def longest_contained(df: DataFrame, column: str, names: list[str], out: str) -> DataFrame:
     """Longest of the names that a value contains, case aside (first of equal lengths), null if none; names come from a schema."""
     ranked = sorted(names, key=lambda n: -len(n))
@@ -107,6 +115,42 @@ def longest_contained(df: DataFrame, column: str, names: list[str], out: str) ->
     return df.withColumn(out, F.coalesce(*hits) if hits else F.lit(None).cast("string"))
 
 
+def equal_ignoring_case(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """Rows whose columns have these values, case aside; null equals nothing."""
+    for c, v in wanted.items():
+        df = df.filter(F.lower(F.col(c)) == F.lower(F.lit(v)))
+    return df
+
+
+def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column that aren't null, in order."""
+    return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def sorted_ignoring_case(values: Column) -> Column:
+    """An array of texts in order, case aside; texts that differ in case alone by their own order."""
+    keyed = F.transform(values, lambda v: F.struct(F.lower(v).alias("low"), v.alias("v")))
+    return F.transform(F.array_sort(keyed), lambda x: x["v"])
+
+
+def with_constants(df: DataFrame, row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a table of one row (checked) on every row; columns of the same name are replaced."""
+    held = row.limit(2).collect()
+    if len(held) != 1:
+        raise ValueError(f"needs one row, has {'none' if not held else 'more'}")
+    return df.withColumns({f.name: F.lit(held[0][f.name]).cast(f.dataType) for f in row.schema})
+
+
+def with_separators(parts: list[DataFrame]) -> list[DataFrame]:
+    """Reports for one sheet: the parts that have rows, with a row of nulls between them; one part alone stays as it is."""
+    full = [p for p in parts if not p.isEmpty()]
+    if len(full) < 2:
+        return full
+    blank = [F.lit(None).cast(t).alias(c) for c, t in full[0].dtypes]
+    row = full[0].sparkSession.range(1).select(*blank)
+    return [x for k, p in enumerate(full) for x in ([row, p] if k else [p])]
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     """Union by name; columns that a part lacks are null there."""
     out = parts[0]

@@ -253,15 +253,6 @@ def strip_ontology(spark, sf_dir):
     return read_table(spark, sf_dir, "part").select("p_partkey", names.strip_ontology(value, _ONTOLOGY).alias("value"))
 
 
-@query("SELECT n_nationkey, n_name || ' [X:' || n_nationkey || ']' AS full_value FROM nation")
-def add_ontology(spark, sf_dir):
-    """Bare values get the full spelling of the value list back."""
-    nation = read_table(spark, sf_dir, "nation")
-    known = nation.select(F.concat("n_name", F.lit(" [X:"), F.col("n_nationkey").cast("string"), F.lit("]")).alias("value"), F.col("n_nationkey").alias("_ord"))
-    bare = known.groupBy(names.strip_ontology(F.col("value"), r"\[X:[0-9]+\]").alias("n_name")).agg(F.min_by("value", "_ord").alias("full_value"))
-    return nation.join(F.broadcast(bare), "n_name", "left").select("n_nationkey", F.coalesce("full_value", "n_name").alias("full_value"))
-
-
 @query("""
 SELECT p_partkey, i AS place, CASE WHEN listed THEN list_extract(xs, least(i + 1, len(xs))) ELSE a END AS a, CASE WHEN listed THEN list_extract(ys, least(i + 1, len(ys))) ELSE b END AS b
 FROM (SELECT *, string_split(a, ';') AS xs, string_split(b, ';') AS ys, p_size % 3 > 0 AS listed,
@@ -311,13 +302,6 @@ def class_names(spark, sf_dir):
 # --- grouping and unions ---------------------------------------------------------------------------------
 
 
-@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
-def first_row_per_group(spark, sf_dir):
-    orders = read_table(spark, sf_dir, "orders")
-    best = orders.groupBy("o_custkey").agg(F.min_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_orderdate", "o_orderkey")).alias("r"))
-    return best.select("o_custkey", "r.*")
-
-
 @query("SELECT o_custkey, string_agg(o_orderpriority, ';' ORDER BY k) AS priorities FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY ALL) GROUP BY o_custkey")
 def ordered_distinct_fold(spark, sf_dir):
     firsts = read_table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("k"))
@@ -334,50 +318,6 @@ def union_specs(spark, sf_dir):
 # --- validation --------------------------------------------------------------------------------------------
 
 
-def _faulty(spark) -> compiler.Specs:
-    maps = [
-        _sale("o_orderkey", "saleID"), _sale("o_orderstatus", "state", sourceValue="F", targetValue="closed"), _sale("o_orderstatus", "state", sourceValue="X", targetValue="shut"),
-        _row("customer", "c_custkey", "people", "personID"), _row("customer", "c_name", "people", "segment"),
-        _row("lineitem", "l_orderkey", "measures", "saleID"), _row("lineitem", None, "measures", "unit", targetExpr="'litres'"),
-        _row("embeddings", "vec_id", "vectors", "vectorID"), _row("embeddings", "embedding", "vectors", "first"),
-    ]
-    return specs_of(spark, maps=maps)
-
-
-def _report(spark, name: str, *columns: str) -> DataFrame:
-    return validate.validate(_faulty(spark), Schema.parse(SOURCE), Schema.parse(TARGET))[name].select(*columns)
-
-
-@query("SELECT v AS \"sourceEnumValue\", 'statusSet' AS \"sourceEnumName\", CAST(1 AS BIGINT) AS \"numMappers\" FROM (VALUES ('F'), ('O'), ('P')) t(v) WHERE v NOT IN ('F', 'X')")
-def missing_source_values(spark, sf_dir):
-    return _report(spark, "missing_source_enum_values", "sourceEnumValue", "sourceEnumName", "numMappers")
-
-
-@query("SELECT 'X' AS \"sourceEnumValue\", 'shut' AS \"targetEnumValue\", 'state' AS \"targetSlot\"")
-def unrecognized_source_values(spark, sf_dir):
-    return _report(spark, "unrecognized_source_enum_values", "sourceEnumValue", "targetEnumValue", "targetSlot")
-
-
-@query("SELECT 'shut' AS \"targetEnumValue\", 'sales' AS \"targetClass\", 'state' AS \"targetSlot\"")
-def unrecognized_target_values(spark, sf_dir):
-    return _report(spark, "unrecognized_target_enum_values", "targetEnumValue", "targetClass", "targetSlot")
-
-
-@query("SELECT 'litres' AS \"targetEnumValue\", 'measures' AS \"targetClass\", 'unit' AS \"targetSlot\", CAST(1 AS BIGINT) AS \"numMappers\"")
-def bad_constants(spark, sf_dir):
-    return _report(spark, "unrecognized_constant_values", "targetEnumValue", "targetClass", "targetSlot", "numMappers")
-
-
-@query("SELECT 'c_name' AS source_slot, 'segment' AS target_slot")
-def free_text_to_enum(spark, sf_dir):
-    return validate.free_text_to_enum(_faulty(spark), Schema.parse(SOURCE), Schema.parse(TARGET)).select("source_slot", "target_slot")
-
-
-@query("SELECT 'embedding' AS source_slot, 'first' AS target_slot")
-def multi_to_single(spark, sf_dir):
-    return validate.multi_to_single(_faulty(spark), Schema.parse(SOURCE), Schema.parse(TARGET)).select("source_slot", "target_slot")
-
-
 @query("SELECT vec_id AS \"vectorID\", CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")
 def multi_first_value(spark, sf_dir):
     return mapped(spark, sf_dir, "embeddings", "vectors", maps=[_row("embeddings", "vec_id", "vectors", "vectorID"), _row("embeddings", "embedding", "vectors", "first")])
@@ -441,3 +381,6 @@ def legacy_last_slot_wins(spark, sf_dir):
 def expression_columns(spark, sf_dir):
     column: Callable[[str], Column] = exprs.to_column
     return read_table(spark, sf_dir, "orders").select("o_orderkey", column("round(src.o_totalprice)").alias("price"), column("'order ' + src.o_orderpriority").alias("label"), column("src.o_orderstatus in ('F', 'O') and not src.o_totalprice < 1000").alias("ok"))
+
+
+from slotweave.plans import more  # noqa: E402, F401  its queries register themselves

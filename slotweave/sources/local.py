@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -17,8 +21,8 @@ def local_table(spark: SparkSession, rows: list, schema: str | T.StructType) ->
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=to_arrow_schema(struct)), schema=struct).coalesce(1)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of a metadata table as a local relation, so that later steps don't compute it again."""
+def settled(df: DataFrame, rows: list | None = None) -> DataFrame:
+    """The rows of a metadata table (``rows``, where they have been collected) as a local relation, so that later steps don't compute it again."""
     def plain(v):
         if hasattr(v, "asDict"):
             return v.asDict(recursive=True)
@@ -26,4 +30,30 @@ def settled(df: DataFrame) -> DataFrame:
             return list(v.items())
         return v
 
-    return local_table(df.sparkSession, [tuple(plain(v) for v in r) for r in df.collect()], T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]))
+    return local_table(df.sparkSession, [tuple(plain(v) for v in r) for r in (df.collect() if rows is None else rows)], T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]))
+
+
+#: Settings under which a job over a few hundred rows costs least: no generated code, no re-planning, one partition.
+_SMALL = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "1"}
+
+
+@contextmanager
+def small_jobs(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside are over metadata tables: plan them for that, and put the session's settings back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _SMALL}
+    try:
+        for k, v in _SMALL.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see: below ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    return f"{root.rstrip('/')}/mapping-{uuid.uuid4().hex}"

@@ -2,42 +2,64 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotweave.functions import names
+from slotweave.functions import exprs, names
 from slotweave.operators.compile import SCOPE, Specs
-from slotweave.sources.local import local_table
+from slotweave.sources.local import local_table, small_jobs
+from slotweave.sources.metadata import Schema
+from slotweave.sources.tables import SHEET
+
+
+#: Fixed value: the class that stands for the collection of all tables in a schema.
+ROOT = "Container"
+
+
+def _read(settings: dict[str, str] | None) -> dict[str, Any]:
+    return {k: json.loads(v) for k, v in (settings or {}).items()}
 
 
 def documents(specs: Specs) -> list[tuple[str, dict[str, Any]]]:
-    """(file name, document) of every derivation. Specs are as small as the mapping sheets."""
-    values: dict[tuple, dict] = {}
-    joined = specs.bindings.join(specs.values, [*SCOPE, "target_enum"], "left")
-    for r in joined.orderBy("deriv_id", "target_enum", "target_value").collect():
-        held = values.setdefault(r["deriv_id"], {}).setdefault(r["target_enum"], {"populated_from": r["source_enum"], "mirror_source": bool(r["mirror_source"]), "permissible_value_derivations": {}})
-        if r["target_value"] is not None:
-            sources = list(r["source_values"])
-            held["permissible_value_derivations"][r["target_value"]] = {"populated_from": sources[0]} if len(sources) == 1 else {"sources": sources}
-    slots: dict[int, list] = {}
-    for r in specs.slots.orderBy("deriv_id", "ord").collect():
-        slots.setdefault(r["deriv_id"], []).append(r)
-    file = F.format_string("mapper-%010d-%s-%s.yaml", "deriv_id", names.safe_file_name(F.col("source_class")), names.safe_file_name(F.col("target_class")))
-    out = []
-    for c in specs.classes.withColumn("file", file).orderBy("deriv_id").collect():
-        body = {}
-        for s in slots.get(c["deriv_id"], []):
-            entry = {"name": s["target_slot"]}
-            if s["kind"] == "copy":
-                entry["populated_from"] = s["source_slot"]
-            else:
-                entry["expr"] = s["expr"] if s["kind"] == "expr" else repr(s["expr"])
-            body[s["target_slot"]] = entry
-        out.append((c["file"], {"class_derivations": {c["target_class"]: {"name": c["target_class"], "populated_from": c["source_class"], "slot_derivations": body}}, "enum_derivations": values.get(c["deriv_id"], {})}))
-    return out
+    """(file name, document) of every derivation, in order. Specs are as small as the mapping sheets.
+
+    A derivation of a wide group goes by the class's name with the sheet's number, the
+    group's number and its source slots; the root class names its source.
+    """
+    with small_jobs(specs.classes.sparkSession):
+        values: dict[tuple, dict] = {}
+        joined = specs.bindings.join(specs.values, [*SCOPE, "target_enum"], "left")
+        for r in joined.orderBy("deriv_id", "target_enum", "target_value").collect():
+            held = values.setdefault(r["deriv_id"], {}).setdefault(r["target_enum"], {"name": r["target_enum"], "populated_from": r["source_enum"], "mirror_source": bool(r["mirror_source"]), **_read(r["settings"])})
+            if r["target_value"] is not None:
+                sources = list(r["source_values"])
+                held.setdefault("permissible_value_derivations", {})[r["target_value"]] = {"populated_from": sources[0]} if len(sources) == 1 else {"sources": sources}
+        slots: dict[int, list] = {}
+        for r in specs.slots.orderBy("deriv_id", "ord").collect():
+            slots.setdefault(r["deriv_id"], []).append(r)
+        sheet = F.floor(F.coalesce("ord", F.lit(0)) / SHEET)
+        group = F.row_number().over(Window.partitionBy("is_wide", sheet).orderBy("deriv_id")) - 1
+        copied = specs.slots.filter("kind = 'copy'").groupBy("deriv_id").agg(F.collect_list("source_slot").alias("copied"))
+        decorated = names.decorated_name(F.col("target_class"), sheet, group, F.coalesce("copied", F.array().cast("array<string>")))
+        named = specs.classes.join(copied, "deriv_id", "left").withColumn("name", F.when(F.col("is_wide"), decorated).otherwise(F.col("target_class")))
+        file = F.format_string("mapper-%010d-%s-%s.yaml", "deriv_id", names.safe_file_name(F.col("source_class")), names.safe_file_name(F.col("name")))
+        out = []
+        for c in named.withColumn("file", file).orderBy("deriv_id").collect():
+            body = {}
+            for s in slots.get(c["deriv_id"], []):
+                entry: dict[str, Any] = {"name": s["target_slot"]}
+                if s["kind"] == "copy":
+                    entry |= {"populated_from": s["source_slot"], **_read(s["settings"])}
+                else:
+                    entry |= {**_read(s["settings"]), "expr": s["expr"] if s["kind"] == "expr" else repr(s["expr"])}
+                body[s["target_slot"]] = entry
+            classes = {c["name"]: {"name": c["name"], "populated_from": c["source_class"], "slot_derivations": body}, ROOT: {"name": ROOT, "slot_derivations": {c["name"]: {"populated_from": c["source_class"]}}}}
+            out.append((c["file"], {"class_derivations": classes, "enum_derivations": values.get(c["deriv_id"], {})}))
+        return out
 
 
 def write_specs(specs: Specs, path: str) -> None:
@@ -56,6 +78,56 @@ def slot_rows(spark: SparkSession, docs: list[tuple[str, dict[str, Any]]]) -> Da
     """(file, source_class, target_class, target_slot, source_slot, expr) of spec documents."""
     rows = [
         (f, c.get("populated_from"), t, s, (e or {}).get("populated_from"), (e or {}).get("expr"))
-        for f, d in docs for t, c in (d.get("class_derivations") or {}).items() for s, e in (c.get("slot_derivations") or {}).items() if t != "Container"
+        for f, d in docs for t, c in (d.get("class_derivations") or {}).items() for s, e in (c.get("slot_derivations") or {}).items() if t != ROOT
     ]
     return local_table(spark, rows, "file string, source_class string, target_class string, target_slot string, source_slot string, expr string")
+
+
+def read_specs(spark: SparkSession, docs: list[tuple[str, dict[str, Any]]], source: Schema) -> Specs:
+    """Specs of documents, to validate or run them: derivations are numbered by file.
+
+    Documents name enum derivations, not the rows' scopes; so each document is a
+    scope of its own.  Slots get their ranges from the source schema; a range
+    without a derivation is mirrored.
+    """
+    classes, slots, enums, values, bindings = [], [], [], [], []
+    shown = lambda d, *known: {k: json.dumps(v) for k, v in d.items() if k not in known}
+    for n, (_, doc) in enumerate(sorted(docs, key=lambda x: x[0])):
+        derived = doc.get("enum_derivations") or {}
+        for name, body in (doc.get("class_derivations") or {}).items():
+            if name == ROOT:
+                continue
+            cls, target = body.get("populated_from"), name.split("[")[0]
+            scope = (cls, target, str(n), "")
+            classes.append((n, cls, target, "[" in name, n))
+            for at, (slot, entry) in enumerate((body.get("slot_derivations") or {}).items()):
+                entry = entry or {}
+                kind = "copy" if entry.get("populated_from") is not None else "expr"
+                slots.append((n, cls, target, slot, kind, entry.get("populated_from"), entry.get("expr"), list(shown(entry, "name", "populated_from", "expr").items()), at))
+                for used in source.enums(cls, entry["populated_from"]) if kind == "copy" and cls in source.classes() and entry["populated_from"] in source.slots(cls) else []:
+                    own = [(e, d) for e, d in derived.items() if (d or {}).get("populated_from") == used] or [(f"{used}[=mirrored=]", {"mirror_source": True})]
+                    for e, d in own:
+                        mirror = bool(d.get("mirror_source"))
+                        bindings.append((n, slot, used, *scope, e, mirror, list(shown(d, "name", "populated_from", "permissible_value_derivations", "mirror_source").items()), source.values(used) if mirror else None))
+            for e, d in derived.items():
+                enums.append((*scope, e, d.get("populated_from"), [], bool(d.get("mirror_source")), n))
+                for value, v in (d.get("permissible_value_derivations") or {}).items():
+                    v = v or {}
+                    values.append((*scope, e, value, v.get("sources") or ([v["populated_from"]] if v.get("populated_from") is not None else [])))
+    scoped = ", ".join(f"{c} string" for c in SCOPE)
+    return Specs(
+        local_table(spark, classes, "deriv_id int, source_class string, target_class string, is_wide boolean, ord long"),
+        local_table(spark, slots, "deriv_id int, source_class string, target_class string, target_slot string, kind string, source_slot string, expr string, settings map<string,string>, ord long"),
+        local_table(spark, enums, f"{scoped}, target_enum string, source_enum string, settings map<string,string>, mirror_source boolean, _ord long"),
+        local_table(spark, values, f"{scoped}, target_enum string, target_value string, source_values array<string>"),
+        local_table(spark, bindings, f"deriv_id int, target_slot string, source_enum string, {scoped}, target_enum string, mirror_source boolean, settings map<string,string>, mirrored array<string>"),
+        local_table(spark, [], "severity string, code string, ord long, message string"),
+    )
+
+
+def source_slots(spark: SparkSession, specs: Specs) -> DataFrame:
+    """(deriv_id, source_class, target_class, target_slot, source_slot): every source slot that a derivation reads, copied or in an expression."""
+    with small_jobs(spark):
+        told = specs.slots.filter("kind <> 'const'").select("deriv_id", "source_class", "target_class", "target_slot", "kind", "source_slot", "expr").collect()
+    rows = [(*r[:4], s) for r in told for s in ([r["source_slot"]] if r["kind"] == "copy" else exprs.slots_in(r["expr"]) if r["expr"] else [])]
+    return local_table(spark, rows, "deriv_id int, source_class string, target_class string, target_slot string, source_slot string")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from slotweave.functions import names
 from slotweave.sources.local import local_table
 
+#: Rows of sheet number n have ``_ord`` from n times this on.
+SHEET = 10**9
 SEPARATORS = {".csv": ",", ".tsv": "\t", ".txt": "\t"}
 
 
@@ -26,16 +28,17 @@ def read_rows(spark: SparkSession, path: str, file: int = 0) -> DataFrame:
     """Mapping rows of a file, by its extension (any case); ``_ord`` is file and line."""
     kind = os.path.splitext(path)[1].lower()
     if kind in (".yaml", ".yml"):
-        table = yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]) or {}
+        texts = spark.read.text(path, wholetext=True).filter("value <> ''").collect()  # one document, or a folder with one
+        table = yaml.safe_load(texts[0][0] if texts else "") or {}
         columns = list(table)
         rows = [tuple(None if v in (None, "") else str(v) for v in r) for r in zip(*table.values(), strict=True)]
     elif kind in SEPARATORS:
         # one file of a few thousand lines: read whole, so that lines keep their order
         frame = spark.read.csv(path, header=True, sep=SEPARATORS[kind], nullValue="", inferSchema=False, multiLine=True, escape='"').coalesce(1)
-        return frame.withColumn("_ord", F.monotonically_increasing_id() + F.lit(file * 10**9))
+        return frame.withColumn("_ord", F.monotonically_increasing_id() + F.lit(file * SHEET))
     else:
         raise ValueError(f"unsupported table format: {kind!r}")
-    return local_table(spark, [(*r, file * 10**9 + k) for k, r in enumerate(rows)], ", ".join([*(f"`{c}` string" for c in columns), "_ord long"]))
+    return local_table(spark, [(*r, file * SHEET + k) for k, r in enumerate(rows)], ", ".join([*(f"`{c}` string" for c in columns), "_ord long"]))
 
 
 def read_folder(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -52,11 +55,17 @@ def strip_cells(df: DataFrame) -> DataFrame:
 
 
 def write_rows(df: DataFrame, path: str, strip: bool = True) -> None:
-    """Write CSV or TSV by the extension; a report is written only if it has rows."""
+    """Write CSV or TSV by the extension; a YAML table holds one list for each column and is for metadata of a few rows."""
     kind = os.path.splitext(path)[1]
+    rows = strip_cells(df) if strip else df
+    if kind == ".yaml":
+        held = [r.asDict() for r in rows.collect()]
+        text = yaml.safe_dump({c: [r[c] for r in held] for c in rows.columns}, sort_keys=False, allow_unicode=True)
+        local_table(df.sparkSession, [(text,)], "value string").write.mode("overwrite").text(path)
+        return
     if kind not in SEPARATORS:
         raise ValueError(f"unsupported table format: {kind!r}")
-    (strip_cells(df) if strip else df).write.mode("overwrite").csv(path, header=True, sep=SEPARATORS[kind], quote='"', escape='"')
+    rows.write.mode("overwrite").csv(path, header=True, sep=SEPARATORS[kind], quote='"', escape='"')
 
 
 def write_report(df: DataFrame, path: str) -> bool:
