@@ -323,9 +323,11 @@ def multi_first_value(spark, sf_dir):
     return mapped(spark, sf_dir, "embeddings", "vectors", maps=[_row("embeddings", "vec_id", "vectors", "vectorID"), _row("embeddings", "embedding", "vectors", "first")])
 
 
-@query("SELECT o_orderstatus AS \"sourceEnumValue\", o_orderpriority AS \"targetEnumValue\", count(*) AS \"numMappers\", string_agg(CAST(o_custkey AS VARCHAR), '; ' ORDER BY CAST(o_custkey AS VARCHAR)) AS mapper FROM orders GROUP BY ALL")
+@query("SELECT o_orderstatus AS \"sourceEnumValue\", o_orderpriority AS \"targetEnumValue\", count(*) AS \"numMappers\", string_agg(m, '; ' ORDER BY m) AS mapper FROM (SELECT DISTINCT o_orderstatus, o_orderpriority, 'spec-' || o_custkey % 97 AS m FROM orders) GROUP BY ALL")
 def simplify_report(spark, sf_dir):
-    report = read_table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("sourceEnumValue"), F.col("o_orderpriority").alias("targetEnumValue"), F.col("o_custkey").cast("string").alias("mapper"))
+    """A finding is named by the specs that have it, and specs are few; so are the names in a row here, whatever the table."""
+    mapper = F.concat(F.lit("spec-"), (F.col("o_custkey") % 97).cast("string"))
+    report = read_table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("sourceEnumValue"), F.col("o_orderpriority").alias("targetEnumValue"), mapper.alias("mapper")).distinct()
     return validate.simplify(report)
 
 
