@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections import OrderedDict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,6 +50,8 @@ class Specs:
     values: DataFrame
     bindings: DataFrame
     diagnostics: DataFrame
+    #: What execution has read of them, so that it is collected once.
+    read: dict = field(default_factory=dict, compare=False, repr=False)
 
 
 def _note(rows: DataFrame, severity: str, code: str, message: Column) -> DataFrame:

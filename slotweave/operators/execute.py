@@ -75,10 +75,12 @@ def _slot_column(slot, data: DataFrame, held: tuple[dict[str, str], bool] | None
 def execute(specs: Specs, tables: dict[str, DataFrame], target: Schema, on_multi: str = "first", keep_extra: bool = False) -> dict[str, DataFrame]:
     """{target class: rows}. Streaming tables work too: the plan has no state."""
     groups: dict[tuple[str, str], dict[int, list]] = {}
-    with small_jobs(specs.slots.sparkSession):
-        maps = _value_maps(specs)
-        for r in specs.slots.orderBy("deriv_id", "ord").collect():
-            groups.setdefault((r["source_class"], r["target_class"]), {}).setdefault(r["deriv_id"], []).append(r)
+    if not specs.read:
+        with small_jobs(specs.slots.sparkSession):
+            specs.read.update(maps=_value_maps(specs), slots=specs.slots.orderBy("deriv_id", "ord").collect())
+    maps = specs.read["maps"]
+    for r in specs.read["slots"]:
+        groups.setdefault((r["source_class"], r["target_class"]), {}).setdefault(r["deriv_id"], []).append(r)
     out: dict[str, DataFrame] = {}
     for (source_class, target_class), derivations in groups.items():
         data = tables[source_class]
