@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotweave.llm.tokens import encoded_blocks
@@ -197,7 +197,12 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> Dat
 
 
 def read_tokens(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
-    """(position, id) for a small table of global token positions: only their segments are read and only those ids decoded."""
+    """(position, id) for a table of global token positions: only their segments are read and only those ids decoded.
+
+    One row per input row; the id is null where the position is null, negative or
+    past the last id.  Positions meet their segments by an equi-join on cells of
+    ``SEGMENT_TOKENS`` positions, of which a segment touches few.
+    """
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,8 +212,14 @@ def read_tokens(spark: SparkSession, path: str, positions: DataFrame) -> DataFra
                 out += [(p, coded[p - first]) for p in wanted]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["position", "id"])
 
+    def cell(at: Column) -> Column:
+        return F.floor(at / SEGMENT_TOKENS)
+
     placed = _placed(spark, path)
     spans = placed.select("part", "start", "first", (F.col("first") + F.col("n_tokens")).alias("end"))
-    hits = positions.join(spans, (F.col("position") >= F.col("first")) & (F.col("position") < F.col("end")))
-    wanted = hits.groupBy("part", "start").agg(F.collect_list("position").alias("wanted"))
-    return placed.join(wanted, ["part", "start"]).select("first", "codes", "wanted").mapInArrow(pick, "position long, id long")
+    spans = spans.withColumn("cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("end") - 1))))
+    asked = positions.select(F.col("position").cast("long").alias("position"))
+    hits = asked.distinct().withColumn("cell", cell(F.col("position"))).join(spans, "cell").filter("position >= first AND position < end")
+    wanted = hits.groupBy("part", "start").agg(F.collect_list("position").alias("wanted"))  # a segment's positions at most
+    found = placed.join(wanted, ["part", "start"]).select("first", "codes", "wanted").mapInArrow(pick, "position long, id long")
+    return asked.join(found, "position", "left")

@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotweave.llm.text import unused
+
 TABLE_SIZE = 65537
 
 
@@ -55,17 +57,19 @@ def place(docs: DataFrame, shards: list[str], key: str = "doc_id", size: int = T
     are replaced.
     """
     spark: SparkSession = docs.sparkSession
-    table = spark.createDataFrame(list(enumerate(build_table(shards, size))), "slot long, shard int")
-    keyed = docs.withColumn("_slot", slot_of(F.col(key), size)).drop("slot", "shard")
-    return keyed.join(F.broadcast(table.toDF("_slot", "_shard")), "_slot").withColumns({"slot": F.col("_slot"), "shard": F.col("_shard").cast("long")}).drop("_slot", "_shard")
+    at, held = unused(docs, "slot_"), unused(docs, "shard_")
+    table = spark.createDataFrame(list(enumerate(build_table(shards, size))), f"{at} long, {held} long")
+    keyed = docs.withColumn(at, slot_of(F.col(key), size)).drop("slot", "shard")
+    return keyed.join(F.broadcast(table), at).withColumns({"slot": F.col(at), "shard": F.col(held)}).drop(at, held)
 
 
 def write_shards(docs: DataFrame, path: str, shards: list[str], key: str = "doc_id", files_per_shard: int = 8) -> None:
-    """Write ``docs`` as Parquet, one folder for each shard.
+    """Write ``docs`` as Parquet, one folder for each shard, with the column ``slot``.
 
     A shard's rows are dealt over ``files_per_shard`` tasks by a second hash, so
-    a large shard isn't written by one task.
+    a large shard isn't written by one task.  Rows with a null key are written to
+    the shard of the empty text.  Of an empty table no folder is made.
     """
     placed = place(docs, shards, key)
-    spread = F.pmod(F.xxhash64(*docs.columns), F.lit(files_per_shard))
+    spread = F.pmod(F.xxhash64(*placed.columns), F.lit(files_per_shard))
     placed.repartition("shard", spread).write.partitionBy("shard").parquet(path)
