@@ -2,39 +2,51 @@
 
 Two documents link when ``jaccard(A, B) >= num / den`` for their sets of word
 shingles.  The join is exact for every pair, and never enumerates the pairs of
-a group that is already known to hang together.
+a group that is already known to hang together.  Equal sets are one *node*.
 
 Tiles.  Sizes are cut into bands ``[l, r]`` with ``r = l / threshold``; linked
-documents sit in the same or in neighbouring bands.  For a band, linked sets
-differ in at most ``D`` shingles.  Each set is cut by hash range into
-``P = D + 3`` classes, so at least three classes are equal in both sets, and the
-hash of one class (with its band) is a tile key: linked documents share a tile.
-A class is empty in both sets only rarely; a document with three or more empty
-classes also enters a tile made for those, which keeps the join exact.
-
-Rounds.
-1. In each tile the first member is the pivot; every other member forms one
-   candidate pair with it.  Blocks of documents do this before the shuffle
-   (map-side combine), so a tile gets one entry per block at most.
-2. Candidate pairs pass a bit-count bound on 512-bit hashed signatures
-   (``|A xor B|`` is at least the number of differing bits), then the exact
-   intersection of the sorted shingle arrays.  Links give components.
-3. Only tiles whose members are in more than one component are opened again:
-   there, pairs across components are compared with the bit-count bound in
-   numpy blocks, and of the survivors as many are passed on to the exact test as
-   it takes to join what they join.  This repeats until no tile has a pair left.
-   Tiles larger than ``TILE`` members are cut into block pairs that are spread
-   over tasks.
+sets sit in the same or in neighbouring bands, and each set enters the tiles of
+its band and of the next.  Linked sets of a band differ in ``D`` shingles at most.
+Each set is cut by hash range into ``D + s`` classes, so ``s`` classes at least
+are equal in both.  Each set leaves out its ``s - 1`` weakest classes, by an order
+of class contents that is the same everywhere; the strongest class that two sets
+share is never among those, so the hashes of the other ``D + 1`` classes are tile
+keys that linked sets cannot miss each other by.  ``s`` follows the band: it is so
+large that empty classes, the weakest of all, are left out but in one set of
+millions; sets with more of them than that share a tile of their band.  In bands
+of so few shingles that no ``s`` does this, the keys are single shingles: of ``n``
+shingles, rare ones first, the first ``n - ceil(t n) + 1`` meet every partner of
+the same band or the band below, the first ``n - ceil(2 t n / (1 + t)) + 1`` every
+partner in the band above.
+
+A class is strong by its rare shingles.  How rare a shingle is comes from a table
+of ``2**SKETCH_BITS`` counters over all documents; where counters collide, some
+pruning is lost and no link.  So a tile holds several sets where these are near
+copies, and hardly by chance or by a passage that many documents share.
+
+Two rounds, however the data lie.
+1. In each tile the smallest node is the pivot, and every node is compared with
+   the pivots that it meets.
+2. Tiles whose nodes are in more than one component are opened: pairs across
+   components that pass the bit-count bound are compared, each pair once.  Tiles
+   with the same nodes are opened once; tiles of more than ``TILE`` nodes are cut
+   into block pairs that are spread over tasks.
+
+A comparison bounds the overlap from above by the bit counts of hashed parity
+signatures (``|A xor B|`` is at least the number of differing bits; a signature
+has eight bits for each shingle that linked sets of its size may differ in), then
+intersects the sorted shingle arrays.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotweave.llm.components import connected_components
@@ -42,74 +54,182 @@ from slotweave.llm.text import (
     U64,
     blocks,
     checkpoint,
+    drop_tables,
     int_array,
     mix,
     shuffle_buckets,
     string_buffers,
+    unused,
     window_hashes,
     word_hashes,
 )
 
-BITS = 512
 TILE = 2048
-SLACK = 3
+SKETCH_BITS = 20
+SKETCH_CHUNKS = 16
+BUCKET_ENTRIES = 2_000_000
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("rows", pa.binary()), ("pairs", pa.binary()), ("docs", pa.binary())])
-_DOC = np.dtype([("node", "<i8"), ("doc", "<i8"), ("known", "<i8"), ("text", "<i8"), ("n", "<i8"), ("set", "<u8")])
-_PAIR = np.dtype([("key", "<u8"), ("a", "<u2"), ("b", "<u2")])
+_PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("pairs", pa.binary()), ("docs", pa.binary())])
+_PACKED_DDL = "bucket int, keys binary, nodes binary, pairs binary, docs binary"
+_DOC = np.dtype([("node", "<i8"), ("doc", "<i8"), ("known", "<i8"), ("text", "<i8"), ("n", "<i8")])
+_PAIR = np.dtype([("key", "<u8"), ("a", "<i8"), ("b", "<i8")])
 
 
-def bands(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Upper sizes of the bands, and the classes ``P`` of each band's tiles."""
-    upper, classes, low = [], [], 1
+@dataclass(frozen=True)
+class Bands:
+    """Upper sizes of the bands; classes (0: keys are single shingles) and classes left out in each."""
+
+    upper: np.ndarray
+    classes: np.ndarray
+    left_out: np.ndarray
+
+
+def bands(num: int, den: int, largest: int) -> Bands:
+    upper, classes, left_out, low, least = [], [], [], 1, 1
     while len(upper) < 2 or upper[-2] < largest:
         high = low * den // num
         differ = 2 * high * (den - num) // (den + num)
+        # the smallest set that enters is of the band below
+        for spare in range(max(3, differ // 3), 2 * differ):
+            empty = (differ + spare) * math.exp(-least / (differ + spare))
+            if empty + 5 * math.sqrt(empty) + 1 <= spare:
+                break
+        else:
+            spare = 0
         upper.append(high)
-        classes.append(1 if differ == 0 else differ + SLACK)
-        low = high + 1
-    return np.array(upper, dtype=np.int64), np.array(classes, dtype=np.int64)
+        classes.append(differ + spare if spare else 0)
+        left_out.append(max(0, spare - 1))
+        least, low = low, high + 1
+    return Bands(*(np.array(x, dtype=np.int64) for x in (upper, classes, left_out)))
 
 
 def shingle_sets(words: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every row; fewer words than ``size`` make one shingle."""
     grams = window_hashes(words, size)
     out = []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         n = b - a
         if n >= size:
             g = np.sort(grams[a : b - size + 1])
             out.append(g[np.concatenate(([True], g[1:] != g[:-1]))])
         elif n:
-            out.append(window_hashes(words[a:b], int(n)))
+            out.append(window_hashes(words[a:b], n))
         else:
             out.append(np.zeros(0, dtype=U64))
     return out
 
 
-def tile_keys(shingles: np.ndarray, upper: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Tile keys of one sorted shingle set: those of its band and of the next."""
-    n = len(shingles)
-    if n == 0:
-        return np.zeros(0, dtype=U64)
-    band = int(np.searchsorted(upper, n))
-    mixed = mix(shingles + U64(0x632BE59BD9B4E019))
-    sums = np.zeros(n + 1, dtype=U64)
-    np.cumsum(mixed, out=sums[1:])
-    out = []
-    for b in (band, band + 1):
-        p = int(classes[b])
-        width = (1 << 64) // p + 1
-        edges = np.arange(1, p, dtype=U64) * U64(width) if p > 1 else np.zeros(0, dtype=U64)
-        cut = np.concatenate(([0], np.searchsorted(shingles, edges), [n]))
-        full = np.diff(cut)
-        key = sums[cut[1:]] - sums[cut[:-1]]
-        salt = U64((b + 1) * 0x9E3779B97F4A7C15 % 2**64)
-        keys = mix(key + np.arange(p, dtype=U64) * U64(0xC2B2AE3D27D4EB4F) + salt)[full > 0]
-        if p > 1 and np.count_nonzero(full == 0) >= SLACK:
-            keys = np.append(keys, mix(np.array([salt ^ U64(0x5BD1E995)], dtype=U64)))
-        out.append(keys)
-    return np.concatenate(out)
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit number for each set: its node (0 for an empty set)."""
+    sums = np.array([np.sum(mix(s ^ U64(0xA24BAED4963EE407))) + U64(len(s)) for s in sets], dtype=U64)
+    return np.where([len(s) > 0 for s in sets], mix(sums), U64(0)).astype(np.int64)
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles + U64(0x9FB21C651E98DF25)) >> U64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _prefix_keys(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Mask of the ``most`` rarest shingles of each set.
+
+    Shingles of equal counts are ordered by their hashes' upper halves; of those
+    that are equal even then, all are taken.
+    """
+    order = (counts[_slots(flat)].astype(np.float32).view(np.uint32).astype(U64) << U64(32)) | (flat >> U64(32))
+    chosen, at = np.zeros(len(flat), dtype=bool), 0
+    for n, k in zip(sizes.tolist(), most.tolist(), strict=True):
+        part = order[at : at + n]
+        chosen[at : at + n] = part <= np.partition(part, k - 1)[k - 1]
+        at += n
+    return chosen
+
+
+def _class_keys(flat: np.ndarray, row: np.ndarray, classes: np.ndarray, left_out: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, rows) of sorted sets: the hashes of each set's classes but the weakest, and one key for too many empty classes."""
+    width = (U64(2**64 - 1) // classes.astype(U64)) + U64(1)
+    of = flat // width[row]
+    first = np.ones(len(flat), dtype=bool)
+    first[1:] = (row[1:] != row[:-1]) | (of[1:] != of[:-1])
+    start = np.flatnonzero(first)
+    end = np.append(start[1:], len(flat))
+    sums, strong = np.zeros(len(flat) + 1, dtype=U64), np.zeros(len(flat) + 1, dtype=np.int64)
+    np.cumsum(mix(flat + U64(0x632BE59BD9B4E019)), out=sums[1:])
+    np.cumsum(weights[_slots(flat)], out=strong[1:])
+    content, strength, rows, number = sums[end] - sums[start], strong[end] - strong[start], row[start], of[start]
+    empty = classes - np.bincount(rows, minlength=len(classes))
+    order = np.lexsort((number, strength, rows))
+    begin = np.searchsorted(rows, np.arange(len(classes)))
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order)) - begin[rows[order]]
+    kept = place >= (left_out - empty)[rows]
+    keys = mix(content[kept] + number[kept] * U64(0x9E3779B97F4A7C15))
+    many = np.flatnonzero(empty > left_out)
+    return np.concatenate([keys, np.full(len(many), 0x5BD1E995, dtype=U64)]), np.concatenate([rows[kept], many])
+
+
+def tile_keys(sets: list[np.ndarray], counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, rows): tile keys of sorted, non-empty shingle sets, those of their bands and of the next."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    if not len(sizes):
+        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    cut = bands(num, den, int(sizes.max()))
+    usual = max(1.0, float(counts.sum()) / len(counts))
+    weights = 1 + (64 / (1 + (counts / usual) ** 2)).astype(np.int64)
+    own = np.searchsorted(cut.upper, sizes)
+    keys, rows = [], []
+    for up, most in ((0, sizes - -(-sizes * num // den) + 1), (1, sizes - -(-2 * num * sizes // (num + den)) + 1)):
+        band = own + up
+        by_class = cut.classes[band] > 0
+        for chosen in (by_class, ~by_class):
+            sub = np.flatnonzero(chosen)
+            if not len(sub):
+                continue
+            part = flat[chosen[row]]
+            of = np.repeat(np.arange(len(sub)), sizes[sub])
+            if chosen is by_class:
+                k, r = _class_keys(part, of, cut.classes[band[sub]], cut.left_out[band[sub]], weights)
+            else:
+                mask = _prefix_keys(part, sizes[sub], counts, most[sub])
+                k, r = mix(part[mask]), of[mask]
+            keys.append(mix(k + (band[sub][r] + 1).astype(U64) * U64(0xC2B2AE3D27D4EB4F)))
+            rows.append(sub[r])
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _counted(size: int):
+    """Documents -> (chunk, counters): how many sets hold a shingle of each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        for block in blocks(batches):
+            data, offsets = string_buffers(block.column(0))
+            words, bounds = word_hashes(data, offsets, lower=True)
+            sets = shingle_sets(words, bounds, size)
+            counts += np.bincount(_slots(np.concatenate(sets)), minlength=len(counts)).astype(np.uint32)
+        if counts.any():
+            parts = counts.reshape(SKETCH_CHUNKS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, dtype=np.uint32).astype(np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+
+def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """Counters of all documents' shingles, 2**SKETCH_BITS of them whatever the corpus."""
+    each = texts.select("text").mapInArrow(_counted(size), "chunk int, counts binary")
+    rows = each.repartition(SKETCH_CHUNKS, "chunk").mapInArrow(_summed, "chunk int, counts binary").collect()
+    out = np.zeros((SKETCH_CHUNKS, (1 << SKETCH_BITS) // SKETCH_CHUNKS))
+    for r in rows:
+        out[r["chunk"]] = np.frombuffer(r["counts"])
+    return out.reshape(-1)
 
 
 def _grouped(keys: np.ndarray) -> np.ndarray:
@@ -119,51 +239,45 @@ def _grouped(keys: np.ndarray) -> np.ndarray:
     return first
 
 
-def _tiles(size: int, num: int, den: int, buckets: int):
+def _tiles(size: int, num: int, den: int, buckets: int, held):
     """Documents -> packed tile entries, pairs found within the block, and document records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        upper, classes = bands(num, den, 1 << 12)
-        part, block_no = TaskContext.get().partitionId(), 0
+        counts, block_no = held.value, 0
         for block in blocks(batches):
-            base = (part << 40) | (block_no << 16)
             block_no += 1
             data, offsets = string_buffers(block.column(2))
             words, bounds = word_hashes(data, offsets, lower=True)
             sets = shingle_sets(words, bounds, size)
-            largest = max(map(len, sets))
-            if largest > upper[-2]:
-                upper, classes = bands(num, den, largest)
             docs = np.zeros(len(sets), dtype=_DOC)
-            docs["node"] = base + np.arange(len(sets))
+            docs["node"] = set_keys(sets)
             docs["doc"], docs["text"] = int_array(block.column(0), 0), int_array(block.column(1), 0)
             docs["known"] = ~np.asarray(block.column(0).is_null())
             docs["n"] = [len(s) for s in sets]
-            per_row = [tile_keys(s, upper, classes) for s in sets]
-            # equal sets are one tile too: it settles exact copies whatever their size
-            whole = np.array([mix(np.array([np.sum(mix(s ^ U64(0xA24BAED4963EE407)))], dtype=U64))[0] if len(s) else 0 for s in sets], dtype=U64)
-            docs["set"] = whole
-            keys = np.concatenate(per_row)
-            rows = np.repeat(np.arange(len(sets)), [len(k) for k in per_row])
-            order = np.lexsort((rows, keys))
-            keys, rows = keys[order], rows[order]
+            # exact copies are one node
+            nodes, at = np.unique(docs["node"], return_index=True)
+            nodes, at = nodes[docs["n"][at] > 0], at[docs["n"][at] > 0]
+            keys, rows = tile_keys([sets[k] for k in at], counts, num, den)
+            order = np.lexsort((rows, keys))  # nodes ascend with rows
+            keys, own = keys[order], nodes[rows[order]]
             first = _grouped(keys)
-            lead = rows[np.flatnonzero(first)][np.cumsum(first) - 1] if len(rows) else rows
+            lead = own[np.flatnonzero(first)][np.cumsum(first) - 1] if len(own) else own
             pairs = np.empty(int(np.count_nonzero(~first)), dtype=_PAIR)
-            pairs["key"], pairs["a"], pairs["b"] = keys[~first], lead[~first], rows[~first]
-            keys, rows = keys[first], rows[first].astype("<u2")
-            bucket = (keys >> U64(40)) % U64(buckets)
-            pair_bucket = (pairs["key"] >> U64(40)) % U64(buckets)
+            pairs["key"], pairs["a"], pairs["b"] = keys[~first], lead[~first], own[~first]
+            pairs = pairs[pairs["a"] != pairs["b"]]
+            keys, own = keys[first], own[first]
+            low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # the rest is in the bucket
+            bucket = ((keys >> U64(40)) % U64(buckets)).astype(np.int64)
+            pair_bucket = ((pairs["key"] >> U64(40)) % U64(buckets)).astype(np.int64)
             order, pair_order = np.argsort(bucket, kind="stable"), np.argsort(pair_bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             pair_edges = np.searchsorted(pair_bucket[pair_order], np.arange(buckets + 1))
             home = block_no % buckets
             out: list[list] = [[] for _ in _PACKED]
             for k in range(buckets):
-                own, own_pairs = order[edges[k] : edges[k + 1]], pair_order[pair_edges[k] : pair_edges[k + 1]]
-                if len(own) or len(own_pairs) or k == home:
-                    low = (keys[own] & U64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                    values = (k, base, low.tobytes(), rows[own].tobytes(), pairs[own_pairs].tobytes(), docs.tobytes() if k == home else b"")
+                mine, my_pairs = order[edges[k] : edges[k + 1]], pair_order[pair_edges[k] : pair_edges[k + 1]]
+                if len(mine) or len(my_pairs) or k == home:
+                    values = (k, low[mine].tobytes(), own[mine].tobytes(), pairs[my_pairs].tobytes(), docs.tobytes() if k == home else b"")
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PACKED, strict=True)], schema=_PACKED)
@@ -171,8 +285,8 @@ def _tiles(size: int, num: int, den: int, buckets: int):
     return run
 
 
-_MEMBERS = pa.schema([("kind", pa.int8()), ("tile", pa.int64()), ("pivot", pa.int64()), ("node", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("set_key", pa.int64())])
-_MEMBERS_DDL = "kind byte, tile long, pivot long, node long, doc_id long, text_key long, n long, set_key long"
+_MEMBERS = pa.schema([("kind", pa.int8()), ("tile", pa.int64()), ("pivot", pa.int64()), ("node", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64())])
+_MEMBERS_DDL = "kind byte, tile long, pivot long, node long, doc_id long, text_key long, n long"
 
 
 def _members(kind: int, rows: int, **columns: np.ndarray) -> pa.RecordBatch:
@@ -183,74 +297,80 @@ def _members(kind: int, rows: int, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, dtype=np.int8)), *(column(f.name) for f in list(_MEMBERS)[1:])], schema=_MEMBERS)
 
 
+def _tile(bucket: int, keys: np.ndarray) -> np.ndarray:
+    """Number of a tile: its bucket and the lower 40 bits of its key; should two keys agree in them, their tiles are one."""
+    return ((keys & U64((1 << 40) - 1)) | U64(bucket << 40)).astype(np.int64)
+
+
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed entries, sorted by bucket -> members of tiles with their pivots, and document records."""
 
     def settle(bucket: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        low = np.concatenate([np.frombuffer(k, dtype=np.uint8).reshape(-1, 5) for _, k, _, _ in parts])
+        low = np.concatenate([np.frombuffer(k, dtype=np.uint8).reshape(-1, 5) for k, _ in parts])
         wide = np.zeros((len(low), 8), dtype=np.uint8)
         wide[:, :5] = low
         keys = wide.reshape(-1).view("<u8")
-        nodes = np.concatenate([base + np.frombuffer(r, dtype="<u2").astype(np.int64) for base, _, r, _ in parts])
+        nodes = np.concatenate([np.frombuffer(n, dtype="<i8") for _, n in parts])
+        order = np.argsort(keys, kind="stable")
+        keys, nodes = keys[order], nodes[order]
+        # most keys stand alone
+        same = keys[1:] == keys[:-1]
+        shared = np.zeros(len(keys), dtype=bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        keys, nodes = keys[shared], nodes[shared]
         order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
         first = _grouped(keys)
         lead = nodes[np.flatnonzero(first)][np.cumsum(first) - 1] if len(nodes) else nodes
-        if not first.all():
-            tile = (keys[~first] | U64(bucket << 40)).astype(np.int64)
-            yield _members(1, len(tile), tile=tile, pivot=lead[~first], node=nodes[~first])
-        for base, _, _, p in parts:
-            pairs = np.frombuffer(p, dtype=_PAIR)
-            if len(pairs):
-                tile = (pairs["key"] & U64((1 << 40) - 1)) | U64(bucket << 40)
-                yield _members(1, len(pairs), tile=tile.astype(np.int64), pivot=base + pairs["a"].astype(np.int64), node=base + pairs["b"].astype(np.int64))
+        other = (nodes != lead) & (first | _grouped(nodes))
+        if other.any():
+            yield _members(1, int(other.sum()), tile=_tile(bucket, keys[other]), pivot=lead[other], node=nodes[other])
 
     now, parts = None, []
     for batch in batches:
-        for bucket, base, keys, rows, pairs, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, keys, nodes, pairs, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket != now:
                 if parts:
                     yield from settle(now, parts)
                 now, parts = bucket, []
-            parts.append((base, keys, rows, pairs))
+            parts.append((keys, nodes))
+            p = np.frombuffer(pairs, dtype=_PAIR)
+            if len(p):
+                yield _members(1, len(p), tile=_tile(bucket, p["key"]), pivot=p["a"], node=p["b"])
             d = np.frombuffer(docs, dtype=_DOC)
             if len(d):
                 doc = pa.array(d["doc"], mask=d["known"] == 0)
-                yield _members(0, len(d), node=d["node"], doc_id=doc, text_key=d["text"], n=d["n"], set_key=d["set"])
+                yield _members(0, len(d), node=d["node"], doc_id=doc, text_key=d["text"], n=d["n"])
     if parts:
         yield from settle(now, parts)
 
 
-_FEATURES_DDL = "node long, n long, bits binary, shingles binary"
-
+def signature(shingles: np.ndarray, num: int, den: int) -> bytes:
+    """Parity of the shingles in each of a power of two of bits: differing bits never outnumber differing shingles."""
+    most = 2 * len(shingles) * (den - num) // num + 1
+    width = max(64, 1 << (8 * most - 1).bit_length())
+    bits = np.bincount((mix(shingles) & U64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
-def _bitmap(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    at, count = np.unique((mix(shingles) % U64(BITS)).astype(np.int64), return_counts=True)
-    bits[at] = count & 1  # parity: the differing bits of two sets never outnumber their differing shingles
-    return np.packbits(bits).tobytes()
 
-
-def _features(size: int):
+def _features(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             data, offsets = string_buffers(block.column(1))
             words, bounds = word_hashes(data, offsets, lower=True)
             sets = shingle_sets(words, bounds, size)
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                [block.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s, num, den) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["node", "n", "bits", "shingles"],
             )
 
     return run
 
 
-def _bit_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-
-
-def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+def _folded(bits: bytes, width: int) -> np.ndarray:
+    """A signature as ``width`` bytes: a narrower one is the exclusive or of the wider one's parts."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, dtype=np.uint64).reshape(-1, width // 8), axis=0)
 
 
 def _may_link(na, nb, differing, num: int, den: int) -> np.ndarray:
@@ -263,13 +383,24 @@ def _bounded(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keep = _may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), _differing(_bit_rows(batch.column(4)), _bit_rows(batch.column(5))), num, den)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                width = min(len(x), len(y))
+                keep.append(_may_link(na, nb, int(np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum()), num, den))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays without repeats."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x)) if len(y) else 0
+
+
 def _exact(num: int, den: int):
     """(a, b, shingles_a, shingles_b) -> linked pairs, by intersection of the sorted arrays."""
 
@@ -277,117 +408,96 @@ def _exact(num: int, den: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), dtype=U64) for v in (x, y))
-                both = np.count_nonzero(np.isin(x, y, assume_unique=True))
+                x, y = (np.frombuffer(v.as_buffer(), dtype=U64) for v in (x, y))
+                both = overlap(x, y)
                 keep.append(both * den >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _verified(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
-    """Exact check of pairs (a, b) whose bit counts have been bounded already."""
+def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int, bounded: bool = False) -> DataFrame:
+    """The pairs (a, b) that link: bit counts first, unless they have been compared already, then the exact test."""
+    if not bounded:
+        bits = features.select("node", "n", "bits")
+        sides = pairs.join(bits.toDF("b", "nb", "bits_b"), "b").join(bits.toDF("a", "na", "bits_a"), "a")
+        pairs = sides.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bounded(num, den), "a long, b long")
     left = features.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = features.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_exact(num, den), "a long, b long")
+    return checkpoint(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_exact(num, den), "a long, b long"))
 
 
 def _across(num: int, den: int):
-    """Tile rows sorted by (tile, x, y) -> pairs that may link, a spanning forest of them in each tile part.
+    """Tile rows sorted by (tile, x, y) -> pairs of different components that may link by their bit counts, each pair once.
 
-    A row is (tile, x, y, block, node, component, n, bits): the tile part (x, y)
-    compares block x with block y, and within itself when x = y.  Rows with
-    block -1 name pairs (node, component) that the exact test has refused.  A
-    pair that would join what an earlier pair of the part already joins is left
-    out; should the earlier one be refused, the next round finds the later one.
+    A row is (tile, x, y, block, node, component, n, bits, tiles): the tile part (x, y)
+    compares block x with block y, and within itself when x = y.  ``tiles`` are the
+    opened tiles of the node; the smallest one that two nodes share puts out their pair.
     """
 
-    def compare(key: tuple[int, int, int], rows: list[tuple]) -> list[tuple]:
+    def compare(key: tuple[int, int, int], rows: list[tuple]) -> list[tuple[int, int]]:
         tile, x, y = key
-        refused = {(r[1], r[2]) for r in rows if r[0] < 0}
-        rows = [r for r in rows if r[0] >= 0]
         block, node, comp, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
-        bits = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint64).reshape(-1, BITS // 64)
+        width = min(len(r[4]) for r in rows)
+        bits = np.stack([_folded(r[4], width) for r in rows])
+        tiles = [frozenset(r[5]) for r in rows]
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         out = []
-        for at in range(0, len(left), 64):
-            i = left[at : at + 64]
-            p, q = np.nonzero(comp[i][:, None] != comp[right][None, :])
-            i, j = i[p], right[q]
-            keep = _may_link(n[i], n[j], _differing(bits[i], bits[j]), num, den)
-            i, j = i[keep], j[keep]
-            if refused:
-                keep = [(min(v), max(v)) not in refused for v in zip(node[i].tolist(), node[j].tolist(), strict=True)]
-                i, j = i[keep], j[keep]
-            while len(i):
-                u, v = int(node[i[0]]), int(node[j[0]])
-                out.append((tile, x, y, min(u, v), max(u, v)))
-                comp[comp == comp[j[0]]] = comp[i[0]]
-                keep = comp[i] != comp[j]
-                i, j = i[keep], j[keep]
+        for i in left.tolist():
+            j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (x != y))]
+            j = j[_may_link(n[i], n[j], np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64), num, den)]
+            out += [(min(node[i], node[k]), max(node[i], node[k])) for k in j.tolist() if min(tiles[i] & tiles[k]) == tile]
         return out
 
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*out, strict=True) if out else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["tile", "x", "y", "a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         now, rows = None, []
         for batch in batches:
-            out: list[tuple] = []
             for tile, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (tile, x, y) != now:
                     if rows:
-                        out += compare(now, rows)
+                        yield batch_of(compare(now, rows))
                     now, rows = (tile, x, y), []
                 rows.append(row)
-            yield batch_of(out)
         if rows:
             yield batch_of(compare(now, rows))
 
     return run
 
 
-def _join_across(tiles: DataFrame, features: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
-    """Components (node, component) once no pair of a tile that links is left between two components.
+def _apart(tiles: DataFrame, components: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows for ``_across`` of the tiles of several components, of tiles with the same nodes one; and a table to drop once they are used."""
+    entries = tiles.select("tile", "node").union(tiles.select("tile", F.col("pivot").alias("node"))).distinct()
+    placed = checkpoint(entries.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    seen = F.struct(F.count("*"), F.sum(F.xxhash64("node").cast("decimal(20,0)")), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")))
+    several = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), seen.alias("seen"))
+    several = several.filter("lo <> hi AND members > 2")  # the one pair of two nodes has been compared
+    chosen = several.groupBy("seen").agg(F.min("tile").alias("tile"), F.ceil(F.first("members") / TILE).cast("int").alias("parts")).select("tile", "parts")
+    by_node = placed.join(chosen, "tile").groupBy("node", "component").agg(F.collect_list(F.struct("tile", "parts")).alias("held"))
+    rows = (
+        by_node.join(features.select("node", "n", "bits"), "node")
+        .select("node", "component", "n", "bits", F.col("held.tile").alias("tiles"), F.explode("held").alias("at")).select("*", "at.*")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("tile", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "component", "n", "bits", "tiles")
+    )
+    return rows, placed
 
-    Each round joins components or refuses pairs for good; components are few
-    after the pivot round, so rounds are few.
-    """
-    bits = features.select("node", "n", "bits")
-    entries = checkpoint(tiles.select("tile", "node").union(tiles.select("tile", F.col("pivot").alias("node"))).distinct())
-    components, refused = first, None
-    while True:
-        placed = entries.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = (
-            placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
-            .filter("lo <> hi").select("tile", F.ceil(F.col("members") / TILE).cast("int").alias("parts"))
-        )
-        spread = (
-            placed.join(apart, "tile").join(bits, "node")
-            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("tile", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "component", "n", "bits")
-        )
-        if refused is not None:
-            spread = spread.union(refused.select("tile", "x", "y", F.lit(-1), "a", "b", F.lit(0).cast("long"), F.lit(b"")))
-        dealt = spread.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y")
-        found = checkpoint(dealt.mapInArrow(_across(num, den), "tile long, x int, y int, a long, b long"))
-        if found.isEmpty():
-            return components
-        links = checkpoint(_verified(found.select("a", "b").distinct(), features, num, den))
-        out = found.join(links, ["a", "b"], "left_anti").select("tile", "x", "y", "a", "b")
-        refused = checkpoint(out if refused is None else refused.union(out))
-        # the new links as links between components
-        of = components.select("node", "component")
-        between = (
-            links.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
-            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        )
-        merged = connected_components(between).toDF("component", "into")
-        old = components.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
-        new = merged.join(of.select(F.col("node").alias("component")), "component", "left_anti").toDF("node", "component")
-        components = checkpoint(old.union(new))
+
+def _components(tiles: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, component) of all nodes that link with another one, by the two rounds."""
+    met = tiles.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = _linked(met, features, num, den)
+    first = connected_components(links)
+    spread, placed = _apart(tiles, first, features)
+    dealt = spread.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y")
+    across = checkpoint(dealt.mapInArrow(_across(num, den), "a long, b long").join(met, ["a", "b"], "left_anti"))
+    more = _linked(across, features, num, den, bounded=True)
+    final = first if more.isEmpty() else connected_components(first.toDF("a", "b").union(more))
+    drop_tables(links, placed, across, more, *([] if final is first else [first]))
+    return final
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -400,73 +510,62 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     smallest doc_id reachable by links, the row's own included; a null doc_id
     takes part in links, and stays null only where no doc_id is reachable.  Rows
     that repeat a doc_id are separate documents.  ``text_key`` is
-    ``xxhash64(text)``; ``is_first`` marks one row of each component, that of the
-    smallest doc_id.  Other columns are ignored.
+    ``xxhash64(text)``; ``is_first`` marks the rows of each component's smallest
+    doc_id (null is the largest; ties: the smaller ``text_key``), several only
+    where rows repeat both; rows with an empty set are all first.  Shingles and
+    sets are compared by 64-bit hashes.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    buckets = shuffle_buckets(spark, 2)
+    spark: SparkSession = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    packed = keyed.mapInArrow(_tiles(size, num, den, buckets), "bucket int, block long, keys binary, rows binary, pairs binary, docs binary")
+    counts = shingle_counts(keyed, size)
+    share = 4 * (den - num) / (den + num)  # a set of n shingles has about this share of n as keys
+    buckets = max(shuffle_buckets(spark, 2), int(counts.sum() * share / BUCKET_ENTRIES))
+    held = spark.sparkContext.broadcast(counts.astype(np.float32))
+    packed = keyed.mapInArrow(_tiles(size, num, den, buckets, held), _PACKED_DDL)
     members = checkpoint(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pivots, _MEMBERS_DDL))
 
-    records = members.filter("kind = 0").select("node", "doc_id", "text_key", "n", "set_key")
+    records = members.filter("kind = 0").select("node", "doc_id", "text_key", "n")
     tiles = members.filter("kind = 1").select("tile", "pivot", "node")
+    full = records.filter("n > 0")
+    sets = checkpoint(full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("best")))
 
-    # exact copies: equal sets link, no matter how many there are
-    copies = records.filter("n > 0").groupBy("set_key", "n").agg(F.min("node").alias("lead"), F.count("*").alias("copies")).filter("copies > 1")
-    same = records.join(copies, ["set_key", "n"]).select("node", "lead")
-    leads = checkpoint(same.filter("node <> lead"))  # of copies, the lead alone goes on
-    tiles = (
-        tiles.join(leads.withColumnRenamed("lead", "to"), "node", "left")
-        .withColumn("node", F.coalesce("to", "node")).drop("to")
-        .join(leads.select(F.col("node").alias("pivot"), F.col("lead").alias("to")), "pivot", "left")
-        .withColumn("pivot", F.coalesce("to", "pivot")).drop("to")
-        .filter("node <> pivot").select("tile", "pivot", "node").distinct()
-    )
-    tiles = checkpoint(tiles)
     nodes = tiles.select("node").union(tiles.select("pivot")).distinct()
-    wanted = records.join(nodes, "node").groupBy("doc_id", "text_key").agg(F.min("node").alias("node"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), "text")
-    found = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
-    features = checkpoint(found.select("node", "text").mapInArrow(_features(size), _FEATURES_DDL))
-
-    bits = features.select("node", "n", "bits")
-    pairs = tiles.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    sides = (
-        pairs.join(bits.toDF("a", "na", "bits_a"), "a").join(bits.toDF("b", "nb", "bits_b"), "b")
-        .select("a", "b", "na", "nb", "bits_a", "bits_b")
-    )
-    links = checkpoint(_verified(sides.mapInArrow(_bounded(num, den), "a long, b long"), features, num, den))
-    first = connected_components(links)
+    wanted = sets.join(nodes, "node").select("node", "best.doc_id", "best.text_key")
+    texts = keyed.toDF("d", "k", "text")
+    found = wanted.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
+    once = found.groupBy("node").agg(F.first("text").alias("text"))  # rows may repeat
+    features = checkpoint(once.mapInArrow(_features(size, num, den), "node long, n long, bits binary, shingles binary"))
 
-    final = _join_across(tiles, features, first, num, den)
+    components = _components(tiles, features, num, den)
+    drop_tables(features)
 
-    labelled = (
-        records.join(leads, "node", "left").withColumn("lead", F.coalesce("lead", "node"))
-        .join(final.withColumnRenamed("node", "lead"), "lead", "left")
-        .withColumn("component", F.coalesce("component", "lead"))
-    )
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "node"))
-    smallest = checkpoint(labelled.groupBy("component").agg(best.alias("best")))
-    return labelled.join(smallest, "component").select(
-        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"),
-        (F.col("best.node") == F.col("node")).alias("is_first"),
-    )
+    of = sets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of.groupBy("component").agg(F.min("best").alias("least"))
+    labels = of.join(least, "component").select("node", "least")
+    same = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key"))
+    named = full.join(labels, "node").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), same.alias("is_first"))
+    empty = records.filter("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("is_first"))
+    return named.union(empty)
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each linked group is kept.
 
     The one with the smallest doc_id stays (a null doc_id counts as the largest;
-    ties by ``text_key``); of rows that repeat both doc_id and text, one stays.
-    Empty texts link with nothing, so each of them stays.  All columns stay.
+    ties by ``text_key``); of rows that repeat both doc_id and text, the one whose
+    row has the smallest ``xxhash64`` stays.  Empty texts link with nothing, so
+    each of them stays.  All columns stay, whatever their names.
     """
-    firsts = jaccard_components(docs, size, num, den)
-    stay = firsts.filter("is_first").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), (F.col("n_shingles") > 0).alias("_full"))
-    columns = docs.columns
-    joined = docs.withColumn("_d0", F.col("doc_id").cast("long")).withColumn("_k0", F.xxhash64("text")).join(
-        stay.groupBy("_d", "_k").agg(F.first("_full").alias("_full")),
-        F.col("_d0").eqNullSafe(F.col("_d")) & (F.col("_k0") == F.col("_k")),
-    )
-    full = joined.filter("_full").dropDuplicates(["_d0", "_k0"])
-    return full.unionByName(joined.filter("NOT _full")).select(*columns)
+    firsts = checkpoint(jaccard_components(docs, size, num, den))
+    d, k = unused(docs, "d"), unused(docs, "k")
+    key = [F.col("doc_id").cast("long"), F.xxhash64("text")]
+    on = key[0].eqNullSafe(F.col(d)) & (key[1] == F.col(k))
+    repeated = firsts.filter("is_first AND n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key")
+    gone = firsts.filter("NOT is_first").select("doc_id", "text_key").distinct()
+    some = not repeated.isEmpty()
+    out = docs.join((gone.union(repeated) if some else gone).toDF(d, k), on, "left_anti")
+    if some:
+        again = docs.join(repeated.toDF(d, k), on, "left_semi")
+        row, columns = F.struct(*docs.columns), F.xxhash64(*docs.columns)
+        out = out.union(again.groupBy(key[0].alias(d), key[1].alias(k)).agg(F.min_by(row, columns).alias("row")).select("row.*"))
+    return out

@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-SEPARATORS = r"[\x20\x09-\x0D]+"
 
 #: Letters and digits as plain ranges: classes of Unicode categories cost a lookup for each character.
 LETTERS = r"0-9A-Za-z\x{C0}-\x{1FFF}\x{2C00}-\x{D7FF}\x{F900}-\x{FFFD}\x{10000}-\x{10FFFF}"
@@ -45,6 +44,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``, or one below the warehouse where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
 
 
@@ -52,14 +53,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: losing an executor later costs a read, not a rerun.
-    The tables stay until the folder's owner clears it, because plans that the
-    caller still holds may read them.
+    Tables that the returned plan reads stay until the folder's owner clears it;
+    an operator drops those of its inner rounds by ``drop_tables``.
     """
     path = f"{shared_folder(df.sparkSession)}/slotweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables that ``checkpoint`` has written and that no plan needs any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if folder.rpartition("/")[2].startswith("slotweave-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def spaced(text: Column) -> Column:
     """Text with a space for each separator (null: empty); much cheaper than a pattern over the whole text."""
     out = F.coalesce(text, F.lit(""))
@@ -68,32 +87,11 @@ def spaced(text: Column) -> Column:
     return out
 
 
-def words_of(text: Column) -> Column:
-    """Array of the words of a text column (null: no words), JVM-side."""
-    return F.array_remove(F.split(spaced(text), " "), "")
-
-
-def term_hashes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, hash): one row for each run of letters and digits, hashed in lower case."""
-    terms = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
-        F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"[{LETTERS}]+"), F.lit(0))).alias("term"),
-    )
-    return terms.select("doc_id", "text_key", F.xxhash64(F.lower("term")).alias("hash"))
-
-
 def broadcast_below(df: DataFrame, most: int) -> DataFrame:
     """``df`` marked for a broadcast if it has at most ``most`` rows (it is counted), else as it is."""
     return F.broadcast(df) if df.count() <= most else df
 
 
-def rows_of(docs: DataFrame, keys: DataFrame, most: int = 100_000) -> DataFrame:
-    """(doc_id, text_key, text) of the rows named by distinct ``keys`` (doc_id, text_key), once each."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), "text")
-    on = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key"))
-    return texts.join(broadcast_below(keys, most), on).groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole value."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
