@@ -9,14 +9,18 @@ matched windows hold placeholders, the values behind them are compared along the
 alignment: one benchmark value must always stand for the same document value.
 
 Templates are made only of documents that can matter.  A document must hold
-``MIN_SHARE`` of an item's windows, hence an anchor (the longest word) of each of
-these windows.  So the plain words of all texts are joined with the anchors
-first, and documents with too few anchors of every item are left out: exact,
-and one cheap pass over the corpus.  Windows without a word are taken as given
-there, and any of their values serves as an anchor.
-
-The benchmark's tables are broadcast only while their rows are below
-``BROADCAST_WINDOWS`` (they are counted first); beyond it the joins shuffle.
+``MIN_SHARE`` of an item's windows, hence an anchor (the first two plain words that
+stand side by side) of each of these windows.  The scan that reads a text looks its
+word pairs up among the anchors and leaves out documents that have too few of them
+for every item; of the others, the anchors that were met are joined with their items,
+and documents stay that have enough of one item.  That is exact and one plan at every
+size.  Windows without such a pair are taken as given; where they are half of an item,
+each of their words or values is enough to let a document through.
+
+The anchors' hashes are literals of that filter, ``MOST_LITERALS`` at most (of more
+anchors, classes of hashes are).  The benchmark's windows are broadcast only while
+they are fewer than ``BROADCAST_WINDOWS`` (they are counted first); beyond it the
+join shuffles the windows of the documents let through.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.llm.text import LETTERS, broadcast_below, checkpoint, rows_of, term_hashes
+from slotweave.llm.text import LETTERS, broadcast_below, checkpoint, unused
 
 WINDOW = 8
 MIN_SHARE = 0.5
 BROADCAST_WINDOWS = 1_000_000
-BROADCAST_ALIGNMENTS = 100_000
+MOST_LITERALS = 1 << 16
 
 #: Units that count as such after a number.
 UNITS = (
@@ -125,15 +129,39 @@ def _hashes(tokens: Column) -> Column:
     return F.array_distinct(F.transform(_templates(tokens), lambda t: F.when(_words_mostly(t), F.xxhash64(t)).otherwise(values)))
 
 
+def _prepared(token: Column) -> Column:
+    """What windows need of a token: itself, its template as a word and as a name, its value, and its class (1: placeholder, 16: word or name)."""
+    sure = F.when(_is_name(_kind(token)), F.lit(START + "p")).otherwise(F.substring(token, 1, 2))
+    value = _value(token)
+    loose = F.struct(token.alias("token"), value.alias("word"), F.lit(START + "p").alias("name"), value.alias("value"), F.lit(16).alias("kind"))
+    marked = F.struct(token.alias("token"), sure.alias("word"), sure.alias("name"), value.alias("value"), F.lit(1).alias("kind"))
+    plain = F.struct(token.alias("token"), token.alias("word"), token.alias("name"), token.alias("value"), F.lit(0).alias("kind"))
+    return F.when(~_marked(token), plain).when(_loose(token), loose).otherwise(marked)
+
+
 def _windows(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
     """(keep..., at, window): one row for each hash of each window of the token column.
 
-    The explode is an outer one: for an inner one Spark would infer a filter on
-    the array's size and copy the whole computation into each of its terms.
+    Windows with several words that may be names go the general way; the others have
+    one template or two.  The explodes are outer ones: for inner ones Spark would
+    infer filters on the arrays' sizes and copy the whole computation into them.
     """
+    each = rows.withColumn("_prepared", F.explode_outer(F.array(F.transform(tokens, _prepared))))
+    parts = ("word", "name", "value", "kind")
+    each = each.select("*", *(F.col(f"_prepared.{p}").alias(f"_{p}") for p in parts))
+    each = each.withColumn("_arrays", F.explode_outer(F.array(F.struct(*(f"_{p}" for p in parts))))).select(*{*keep, tokens}, *(F.col(f"_arrays._{p}") for p in parts))
+
+    def of_window(i: Column) -> Column:
+        kinds = F.get("_kind", i)
+        for k in range(1, WINDOW):
+            kinds = kinds + F.get("_kind", i + k)
+        cut = lambda column: F.slice(column, i + 1, WINDOW)
+        values = F.xxhash64(F.lit(START), cut("_value"))
+        mostly = lambda column, more: F.when((kinds % 16 + more) * 2 < WINDOW, F.xxhash64(cut(column))).otherwise(values)
+        return F.when(kinds < 16, F.array(mostly("_word", 0))).when(kinds < 32, F.array_distinct(F.array(mostly("_word", 0), mostly("_name", 1)))).otherwise(_hashes(cut(tokens)))
+
     last = F.size(tokens) - WINDOW
-    each = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: _hashes(F.slice(tokens, i + 1, WINDOW)))).otherwise(F.array().cast("array<array<long>>"))
-    hashed = rows.withColumn("_hashes", each)
+    hashed = each.withColumn("_hashes", F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), of_window)).otherwise(F.array().cast("array<array<long>>")))
     return hashed.select(*keep, F.posexplode_outer("_hashes").alias("at", "_each")).filter("at IS NOT NULL").select(*keep, "at", F.explode_outer("_each").alias("window"))
 
 
@@ -144,35 +172,71 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """(item_id, version, item_at, place, window, weight, anchors): every window, with terms of which a document that holds it has one.
+    """(item_id, version, item_at, place, window, weight, anchors): every window, with anchors of which a document that holds it has one.
 
-    That is the longest word that can't be a name.  Windows without one weigh nothing
-    and have the first term of each value, for a number also with the unit behind it attached.
+    That is the first pair of neighbouring words that can't be names.  Windows without
+    one weigh nothing and have their longest such word or else the first term of each
+    value, for a number also with the unit behind it attached.
     """
+    plain = lambda t: F.coalesce(~_marked(t), F.lit(False))
+    pairs = F.transform("_tokens", lambda t, i: F.when(plain(t) & plain(F.get("_tokens", i + 1)), F.concat_ws(" ", t, F.get("_tokens", i + 1))))
+    longest = lambda texts: F.array_max(F.transform(F.array_compact(texts), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     own = F.filter("_tokens", lambda t: ~_marked(t))
-    longest = F.array_max(F.transform("own", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     first = lambda t: F.regexp_extract(_value(t), f"[{LETTERS}]+", 0)
     values = F.flatten(F.transform("_tokens", lambda t, i: F.array(first(t), F.concat(first(t), F.coalesce(_value(F.get("_tokens", i + 1)), F.lit(""))))))
     return (
-        _windows(items, "tokens", "item_id", "version", "tokens").withColumn("_tokens", F.slice("tokens", F.col("at") + 1, WINDOW)).withColumn("own", own)
+        _windows(items, "tokens", "item_id", "version", "tokens").withColumn("_tokens", F.slice("tokens", F.col("at") + 1, WINDOW))
+        .withColumns({"pair": F.get(F.array_compact(pairs), 0), "word": longest(own)})
         .withColumn("place", _place("tokens", F.col("at")))
-        .withColumn("weight", F.when(F.size("own") > 0, 1).otherwise(0))
-        .withColumn("anchors", F.when(F.col("weight") == 1, F.array(longest)).otherwise(values))
+        .withColumn("weight", F.when(F.col("pair").isNotNull(), 1).otherwise(0))
+        .withColumn("anchors", F.when(F.col("weight") == 1, F.array("pair")).when(F.col("word").isNotNull(), F.array("word")).otherwise(values))
         .select("item_id", "version", F.col("at").alias("item_at"), "place", "window", "weight", "anchors").distinct()
     )
 
 
+#: Items are let through the scan by classes of how many anchors they need, each by its least one.
+NEEDS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+
+
 def candidates(docs: DataFrame, windows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item_id): documents with anchors of MIN_SHARE of an item's windows, those without a word taken as given."""
+    """(doc_id, text_key, text), once each: documents that may hold MIN_SHARE of an item's windows, by the anchors in their texts."""
     given = windows.groupBy("item_id").agg(F.countDistinct(F.when(F.col("weight") == 0, F.col("place"))).alias("given"))
-    each = windows.select("item_id", "place", "weight", F.explode("anchors").alias("anchor"))
-    weights = each.groupBy("item_id", "anchor").agg(F.countDistinct(F.when(F.col("weight") == 1, F.col("place"))).alias("weight")).join(sizes, "item_id").join(given, "item_id")
-    needed = (MIN_SHARE * F.col("item_windows") - F.col("given")).alias("needed")
-    anchors = broadcast_below(checkpoint(weights.select(F.xxhash64("anchor").alias("hash"), "item_id", "weight", needed)), BROADCAST_WINDOWS)
-    met = term_hashes(docs).join(anchors, "hash")
-    held = met.groupBy("doc_id", "text_key", "item_id", "needed").agg(F.collect_set(F.struct("hash", "weight")).alias("anchors"))
-    enough = F.aggregate("anchors", F.lit(0).cast("long"), lambda n, x: n + x["weight"]) >= F.col("needed")
-    return held.filter(enough).select("doc_id", "text_key", "item_id")
+    needed = given.join(sizes, "item_id").select("item_id", (MIN_SHARE * F.col("item_windows") - F.col("given")).alias("needed"))
+    each = windows.select("item_id", "place", "weight", F.explode("anchors").alias("anchor")).join(needed, "item_id").filter("weight = 1 OR needed <= 0")
+    hash_of = F.when(F.col("weight") == 1, F.xxhash64(F.split("anchor", " ")[0], F.split("anchor", " ")[1])).otherwise(F.xxhash64("anchor"))
+    anchors = each.withColumn("hash", hash_of).groupBy("item_id", "needed", "hash", "weight").agg(F.countDistinct("place").alias("n"))
+    # the fewest anchors whose windows make up what an item needs
+    fewest = F.aggregate(
+        F.sort_array("counts", asc=False), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k")),
+        lambda a, n: F.struct((a["sum"] + n).alias("sum"), (a["k"] + F.when(a["sum"] < F.col("needed"), 1).otherwise(0)).alias("k")),
+    )["k"]
+    needs = anchors.groupBy("item_id", "needed").agg(F.collect_list(F.when(F.col("weight") == 1, F.col("n"))).alias("counts")).select("item_id", F.greatest(fewest, F.lit(1)).alias("k"))
+    anchors = checkpoint(anchors.join(needs, "item_id").select("item_id", "needed", "hash", "weight", (F.col("n") * F.col("weight")).alias("n"), "k"))
+    wide = anchors.select("hash").distinct().count() > MOST_LITERALS
+    if wide:  # classes of hashes stand for hashes: more documents get through, none is lost
+        anchors = anchors.withColumn("hash", F.pmod("hash", F.lit(MOST_LITERALS)))
+    reduced = lambda h: F.pmod(h, F.lit(MOST_LITERALS)) if wide else h
+    literals = lambda rows: [r["hash"] for r in rows.select("hash").distinct().collect()]
+    met_in = lambda hashes, known: F.filter(F.transform(hashes, reduced), lambda h: h.isin(known))
+    terms = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"[{LETTERS}]+"), F.lit(0))
+    # the outer explodes keep filters from being pushed into the computation of what they filter
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text", F.explode_outer(F.array(terms)).alias("w"))
+    pairs, single = literals(anchors.filter("weight = 1")), literals(anchors.filter("weight = 0"))
+    met = met_in(F.transform("w", lambda w, i: F.xxhash64(w, F.get("w", i + 1))), pairs)
+    if single:
+        met = F.concat(met, met_in(F.transform("w", lambda w: F.xxhash64(w)), single))
+    read = read.withColumn("met", F.explode_outer(F.array(F.array_distinct(met))))
+    enough = F.lit(False)
+    for low, high in zip(NEEDS, [*NEEDS[1:], 1 << 30], strict=True):
+        known = literals(anchors.filter((F.col("k") >= low) & (F.col("k") < high)))
+        if known:
+            enough = enough | (F.size(F.filter("met", lambda h: h.isin(known))) >= low)  # noqa: B023
+    some = checkpoint(read.filter(F.size("met") > 0).withColumn("_enough", F.explode_outer(F.array(enough))).filter("_enough").select("doc_id", "text_key", "text", "met"))
+    by_anchor = some.select("doc_id", "text_key", F.explode("met").alias("hash")).join(broadcast_below(anchors, BROADCAST_WINDOWS), "hash")
+    held = by_anchor.groupBy("doc_id", "text_key", "item_id", "needed").agg(F.collect_set(F.struct("hash", "n")).alias("held"))
+    wanted = held.filter(F.aggregate("held", F.lit(0).cast("long"), lambda n, x: n + x["n"]) >= F.col("needed")).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()
+    both = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi")
+    return both.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))  # rows may repeat
 
 
 def alignments(read: DataFrame, windows: DataFrame) -> DataFrame:
@@ -231,9 +295,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = checkpoint(benchmark_items(benchmark).withColumn("version", F.xxhash64("tokens")))
     sizes = items.groupBy("item_id").agg(F.greatest(F.max(F.size("tokens")) - WINDOW + 1, F.lit(0)).alias("item_windows"))
     windows = checkpoint(benchmark_windows(items))
-    wanted = checkpoint(candidates(docs, windows, sizes).select("doc_id", "text_key").distinct())
-    read = rows_of(docs, wanted, BROADCAST_ALIGNMENTS)
-    read = checkpoint(read.select("doc_id", "text_key", F.posexplode_outer(readings_of(F.col("text"))).alias("doc_version", "doc_tokens")))
+    read = checkpoint(candidates(docs, windows, sizes).select("doc_id", "text_key", F.posexplode_outer(readings_of(F.col("text"))).alias("doc_version", "doc_tokens")))
     hits = checkpoint(alignments(read, windows))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_key", "doc_version")]
     both = hits.alias("a").join(read.alias("b"), same[0] & same[1] & same[2]).select("a.*", "doc_tokens").join(items, ["item_id", "version"])
@@ -256,5 +318,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left_anti")
+    d, k = unused(docs, "d"), unused(docs, "k")
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias(d), F.col("text_key").alias(k)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(k)), "left_anti")

@@ -74,6 +74,7 @@ BODIES: list[tuple[str, str]] = [
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
+    """(license_id, text) of the notices and the paragraphs of license bodies above."""
     return spark.createDataFrame(NOTICES + BODIES, "license_id string, text string")
 
 

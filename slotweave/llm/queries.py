@@ -16,50 +16,60 @@ SHARDS = [f"shard-{k:03d}" for k in range(128)]
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, re-parameterised ones included: doc_id, item_id, windows found and asked for, slots compared."""
     docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return decontaminate.contaminated(docs, benchmark).select("doc_id", "item_id", "n_windows", "item_windows", "n_slots")
 
 
 def op2_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base spans, all spans, and the number that the field added."""
     out = secrets.scan(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")
 
 
 def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of documents: doc_id, license_id, best Dice coefficient, passages."""
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
 def op4_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document, by the lookup table of 128 shards."""
     return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"), SHARDS).select("doc_id", "slot", "shard")
 
 
 def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and the weakly supervised verdict of every document."""
     out = quality.score(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back from directly addressable codes written in ascending doc_id order."""
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     dac.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY))
     return dac.read_documents(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document once windows of 50 words that start in an earlier document are cut out."""
     out = substring.remove_repeats(read_table(spark, sf_dir, "documents"), window=50, with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from labels that are not held out."""
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     return toxicity.score(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
 def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of at most 4096 tokens."""
     out = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), with_ids=False)
     return out.drop("ids")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked at a Jaccard similarity of 0.9 of three-word shingles."""
     out = jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), size=3, num=90, den=100)
     return out.select("doc_id", "n_shingles", "component_id")
 
