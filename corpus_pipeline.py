@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The secret and packing stages can't be said in SQL; tests hold the pipeline against a brute-force version.
+#: The secret and packing stages can't be said in SQL; tests/llm/test_pipeline.py holds every stage against a version of its own.
 ORACLE_SQL = None
 
 

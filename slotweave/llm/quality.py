@@ -155,12 +155,12 @@ def score(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``score`` keeps, with all their columns.
 
-    Rows and counts are written once, so that texts are counted once: a filter
-    on computed counts would be pushed into their computation.
+    Texts are counted twice, once to fit and once to filter, and written nowhere.
     """
-    # the input travels as one struct, so its columns may be named like a count
-    counted = checkpoint(with_counts(docs.select(F.struct(*docs.columns).alias("_row"), "text")).select("_row", "_q"))
-    p = fit(counted.select("_q.*")).posterior(votes())
+    p = fit(with_counts(docs.select("doc_id", "text")).select("_q.*")).posterior(votes())
+    # the input travels as one struct, so its columns may be named like a count; the outer
+    # explode keeps the filter from being pushed into the computation of the counts
+    counted = with_counts(docs.select(F.struct(*docs.columns).alias("_row"), "text")).select("_row", F.explode_outer(F.array("_q")).alias("_q"))
     return counted.select("_row", "_q.*").filter(~base_failed() & (p >= 0.5)).select("_row.*")
 
 
