@@ -14,7 +14,8 @@ How the work is spread:
 * windows are dealt out by their minimizer (the smallest hash of the
   ``ANCHOR``-word runs inside), so neighbouring windows travel as one run of
   hashes and come back as one interval;
-* rows of a block for one bucket travel as one packed record.
+* rows of a block for one bucket travel as one packed record; a task holds one
+  bucket at a time, and there are as many as the text needs for each to be small.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from slotweave.llm.text import (
     U64,
     blocks,
     int_array,
-    shuffle_buckets,
     starts_of_windows,
     string_buffers,
+    text_buckets,
     window_hashes,
     word_hashes,
 )
@@ -185,7 +186,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     Spans of one document may overlap or touch; ``text_key`` is
     ``xxhash64(text)`` and tells rows apart that share a ``doc_id``.
     """
-    buckets = shuffle_buckets(docs.sparkSession)
+    buckets = text_buckets(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     packed = keyed.mapInArrow(_pack(window, buckets), "bucket int, runs binary, hashes binary, spans binary")
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")

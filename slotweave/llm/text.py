@@ -212,3 +212,9 @@ def int_array(column: pa.Array, null: int) -> np.ndarray:
 def shuffle_buckets(spark: SparkSession, factor: int = 4) -> int:
     """Number of hash buckets for a packed exchange: follows the session's shuffle width."""
     return factor * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_buckets(docs: DataFrame, factor: int = 4, most: int = 32 << 20) -> int:
+    """The same for buckets that are held in memory one at a time: as many more as leave about ``most`` bytes of text to each."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_buckets(docs.sparkSession, factor), total // most)
