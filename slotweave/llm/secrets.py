@@ -32,7 +32,7 @@ SAMPLE_ROWS = 400
 SAMPLE_CHARS = 8000
 GENERATED_LINES = 1500
 CHUNK_WORDS = 32
-STEPS = 120
+STEPS = 80
 O, B, I = 0, 1, 2  # noqa: E741
 KINDS = ("assign", "access", "hex", "crf")
 
@@ -185,7 +185,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(features: np.ndarray, tags: np.ndarray, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-4) -> Field:
+def train(features: np.ndarray, tags: np.ndarray, steps: int = STEPS, rate: float = 0.15, decay: float = 1e-4) -> Field:
     """Maximum likelihood by Adam on chunks of equal length: features (n, words, kinds), tags (n, words)."""
     n, words, _ = features.shape
     sizes = [*SIZES]
@@ -198,13 +198,13 @@ def train(features: np.ndarray, tags: np.ndarray, steps: int = STEPS, rate: floa
     padded = np.concatenate([np.zeros((n, 1), dtype=tags.dtype), tags, np.zeros((n, 1), dtype=tags.dtype)], axis=1)
     np.add.at(gold_moves, (padded[:, :-1].ravel(), padded[:, 1:].ravel()), 1)
     for t in range(1, steps + 1):
-        emit, move = theta[:-1], theta[-1]
+        emit, move = [w.astype(np.float32) for w in theta[:-1]], theta[-1].astype(np.float32)
         s = sum(w[features[:, :, k]] for k, w in enumerate(emit))
-        fwd = np.empty((n, words, 3))
+        fwd = np.empty((n, words, 3), dtype=np.float32)
         fwd[:, 0] = s[:, 0] + move[O]
         for i in range(1, words):
             fwd[:, i] = _log_sum(fwd[:, i - 1, :, None] + move, axis=1) + s[:, i]
-        bwd = np.empty((n, words, 3))
+        bwd = np.empty((n, words, 3), dtype=np.float32)
         bwd[:, -1] = move[:, O]
         for i in range(words - 2, -1, -1):
             bwd[:, i] = _log_sum(move + (s[:, i + 1] + bwd[:, i + 1])[:, None, :], axis=2)
