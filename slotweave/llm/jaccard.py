@@ -28,7 +28,7 @@ Two rounds, however the data lie.
 1. In each tile the smallest node is the pivot, and every node is compared with
    the pivots that it meets.
 2. Tiles whose nodes are in more than one component are opened: pairs across
-   components that pass the bit-count bound are compared, each pair once.  Tiles
+   components that pass the bit-count bound are compared.  Tiles
    with the same nodes are opened once; tiles of more than ``TILE`` nodes are cut
    into block pairs that are spread over tasks.
 
@@ -53,6 +53,7 @@ from slotweave.llm.components import connected_components
 from slotweave.llm.text import (
     U64,
     blocks,
+    broadcast_below,
     checkpoint,
     drop_tables,
     int_array,
@@ -65,9 +66,13 @@ from slotweave.llm.text import (
 )
 
 TILE = 2048
+DEALS = 4
+SEEN = 1_000_000
 SKETCH_BITS = 20
 SKETCH_CHUNKS = 16
 BUCKET_ENTRIES = 2_000_000
+#: Tables of document keys are counted, and broadcast up to so many rows (of 16 or 24 bytes); beyond that texts are shuffled.
+BROADCAST_KEYS = 1_000_000
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("pairs", pa.binary()), ("docs", pa.binary())])
 _PACKED_DDL = "bucket int, keys binary, nodes binary, pairs binary, docs binary"
@@ -428,41 +433,45 @@ def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int, bounded:
 
 
 def _across(num: int, den: int):
-    """Tile rows sorted by (tile, x, y) -> pairs of different components that may link by their bit counts, each pair once.
+    """Tile rows sorted by (lo, deal, tile, x, y) -> pairs of different components that may link by their bit counts.
 
-    A row is (tile, x, y, block, node, component, n, bits, tiles): the tile part (x, y)
-    compares block x with block y, and within itself when x = y.  ``tiles`` are the
-    opened tiles of the node; the smallest one that two nodes share puts out their pair.
+    A row is (lo, deal, tile, x, y, block, node, component, n, bits): the tile part (x, y)
+    compares block x with block y, and within itself when x = y.  Tiles of one lowest
+    component ``lo`` come one after another in ``DEALS`` tasks, each of which puts a pair
+    out once (or seldom more: it remembers ``SEEN`` pairs).
     """
 
-    def compare(key: tuple[int, int, int], rows: list[tuple]) -> list[tuple[int, int]]:
-        tile, x, y = key
+    def compare(part: tuple[int, int], rows: list[tuple], seen: set[tuple[int, int]]) -> list[tuple[int, int]]:
+        x, y = part
         block, node, comp, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
         width = min(len(r[4]) for r in rows)
         bits = np.stack([_folded(r[4], width) for r in rows])
-        tiles = [frozenset(r[5]) for r in rows]
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         out = []
         for i in left.tolist():
             j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (x != y))]
             j = j[_may_link(n[i], n[j], np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64), num, den)]
-            out += [(min(node[i], node[k]), max(node[i], node[k])) for k in j.tolist() if min(tiles[i] & tiles[k]) == tile]
+            a = int(node[i])
+            out += [p for p in ((min(a, b), max(a, b)) for b in node[j].tolist()) if p not in seen]
+        seen.update(out)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        now, rows = None, []
+        now, rows, seen = None, [], set()
         for batch in batches:
-            for tile, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (tile, x, y) != now:
+            for *key, block, node, comp, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
                     if rows:
-                        yield batch_of(compare(now, rows))
-                    now, rows = (tile, x, y), []
-                rows.append(row)
+                        yield batch_of(compare(now[3:], rows, seen))
+                    if now is None or key[:2] != now[:2] or len(seen) > SEEN:
+                        seen.clear()
+                    now, rows = key, []
+                rows.append((block, node, comp, n, bits))
         if rows:
-            yield batch_of(compare(now, rows))
+            yield batch_of(compare(now[3:], rows, seen))
 
     return run
 
@@ -474,14 +483,12 @@ def _apart(tiles: DataFrame, components: DataFrame, features: DataFrame) -> tupl
     seen = F.struct(F.count("*"), F.sum(F.xxhash64("node").cast("decimal(20,0)")), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")))
     several = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), seen.alias("seen"))
     several = several.filter("lo <> hi AND members > 2")  # the one pair of two nodes has been compared
-    chosen = several.groupBy("seen").agg(F.min("tile").alias("tile"), F.ceil(F.first("members") / TILE).cast("int").alias("parts")).select("tile", "parts")
-    by_node = placed.join(chosen, "tile").groupBy("node", "component").agg(F.collect_list(F.struct("tile", "parts")).alias("held"))
+    chosen = several.groupBy("seen").agg(F.min("tile").alias("tile"), F.first("lo").alias("lo"), F.ceil(F.first("members") / TILE).cast("int").alias("parts")).select("tile", "lo", "parts")
     rows = (
-        by_node.join(features.select("node", "n", "bits"), "node")
-        .select("node", "component", "n", "bits", F.col("held.tile").alias("tiles"), F.explode("held").alias("at")).select("*", "at.*")
+        placed.join(chosen, "tile").join(features.select("node", "n", "bits"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("tile", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "component", "n", "bits", "tiles")
+        .select("lo", F.pmod(F.xxhash64("tile"), F.lit(DEALS)).alias("deal"), "tile", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "component", "n", "bits")
     )
     return rows, placed
 
@@ -492,8 +499,8 @@ def _components(tiles: DataFrame, features: DataFrame, num: int, den: int) -> Da
     links = _linked(met, features, num, den)
     first = connected_components(links)
     spread, placed = _apart(tiles, first, features)
-    dealt = spread.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y")
-    across = checkpoint(dealt.mapInArrow(_across(num, den), "a long, b long").join(met, ["a", "b"], "left_anti"))
+    dealt = spread.repartition("lo", "deal").sortWithinPartitions("lo", "deal", "tile", "x", "y")
+    across = checkpoint(dealt.mapInArrow(_across(num, den), "a long, b long").distinct().join(met, ["a", "b"], "left_anti"))
     more = _linked(across, features, num, den, bounded=True)
     final = first if more.isEmpty() else connected_components(first.toDF("a", "b").union(more))
     drop_tables(links, placed, across, more, *([] if final is first else [first]))
@@ -530,14 +537,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     sets = checkpoint(full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("best")))
 
     nodes = tiles.select("node").union(tiles.select("pivot")).distinct()
-    wanted = sets.join(nodes, "node").select("node", "best.doc_id", "best.text_key")
+    wanted = checkpoint(sets.join(nodes, "node").select("node", "best.doc_id", "best.text_key"))
     texts = keyed.toDF("d", "k", "text")
-    found = wanted.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
+    found = broadcast_below(wanted, BROADCAST_KEYS).join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
     once = found.groupBy("node").agg(F.first("text").alias("text"))  # rows may repeat
     features = checkpoint(once.mapInArrow(_features(size, num, den), "node long, n long, bits binary, shingles binary"))
 
     components = _components(tiles, features, num, den)
-    drop_tables(features)
+    drop_tables(features, wanted)
 
     of = sets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("best").alias("least"))
@@ -563,7 +570,7 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
     repeated = firsts.filter("is_first AND n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key")
     gone = firsts.filter("NOT is_first").select("doc_id", "text_key").distinct()
     some = not repeated.isEmpty()
-    out = docs.join((gone.union(repeated) if some else gone).toDF(d, k), on, "left_anti")
+    out = docs.join(broadcast_below((gone.union(repeated) if some else gone).toDF(d, k), BROADCAST_KEYS), on, "left_anti")
     if some:
         again = docs.join(repeated.toDF(d, k), on, "left_semi")
         row, columns = F.struct(*docs.columns), F.xxhash64(*docs.columns)
