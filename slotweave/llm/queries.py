@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import dac, decontaminate, jaccard, licenses, packing, quality, secrets, sharding, substring, toxicity
+from slotweave.llm import classifier, dac, decontaminate, filter_audit, jaccard, licenses, packing, quality, secrets, sharding, substring, toxicity
 from slotweave.llm.text import read_table, shared_folder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -74,6 +74,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of 120 orders of five filters keeps and removes at each step, in every source."""
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return filter_audit.audit(docs, labels)
+
+
+def op12_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from labels that are not held out."""
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return classifier.score(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_secret_crf": op2_secret_crf,
@@ -85,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compression_toxicity": op8_compression_toxicity,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_ftrl_quality": op12_ftrl_quality,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -134,4 +148,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_weak_supervision": quality.oracle_sql(),
     "op7_substring_dedup": _OP7,
     "op10_ngram_jaccard": _OP10,
+    "op11_filter_audit": filter_audit.oracle_sql(),
 }
