@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import classifier, dac, decontaminate, filter_audit, jaccard, licenses, packing, quality, secrets, sharding, substring, toxicity
+from slotweave.llm import classifier, collocations, dac, decontaminate, filter_audit, jaccard, licenses, packing, quality, secrets, sharding, substring, toxicity
 from slotweave.llm.text import read_table, shared_folder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -86,6 +86,11 @@ def op12_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op13_phrase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two or three words of each language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_secret_crf": op2_secret_crf,
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_filter_audit": op11_filter_audit,
     "op12_ftrl_quality": op12_ftrl_quality,
+    "op13_phrase_growth": op13_phrase_growth,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -149,4 +155,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_substring_dedup": _OP7,
     "op10_ngram_jaccard": _OP10,
     "op11_filter_audit": filter_audit.oracle_sql(),
+    "op13_phrase_growth": collocations.oracle_sql(),
 }
