@@ -51,7 +51,7 @@ _ENDS[list(PIECE_ENDS.encode())] = True
 _BREAKS = _ENDS.copy()
 _BREAKS[[0x20, 0x09]] = True
 _POWERS = _Powers(0xC2B2AE3D27D4EB4F | 1)
-_STEP = 4 << 20
+_STEP = 1 << 19
 
 
 class Words:
@@ -86,9 +86,9 @@ class Words:
             self.ids[a:b] = mix(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64)) ^ of[self.row[a:b]])
             a = b
         self.ids[self.ids == 0] = U64(1)  # 0 stands for no word
-        piece = np.cumsum(_ENDS[data] | edge[:-1])
+        piece = np.searchsorted(np.flatnonzero(_ENDS[data]), starts)
         self.joined = np.zeros(len(starts), dtype=bool)  # with the word after
-        self.joined[:-1] = piece[starts[1:]] == piece[starts[:-1]]
+        self.joined[:-1] = (piece[1:] == piece[:-1]) & (self.row[1:] == self.row[:-1])
 
     def texts(self, which: np.ndarray) -> pa.Array:
         """The words at these positions, as strings."""
