@@ -1,7 +1,8 @@
 """Expression slots: a whitelisted Python expression becomes a Column; names in it can be listed.
 
 Mapping rows are data, so nothing is ever evaluated as Python: an expression
-outside the whitelist is refused.
+outside the whitelist is refused.  Texts of several statements that assign
+``target`` are walked symbolically (:mod:`slotweave.functions.statements`).
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from slotweave.functions import statements
 
 NAMESPACES = ("src",)
 
@@ -90,6 +94,27 @@ def to_column(expression: str, resolve: Callable[[str], Column] = F.col) -> Colu
     return walk(ast.parse(expression.strip(), mode="eval").body)
 
 
+def slot_expression(expression: str, schema: T.StructType) -> Column:
+    """Column of a slot's expression or statements over rows of this schema."""
+
+    def slot(name: str) -> tuple[Column, str]:
+        if name not in schema.names:
+            raise statements.Refused(f"no source slot {name}")
+        kind, column = statements.kind_of(schema[name].dataType), F.col(f"`{name}`")
+        return column.cast("string") if kind == "text" else column, kind
+
+    return statements.to_column(expression, slot) if statements.is_statements(expression) else to_column(expression)
+
+
+def why_refused(expression: str, schema: T.StructType) -> str | None:
+    """What keeps a text from being a Column over rows of this schema; None where nothing does."""
+    try:
+        slot_expression(expression, schema)
+    except (ValueError, SyntaxError) as wrong:
+        return str(wrong)
+    return None
+
+
 def slots_in(expression: str, spaces: tuple[str, ...] = NAMESPACES, bare: bool = False) -> list[str]:
     """Distinct slots that an expression or statements read, in order: ``src.x`` as x, also below ``src.x.strip()``; bare names on demand."""
     found: dict[str, None] = {}

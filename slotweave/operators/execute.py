@@ -59,7 +59,7 @@ def _slot_column(slot, data: DataFrame, held: tuple[dict[str, str], bool] | None
     if slot["kind"] == "const":
         return F.lit(slot["expr"]).cast(kind)
     if slot["kind"] == "expr":
-        return exprs.to_column(slot["expr"]).try_cast(kind) if slot["expr"] else F.lit(None).cast(kind)
+        return exprs.slot_expression(slot["expr"], data.schema).try_cast(kind) if slot["expr"] else F.lit(None).cast(kind)
     c, many = F.col(f"`{slot['source_slot']}`"), isinstance(data.schema[slot["source_slot"]].dataType, T.ArrayType)
     through = (lambda x: translate(x, held[0], "keep" if held[1] else "null")) if held else (lambda x: x)
     if not many:

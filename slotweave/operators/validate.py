@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.functions import names
+from slotweave.functions import exprs, names
 from slotweave.functions.names import EXTRA_PREFIX
 from slotweave.operators.compile import SCOPE, Specs
+from slotweave.sources.local import local_table, small_jobs
 from slotweave.sources.metadata import Schema
 
 COLUMNS = ["sourceClass", "sourceSlot", "sourceEnumName", "sourceEnumValue", "targetClass", "targetSlot", "targetEnumName", "targetEnumValue", "numMappers", "mapper"]
@@ -140,7 +141,19 @@ def unknown_target_slots(specs: Specs, source: Schema, target: Schema) -> DataFr
     return specs.slots.filter(~F.startswith("target_slot", F.lit(EXTRA_PREFIX))).join(known, ["target_class", "target_slot"], "left_anti").select("deriv_id", "source_class", "source_slot", "target_class", "target_slot")
 
 
-CHECKS: dict[str, Callable[[Specs, Schema, Schema], DataFrame]] = {"free_text_to_enum": free_text_to_enum, "multi_to_single": multi_to_single, "unknown_target_slots": unknown_target_slots}
+def refused_expressions(specs: Specs, source: Schema, target: Schema | None = None) -> DataFrame:
+    """(deriv_id, source_class, target_class, target_slot, message) of expressions and statements that cannot be a Column over their source class."""
+    spark = specs.slots.sparkSession
+    with small_jobs(spark):
+        told = specs.slots.filter("kind = 'expr' AND expr IS NOT NULL").select("deriv_id", "source_class", "target_class", "target_slot", "expr").orderBy("deriv_id", "ord").collect()
+    known: dict[tuple[str, str], str | None] = {}
+    for cls, text in {(r["source_class"], r["expr"]) for r in told}:
+        known[cls, text] = exprs.why_refused(text, source.struct(cls))
+    rows = [(*r[:4], known[r["source_class"], r["expr"]]) for r in told if known[r["source_class"], r["expr"]]]
+    return local_table(spark, rows, "deriv_id int, source_class string, target_class string, target_slot string, message string")
+
+
+CHECKS: dict[str, Callable[[Specs, Schema, Schema], DataFrame]] = {"free_text_to_enum": free_text_to_enum, "multi_to_single": multi_to_single, "unknown_target_slots": unknown_target_slots, "refused_expressions": refused_expressions}
 
 
 def check(specs: Specs, source: Schema, target: Schema, only: list[str] | None = None) -> dict[str, DataFrame]:
