@@ -387,3 +387,4 @@ def expression_columns(spark, sf_dir):
 
 from slotweave.plans import more  # noqa: E402, F401  its queries register themselves
 from slotweave.plans import statements as _statements  # noqa: E402, F401
+from slotweave.plans import files as _files  # noqa: E402, F401

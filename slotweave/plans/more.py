@@ -216,32 +216,35 @@ def wide_groups_without_names(spark, sf_dir):
 # --- stored specs and streams --------------------------------------------------------------------------------
 
 
-def _stored(spark) -> compiler.Specs:
-    maps = [_sale("o_orderkey", "saleID", slotDerivationSettings="range: integer"), *(_sale("o_orderstatus", "state", sourceValue=s, targetValue=t) for s, t in _STATES[:2]), _sale(None, "origin", targetExpr="'web'"), _sale("o_orderpriority", "urgency")]
+def _stored(spark, sf_dir) -> compiler.Specs:
+    """Specs, written as files and read back, that map the statuses of the data but the last."""
+    held = [r[0] for r in reshape.distinct_sorted(read_table(spark, sf_dir, "orders"), "o_orderstatus").collect()]
+    maps = [_sale("o_orderkey", "saleID", slotDerivationSettings="range: integer"), *(_sale("o_orderstatus", "state", sourceValue=s, targetValue=dict(_STATES)[s]) for s in held[:-1]), _sale(None, "origin", targetExpr="'web'"), _sale("o_orderpriority", "urgency")]
     path = work_folder(spark)
     stored.write_specs(specs_of(spark, maps=maps), path)
     return stored.read_specs(spark, stored.read_documents(spark, path), Schema.parse(SOURCE))
 
 
-_STORED_SQL = "SELECT o_orderkey AS \"saleID\", CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' END AS state, 'web' AS origin, o_orderpriority AS urgency FROM orders"
+_STORED_SQL = "SELECT o_orderkey AS \"saleID\", CASE WHEN o_orderstatus < (SELECT max(o_orderstatus) FROM orders) THEN CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' WHEN 'P' THEN 'partial' END END AS state, 'web' AS origin, o_orderpriority AS urgency FROM orders"
 
 
 @query(_STORED_SQL)
 def stored_specs_run(spark, sf_dir):
-    """Specs written as documents, read back and run."""
-    return execute.execute(_stored(spark), {"orders": read_table(spark, sf_dir, "orders")}, Schema.parse(TARGET))["sales"]
+    """Specs written as files, read back and run."""
+    return execute.execute(_stored(spark, sf_dir), {"orders": read_table(spark, sf_dir, "orders")}, Schema.parse(TARGET))["sales"]
 
 
-@query("SELECT v AS \"sourceEnumValue\", CAST(1 AS BIGINT) AS \"numMappers\", 'statusSet' AS \"sourceEnumName\" FROM (SELECT DISTINCT o_orderstatus AS v FROM orders) WHERE v NOT IN ('F', 'O')")
+@query("SELECT max(o_orderstatus) AS \"sourceEnumValue\", CAST(1 AS BIGINT) AS \"numMappers\", 'statusSet' AS \"sourceEnumName\" FROM orders")
 def stored_specs_validated(spark, sf_dir):
-    found = validate.validate(_stored(spark), Schema.parse(SOURCE), Schema.parse(TARGET))["missing_source_enum_values"]
+    found = validate.validate(_stored(spark, sf_dir), Schema.parse(SOURCE), Schema.parse(TARGET))["missing_source_enum_values"]
     return found.select("sourceEnumValue", "numMappers", "sourceEnumName")
 
 
-@query("SELECT 'measures' || printf('[000,%04d=%s]', k, c) AS target_class, slot AS target_slot, 'lineitem' AS source_class FROM (VALUES (0, 'l_linenumber-l_orderkey-l_quantity'), (1, 'l_linenumber-l_orderkey-l_tax')) t(k, c), (VALUES ('saleID'), ('line'), ('measure'), ('value')) s(slot)")
+@query("SELECT 'measures' || printf('[000,%04d=%s]', row_number() OVER (PARTITION BY slot ORDER BY s_suppkey) - 1, 'l_linenumber-l_orderkey-' || CASE s_suppkey % 2 WHEN 0 THEN 'l_quantity' ELSE 'l_tax' END) AS target_class, slot AS target_slot, 'lineitem' AS source_class FROM supplier, (VALUES ('saleID'), ('line'), ('measure'), ('value')) s(slot)")
 def spec_documents(spark, sf_dir):
-    """Documents of wide groups go by the class, the sheet, the group and its source slots."""
-    wide = [_wide(c, measure_value=m, value_value="{{" + c + "}}") for m, c in (("quantity", "l_quantity"), ("tax", "l_tax"))]
+    """A wide group of every supplier: documents go by the class, the sheet, the group and its source slots."""
+    held = [r[0] for r in read_table(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]
+    wide = [_wide(c := "l_tax" if k % 2 else "l_quantity", wideGroup=f"g{k}", measure_value=f"m{k}", value_value="{{" + c + "}}") for k in held]
     docs = stored.documents(specs_of(spark, maps=_BASE, wide=wide))
     return stored.slot_rows(spark, docs).select("target_class", "target_slot", "source_class")
 

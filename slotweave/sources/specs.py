@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 import yaml
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotweave.functions import exprs, names
 from slotweave.operators.compile import SCOPE, Specs
+from slotweave.sources.files import read_named, write_named
 from slotweave.sources.local import local_table, small_jobs
 from slotweave.sources.metadata import Schema
 from slotweave.sources.tables import SHEET
@@ -20,58 +23,73 @@ from slotweave.sources.tables import SHEET
 ROOT = "Container"
 
 
-def _read(settings: dict[str, str] | None) -> dict[str, Any]:
-    return {k: json.loads(v) for k, v in (settings or {}).items()}
+def spec_rows(specs: Specs) -> DataFrame:
+    """One row of each derivation, with what its document holds: deriv_id, file, name, source_class, slots, enums.
+
+    A derivation of a wide group goes by the class's name with the sheet's number, the
+    group's number and its source slots.
+    """
+    by_order = lambda *cells: F.array_sort(F.collect_list(F.struct(*cells)))
+    slots = specs.slots.groupBy("deriv_id").agg(
+        by_order("ord", "target_slot", "kind", "source_slot", "expr", F.map_entries("settings").alias("settings")).alias("slots"), F.collect_list(F.when(F.col("kind") == "copy", F.col("source_slot"))).alias("copied")
+    )
+    bound = specs.bindings.join(specs.values, [*SCOPE, "target_enum"], "left").select("deriv_id", "target_enum", "source_enum", F.coalesce("mirror_source", F.lit(False)).alias("mirror"), F.map_entries("settings").alias("settings"), "target_value", "source_values")
+    held = bound.groupBy("deriv_id", "target_enum").agg(F.min(F.struct("source_enum", "mirror", "settings")).alias("told"), F.array_sort(F.collect_set(F.when(F.col("target_value").isNotNull(), F.struct("target_value", "source_values")))).alias("values"))
+    enums = held.groupBy("deriv_id").agg(by_order("target_enum", "told", "values").alias("enums"))
+    sheet = F.floor(F.coalesce("ord", F.lit(0)) / SHEET)
+    group = F.row_number().over(Window.partitionBy("is_wide", sheet).orderBy("deriv_id")) - 1
+    decorated = names.decorated_name(F.col("target_class"), sheet, group, F.coalesce("copied", F.array().cast("array<string>")))
+    named = specs.classes.join(slots, "deriv_id", "left").withColumn("name", F.when(F.col("is_wide"), decorated).otherwise(F.col("target_class")))
+    file = F.format_string("mapper-%010d-%s-%s.yaml", "deriv_id", names.safe_file_name(F.col("source_class")), names.safe_file_name(F.col("name")))
+    return named.join(enums, "deriv_id", "left").select("deriv_id", file.alias("file"), "name", "source_class", "slots", "enums")
+
+
+def _document(row: Row) -> dict[str, Any]:
+    """Document of a row of ``spec_rows``; the root class names its source."""
+    told = lambda entries: {e["key"]: json.loads(e["value"]) for e in entries or []}
+    slots: dict[str, Any] = {}
+    for s in row["slots"] or []:
+        entry = {"name": s["target_slot"]}
+        if s["kind"] == "copy":
+            entry |= {"populated_from": s["source_slot"], **told(s["settings"])}
+        else:
+            entry |= {**told(s["settings"]), "expr": s["expr"] if s["kind"] == "expr" else repr(s["expr"])}
+        slots[s["target_slot"]] = entry
+    enums: dict[str, Any] = {}
+    for e in row["enums"] or []:
+        body = {"name": e["target_enum"], "populated_from": e["told"]["source_enum"], "mirror_source": bool(e["told"]["mirror"]), **told(e["told"]["settings"])}
+        if values := {v["target_value"]: list(v["source_values"]) for v in e["values"]}:
+            body["permissible_value_derivations"] = {k: {"populated_from": v[0]} if len(v) == 1 else {"sources": v} for k, v in values.items()}
+        enums[e["target_enum"]] = body
+    name, source = row["name"], row["source_class"]
+    classes = {name: {"name": name, "populated_from": source, "slot_derivations": slots}, ROOT: {"name": ROOT, "slot_derivations": {name: {"populated_from": source}}}}
+    return {"class_derivations": classes, "enum_derivations": enums}
 
 
 def documents(specs: Specs) -> list[tuple[str, dict[str, Any]]]:
-    """(file name, document) of every derivation, in order. Specs are as small as the mapping sheets.
+    """(file name, document) of every derivation, in order, held by the driver."""
+    with small_jobs(specs.classes.sparkSession):
+        return [(r["file"], _document(r)) for r in spec_rows(specs).orderBy("deriv_id").collect()]
 
-    A derivation of a wide group goes by the class's name with the sheet's number, the
-    group's number and its source slots; the root class names its source.
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([r["file"] for r in rows], pa.string()), pa.array([yaml.safe_dump(_document(r), sort_keys=False, allow_unicode=True) for r in rows], pa.string())], ["file", "document"])
+
+
+def write_specs(specs: Specs, path: str, tasks: int = 8) -> None:
+    """Write one YAML file for each derivation, from the tasks that hold them; older spec files of the folder go.
+
+    The files appear together when all are written; a failed job leaves the folder as it was.
     """
-    with small_jobs(specs.classes.sparkSession):
-        values: dict[tuple, dict] = {}
-        joined = specs.bindings.join(specs.values, [*SCOPE, "target_enum"], "left")
-        for r in joined.orderBy("deriv_id", "target_enum", "target_value").collect():
-            held = values.setdefault(r["deriv_id"], {}).setdefault(r["target_enum"], {"name": r["target_enum"], "populated_from": r["source_enum"], "mirror_source": bool(r["mirror_source"]), **_read(r["settings"])})
-            if r["target_value"] is not None:
-                sources = list(r["source_values"])
-                held.setdefault("permissible_value_derivations", {})[r["target_value"]] = {"populated_from": sources[0]} if len(sources) == 1 else {"sources": sources}
-        slots: dict[int, list] = {}
-        for r in specs.slots.orderBy("deriv_id", "ord").collect():
-            slots.setdefault(r["deriv_id"], []).append(r)
-        sheet = F.floor(F.coalesce("ord", F.lit(0)) / SHEET)
-        group = F.row_number().over(Window.partitionBy("is_wide", sheet).orderBy("deriv_id")) - 1
-        copied = specs.slots.filter("kind = 'copy'").groupBy("deriv_id").agg(F.collect_list("source_slot").alias("copied"))
-        decorated = names.decorated_name(F.col("target_class"), sheet, group, F.coalesce("copied", F.array().cast("array<string>")))
-        named = specs.classes.join(copied, "deriv_id", "left").withColumn("name", F.when(F.col("is_wide"), decorated).otherwise(F.col("target_class")))
-        file = F.format_string("mapper-%010d-%s-%s.yaml", "deriv_id", names.safe_file_name(F.col("source_class")), names.safe_file_name(F.col("name")))
-        out = []
-        for c in named.withColumn("file", file).orderBy("deriv_id").collect():
-            body = {}
-            for s in slots.get(c["deriv_id"], []):
-                entry: dict[str, Any] = {"name": s["target_slot"]}
-                if s["kind"] == "copy":
-                    entry |= {"populated_from": s["source_slot"], **_read(s["settings"])}
-                else:
-                    entry |= {**_read(s["settings"]), "expr": s["expr"] if s["kind"] == "expr" else repr(s["expr"])}
-                body[s["target_slot"]] = entry
-            classes = {c["name"]: {"name": c["name"], "populated_from": c["source_class"], "slot_derivations": body}, ROOT: {"name": ROOT, "slot_derivations": {c["name"]: {"populated_from": c["source_class"]}}}}
-            out.append((c["file"], {"class_derivations": classes, "enum_derivations": values.get(c["deriv_id"], {})}))
-        return out
-
-
-def write_specs(specs: Specs, path: str) -> None:
-    """Write the documents as a table of (file, document); ``spark.read`` reads them from any store."""
-    spark = specs.classes.sparkSession
-    rows = [(f, yaml.safe_dump(d, sort_keys=False)) for f, d in documents(specs)]
-    local_table(spark, rows, "file string, document string").coalesce(1).write.mode("overwrite").parquet(path)
+    rows = spec_rows(specs).repartition(tasks, "deriv_id")
+    write_named(rows.mapInArrow(_texts, "file string, document string"), path, suffix=".yaml")
 
 
 def read_documents(spark: SparkSession, path: str) -> list[tuple[str, dict[str, Any]]]:
-    rows = spark.read.parquet(path).orderBy("file").collect()
-    return [(r["file"], yaml.safe_load(r["document"])) for r in rows]
+    """(file name, document) of a folder of spec files, in the order of their names."""
+    return [(r["file"], yaml.safe_load(r["document"])) for r in read_named(spark, path, ".yaml").orderBy("file").collect()]
 
 
 def slot_rows(spark: SparkSession, docs: list[tuple[str, dict[str, Any]]]) -> DataFrame:
