@@ -1,35 +1,34 @@
 """Execution of specs on data: one lazy plan, one scan of each source table for each target class.
 
-All derivations of a class pair become structs of one ``inline``, so a source row
-that fans out into many target rows is read once.  Coded values go through
-literal maps, which a schema bounds.
+All derivations of a class pair share one read of the source: what they have in
+common is computed once for each source row, what differs is taken by position.
+Coded values go through value lists of any size (:mod:`slotweave.operators.lists`).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotweave.functions import exprs
 from slotweave.functions.names import EXTRA_PREFIX
+from slotweave.operators import lists
 from slotweave.operators.compile import SCOPE, Specs
-from slotweave.sources.local import small_jobs
+from slotweave.sources.local import local_table, small_jobs
 from slotweave.sources.metadata import Schema
 
 
+#: Cells of a fan-out that are computed in one step: keeps each generated method at a size that is compiled to machine code.
+STEP_CELLS = 96
+
+
 def translate(value: Column, mapping: dict[str, str], unmapped: str = "null") -> Column:
-    """Values through a map; what it lacks becomes null, stays (``keep``), or fails (``error``)."""
-    if not mapping:
-        hit = F.lit(None).cast("string")
-    else:
-        pairs = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
-        hit = F.try_element_at(pairs, value.cast("string"))
-    if unmapped == "keep":
-        return F.coalesce(hit, value.cast("string"))
-    if unmapped == "error":
-        return F.coalesce(hit, F.when(value.isNotNull(), F.raise_error(F.concat(F.lit("unmapped value: "), value.cast("string")))))
-    return hit
+    """Values through a map literal; what it lacks becomes null, stays (``keep``), or fails (``error``)."""
+    text = value.cast("string")
+    return lists.resolved(F.try_element_at(lists.literal_map(mapping), text) if mapping else F.lit(None).cast("string"), text, unmapped)
 
 
 def _value_maps(specs: Specs) -> dict[tuple, tuple[dict[str, str], bool]]:
@@ -55,21 +54,72 @@ def _value_maps(specs: Specs) -> dict[tuple, tuple[dict[str, str], bool]]:
     return out
 
 
-def _slot_column(slot, data: DataFrame, held: tuple[dict[str, str], bool] | None, kind: T.DataType, on_multi: str) -> Column:
-    if slot["kind"] == "const":
-        return F.lit(slot["expr"]).cast(kind)
-    if slot["kind"] == "expr":
-        return exprs.slot_expression(slot["expr"], data.schema).try_cast(kind) if slot["expr"] else F.lit(None).cast(kind)
-    c, many = F.col(f"`{slot['source_slot']}`"), isinstance(data.schema[slot["source_slot"]].dataType, T.ArrayType)
-    through = (lambda x: translate(x, held[0], "keep" if held[1] else "null")) if held else (lambda x: x)
-    if not many:
-        return through(c).try_cast(kind)
-    out = F.transform(c, through)
-    if isinstance(kind, T.ArrayType):
-        return out.cast(kind)
-    if on_multi == "error":
-        return F.when(F.size(c) > 1, F.raise_error(F.lit(f"several values for {slot['target_slot']}"))).otherwise(F.get(out, 0)).cast(kind)
-    return F.get(out, 0).cast(kind)
+@dataclass
+class _Source:
+    """Rows of a source class, and the columns that large value lists have added to them."""
+
+    data: DataFrame
+    schema: T.StructType
+    found: dict[tuple, str] = field(default_factory=dict)
+
+    def listed(self, slot: str, mapping: dict[str, str]) -> Column:
+        """A slot's values through a list that is too large for a literal: a join, once for each slot and list."""
+        key = (slot, frozenset(mapping.items()))
+        if key not in self.found:
+            out = f"_list{len(self.found)}"
+            while out in self.data.columns:
+                out = f"_{out}"
+            values = local_table(self.data.sparkSession, list(mapping.items()), "source_value string, target_value string")
+            self.data, self.found[key] = lists.looked_up(self.data, F.col(f"`{slot}`").cast("string"), values, out), out
+        return F.col(self.found[key])
+
+    def column(self, slot, held: tuple[dict[str, str], bool] | None, kind: T.DataType, on_multi: str) -> Column:
+        if slot["kind"] == "const":
+            return F.lit(slot["expr"]).cast(kind)
+        if slot["kind"] == "expr":
+            return exprs.slot_expression(slot["expr"], self.schema).try_cast(kind) if slot["expr"] else F.lit(None).cast(kind)
+        name = slot["source_slot"]
+        c, many = F.col(f"`{name}`"), isinstance(self.schema[name].dataType, T.ArrayType)
+        rule = "keep" if held and held[1] else "null"
+        if held and not many and not lists.fits_literal(held[0]):
+            return lists.resolved(self.listed(name, held[0]), c.cast("string"), rule).try_cast(kind)
+        # an array's values go through a literal, whatever the list's size
+        through = (lambda x: translate(x, held[0], rule)) if held else (lambda x: x)
+        if not many:
+            return through(c).try_cast(kind)
+        out = F.transform(c, through)
+        if isinstance(kind, T.ArrayType):
+            return out.cast(kind)
+        if on_multi == "error":
+            return F.when(F.size(c) > 1, F.raise_error(F.lit(f"several values for {slot['target_slot']}"))).otherwise(F.get(out, 0)).cast(kind)
+        return F.get(out, 0).cast(kind)
+
+
+def _bound(rows: DataFrame, columns: dict[str, Column], name: str) -> DataFrame:
+    """``rows`` with a struct of these columns, computed once for each row: a plain projection would be computed again for each row that a later generator makes."""
+    return rows.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias(name))
+
+
+def fan_out(rows: DataFrame, names: list[str], shared: dict[str, Column], constant: dict[str, list[Column]], varying: dict[str, list[Column]], times: int) -> DataFrame:
+    """``times`` rows of each row: slots that all of them have, slots with a constant each, and slots with a cell each.
+
+    The shared slots and one array of cells for each varying slot are computed once
+    for each source row, ``STEP_CELLS`` cells to a step; the rows made then take
+    their cells by position.  The scan is read once.
+    """
+    mark = "_"
+    while any(c.startswith(f"{mark}step") or c == f"{mark}place" for c in rows.columns):
+        mark += "_"
+    place, held = F.col(f"{mark}place"), {}
+    per_step = max(1, STEP_CELLS // times)
+    arrays = {n: F.array(*cells) for n, cells in varying.items()}
+    parts = [shared, *({n: arrays[n] for n in list(arrays)[k : k + per_step]} for k in range(0, len(arrays), per_step))]
+    for k, columns in enumerate(parts):
+        if columns:
+            rows = _bound(rows, columns, f"{mark}step{k}")
+            held |= {n: F.col(f"{mark}step{k}")[n] if k == 0 else F.get(F.col(f"{mark}step{k}")[n], place) for n in columns}
+    held |= {n: F.get(F.array(*cells), place) for n, cells in constant.items()}
+    return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(f"{mark}place")).select(*(held[n].alias(n) for n in names))
 
 
 def execute(specs: Specs, tables: dict[str, DataFrame], target: Schema, on_multi: str = "first", keep_extra: bool = False) -> dict[str, DataFrame]:
@@ -83,16 +133,33 @@ def execute(specs: Specs, tables: dict[str, DataFrame], target: Schema, on_multi
         groups.setdefault((r["source_class"], r["target_class"]), {}).setdefault(r["deriv_id"], []).append(r)
     out: dict[str, DataFrame] = {}
     for (source_class, target_class), derivations in groups.items():
-        data = tables[source_class]
+        source = _Source(tables[source_class], tables[source_class].schema)
         known = target.slots(target_class) if target_class in target.classes() else {}
         names = list(dict.fromkeys(r["target_slot"] for d in derivations.values() for r in d))
         names = [n for n in names if keep_extra or not n.startswith(EXTRA_PREFIX)]
         kinds = {n: target.type_of(target_class, n) if n in known else T.StringType() for n in names}
-        structs = []
-        for deriv, slots in derivations.items():
-            own = {r["target_slot"]: _slot_column(r, data, maps.get((deriv, r["target_slot"])), kinds[r["target_slot"]], on_multi) for r in slots if r["target_slot"] in kinds}
-            structs.append(F.struct(*(own.get(n, F.lit(None).cast(kinds[n])).alias(n) for n in names)))
-        rows = data.select(structs[0].alias("_")).select("_.*") if len(structs) == 1 else data.select(F.inline(F.array(*structs)))
+        cells = {d: {r["target_slot"]: r for r in slots} for d, slots in derivations.items()}
+
+        def told(deriv: int, name: str):
+            """What makes a cell: equal where the cell is."""
+            r = cells[deriv].get(name)  # noqa: B023
+            return r and (r["kind"], r["source_slot"], r["expr"], maps.get((deriv, name)) if r["kind"] == "copy" else None)
+
+        def column(deriv: int, name: str) -> Column:
+            r = cells[deriv].get(name)  # noqa: B023
+            return F.lit(None).cast(kinds[name]) if r is None else source.column(r, maps.get((deriv, name)), kinds[name], on_multi)  # noqa: B023
+
+        first, *others = derivations
+        same = [n for n in names if all(told(d, n) == told(first, n) for d in others)]
+        shared = {n: column(first, n) for n in same}
+        if len(same) == len(names) and not others:
+            rows = source.data.select(*(c.alias(n) for n, c in shared.items()))
+        else:
+            rest = [n for n in names if n not in shared]
+            plain = [n for n in rest if all((t := told(d, n)) is None or t[0] == "const" for d in derivations)]
+            by_deriv = {n: [column(d, n) for d in derivations] for n in rest}
+            constant, varying = ({n: c for n, c in by_deriv.items() if (n in plain) is wanted} for wanted in (True, False))
+            rows = fan_out(source.data, names, shared, constant, varying, len(derivations))
         out[target_class] = out[target_class].unionByName(rows, allowMissingColumns=True) if target_class in out else rows
     return out
 
