@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotweave.llm.text import _LOWER, U64, _Powers, blocks, checkpoint, drop_tables, mix, string_buffers
+from slotweave.llm.text import _LOWER, HASH_STEP, U64, _Powers, blocks, checkpoint, drop_tables, mix, string_buffers
 
 PIECE_ENDS = ".,;:!?\n\v\f\r"
 MOST_WORDS = 3
@@ -51,7 +51,6 @@ _ENDS[list(PIECE_ENDS.encode())] = True
 _BREAKS = _ENDS.copy()
 _BREAKS[[0x20, 0x09]] = True
 _POWERS = _Powers(0xC2B2AE3D27D4EB4F | 1)
-_STEP = 1 << 19
 
 
 class Words:
@@ -77,7 +76,7 @@ class Words:
         of = keys[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else keys
         a = 0
         while a < len(starts):
-            b = max(int(np.searchsorted(ends, starts[a] + _STEP, side="right")), a + 1)
+            b = max(int(np.searchsorted(ends, starts[a] + HASH_STEP, side="right")), a + 1)
             low, high = starts[a], ends[b - 1]
             up, down = _POWERS.upto(int(high - low) + 1)
             sums = np.zeros(int(high - low) + 1, dtype=U64)

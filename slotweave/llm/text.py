@@ -27,6 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 LETTERS = r"0-9A-Za-z\x{C0}-\x{1FFF}\x{2C00}-\x{D7FF}\x{F900}-\x{FFFD}\x{10000}-\x{10FFFF}"
 
 BLOCK_BYTES = 4 << 20
+#: Bytes whose words are hashed at once; running sums and powers take 8 bytes for each.
+HASH_STEP = 1 << 19
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -167,7 +169,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     out = np.empty(len(starts), dtype=U64)
     at = 0
     while at < len(starts):
-        to = max(int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, side="right")), at + 1)
+        to = max(int(np.searchsorted(ends, starts[at] + HASH_STEP, side="right")), at + 1)
         low, high = starts[at], ends[to - 1]
         up, down = _BYTE_POWERS.upto(int(high - low) + 1)
         sums = np.zeros(int(high - low) + 1, dtype=U64)
