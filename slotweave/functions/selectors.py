@@ -1,19 +1,19 @@
 """Selectors: tags on mapping rows that switch them on or off for a run.
 
 A row's selectors are a comma-separated list of include flags, ``!`` exclude
-flags and version conditions on modules (``odm>=3.0``).  A run gives flags,
+flags and version conditions on modules (``core>=3.0``).  A run gives flags,
 ``!`` flags and ``module=version`` pairs.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotweave.functions import versions
+
 #: Fixed value: the form of a version condition, matched at the start of a selector.
 CONDITION = r"([A-Za-z0-9_]+)\s*([<>=!~]+)(\s*)([\d\.]+)"
 _CONDITION = f"^{CONDITION}"
@@ -50,49 +50,15 @@ def _strings(values) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def _release(text: Column) -> Column:
-    """Release numbers of a version that is digits and dots."""
-    return F.transform(F.filter(F.split(text, r"\."), lambda x: x != ""), lambda x: x.cast("long"))
-
-
-def _compared(have: Column, want: Column) -> tuple[Column, Column]:
-    """Both arrays with zeros behind them up to the longer one's size, so that they compare like versions."""
-    size = F.greatest(F.size(have), F.size(want))
-    return tuple(F.concat(x, F.array_repeat(F.lit(0).cast("long"), size - F.size(x))) for x in (have, want))
-
-
-#: A version of a run: release numbers, then what makes it a pre-release, a post-release or a local one.
-_VERSION = re.compile(r"v?(?P<release>[0-9]+(?:\.[0-9]+)*)(?P<pre>[-_.]?(?:a|b|c|rc|alpha|beta|pre|preview)[-_.]?[0-9]*)?(?P<post>-[0-9]+|[-_.]?(?:post|rev|r)[-_.]?[0-9]*)?(?P<dev>[-_.]?dev[-_.]?[0-9]*)?(?:\+[a-z0-9]+(?:[-_.][a-z0-9]+)*)?", re.IGNORECASE)
-
-
-def parse_version(text: str) -> tuple[list[int], bool, bool]:
-    """(release numbers, pre-release, post-release) of a run's version."""
-    found = _VERSION.fullmatch(text.strip())
-    if not found:
-        raise ValueError(f"not a version: {text!r}")
-    return [int(x) for x in found["release"].split(".")], bool(found["pre"] or found["dev"]), bool(found["post"])
-
-
-#: Version operators and what they ask of (have, wanted, whether have is a post-release of its numbers, numbers named by wanted).
-_OPERATORS = {
-    "==": lambda have, want, post, n: (have == want) & ~post,
-    "!=": lambda have, want, post, n: (have != want) | post,
-    ">=": lambda have, want, post, n: have >= want,
-    "<=": lambda have, want, post, n: (have < want) | ((have == want) & ~post),
-    ">": lambda have, want, post, n: have > want,
-    "<": lambda have, want, post, n: have < want,
-    "~=": lambda have, want, post, n: (have >= want) & (F.slice(have, F.lit(1), n - 1) == F.slice(want, F.lit(1), n - 1)),
-}
-
-
-def _met(have: Column, post: bool, operator: str, holds: Callable) -> Callable[[Column], Column]:
-    """Whether a condition, where it has this operator, holds for the version ``have``."""
+#: What a condition says after its module: the operator, then everything behind it.
+_TOLD = r"^[A-Za-z0-9_]+\s*([<>=!~]+)\s*(.*)$"
 
-    def met(x: Column) -> Column:
-        want = _release(x["text"])
-        return (x["operator"] != operator) | holds(*_compared(have, want), F.lit(post), F.greatest(F.size(want), F.lit(2)))
 
-    return met
+def _condition(selector: Column) -> Column:
+    """Operator and version of a module's condition: the whole version where it is one (epochs, wildcards, pre-releases), else its leading digits and dots."""
+    whole = F.concat(F.regexp_extract(selector, _TOLD, 1), F.trim(F.regexp_extract(selector, _TOLD, 2)))
+    digits = F.concat(F.regexp_extract(selector, _CONDITION, 2), F.regexp_extract(selector, _CONDITION, 4))
+    return F.when(versions.valid_condition(whole), whole).otherwise(digits)
 
 
 def passes(selectors: Column, run: RunSelectors) -> Column:
@@ -106,20 +72,15 @@ def passes(selectors: Column, run: RunSelectors) -> Column:
     ok = ~F.arrays_overlap(included, run_out) & ~F.arrays_overlap(excluded, run_in)
     ok &= (F.size(included) == 0) | F.arrays_overlap(included, run_in)
 
-    told = F.transform(conditions, lambda x: F.struct(F.regexp_extract(x, _CONDITION, 1).alias("module"), F.regexp_extract(x, _CONDITION, 2).alias("operator"), F.regexp_extract(x, _CONDITION, 4).alias("text")))
+    told = F.transform(conditions, lambda x: F.struct(F.regexp_extract(x, _CONDITION, 1).alias("module"), _condition(x).alias("condition")))
     ok &= F.forall(told, lambda x: x["module"].isin(list(run.modules)))
-    # a compatible release names two numbers at least
-    odd = F.filter(told, lambda x: ~x["operator"].isin(list(_OPERATORS)) | ((x["operator"] == "~=") & (F.size(_release(x["text"])) < 2)))
-    ok &= F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("invalid version condition in: "), selectors)).cast("boolean")).otherwise(True)
-    for module, versions in run.modules.items():
-        own = F.filter(told, lambda x: x["module"] == module)  # noqa: B023
-        for release, early, post in map(parse_version, versions):
-            if early:  # conditions name no pre-releases, and such conditions don't take any
-                ok &= F.size(own) == 0
-                continue
-            have = F.array(*map(F.lit, release)).cast("array<long>")
-            for operator, holds in _OPERATORS.items():
-                ok &= F.forall(own, _met(have, post, operator, holds))
+    odd = F.exists(told, lambda x: ~versions.valid_condition(x["condition"]))
+    ok &= F.when(odd, F.raise_error(F.concat(F.lit("invalid version condition in: "), selectors)).cast("boolean")).otherwise(True)
+    for module, held in run.modules.items():
+        own = F.transform(F.filter(told, lambda x: x["module"] == module), lambda x: x["condition"])  # noqa: B023
+        for version in held:
+            versions.compare(version, version)  # refuses what is no version
+            ok &= (F.size(own) == 0) | versions.meets_all(F.lit(version), own)
     return ok
 
 

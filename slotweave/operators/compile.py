@@ -214,7 +214,9 @@ def bind_enums(slots: DataFrame, enums: DataFrame, source: Schema) -> tuple[Data
     return bound.join(known, "source_enum", "left").withColumn("mirrored", F.when(F.col("mirror_source"), F.col("mirrored"))).select(*bound.columns, "mirrored"), many
 
 
-_KEPT: OrderedDict[str, tuple[SparkSession, Specs]] = OrderedDict()
+def _kept(spark: SparkSession) -> OrderedDict[str, Specs]:
+    """The session's compiled specs; they live on the session and go with it."""
+    return spark.__dict__.setdefault("_slotweave_specs", OrderedDict())
 
 
 def compile_mapping(spark: SparkSession, source: Schema, target: Schema, maps: DataFrame | None = None, wide: DataFrame | None = None, enums: DataFrame | None = None, source_ops: list | None = None, ontology: str | None = None, strict: bool = False) -> Specs:
@@ -226,14 +228,12 @@ def compile_mapping(spark: SparkSession, source: Schema, target: Schema, maps: D
         given = {k: (None if x is None else (x, x.collect())) for k, x in (("maps", maps), ("wide", wide), ("enums", enums))}
         told = [(k, x and x[0].dtypes, x and [tuple(r) for r in x[1]]) for k, x in given.items()]
         key = hashlib.sha256(repr((told, source.raw, target.raw, source_ops, ontology, spark.conf.get("spark.sql.session.timeZone"))).encode()).hexdigest()
-        held = _KEPT.get(key)
-        if held and held[0] is spark and spark.sparkContext._jsc is not None:
-            specs = held[1]
-        else:
-            specs = _compiled(spark, source, target, given, source_ops, ontology)
-            _KEPT[key] = (spark, specs)
-            while len(_KEPT) > KEPT_SPECS:
-                _KEPT.popitem(last=False)
+        kept = _kept(spark)
+        specs = kept.get(key)
+        if specs is None:
+            specs = kept[key] = _compiled(spark, source, target, given, source_ops, ontology)
+            while len(kept) > KEPT_SPECS:
+                kept.popitem(last=False)
         if strict and (errors := specs.diagnostics.filter("severity = 'error'").orderBy("ord").limit(20).collect()):
             raise MappingError("; ".join(f"{r['code']}: {r['message']}" for r in errors))
         return specs

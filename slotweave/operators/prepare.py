@@ -12,7 +12,7 @@ from slotweave.sources.tables import strip_cells
 #: The columns of prepared rows, in this order.
 MAPS = ["sourceClass", "sourceSlot", "sourceValue", "targetClass", "targetSlot", "targetValue", "targetExpr", "customData", "enumDerivationSettings", "slotDerivationSettings"]
 ENUMS = ["sourceClass", "sourceSlot", "sourceEnum", "sourceValue", "targetClass", "targetSlot", "targetEnum", "targetValue", "enumDerivationSettings", "slotDerivationSettings"]
-WIDE = ["sourceClass", "sourceSlot", "sourceValue", "targetClass", "targetSlot", "targetValue", "wideGroup", "wideOtherSlots", "slotDerivationSettings", "enumDerivationSettings"]
+WIDE = ["sourceClass", "sourceSlot", "sourceValue", "targetClass", "targetSlot", "targetValue", "wideGroup", "wideOtherSlots", "enumDerivationSettings", "slotDerivationSettings"]
 
 
 def _shared(rows: DataFrame, run: selectors.RunSelectors | None) -> DataFrame:

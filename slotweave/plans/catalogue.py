@@ -183,7 +183,7 @@ def unpivot_sheet(spark, sf_dir):
 
 # --- selectors, gates and names ------------------------------------------------------------------------
 
-_TAGS = "CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'b, c' WHEN 2 THEN '!b' WHEN 3 THEN 'd' WHEN 4 THEN 'odm>=3.0,odm<=3.1' ELSE 'b,odm~=2.1' END"
+_TAGS = "CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'b, c' WHEN 2 THEN '!b' WHEN 3 THEN 'd' WHEN 4 THEN 'core>=3.0,core<=3.1' ELSE 'b,core~=2.1' END"
 
 
 def _selected(spark, sf_dir, run: list[str]):
@@ -207,12 +207,12 @@ def selector_exclude(spark, sf_dir):
 
 @query(_selected_sql("0, 2, 4"))
 def selector_version(spark, sf_dir):
-    return _selected(spark, sf_dir, ["odm=3.0.5"])
+    return _selected(spark, sf_dir, ["core=3.0.5"])
 
 
 @query(_selected_sql("0, 1, 5"))
 def selector_compatible(spark, sf_dir):
-    return _selected(spark, sf_dir, ["b", "odm=2.4"])
+    return _selected(spark, sf_dir, ["b", "core=2.4"])
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_size % 3 < 2")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import yaml
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from slotweave.functions import versions
 from slotweave.operators import compile as compiler
 from slotweave.operators import execute, lists, prepare
 from slotweave.plans.catalogue import _item, _wide, query, rows, specs_of
@@ -94,3 +96,37 @@ def value_list_beyond_broadcast(spark, sf_dir):
     """The same where nothing is small enough to be broadcast but the commonest values."""
     lineitem = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     return lists.translated(lineitem, "l_orderkey", _orders_list(spark, sf_dir), "buyer", "keep", broadcast_bytes=0)
+
+
+#: Versions made of a part's numbers, in six spellings; and as many conditions, by size.
+_VERSION = "CASE p_partkey % 6 WHEN 0 THEN printf('%d.%d', a, b) WHEN 1 THEN printf('%d.%d.0', a, b) WHEN 2 THEN printf('v%d.%d.%d', a, b, c) WHEN 3 THEN printf('%d.%drc%d', a, b, c) WHEN 4 THEN printf('%d.%d.post%d', a, b, c) ELSE printf('1!%d.%d', a, b) END"
+_CONDITIONS = {1: ">=2.3", 2: "<2.3", 3: "==2.3.*", 4: "~=2.3", 5: ">=2.3rc2", 0: "!=2.3"}
+_NUMBERS = "p_partkey % 5 AS a, p_partkey // 5 % 7 AS b, p_partkey // 35 % 4 AS c"
+
+
+@query(f"""
+WITH v AS (SELECT p_partkey, p_size, {_NUMBERS} FROM part),
+k AS (
+  -- release numbers, then what kind it is: pre-release below, post-release above
+  SELECT *, {_VERSION} AS version, CASE WHEN p_partkey % 6 = 5 THEN 1 ELSE 0 END AS epoch, CASE WHEN p_partkey % 6 = 2 THEN c ELSE 0 END AS third,
+         CASE p_partkey % 6 WHEN 3 THEN -10 + c WHEN 4 THEN 1 + c ELSE 0 END AS kind FROM v
+)
+SELECT p_partkey, version, CASE p_size % 6
+  WHEN 1 THEN kind >= 0 AND (epoch, a, b, third, kind) >= (0, 2, 3, 0, 0)
+  WHEN 2 THEN kind >= 0 AND (epoch, a, b) < (0, 2, 3)
+  WHEN 3 THEN kind >= 0 AND (epoch, a, b) = (0, 2, 3)
+  WHEN 4 THEN kind >= 0 AND (epoch, a, b, third, kind) >= (0, 2, 3, 0, 0) AND epoch = 0 AND a = 2
+  WHEN 5 THEN (epoch, a, b, third, kind) >= (0, 2, 3, 0, -8)
+  ELSE kind >= 0 AND (epoch, a, b, third, kind) <> (0, 2, 3, 0, 0) END AS met,
+  dense_rank() OVER (ORDER BY epoch, a, b, third, kind) AS place
+FROM k
+""")
+def version_conditions(spark, sf_dir):
+    """Versions of all parts against conditions by their keys; and their places, by nothing but the keys."""
+    numbers = read_table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size", *(x.strip() for x in _NUMBERS.replace("//", "div").split(",")))
+    version = F.expr(_VERSION)
+    condition = F.element_at(F.create_map(*(F.lit(x) for pair in _CONDITIONS.items() for x in pair)), (F.col("p_size") % 6).cast("int"))
+    told = numbers.withColumn("version", version).withColumn("key", versions.version_key(F.col("version")))
+    # every distinct key once, then its place: as many rows as there are versions
+    places = told.select("key").distinct().withColumn("place", F.row_number().over(Window.orderBy("key")).cast("long"))
+    return told.join(places, "key").select("p_partkey", "version", versions.meets_all(F.col("version"), F.array(condition)).alias("met"), "place")

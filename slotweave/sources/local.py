@@ -54,6 +54,9 @@ def small_jobs(spark: SparkSession) -> Iterator[None]:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: below ``spark.checkpoint.dir``, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    """A new folder that the driver and all executors see: below ``spark.checkpoint.dir``, or, on a local master, the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     return f"{root.rstrip('/')}/mapping-{uuid.uuid4().hex}"

@@ -36,9 +36,10 @@ def test_cells(spark):
 
 @pytest.mark.parametrize("row, run, kept", [
     (None, ["b"], True), ("", ["!b"], True), ("amr", [], False), ("amr", ["amr"], True), ("b,c", ["c"], True), ("b", ["!b"], False), ("!b", ["b"], False), ("!b", [], True),
-    ("odm>=3.0,odm<=3.1", ["odm=3.0.5"], True), ("odm>=3.0,odm<=3.1", ["odm=3.2"], False), ("odm~=2.1", ["odm=2.4"], True), ("odm~=2.1", ["odm=3.0"], False), ("odm>3", [], False), ("odm!=3", ["odm=3.0"], False),
-    ("odm>=3.0", ["odm=3.0rc1"], False), ("odm<4", ["odm=3.0.dev1"], False), ("b", ["b", "odm=3.0rc1"], True), ("odm>=3.0", ["odm=3.0.post1"], True), ("odm>3.0", ["odm=3.0.post1"], False), ("odm==3.0", ["odm=3.0.post1"], False), ("odm==3.0", ["odm=v3.0+local.1"], True),
-    ("odm<1.2.3.4.5.6.7.8.9", ["odm=1.2.3.4.5.6.7.8.8"], True), ("odm<1.2.3.4.5.6.7.8.9", ["odm=1.2.3.4.5.6.7.8.9"], False), ("odm~=2.1.4", ["odm=2.1.9"], True), ("odm~=2.1.4", ["odm=2.2"], False),
+    ("core>=3.0,core<=3.1", ["core=3.0.5"], True), ("core>=3.0,core<=3.1", ["core=3.2"], False), ("core~=2.1", ["core=2.4"], True), ("core~=2.1", ["core=3.0"], False), ("core>3", [], False), ("core!=3", ["core=3.0"], False),
+    ("core>=3.0", ["core=3.0rc1"], False), ("core<4", ["core=3.0.dev1"], False), ("b", ["b", "core=3.0rc1"], True), ("core>=3.0", ["core=3.0.post1"], True), ("core>3.0", ["core=3.0.post1"], False), ("core==3.0", ["core=3.0.post1"], False), ("core==3.0", ["core=v3.0+local.1"], True),
+    ("core<1.2.3.4.5.6.7.8.9", ["core=1.2.3.4.5.6.7.8.8"], True), ("core<1.2.3.4.5.6.7.8.9", ["core=1.2.3.4.5.6.7.8.9"], False), ("core==3.0.*", ["core=3.0.7"], True), ("core==3.0.*", ["core=3.1"], False), ("core!=3.0.*", ["core=3.0.7"], False), ("core>=1!2.0", ["core=5.0"], False), ("core>=1!2.0", ["core=1!2.1"], True), ("core===3.0", ["core=3.0"], True), ("core===3.0", ["core=3"], False),
+    ("core>=3.0rc1", ["core=3.0rc2"], True), ("core>=3.0rc2", ["core=3.0rc1"], False), ("core >= 3.0 beta text", ["core=3.0"], True), ("core~=2.1.4", ["core=2.1.9"], True), ("core~=2.1.4", ["core=2.2"], False),
 ])
 def test_selectors(spark, row, run, kept):
     assert one(spark, lambda c: selectors.passes(c, selectors.parse_run(run)), row) is kept
@@ -46,9 +47,9 @@ def test_selectors(spark, row, run, kept):
 
 def test_versions_that_are_none(spark):
     with pytest.raises(ValueError):
-        one(spark, lambda c: selectors.passes(c, selectors.parse_run(["odm=new"])), "odm>=3")
+        one(spark, lambda c: selectors.passes(c, selectors.parse_run(["core=new"])), "core>=3")
     with pytest.raises(Exception, match="invalid version condition"):
-        one(spark, lambda c: selectors.passes(c, selectors.parse_run(["odm=3.1"])), "odm~=3")
+        one(spark, lambda c: selectors.passes(c, selectors.parse_run(["core=3.1"])), "core~=3")
 
 
 def test_expressions(spark):
