@@ -198,12 +198,15 @@ def bind_enums(slots: DataFrame, enums: DataFrame, source: Schema) -> tuple[Data
     """
     ranges = source.range_table(slots.sparkSession).filter("kind = 'enum'").select(F.col("class").alias("source_class"), F.col("slot").alias("source_slot"), F.col("range").alias("source_enum"))
     wanted = slots.filter("kind = 'copy'").join(ranges, ["source_class", "source_slot"])
-    fits = lambda a, b: (F.col(f"e.{a}") == "") | (F.col(f"e.{a}") == F.col(f"s.{b}"))
-    on = (F.col("e.source_enum") == F.col("s.source_enum")) & fits("sourceClass", "source_class") & fits("targetClass", "target_class") & fits("sourceSlot", "source_slot") & fits("targetSlot", "target_slot")
-    matched = wanted.alias("s").join(enums.alias("e"), on, "left")
-    counted = matched.groupBy("s.deriv_id", "s.target_slot", "s.source_enum").agg(
-        F.count("e.target_enum").alias("n"), F.min("s.ord").alias("_ord"), F.first(F.struct("e.sourceClass", "e.targetClass", "e.sourceSlot", "e.targetSlot", "e.target_enum", "e.mirror_source", "e.settings"), ignorenulls=True).alias("b")
-    )
+    # each of the sixteen ways to leave keys blank is one key to look up, so scopes are met by equality alone
+    own = [F.coalesce(c, F.lit("")) for c in ("source_class", "target_class", "source_slot", "target_slot")]
+    ways = F.array_distinct(F.array(*(F.struct(*((v if mask >> k & 1 else F.lit("")).alias(c) for k, (c, v) in enumerate(zip(SCOPE, own, strict=True)))) for mask in reversed(range(1 << len(SCOPE))))))
+    keys = ["deriv_id", "target_slot", "source_enum"]
+    met = wanted.select(*keys, F.inline(ways)).distinct().join(enums, ["source_enum", *SCOPE])
+    # the most specific scope comes first where several fit
+    rank = F.struct(*(F.when(F.col(c) == "", 1).otherwise(0) for c in SCOPE), "target_enum")
+    found = met.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by(F.struct(*SCOPE, "target_enum", "mirror_source", "settings"), rank).alias("b"))
+    counted = wanted.groupBy(*keys).agg(F.min("ord").alias("_ord")).join(found, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     many = _note(counted.filter("n > 1"), "error", "E_AMBIGUOUS", F.concat_ws("", F.lit("several enum derivations fit "), "target_slot"))
     known = source.value_table(slots.sparkSession).groupBy(F.col("enum").alias("source_enum")).agg(F.collect_list("value").alias("mirrored"))
     found = F.col("n") == 1
