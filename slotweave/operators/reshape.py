@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotweave.functions import names
+from slotweave.functions.automaton import longest_of_many
+
+#: So many names are looked for one by one, in generated code.
+MOST_TESTS = 24
 
 
 def ordered_columns(df: DataFrame, first: list[str]) -> DataFrame:
@@ -109,7 +113,9 @@ def class_of(df: DataFrame, column: str, known: DataFrame | None, name: str) ->
 
 
 def longest_contained(df: DataFrame, column: str, names: list[str], out: str) -> DataFrame:
-    """Longest of the names that a value contains, case aside (first of equal lengths), null if none; names come from a schema."""
+    """Longest of the names that a value contains, case aside (first of equal lengths), null if none; many names become one automaton."""
+    if len(names) > MOST_TESTS:
+        return longest_of_many(df, column, names, out)
     ranked = sorted(names, key=lambda n: -len(n))
     hits = [F.when(F.contains(F.lower(column), F.lit(n.lower())), F.lit(n)) for n in ranked]
     return df.withColumn(out, F.coalesce(*hits) if hits else F.lit(None).cast("string"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import versions
 from slotweave.operators import compile as compiler
-from slotweave.operators import execute, lists, prepare
+from slotweave.operators import execute, lists, prepare, reshape
 from slotweave.plans.catalogue import _item, _wide, query, rows, specs_of
 from slotweave.plans.schemas import SOURCE, TARGET
 from slotweave.sources.metadata import Schema
@@ -130,3 +130,19 @@ def version_conditions(spark, sf_dir):
     # every distinct key once, then its place: as many rows as there are versions
     places = told.select("key").distinct().withColumn("place", F.row_number().over(Window.orderBy("key")).cast("long"))
     return told.join(places, "key").select("p_partkey", "version", versions.meets_all(F.col("version"), F.array(condition)).alias("met"), "place")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN c_name IS NOT NULL THEN c_name ELSE 'Customer' END WHEN o_orderkey % 4 = 1 THEN CASE WHEN contains(lower(n_name), 'united') OR length(n_name) > 8 THEN n_name ELSE 'Customer' END
+       WHEN o_orderkey % 4 = 2 THEN n_name END AS class
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = o_orderkey % 25
+""")
+def longest_of_many_classes(spark, sf_dir):
+    """The longest name in a text, of all customers, all nations and a word that all customers begin with."""
+    customers = [r[0] for r in read_table(spark, sf_dir, "customer").select("c_name").collect()]
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    nations = [r[1] for r in nation.collect()]
+    orders = read_table(spark, sf_dir, "orders").join(F.broadcast(nation), F.col("n_nationkey") == F.col("o_orderkey") % 25)
+    who = F.format_string("customer#%09d", "o_custkey")
+    text = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("for "), who, F.lit("."))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("custom customers of "), F.lower("n_name"))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("to:"), "n_name", F.lit("!")))
+    return reshape.longest_contained(orders.select("o_orderkey", text.alias("text")), "text", ["Customer", *nations, *customers], "class").select("o_orderkey", "class")
