@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from slotweave.functions import exprs
 from slotweave.functions.names import EXTRA_PREFIX
 from slotweave.operators import lists
+from slotweave.operators.losses import Losses
 from slotweave.operators.compile import SCOPE, Specs
 from slotweave.sources.local import local_table, small_jobs
 from slotweave.sources.metadata import Schema
@@ -61,6 +62,8 @@ class _Source:
     data: DataFrame
     schema: T.StructType
     found: dict[tuple, str] = field(default_factory=dict)
+    #: (target slot, source slot, list) -> (value, what it becomes) of coded slots whose other values become null
+    coded: dict[tuple, tuple[Column, Column]] = field(default_factory=dict)
 
     def listed(self, slot: str, mapping: dict[str, str]) -> Column:
         """A slot's values through a list that is too large for a literal: a join, once for each slot and list."""
@@ -73,6 +76,11 @@ class _Source:
             self.data, self.found[key] = lists.looked_up(self.data, F.col(f"`{slot}`").cast("string"), values, out), out
         return F.col(self.found[key])
 
+    def _told(self, slot, mapping: dict[str, str], rule: str, value: Column, hit: Column) -> Column:
+        if rule == "null":
+            self.coded[slot["target_slot"], slot["source_slot"], frozenset(mapping.items())] = (value.cast("string"), hit)
+        return hit
+
     def column(self, slot, held: tuple[dict[str, str], bool] | None, kind: T.DataType, on_multi: str) -> Column:
         if slot["kind"] == "const":
             return F.lit(slot["expr"]).cast(kind)
@@ -82,11 +90,12 @@ class _Source:
         c, many = F.col(f"`{name}`"), isinstance(self.schema[name].dataType, T.ArrayType)
         rule = "keep" if held and held[1] else "null"
         if held and not many and not lists.fits_literal(held[0]):
-            return lists.resolved(self.listed(name, held[0]), c.cast("string"), rule).try_cast(kind)
+            hit = lists.resolved(self.listed(name, held[0]), c.cast("string"), rule)
+            return self._told(slot, held[0], rule, c, hit).try_cast(kind)
         # an array's values go through a literal, whatever the list's size
         through = (lambda x: translate(x, held[0], rule)) if held else (lambda x: x)
         if not many:
-            return through(c).try_cast(kind)
+            return (self._told(slot, held[0], rule, c, through(c)) if held else c).try_cast(kind)
         out = F.transform(c, through)
         if isinstance(kind, T.ArrayType):
             return out.cast(kind)
@@ -122,8 +131,11 @@ def fan_out(rows: DataFrame, names: list[str], shared: dict[str, Column], consta
     return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(f"{mark}place")).select(*(held[n].alias(n) for n in names))
 
 
-def execute(specs: Specs, tables: dict[str, DataFrame], target: Schema, on_multi: str = "first", keep_extra: bool = False) -> dict[str, DataFrame]:
-    """{target class: rows}. Streaming tables work too: the plan has no state."""
+def execute(specs: Specs, tables: dict[str, DataFrame], target: Schema, on_multi: str = "first", keep_extra: bool = False, losses: Losses | None = None) -> dict[str, DataFrame]:
+    """{target class: rows}. Streaming tables work too: the plan has no state.
+
+    ``losses`` is told, while the rows are written, what mapping turns into null.
+    """
     groups: dict[tuple[str, str], dict[int, list]] = {}
     if not specs.read:
         with small_jobs(specs.slots.sparkSession):
@@ -149,17 +161,25 @@ def execute(specs: Specs, tables: dict[str, DataFrame], target: Schema, on_multi
             r = cells[deriv].get(name)  # noqa: B023
             return F.lit(None).cast(kinds[name]) if r is None else source.column(r, maps.get((deriv, name)), kinds[name], on_multi)  # noqa: B023
 
+        if losses is not None:
+            read = {x for r in (r for d in derivations.values() for r in d) for x in ([r["source_slot"]] if r["kind"] == "copy" else exprs.slots_in(r["expr"], bare=True) if r["expr"] and r["kind"] == "expr" else [])}
+            # observed rows are not pruned below, so only what is read goes in
+            source.data = source.data.select(*(F.col(f"`{c}`") for c in source.data.columns if c in read))
         first, *others = derivations
         same = [n for n in names if all(told(d, n) == told(first, n) for d in others)]
         shared = {n: column(first, n) for n in same}
+        by_deriv = {n: [column(d, n) for d in derivations] for n in names if n not in shared}
+        if losses is not None:
+            source.data = losses.watched(source.data, source_class, target_class, source.coded)
         if len(same) == len(names) and not others:
             rows = source.data.select(*(c.alias(n) for n, c in shared.items()))
         else:
             rest = [n for n in names if n not in shared]
             plain = [n for n in rest if all((t := told(d, n)) is None or t[0] == "const" for d in derivations)]
-            by_deriv = {n: [column(d, n) for d in derivations] for n in rest}
             constant, varying = ({n: c for n, c in by_deriv.items() if (n in plain) is wanted} for wanted in (True, False))
             rows = fan_out(source.data, names, shared, constant, varying, len(derivations))
+        if losses is not None:
+            rows = losses.required(rows, source_class, target_class, [n for n in names if known.get(n, {}).get("required")])
         out[target_class] = out[target_class].unionByName(rows, allowMissingColumns=True) if target_class in out else rows
     return out
 

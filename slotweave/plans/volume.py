@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from slotweave.functions import versions
 from slotweave.operators import compile as compiler
 from slotweave.operators import execute, lists, prepare, reshape
-from slotweave.plans.catalogue import _item, _wide, query, rows, specs_of
+from slotweave.operators.losses import Losses
+from slotweave.plans.catalogue import _STATES, _item, _row, _sale, _wide, query, rows, specs_of
 from slotweave.plans.schemas import SOURCE, TARGET
+from slotweave.sources.local import work_folder
 from slotweave.sources.metadata import Schema
 from slotweave.sources.tables import read_table
+from slotweave.streaming import run as streaming
 
 #: Wide groups of a sheet, their slots, and how many of these every group has in common.
 _GROUPS, _SLOTS, _COMMON = 69, 40, 32
@@ -146,3 +149,37 @@ def longest_of_many_classes(spark, sf_dir):
     who = F.format_string("customer#%09d", "o_custkey")
     text = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("for "), who, F.lit("."))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("custom customers of "), F.lower("n_name"))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("to:"), "n_name", F.lit("!")))
     return reshape.longest_contained(orders.select("o_orderkey", text.alias("text")), "text", ["Customer", *nations, *customers], "class").select("o_orderkey", "class")
+
+
+def _lossy(spark, sf_dir) -> Losses:
+    """Orders written with lists that lack some statuses and priorities; what the writing told."""
+    maps = [_sale("o_orderkey", "saleID"), _sale("o_orderstatus", "state", sourceValue="F", targetValue="closed"), *(_sale("o_orderpriority", "urgency", sourceValue=s, targetValue=t) for s, t in (("1-URGENT", "high"), ("5-LOW", "low")))]
+    losses = Losses()
+    orders = read_table(spark, sf_dir, "orders")
+    out = execute.execute(specs_of(spark, maps=maps), {"orders": orders}, Schema.parse(TARGET), losses=losses)["sales"]
+    out.write.parquet(work_folder(spark))
+    return losses
+
+
+@query("SELECT 'o_orderstatus' AS source_slot, 'state' AS target_slot, o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL UNION ALL SELECT 'o_orderpriority', 'urgency', o_orderpriority, count(*) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW') GROUP BY ALL")
+def values_that_became_null(spark, sf_dir):
+    """Values that the lists lack, told by the one pass that writes the rows."""
+    return _lossy(spark, sf_dir).values(spark).select("source_slot", "target_slot", "value", "n")
+
+
+@query("SELECT 'state' AS target_slot, 'unmapped value' AS reason, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'urgency', 'unmapped value', count(*) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW') UNION ALL SELECT 'state', 'required slot is null', count(*) FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'saleID', 'required slot is null', 0")
+def losses_of_a_run(spark, sf_dir):
+    return _lossy(spark, sf_dir).counts(spark).select("target_slot", "reason", "n")
+
+
+@query("SELECT 'sales' AS class, o_orderkey AS key, CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' WHEN 'P' THEN 'partial' END AS value FROM orders UNION ALL SELECT 'people', o_custkey, o_orderpriority FROM orders")
+def stream_to_many_classes(spark, sf_dir):
+    """One stream of orders, read once for each micro-batch, to the tables of two target classes."""
+    folder = work_folder(spark)
+    orders = read_table(spark, sf_dir, "orders")
+    stream = spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parque[t]")
+    person = lambda slot, to: _row("orders", slot, "people", to)
+    specs = specs_of(spark, maps=[_sale("o_orderkey", "saleID"), *(_sale("o_orderstatus", "state", sourceValue=s, targetValue=t) for s, t in _STATES), person("o_custkey", "personID"), person("o_orderpriority", "note")])
+    streaming.start_many(spark, specs, "orders", stream, Schema.parse(TARGET), f"{folder}/out", f"{folder}/state").awaitTermination()
+    sales, people = (streaming.read_class(spark, f"{folder}/out", c) for c in ("sales", "people"))
+    return sales.select(F.lit("sales").alias("class"), F.col("saleID").alias("key"), F.col("state").alias("value")).unionAll(people.select(F.lit("people"), "personID", "note"))
