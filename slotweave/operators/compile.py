@@ -171,11 +171,34 @@ def wide_cells(wide: DataFrame, source_ops: list | None = None) -> DataFrame:
         .filter(names.wide_kind(F.col("name")).isNotNull() & ~F.col("name").isin(cell_names))
         .select(*keys, "_ord", names.strip_wide_suffix(F.col("name")).alias("slot"), names.wide_kind(F.col("name")).alias("kind"), "cell", F.when(names.wide_kind(F.col("name")) == "expr", 2).otherwise(1).alias("rank"), F.lit(len(wide.columns)).alias("pos"))
     )
-    both = cells.unionByName(other)
-    cell = names.empty_sentinel(F.col("cell"))
+    both = cells.unionByName(other).join(first.select(*keys, F.col("slotDerivationSettings").alias("told")), keys)
+    return _wide_entries(both, keys, source_ops)
+
+
+def _wide_entries(cells: DataFrame, keys: list[str], source_ops: list | None) -> DataFrame:
+    """Slot entries of wide cells (keys, _ord, slot, kind, cell, told, rank, pos): an expression, a copy where the cell refers to a slot, else a constant, under the row's settings."""
     copied = names.variable_reference(F.col("cell"), source_ops)
     kind = F.when(F.col("kind") == "expr", "expr").when(copied.isNotNull(), "copy").otherwise("const")
-    return both.select(*keys, "_ord", F.col("slot").alias("targetSlot"), kind.alias("kind"), F.when(kind == "copy", copied).alias("source_slot"), F.when(F.col("kind") == "expr", F.col("cell")).when(copied.isNull(), cell).alias("expr"), F.lit(None).cast("map<string,string>").alias("settings"), "rank", "pos")
+    expr = F.when(F.col("kind") == "expr", F.col("cell")).when(copied.isNull(), names.empty_sentinel(F.col("cell")))
+    settings = F.when(_filled("told"), _last_settings(F.array("told")))
+    return cells.select(*keys, "_ord", F.col("slot").alias("targetSlot"), kind.alias("kind"), F.when(kind == "copy", copied).alias("source_slot"), expr.alias("expr"), settings.alias("settings"), "rank", "pos")
+
+
+def wide_row_cells(wide: DataFrame, source_ops: list | None = None) -> DataFrame:
+    """The same of rows that name one slot each: all rows of a ``wideRowNumber`` make one derivation.
+
+    Rows count in the order of their numbers, those of one number in the order of
+    the sheet; of rows for one slot the last one counts.  A row's expression
+    counts before its value.
+    """
+    keys = ["sourceClass", "sourceSlot", "targetClass", "wideGroup"]
+    number = F.coalesce(F.col("wideRowNumber").try_cast("double"), F.lit(0.0))
+    told = wide.select(
+        "sourceClass", F.lit("").alias("sourceSlot"), "targetClass", F.format_string("%020.6f", number).alias("wideGroup"), number.cast("long").alias("_ord"), F.coalesce("targetSlot", F.lit("")).alias("slot"),
+        F.when(_filled("targetExpr"), "expr").otherwise("value").alias("kind"), F.when(_filled("targetExpr"), F.col("targetExpr")).otherwise(F.coalesce("targetValue", F.lit(""))).alias("cell"),
+        F.col("slotDerivationSettings").alias("told"), F.lit(1).alias("rank"), F.col("_ord").alias("pos"),
+    )
+    return _wide_entries(told, keys, source_ops)
 
 
 def overlay(base: DataFrame, cells: DataFrame) -> DataFrame:
@@ -256,7 +279,9 @@ def _compiled(spark: SparkSession, source: Schema, target: Schema, given: dict[s
     base, notes = class_derivations(maps.filter(_filled("targetSlot") | _filled("targetExpr")), source)
     base = settled(base)
     notes = notes.unionByName(local_table(spark, bad, "severity string, code string, ord long, message string"))
-    parts = [reshape.pad(x, [*SCOPE, "sourceEnum", "targetEnum", "sourceValue", "targetValue", "enumDerivationSettings", "_ord"]) for x in (maps, enums, wide) if x is not None]
+    # a wide row of one slot has its cell in targetValue, so only a source value makes it an enum row
+    coded = wide.filter(_filled("sourceValue")) if "wideRowNumber" in wide.columns else wide
+    parts = [reshape.pad(x, [*SCOPE, "sourceEnum", "targetEnum", "sourceValue", "targetValue", "enumDerivationSettings", "_ord"]) for x in (maps, enums, coded) if x is not None]
     value_rows = settled(reshape.union_all(parts).filter(_filled("sourceValue") | _filled("targetValue")).withColumn("_ord", F.col("_ord").cast("long")))
     if not value_rows.head(1):
         enum_table = local_table(spark, [], ", ".join(f"{c} string" for c in (*SCOPE, "target_enum", "source_enum")) + ", settings map<string,string>, mirror_source boolean, _ord long")
@@ -270,7 +295,7 @@ def _compiled(spark: SparkSession, source: Schema, target: Schema, given: dict[s
     everything = pairs.withColumns({"sourceSlot": F.lit(""), "wideGroup": F.lit(""), "is_wide": F.lit(False)})
     cells = None
     if has_wide:
-        cells = settled(wide_cells(wide, source_ops))
+        cells = settled((wide_row_cells if "wideRowNumber" in wide.columns else wide_cells)(wide, source_ops))
         order = cells.groupBy(*keys).agg(F.min("_ord").alias("ord")).withColumn("is_wide", F.lit(True))
         everything = order.unionByName(everything.join(order.select(*PAIR).distinct(), PAIR, "left_anti").select(*order.columns))
     numbered = settled(everything.withColumn("deriv_id", F.row_number().over(Window.orderBy(F.desc("is_wide"), "ord", *keys)) - 1))  # mapping rows only: a few thousand

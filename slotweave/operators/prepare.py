@@ -42,3 +42,11 @@ def prepare_wide(rows: DataFrame, run: selectors.RunSelectors | None = None, sou
     slot = names.format_slot(F.col("sourceSlot"), source_ops)
     alone = (F.col("sourceSlot") == "") & (F.col("wideGroup") == "")
     return padded.withColumn("wideGroup", F.when(alone, F.concat(F.lit("__auto_"), F.col("_ord").cast("string"))).otherwise(F.col("wideGroup"))).withColumn("sourceSlot", slot)
+
+
+def prepare_wide_rows(rows: DataFrame, run: selectors.RunSelectors | None = None) -> DataFrame:
+    """Wide rows of one slot each, under a ``wideRowNumber`` (0 where there is none)."""
+    shared = _shared(rows, run)
+    if "wideRowNumber" not in shared.columns:
+        shared = shared.withColumn("wideRowNumber", F.lit("0"))
+    return reshape.pad(shared, [*MAPS, "wideRowNumber", "_ord"]).withColumn("_ord", F.col("_ord").cast("long"))

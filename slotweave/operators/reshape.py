@@ -133,6 +133,12 @@ def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
+def common_values(df: DataFrame, keys: list[str], value: str, one: Column, other: Column) -> DataFrame:
+    """(keys, values): of each group the values, in order, that rows of both kinds have; groups without any are left out."""
+    sets = df.groupBy(*keys).agg(F.collect_set(F.when(one, F.col(value))).alias("_a"), F.collect_set(F.when(other, F.col(value))).alias("_b"))
+    return sets.select(*keys, F.array_sort(F.array_intersect("_a", "_b")).alias("values")).filter(F.size("values") > 0)
+
+
 def sorted_ignoring_case(values: Column) -> Column:
     """An array of texts in order, case aside; texts that differ in case alone by their own order."""
     keyed = F.transform(values, lambda v: F.struct(F.lower(v).alias("low"), v.alias("v")))

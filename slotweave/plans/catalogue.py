@@ -389,3 +389,4 @@ from slotweave.plans import more  # noqa: E402, F401  its queries register thems
 from slotweave.plans import statements as _statements  # noqa: E402, F401
 from slotweave.plans import files as _files  # noqa: E402, F401
 from slotweave.plans import volume as _volume  # noqa: E402, F401
+from slotweave.plans import orders as _orders  # noqa: E402, F401
