@@ -245,6 +245,11 @@ def _kept(spark: SparkSession) -> OrderedDict[str, Specs]:
     return spark.__dict__.setdefault("_slotweave_specs", OrderedDict())
 
 
+def forget_specs(spark: SparkSession) -> None:
+    """Compile anew from now on."""
+    _kept(spark).clear()
+
+
 def compile_mapping(spark: SparkSession, source: Schema, target: Schema, maps: DataFrame | None = None, wide: DataFrame | None = None, enums: DataFrame | None = None, source_ops: list | None = None, ontology: str | None = None, strict: bool = False) -> Specs:
     """Specs of prepared ``maps``, ``wide`` and ``enums`` rows; ``strict`` raises on the first errors.
 
