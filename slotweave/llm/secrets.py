@@ -235,6 +235,7 @@ def generated_lines(count: int = GENERATED_LINES, seed: int = 7) -> list[tuple[s
     pick = lambda chars, n: "".join(r.choices(chars, k=n))
     alnum, b64, hexed = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef"
     prose = lambda n: " ".join(pick(string.ascii_lowercase, r.randint(1, 11)) for _ in range(n))
+    uuid_like = lambda: "-".join(pick(hexed, n) for n in (8, 4, 4, 4, 12))
     out = []
     for _ in range(count):
         values: list[str] = []
@@ -243,10 +244,14 @@ def generated_lines(count: int = GENERATED_LINES, seed: int = 7) -> list[tuple[s
             value = r.choice([
                 lambda: pick(alnum, r.randint(16, 44)), lambda: pick(b64, 40), lambda: pick(hexed, r.choice([24, 32, 40, 64])), lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24),
                 lambda: f"xoxb-{pick(string.digits, 11)}-{pick(alnum, 24)}", lambda: f"eyJ{pick(alnum, 20)}.eyJ{pick(alnum, 30)}.{pick(alnum + '_-', 43)}", lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
+                # keys of services in general: a short mark, a sign, one part or two; and a mark with hexadecimal digits of either case
+                lambda: pick(r.choice([string.ascii_lowercase, string.ascii_letters]), r.randint(2, 6)) + r.choice("-_") + pick(alnum + "_-" * r.randint(0, 1), r.randint(18, 44)),
+                lambda: f"{pick(string.ascii_letters, r.randint(2, 4))}.{pick(alnum + '_-', r.randint(12, 24))}.{pick(alnum + '_-', r.randint(24, 48))}",
+                lambda: pick(string.ascii_uppercase, r.randint(0, 2)) + pick(hexed, r.choice([32, 40, 64])), lambda: pick(string.ascii_uppercase, r.randint(0, 3)) + pick(hexed.upper(), r.choice([24, 32, 40])),
             ])()
             values = [value]
-            form = r.choice(['{k} = "{v}"', "{k}: {v}", "{k} = {v}", "{k}: '{v}'", '"{k}" : "{v}"', "Authorization: Bearer {v}", "{k} {v}"])
-            body = form.format(k=r.choice(KEYWORDS), v=value)
+            form = r.choice(['{k} = "{v}"', "{k}: {v}", "{k} = {v}", "{k}: '{v}'", '"{k}" : "{v}"', "Authorization: Bearer {v}", "{k} {v}", "{v}", "{w} {v}", '{w}="{v}"', "{w}: {v},"])
+            body = form.format(k=r.choice(KEYWORDS), v=value, w=prose(1))
         elif k < 0.5:
             values = [pick(b64, 64) for _ in range(r.randint(2, 5))]
             body = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(values) + "\n-----END PRIVATE KEY-----"
@@ -256,7 +261,7 @@ def generated_lines(count: int = GENERATED_LINES, seed: int = 7) -> list[tuple[s
                 lambda: f"https://www.{pick(string.ascii_lowercase, 9)}.org/{pick(string.ascii_lowercase, 8)}/{pick(string.digits, 4)}", lambda: f"20{pick(string.digits, 2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}",
                 lambda: f"version {r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", lambda: prose(3).upper().replace(" ", "!! ") + "!!", lambda: prose(4).replace(" ", "*** ") + "###", lambda: prose(5).replace(" ", " | "),
                 lambda: f"the {r.choice(KEYWORDS)} of {prose(2)}", lambda: f"{prose(1)}: {prose(3)}", lambda: f"{prose(1)} = {pick(string.digits, 3)}", lambda: pick(string.ascii_lowercase, r.randint(18, 30)),
-                lambda: pick(string.ascii_lowercase, 9).capitalize() + pick(string.ascii_lowercase, 8).capitalize(), lambda: "/usr/" + pick(string.ascii_lowercase, 6) + "/lib64/" + pick(string.ascii_lowercase, 9), lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)),
+                lambda: pick(string.ascii_lowercase, 9).capitalize() + pick(string.ascii_lowercase, 8).capitalize(), uuid_like, lambda: f"id={uuid_like()}", lambda: "/usr/" + pick(string.ascii_lowercase, 6) + "/lib64/" + pick(string.ascii_lowercase, 9), lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)),
             ])()
         line = f"{prose(r.randint(0, 9))} {body} {prose(r.randint(0, 9))}".strip()
         spans, at = [], 0

@@ -3,7 +3,10 @@
 import hashlib
 import random
 import re
+import string
+import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -238,6 +241,37 @@ def test_field_finds_secrets_that_the_base_patterns_miss(spark):
     assert not [x for x in secrets.scan(clean, field).collect() if x["n_crf"]]
 
 
+def service_keys(r):
+    """Secrets in forms of real services, written here and not drawn from the generator that the field is trained on."""
+    alnum, upper_hex = string.ascii_letters + string.digits, "0123456789ABCDEF"
+    some = lambda chars, n: "".join(r.choices(chars, k=n))
+    return {
+        "glpat": lambda: "glpat-" + some(alnum + "_-", 20), "sg": lambda: f"SG.{some(alnum + '_-', 22)}.{some(alnum + '_-', 43)}", "sk": lambda: "SK" + some(upper_hex, 32), "npm": lambda: "npm_" + some(alnum, 36), "aiza": lambda: "AIza" + some(alnum + "_-", 35),
+        "hf": lambda: "hf_" + some(alnum, 34), "dop": lambda: "dop_v1_" + some(upper_hex.lower(), 64), "shpat": lambda: "shpat_" + some(upper_hex.lower(), 32), "ghp": lambda: "ghp_" + some(alnum, 36), "cloud": lambda: some(alnum + "+/", 40),
+        "url": lambda: f"postgres://user:{some(alnum, 18)}@db.example.com/x", "hook": lambda: f"https://hooks.example.com/services/T{some(alnum[26:], 8)}/B{some(alnum[26:], 8)}/{some(alnum, 24)}",
+    }
+
+
+def test_field_finds_keys_of_services_and_leaves_look_alikes(spark):
+    """Twelve forms, 30 documents each: 0.9 of all are found, half at least of each form; of ids, names, sequences, paths and calls none is marked."""
+    r = random.Random(5)
+    some = lambda chars, n: "".join(r.choices(chars, k=n))
+    low, lines = string.ascii_lowercase, ["{v}", "use {v}", 'export X="{v}"', "{v},", "config: {v}"]
+    keys = [(name, f"{prose(r, 20)}\n{r.choice(lines).format(v=make())}\n{prose(r, 20)}") for name, make in service_keys(r).items() for _ in range(30)]
+    like = [str(uuid.UUID(int=r.getrandbits(128))) for _ in range(40)] + ["".join(some(low, 8).capitalize() for _ in range(3)) for _ in range(40)] + [some("ACGT", 50) for _ in range(40)] + [f"978-3-16-148410-{k}" for k in range(10)]
+    like += [f"https://example.com/a/b/{some(low, 12)}?id={k}" for k in range(40)] + ["-".join(some(low, k) for k in (5, 7, 6)) for _ in range(40)] + [f"{some(low, 5)}_{some(low, 12)}_{k:04d}" for k in range(40)] + [f"{some(low, 6)}.{some(low, 12)}.{some(low, 15)}()" for _ in range(40)]
+    field = secrets.fit(spark.createDataFrame([(k, prose(r, 80)) for k in range(200)], "doc_id long, text string"))
+    texts = [t for _, t in keys] + [f"{prose(r, 15)} {x} {prose(r, 15)}" for x in like]
+    marked = {x["doc_id"]: x["spans"].split("\n")[0] for x in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field).collect()}
+    found = Counter()
+    for k, (name, text) in enumerate(keys):
+        a, b = text.index("\n"), text.rindex("\n")
+        found[name] += any(a < int(s.split(":")[1]) < b for s in marked[k].split(",") if s)
+    assert sum(found.values()) >= 0.9 * len(keys) and min(found[n] for n in service_keys(r)) >= 15, found
+    wrong = [like[k - len(keys)] for k in range(len(keys), len(texts)) if "crf" in marked[k]]
+    assert not wrong, wrong[:5]
+
+
 def test_special_tokens_and_other_vocabularies():
     texts = ["a <|ENDOFTEXT|> b", "x<|endoftext|>Y z", "<|StartOfText|>", "Hello WORLD. ok", "", None, "ΑΣ. don't «q»", "a　b c d", "ab.!? cd..", "!!?? a"]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
