@@ -149,21 +149,21 @@ def enum_mirror_yaml(spark, sf_dir):
     return _partly(spark, sf_dir, "mirror_source: true\nnote: kept")
 
 
-@query("SELECT 's' || n_nationkey AS slot, 'range' AS name, '\"' || n_name || '\"' AS value FROM nation UNION ALL SELECT 's' || n_nationkey, 'rank', CAST(n_nationkey AS VARCHAR) FROM nation")
+@query("SELECT 's' || c_custkey AS slot, 'range' AS name, '\"' || c_name || '\"' AS value FROM customer UNION ALL SELECT 's' || c_custkey, 'rank', CAST(c_custkey AS VARCHAR) FROM customer")
 def slot_settings(spark, sf_dir):
     """Settings cells of several rows of one slot are merged, later rows win, and are kept in the specs."""
-    held = read_table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    held = read_table(spark, sf_dir, "customer").orderBy("c_custkey").collect()
     maps = [r for n in held for r in (
-        _sale("o_orderkey", f"s{n['n_nationkey']}", slotDerivationSettings=f"range: old\nrank: {n['n_nationkey']}"),
-        _sale("o_orderkey", f"s{n['n_nationkey']}", slotDerivationSettings=f"range: {n['n_name']}"),
+        _sale("o_orderkey", f"s{n['c_custkey']}", slotDerivationSettings=f"range: old\nrank: {n['c_custkey']}"),
+        _sale("o_orderkey", f"s{n['c_custkey']}", slotDerivationSettings=f"range: {n['c_name']}"),
     )]
     return specs_of(spark, maps=maps).slots.select(F.col("target_slot").alias("slot"), F.explode("settings").alias("name", "value"))
 
 
-@query("SELECT n_nationkey AS row, CASE WHEN n_regionkey = 0 THEN 'E_SETTINGS' END AS code FROM nation WHERE n_regionkey = 0")
+@query("SELECT c_custkey AS row, CASE WHEN c_nationkey % 5 = 0 THEN 'E_SETTINGS' END AS code FROM customer WHERE c_nationkey % 5 = 0")
 def bad_settings(spark, sf_dir):
-    held = read_table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
-    maps = [_sale("o_orderkey", f"s{n['n_nationkey']}", slotDerivationSettings="just text" if n["n_regionkey"] == 0 else "a: 1") for n in held]
+    held = read_table(spark, sf_dir, "customer").orderBy("c_custkey").collect()
+    maps = [_sale("o_orderkey", f"s{n['c_custkey']}", slotDerivationSettings="just text" if n["c_nationkey"] % 5 == 0 else "a: 1") for n in held]
     found = compiler.compile_mapping(spark, Schema.parse(SOURCE), Schema.parse(TARGET), prepare.prepare_maps(rows(spark, *maps))).diagnostics
     return found.select(F.col("ord").cast("int").alias("row"), "code")
 
@@ -249,10 +249,10 @@ def spec_documents(spark, sf_dir):
     return stored.slot_rows(spark, docs).select("target_class", "target_slot", "source_class")
 
 
-@query("SELECT 's' || n_nationkey AS target_slot, unnest(['o_custkey', 'o_orderkey']) AS source_slot FROM nation")
+@query("SELECT 's' || c_custkey AS target_slot, unnest(['o_custkey', 'o_orderkey']) AS source_slot FROM customer")
 def slots_read_by_expressions(spark, sf_dir):
-    held = read_table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
-    maps = [_sale(None, f"s{n['n_nationkey']}", targetExpr=f"src.o_orderkey + src.o_custkey * {n['n_nationkey']}") for n in held]
+    held = read_table(spark, sf_dir, "customer").orderBy("c_custkey").collect()
+    maps = [_sale(None, f"s{n['c_custkey']}", targetExpr=f"src.o_orderkey + src.o_custkey * {n['c_custkey']}") for n in held]
     return stored.source_slots(spark, specs_of(spark, maps=maps)).select("target_slot", "source_slot")
 
 
@@ -340,37 +340,37 @@ def unknown_target_slots(spark, sf_dir):
     return validate.check(*_places(spark, sf_dir), only=["unknown_target_slots"])["unknown_target_slots"].select("source_slot", "target_slot")
 
 
-@query("SELECT 's' || n_nationkey AS \"targetSlot\", 'statusSet' AS \"sourceEnumName\" FROM nation")
+@query("SELECT 's' || c_custkey AS \"targetSlot\", 'statusSet' AS \"sourceEnumName\" FROM customer")
 def empty_derivations(spark, sf_dir):
     """Enum derivations of stored specs that neither map nor copy values."""
-    held = read_table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
-    slots = {f"s{n['n_nationkey']}": {"populated_from": "o_orderstatus"} for n in held}
+    held = read_table(spark, sf_dir, "customer").orderBy("c_custkey").collect()
+    slots = {f"s{n['c_custkey']}": {"populated_from": "o_orderstatus"} for n in held}
     doc = {"class_derivations": {"sales": {"name": "sales", "populated_from": "orders", "slot_derivations": slots}}, "enum_derivations": {"stateSet": {"populated_from": "statusSet", "mirror_source": False}}}
     specs = stored.read_specs(spark, [("mapper-0.yaml", doc)], Schema.parse(SOURCE))
     return validate.empty_derivations(validate.bound_enums(specs)).select("targetSlot", "sourceEnumName")
 
 
-@query("SELECT 'W_UNKNOWN_CLASS' AS code, 'no source class ' || n_name AS message FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'E_UNKNOWN_SLOT', 'no source slot orders.' || n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'E_CONFLICT', 'several derivations of sales.c' || n_nationkey FROM nation WHERE n_regionkey = 2")
+@query("SELECT 'W_UNKNOWN_CLASS' AS code, 'no source class ' || c_name AS message FROM customer WHERE c_nationkey % 5 = 0 UNION ALL SELECT 'E_UNKNOWN_SLOT', 'no source slot orders.' || c_name FROM customer WHERE c_nationkey % 5 = 1 UNION ALL SELECT 'E_CONFLICT', 'several derivations of sales.c' || c_custkey FROM customer WHERE c_nationkey % 5 = 2")
 def diagnostics(spark, sf_dir):
     """Rows of unknown classes, unknown slots and contradicting rows are reported and stop nothing."""
     maps = []
-    for n in read_table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
-        key = n["n_nationkey"]
+    for n in read_table(spark, sf_dir, "customer").orderBy("c_custkey").collect():
+        key = n["c_custkey"]
         maps += [
-            [_row(n["n_name"], "a", "sales", f"a{key}")], [_sale(n["n_name"], f"b{key}")], [_sale("o_orderkey", f"c{key}"), _sale("o_custkey", f"c{key}")],
+            [_row(n["c_name"], "a", "sales", f"a{key}")], [_sale(n["c_name"], f"b{key}")], [_sale("o_orderkey", f"c{key}"), _sale("o_custkey", f"c{key}")],
             [_sale("o_orderkey", f"d{key}"), _sale("o_orderkey", f"d{key}")],
-        ][min(n["n_regionkey"], 3)]
+        ][min(n["c_nationkey"] % 5, 3)]
     return compiler.compile_mapping(spark, Schema.parse(SOURCE), Schema.parse(TARGET), prepare.prepare_maps(rows(spark, *maps))).diagnostics.select("code", "message")
 
 
-@query("SELECT n_nationkey, n_name || ' [X:' || n_nationkey || ']' AS full_value FROM nation")
+@query("SELECT c_custkey, c_name || ' [X:' || c_custkey || ']' AS full_value FROM customer")
 def add_ontology(spark, sf_dir):
     """Bare values get the full spelling of the value list back."""
-    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    known = {f"{n['n_name']} [X:{n['n_nationkey']}]": {} for n in nation.collect()}
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    known = {f"{n['c_name']} [X:{n['c_custkey']}]": {} for n in customer.collect()}
     schema = Schema.parse(yaml.safe_dump({"name": "x", "enums": {"natSet": {"permissible_values": known}}}))
-    bare = nation.select("n_nationkey", F.col("n_name").alias("full_value"), F.lit("natSet").alias("enum"))
-    return compiler._full_value(bare, schema, "enum", "full_value", r"\[X:[0-9]+\]").select("n_nationkey", "full_value")
+    bare = customer.select("c_custkey", F.col("c_name").alias("full_value"), F.lit("natSet").alias("enum"))
+    return compiler._full_value(bare, schema, "enum", "full_value", r"\[X:[0-9]+\]").select("c_custkey", "full_value")
 
 
 # --- the older run ------------------------------------------------------------------------------------------------
