@@ -27,10 +27,12 @@ copies, and hardly by chance or by a passage that many documents share.
 Two rounds, however the data lie.
 1. In each tile the smallest node is the pivot, and every node is compared with
    the pivots that it meets.
-2. Tiles whose nodes are in more than one component are opened: pairs across
-   components that pass the bit-count bound are compared.  Tiles
-   with the same nodes are opened once; tiles of more than ``TILE`` nodes are cut
-   into block pairs that are spread over tasks.
+2. Tiles whose nodes are in more than one component are opened: nodes that may
+   link across components by the bit-count bound are put out, each once for a
+   tile, and get their shingles; then the pairs of a tile that still hang apart
+   are compared, and the task puts out what joins components, less than a row for
+   each node.  Tiles with the same nodes are opened once; tiles of more than
+   ``TILE`` nodes are cut into block pairs that are spread over tasks.
 
 A comparison bounds the overlap from above by the bit counts of hashed parity
 signatures (``|A xor B|`` is at least the number of differing bits; a signature
@@ -66,8 +68,11 @@ from slotweave.llm.text import (
 )
 
 TILE = 2048
-DEALS = 4
-SEEN = 1_000_000
+#: Shingles of a block whose sets are compared exactly within a task.
+SHINGLES = 1 << 19
+#: Rows of opened tiles of one lowest component that are dealt to a task, and pairs that it remembers.
+DEAL_ROWS = 2048
+SEEN = 100_000
 SKETCH_BITS = 20
 SKETCH_CHUNKS = 16
 BUCKET_ENTRIES = 2_000_000
@@ -421,76 +426,159 @@ def _exact(num: int, den: int):
     return run
 
 
-def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int, bounded: bool = False) -> DataFrame:
-    """The pairs (a, b) that link: bit counts first, unless they have been compared already, then the exact test."""
-    if not bounded:
-        bits = features.select("node", "n", "bits")
-        sides = pairs.join(bits.toDF("b", "nb", "bits_b"), "b").join(bits.toDF("a", "na", "bits_a"), "a")
-        pairs = sides.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bounded(num, den), "a long, b long")
+def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link: bit counts first, then the exact test."""
+    bits = features.select("node", "n", "bits")
+    sides = pairs.join(bits.toDF("b", "nb", "bits_b"), "b").join(bits.toDF("a", "na", "bits_a"), "a")
+    pairs = sides.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bounded(num, den), "a long, b long")
     left = features.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = features.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     return checkpoint(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_exact(num, den), "a long, b long"))
 
 
-def _across(num: int, den: int):
-    """Tile rows sorted by (lo, deal, tile, x, y) -> pairs of different components that may link by their bit counts.
-
-    A row is (lo, deal, tile, x, y, block, node, component, n, bits): the tile part (x, y)
-    compares block x with block y, and within itself when x = y.  Tiles of one lowest
-    component ``lo`` come one after another in ``DEALS`` tasks, each of which puts a pair
-    out once (or seldom more: it remembers ``SEEN`` pairs).
-    """
-
-    def compare(part: tuple[int, int], rows: list[tuple], seen: set[tuple[int, int]]) -> list[tuple[int, int]]:
-        x, y = part
-        block, node, comp, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
-        width = min(len(r[4]) for r in rows)
-        bits = np.stack([_folded(r[4], width) for r in rows])
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        out = []
-        for i in left.tolist():
-            j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (x != y))]
-            j = j[_may_link(n[i], n[j], np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64), num, den)]
-            a = int(node[i])
-            out += [p for p in ((min(a, b), max(a, b)) for b in node[j].tolist()) if p not in seen]
-        seen.update(out)
-        return out
+def _by_part(task, keys: int, names: list[str]):
+    """A map over rows sorted by their first ``keys`` columns: the rows that ``task()`` makes of the rows of each key, as columns of longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        work = task()
 
-        now, rows, seen = None, [], set()
+        def made(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
+            found = work(*key, rows)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(len(names))], names=names)
+
+        now, rows = None, []
         for batch in batches:
-            for *key, block, node, comp, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != now:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:keys] != now:
                     if rows:
-                        yield batch_of(compare(now[3:], rows, seen))
-                    if now is None or key[:2] != now[:2] or len(seen) > SEEN:
-                        seen.clear()
-                    now, rows = key, []
-                rows.append((block, node, comp, n, bits))
+                        yield made(now, rows)
+                    now, rows = row[:keys], []
+                rows.append(row[keys:])
         if rows:
-            yield batch_of(compare(now[3:], rows, seen))
+            yield made(now, rows)
 
     return run
 
 
+class _Part:
+    """Rows (block, node, component, n, bits, ...) of the part (x, y) of a tile: block x meets block y, and itself when x = y."""
+
+    def __init__(self, x: int, y: int, rows: list[tuple], num: int, den: int):
+        self.block, self.node, self.component, self.n = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
+        width = min(len(r[4]) for r in rows)
+        self.bits = np.stack([_folded(r[4], width) for r in rows])
+        self.left, self.right = np.flatnonzero(self.block == x), np.flatnonzero(self.block == y)
+        self.one, self.num, self.den = x == y, num, den
+
+    def near(self, i: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of other groups that may link with row ``i`` by their bit counts, and the numbers of differing bits."""
+        j = self.right[group[self.right] != group[i]]
+        if self.one:
+            j = j[self.node[j] > self.node[i]]
+        differing = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=-1, dtype=np.int64)
+        may = _may_link(self.n[i], self.n[j], differing, self.num, self.den)
+        return j[may], differing[may]
+
+
+def _open_nodes(num: int, den: int):
+    """Rows (lo, deal, tile, x, y, ...) -> (tile, node, component, n): the nodes that may link with one of another component.
+
+    Tiles of one lowest component ``lo`` come one after another, in as many tasks as
+    their rows ask for; a pair opens its nodes in one tile of a task (or seldom more:
+    a task remembers ``SEEN`` pairs).
+    """
+
+    def task():
+        seen: set[tuple[int, int]] = set()
+        deal = None
+
+        def work(lo: int, number: int, tile: int, x: int, y: int, rows: list[tuple]) -> list[tuple]:
+            nonlocal deal
+            if deal != (lo, number) or len(seen) > SEEN:
+                seen.clear()
+            deal = lo, number
+            part = _Part(x, y, rows, num, den)
+            some = np.zeros(len(rows), dtype=bool)
+            for i in part.left.tolist():
+                j, _ = part.near(i, part.component)
+                a = int(part.node[i])
+                for k, b in zip(j.tolist(), part.node[j].tolist(), strict=True):
+                    pair = (a, b) if a < b else (b, a)
+                    if pair not in seen:
+                        seen.add(pair)
+                        some[i] = some[k] = True
+            return [(tile, *(int(v[k]) for v in (part.node, part.component, part.n))) for k in np.flatnonzero(some)]
+
+        return work
+
+    return _by_part(task, 5, ["tile", "node", "component", "n"])
+
+
+def _bridges(num: int, den: int):
+    """Parts of tiles, with shingles -> (a, b): each component that links within the part join with a smaller one, and the smallest of these.
+
+    Components that have been joined are one group from then on.
+    A node is compared with the nearest of every other group first, then with
+    whatever has not been joined by that.
+    """
+
+    def work(tile: int, x: int, y: int, rows: list[tuple]) -> list[tuple]:
+        part = _Part(x, y, rows, num, den)
+        ends = np.concatenate(([0], np.cumsum(part.n)))
+        distinct, flat = np.unique(np.concatenate([np.frombuffer(r[5], dtype=U64) for r in rows]), return_inverse=True)
+        sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        held = np.zeros(len(distinct), dtype=bool)
+        group = part.component.copy()
+        for i in part.left.tolist():
+            j, differing = part.near(i, group)
+            if not len(j):
+                continue
+            held[sets[i]] = True
+            j = j[np.lexsort((differing, group[j]))]
+            nearest = _grouped(group[j])
+            for some in (j[nearest], j[~nearest]):
+                some = some[group[some] != group[i]]
+                both = np.array([np.count_nonzero(held[sets[k]]) for k in some], dtype=np.int64)
+                links = both * den >= num * (part.n[i] + part.n[some] - both)
+                if links.any():
+                    met = np.append(group[some[links]], group[i])
+                    group[np.isin(group, met)] = met.min()
+            held[sets[i]] = False
+        moved = group != part.component
+        return sorted(set(zip(part.component[moved].tolist(), group[moved].tolist(), strict=True)))
+
+    return _by_part(lambda: work, 3, ["a", "b"])
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """``rows`` (tile, parts, node, ...) for each part (x, y) of their tiles that they take part in; ``parts`` blocks make all pairs of blocks."""
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    each = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = [c for c in rows.columns if c not in ("tile", "parts")]
+    return each.select("tile", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", *rest)
+
+
 def _apart(tiles: DataFrame, components: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows for ``_across`` of the tiles of several components, of tiles with the same nodes one; and a table to drop once they are used."""
+    """Rows for ``_open_nodes`` of the tiles of several components, of tiles with the same nodes one; and a table to drop once they are used."""
     entries = tiles.select("tile", "node").union(tiles.select("tile", F.col("pivot").alias("node"))).distinct()
     placed = checkpoint(entries.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
     seen = F.struct(F.count("*"), F.sum(F.xxhash64("node").cast("decimal(20,0)")), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")))
     several = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), seen.alias("seen"))
     several = several.filter("lo <> hi AND members > 2")  # the one pair of two nodes has been compared
-    chosen = several.groupBy("seen").agg(F.min("tile").alias("tile"), F.first("lo").alias("lo"), F.ceil(F.first("members") / TILE).cast("int").alias("parts")).select("tile", "lo", "parts")
-    rows = (
-        placed.join(chosen, "tile").join(features.select("node", "n", "bits"), "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("lo", F.pmod(F.xxhash64("tile"), F.lit(DEALS)).alias("deal"), "tile", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "component", "n", "bits")
-    )
-    return rows, placed
+    chosen = several.groupBy("seen").agg(F.min("tile").alias("tile"), F.first("lo").alias("lo"), F.first("members").alias("members"), F.ceil(F.first("members") / TILE).cast("int").alias("parts"))
+    deals = chosen.groupBy("lo").agg(F.ceil(F.sum(F.col("members") * F.col("parts")) / DEAL_ROWS).cast("int").alias("deals"))
+    rows = placed.join(chosen.join(deals, "lo"), "tile").join(features.select("node", "n", "bits"), "node")
+    cut = _cut(rows.select("tile", "parts", "node", "component", "n", "bits", "lo", "deals"))
+    return cut.select("lo", F.pmod(F.xxhash64("tile", "x", "y"), F.col("deals")).alias("deal"), *(c for c in cut.columns if c not in ("lo", "deals"))), placed
+
+
+def _joined(opened: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of components that links between the ``opened`` nodes of a tile join."""
+    parts = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / SHINGLES)).cast("int").alias("parts")
+    rows = opened.join(opened.groupBy("tile").agg(parts), "tile").join(features.select("node", "bits", "shingles"), "node")
+    cut = _cut(rows.select("tile", "parts", "node", "component", "n", "bits", "shingles"))
+    dealt = cut.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y")
+    return checkpoint(dealt.mapInArrow(_bridges(num, den), "a long, b long").distinct())
 
 
 def _components(tiles: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
@@ -500,10 +588,10 @@ def _components(tiles: DataFrame, features: DataFrame, num: int, den: int) -> Da
     first = connected_components(links)
     spread, placed = _apart(tiles, first, features)
     dealt = spread.repartition("lo", "deal").sortWithinPartitions("lo", "deal", "tile", "x", "y")
-    across = checkpoint(dealt.mapInArrow(_across(num, den), "a long, b long").distinct().join(met, ["a", "b"], "left_anti"))
-    more = _linked(across, features, num, den, bounded=True)
+    opened = checkpoint(dealt.mapInArrow(_open_nodes(num, den), "tile long, node long, component long, n long").distinct())
+    more = _joined(opened, features, num, den)
     final = first if more.isEmpty() else connected_components(first.toDF("a", "b").union(more))
-    drop_tables(links, placed, across, more, *([] if final is first else [first]))
+    drop_tables(links, placed, opened, more, *([] if final is first else [first]))
     return final
 
 
