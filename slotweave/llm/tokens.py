@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -126,10 +127,16 @@ class PieceEncoder:
         return ids, cut + np.arange(len(cut))
 
 
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str, changed: int) -> PieceEncoder:
+    """One encoder for all tasks that a Python worker runs one after another: most words of a task are known from those before."""
+    return PieceEncoder(vocabulary)
+
+
 def encoded_blocks(batches: Iterator[pa.RecordBatch], vocabulary: str, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     from slotweave.llm.text import blocks
 
-    encoder = PieceEncoder(vocabulary)
+    encoder = _encoder(vocabulary, os.stat(vocabulary).st_mtime_ns)
     for block in blocks(batches, text):
         ids, bounds = encoder.encode(block.column(block.schema.get_field_index(text)))
         yield block, ids, bounds
