@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.llm.text import checkpoint, drop_tables
+from slotweave.llm.text import checkpoint, drop_tables, in_few
+
+#: Bytes of an edge.
+EDGE = 16
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,13 +25,15 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     ``component`` is the smallest node of the component.  A round costs joins
     linear in the edges and every path at least halves, so rounds grow with the
-    logarithm of the longest path; each round is cut by a checkpoint.  Links of a
+    logarithm of the longest path; each round is cut by a checkpoint, and none has
+    more edges than the one before.  Links of a
     node with itself, repeated ones, and links with a null end say nothing; no
     links give no rows.
     """
-    edges = checkpoint(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    size = links.count() * EDGE
+    edges = checkpoint(in_few(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), size))
     while True:
-        before, edges = edges, checkpoint(_star(_star(edges, True), False).distinct())
+        before, edges = edges, checkpoint(in_few(_star(_star(edges, True), False).distinct(), size))
         drop_tables(before)
         # a forest of stars is done: no node hangs on two others, or has others hanging on it while it hangs itself
         ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))

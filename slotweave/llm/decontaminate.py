@@ -28,11 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.llm.text import LETTERS, broadcast_below, checkpoint, unused
+from slotweave.llm.text import LETTERS, broadcast_below, checkpoint, in_few, unused
 
 WINDOW = 8
 MIN_SHARE = 0.5
 BROADCAST_WINDOWS = 1_000_000
+#: Tables of document keys are counted, and broadcast up to so many rows.
+BROADCAST_KEYS = 1_000_000
+#: Bytes of a row of keys; of an item's readings and of its windows for each byte of its text.
+ROW, READING, WINDOWED = 40, 16, 64
 MOST_LITERALS = 1 << 16
 
 #: Units that count as such after a number.
@@ -211,7 +215,7 @@ def candidates(docs: DataFrame, windows: DataFrame, sizes: DataFrame) -> DataFra
         lambda a, n: F.struct((a["sum"] + n).alias("sum"), (a["k"] + F.when(a["sum"] < F.col("needed"), 1).otherwise(0)).alias("k")),
     )["k"]
     needs = anchors.groupBy("item_id", "needed").agg(F.collect_list(F.when(F.col("weight") == 1, F.col("n"))).alias("counts")).select("item_id", F.greatest(fewest, F.lit(1)).alias("k"))
-    anchors = checkpoint(anchors.join(needs, "item_id").select("item_id", "needed", "hash", "weight", (F.col("n") * F.col("weight")).alias("n"), "k"))
+    anchors = checkpoint(in_few(anchors.join(needs, "item_id").select("item_id", "needed", "hash", "weight", (F.col("n") * F.col("weight")).alias("n"), "k"), 4 * windows.count() * ROW))
     wide = anchors.select("hash").distinct().count() > MOST_LITERALS
     if wide:  # classes of hashes stand for hashes: more documents get through, none is lost
         anchors = anchors.withColumn("hash", F.pmod("hash", F.lit(MOST_LITERALS)))
@@ -236,7 +240,8 @@ def candidates(docs: DataFrame, windows: DataFrame, sizes: DataFrame) -> DataFra
     held = by_anchor.groupBy("doc_id", "text_key", "item_id", "needed").agg(F.collect_set(F.struct("hash", "n")).alias("held"))
     wanted = held.filter(F.aggregate("held", F.lit(0).cast("long"), lambda n, x: n + x["n"]) >= F.col("needed")).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()
     both = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi")
-    return both.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))  # rows may repeat
+    size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return in_few(both.groupBy("doc_id", "text_key").agg(F.first("text").alias("text")), size)  # rows may repeat
 
 
 def alignments(read: DataFrame, windows: DataFrame) -> DataFrame:
@@ -292,11 +297,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are reported with a null doc_id; repeated rows give one row.  ``text_key`` is
     ``xxhash64(text)``.  Other columns are ignored.
     """
-    items = checkpoint(benchmark_items(benchmark).withColumn("version", F.xxhash64("tokens")))
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = checkpoint(in_few(benchmark_items(benchmark).withColumn("version", F.xxhash64("tokens")), size * READING))
     sizes = items.groupBy("item_id").agg(F.greatest(F.max(F.size("tokens")) - WINDOW + 1, F.lit(0)).alias("item_windows"))
-    windows = checkpoint(benchmark_windows(items))
+    windows = checkpoint(in_few(benchmark_windows(items), size * WINDOWED))
     read = checkpoint(candidates(docs, windows, sizes).select("doc_id", "text_key", F.posexplode_outer(readings_of(F.col("text"))).alias("doc_version", "doc_tokens")))
-    hits = checkpoint(alignments(read, windows))
+    hits = checkpoint(in_few(alignments(read, windows), 64 * read.count() * ROW))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_key", "doc_version")]
     both = hits.alias("a").join(read.alias("b"), same[0] & same[1] & same[2]).select("a.*", "doc_tokens").join(items, ["item_id", "version"])
     each, sets = _held("compared")
@@ -310,14 +316,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kept = judged.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"]))))
     kept = kept.withColumn("windows", F.transform("windows", lambda w: _place("tokens", w)))
     found = kept.groupBy("doc_id", "text_key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).alias("n_windows"), F.max(F.size("pairs")).alias("n_slots"))
-    return (
+    return in_few(
         found.join(sizes, "item_id").filter((F.col("n_windows") > 0) & (F.col("n_windows") >= MIN_SHARE * F.col("item_windows")))
-        .select("doc_id", "text_key", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("item_windows").cast("long").alias("item_windows"), F.col("n_slots").cast("long").alias("n_slots"))
+        .select("doc_id", "text_key", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("item_windows").cast("long").alias("item_windows"), F.col("n_slots").cast("long").alias("n_slots")),
+        hits.count() * ROW,
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     d, k = unused(docs, "d"), unused(docs, "k")
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias(d), F.col("text_key").alias(k)).distinct()
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias(d), F.col("text_key").alias(k))
+    found = broadcast_below(checkpoint(found).distinct(), BROADCAST_KEYS)
     return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(k)), "left_anti")

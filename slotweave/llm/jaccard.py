@@ -51,13 +51,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotweave.llm.components import connected_components
+from slotweave.llm.components import EDGE, connected_components
 from slotweave.llm.text import (
     U64,
     blocks,
     broadcast_below,
     checkpoint,
     drop_tables,
+    files_for,
+    in_few,
     int_array,
     mix,
     shuffle_buckets,
@@ -78,6 +80,8 @@ SKETCH_CHUNKS = 16
 BUCKET_ENTRIES = 2_000_000
 #: Tables of document keys are counted, and broadcast up to so many rows (of 16 or 24 bytes); beyond that texts are shuffled.
 BROADCAST_KEYS = 1_000_000
+#: Bytes of a tile's packed entry, and of a row of numbers.
+ENTRY, ROW = 13, 40
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("pairs", pa.binary()), ("docs", pa.binary())])
 _PACKED_DDL = "bucket int, keys binary, nodes binary, pairs binary, docs binary"
@@ -426,14 +430,16 @@ def _exact(num: int, den: int):
     return run
 
 
-def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: bit counts first, then the exact test."""
+def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """Those that link of at most ``most`` pairs (a, b): bit counts first, then the exact test."""
     bits = features.select("node", "n", "bits")
     sides = pairs.join(bits.toDF("b", "nb", "bits_b"), "b").join(bits.toDF("a", "na", "bits_a"), "a")
     pairs = sides.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bounded(num, den), "a long, b long")
     left = features.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = features.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return checkpoint(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_exact(num, den), "a long, b long"))
+    links = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_exact(num, den), "a long, b long")
+    # not in_few: the tasks that compare stay as many as the sets ask for
+    return checkpoint(links.repartition(files_for(links.sparkSession, most * EDGE)))
 
 
 def _by_part(task, keys: int, names: list[str]):
@@ -558,10 +564,10 @@ def _cut(rows: DataFrame) -> DataFrame:
     return each.select("tile", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", *rest)
 
 
-def _apart(tiles: DataFrame, components: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows for ``_open_nodes`` of the tiles of several components, of tiles with the same nodes one; and a table to drop once they are used."""
+def _apart(tiles: DataFrame, most: int, components: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows for ``_open_nodes`` of the tiles (``most`` rows) of several components, of tiles with the same nodes one; and a table to drop once they are used."""
     entries = tiles.select("tile", "node").union(tiles.select("tile", F.col("pivot").alias("node"))).distinct()
-    placed = checkpoint(entries.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    placed = checkpoint(in_few(entries.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), 2 * most * ROW))
     seen = F.struct(F.count("*"), F.sum(F.xxhash64("node").cast("decimal(20,0)")), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")))
     several = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), seen.alias("seen"))
     several = several.filter("lo <> hi AND members > 2")  # the one pair of two nodes has been compared
@@ -578,17 +584,18 @@ def _joined(opened: DataFrame, features: DataFrame, num: int, den: int) -> DataF
     rows = opened.join(opened.groupBy("tile").agg(parts), "tile").join(features.select("node", "bits", "shingles"), "node")
     cut = _cut(rows.select("tile", "parts", "node", "component", "n", "bits", "shingles"))
     dealt = cut.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y")
-    return checkpoint(dealt.mapInArrow(_bridges(num, den), "a long, b long").distinct())
+    return checkpoint(in_few(dealt.mapInArrow(_bridges(num, den), "a long, b long").distinct(), opened.count() * EDGE))
 
 
 def _components(tiles: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) of all nodes that link with another one, by the two rounds."""
     met = tiles.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = _linked(met, features, num, den)
+    most = tiles.count()
+    links = _linked(met, features, num, den, most)
     first = connected_components(links)
-    spread, placed = _apart(tiles, first, features)
+    spread, placed = _apart(tiles, most, first, features)
     dealt = spread.repartition("lo", "deal").sortWithinPartitions("lo", "deal", "tile", "x", "y")
-    opened = checkpoint(dealt.mapInArrow(_open_nodes(num, den), "tile long, node long, component long, n long").distinct())
+    opened = checkpoint(in_few(dealt.mapInArrow(_open_nodes(num, den), "tile long, node long, component long, n long").distinct(), placed.count() * ROW))
     more = _joined(opened, features, num, den)
     final = first if more.isEmpty() else connected_components(first.toDF("a", "b").union(more))
     drop_tables(links, placed, opened, more, *([] if final is first else [first]))
@@ -617,19 +624,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     buckets = max(shuffle_buckets(spark, 2), int(counts.sum() * share / BUCKET_ENTRIES))
     held = spark.sparkContext.broadcast(counts.astype(np.float32))
     packed = keyed.mapInArrow(_tiles(size, num, den, buckets, held), _PACKED_DDL)
-    members = checkpoint(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pivots, _MEMBERS_DDL))
+    members = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pivots, _MEMBERS_DDL)
+    members = checkpoint(in_few(members, int(counts.sum() * share) * ENTRY))
 
     records = members.filter("kind = 0").select("node", "doc_id", "text_key", "n")
     tiles = members.filter("kind = 1").select("tile", "pivot", "node")
     full = records.filter("n > 0")
-    sets = checkpoint(full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("best")))
+    many = records.count() * ROW
+    sets = checkpoint(in_few(full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("best")), many))
 
     nodes = tiles.select("node").union(tiles.select("pivot")).distinct()
-    wanted = checkpoint(sets.join(nodes, "node").select("node", "best.doc_id", "best.text_key"))
+    wanted = checkpoint(in_few(sets.join(nodes, "node").select("node", "best.doc_id", "best.text_key"), many))
     texts = keyed.toDF("d", "k", "text")
     found = broadcast_below(wanted, BROADCAST_KEYS).join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
     once = found.groupBy("node").agg(F.first("text").alias("text"))  # rows may repeat
-    features = checkpoint(once.mapInArrow(_features(size, num, den), "node long, n long, bits binary, shingles binary"))
+    usual = ROW + 10 * int(counts.sum()) // max(1, records.count())  # bytes of a document's shingles and signature
+    features = checkpoint(in_few(once.mapInArrow(_features(size, num, den), "node long, n long, bits binary, shingles binary"), wanted.count() * usual))
 
     components = _components(tiles, features, num, den)
     drop_tables(features, wanted)
@@ -640,7 +650,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     same = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key"))
     named = full.join(labels, "node").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), same.alias("is_first"))
     empty = records.filter("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("is_first"))
-    return named.union(empty)
+    return in_few(named.union(empty), many)
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:

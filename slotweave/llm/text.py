@@ -27,6 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 LETTERS = r"0-9A-Za-z\x{C0}-\x{1FFF}\x{2C00}-\x{D7FF}\x{F900}-\x{FFFD}\x{10000}-\x{10FFFF}"
 
 BLOCK_BYTES = 4 << 20
+#: Bytes of rows to a file, where a table's size is known before it is written.
+FILE_BYTES = 8 << 20
 #: Bytes whose words are hashed at once; running sums and powers take 8 bytes for each.
 HASH_STEP = 1 << 19
 
@@ -63,6 +65,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def files_for(spark: SparkSession, most: int) -> int:
+    """Files that ``most`` bytes of rows ask for; one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-most // FILE_BYTES))
+
+
+def in_few(df: DataFrame, most: int) -> DataFrame:
+    """``df``, of which about ``most`` bytes of rows or less will come, in no more partitions than these ask for.
+
+    Else a table is written by one task for each shuffle partition, however few its rows.
+    In a local folder Hadoop launches three processes (``chmod``) for every file, and until
+    such a process has begun it counts as a second executor where memory is watched.
+    """
+    return df.coalesce(files_for(df.sparkSession, most))
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Delete tables that ``checkpoint`` has written and that no plan needs any more."""
     for table in tables:
@@ -136,7 +153,10 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about BLOCK_BYTES of text (one row at least)."""
+    """Slices of the batches with about BLOCK_BYTES of text (one row at least).
+
+    Behind the last one Arrow gives back what it holds for more: a worker outlives its task.
+    """
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -148,6 +168,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_rows: int
             to = min(max(to, at + 1), at + max_rows, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    batch = column = _ = None
+    pa.default_memory_pool().release_unused()
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
