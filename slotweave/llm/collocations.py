@@ -26,7 +26,7 @@ more projections are written than necessary; counts stay exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +53,18 @@ _BREAKS[[0x20, 0x09]] = True
 _POWERS = _Powers(0xC2B2AE3D27D4EB4F | 1)
 
 
+def _looked_up(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """``table[data]`` of bytes, without an index of eight bytes for each."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), dtype=table.dtype)
+
+
 class Words:
     """The words of a block of rows: where they start and end, their ids, and which follow the one before in its piece."""
 
     def __init__(self, text: pa.Array, lang: pa.Array):
         data, offsets = string_buffers(text)
-        self.data = data = _LOWER[data]
-        inside = ~_BREAKS[data]
+        self.data = data = _looked_up(_LOWER, data)
+        inside = ~_looked_up(_BREAKS, data)
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
         before, after = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
@@ -85,7 +90,7 @@ class Words:
             self.ids[a:b] = mix(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64)) ^ of[self.row[a:b]])
             a = b
         self.ids[self.ids == 0] = U64(1)  # 0 stands for no word
-        piece = np.searchsorted(np.flatnonzero(_ENDS[data]), starts)
+        piece = np.searchsorted(np.flatnonzero(_looked_up(_ENDS, data)), starts)
         self.joined = np.zeros(len(starts), dtype=bool)  # with the word after
         self.joined[:-1] = (piece[1:] == piece[:-1]) & (self.row[1:] == self.row[:-1])
 
@@ -136,60 +141,75 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
 
 
+def by_block(rows: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that puts out ``rows`` of each block; what they were made from is free again before the next block."""
+    return lambda batches: map(rows, blocks(batches))
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(lang, word, id, n) of all words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            words = Words(block.column(0), block.column(1))
-            first, n = _added_up(words.ids)
-            langs = block.column(1).take(pa.array(words.row[first]))
-            yield pa.RecordBatch.from_arrays([langs, words.texts(first), _signed(words.ids[first]), pa.array(n)], ["lang", "word", "id", "n"])
+    def rows(block: pa.RecordBatch) -> pa.RecordBatch:
+        words = Words(block.column(0), block.column(1))
+        first, n = _added_up(words.ids)
+        langs = block.column(1).take(pa.array(words.row[first]))
+        return pa.RecordBatch.from_arrays([langs, words.texts(first), _signed(words.ids[first]), pa.array(n)], ["lang", "word", "id", "n"])
 
-    return texts.mapInArrow(run, "lang string, word string, id long, n long").groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(by_block(rows), "lang string, word string, id long, n long").groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
 
 
 def count_pairs(texts: DataFrame, frequent: Bitmap) -> DataFrame:
     """(pair, n): neighbours that may both be frequent, by the hash of the pair."""
     held = texts.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            words = Words(block.column(0), block.column(1))
-            known = held.value.has(words.ids)
-            at = np.flatnonzero(words.joined[:-1] & known[:-1] & known[1:])
-            pairs = pair_hash(words.ids[at], words.ids[at + 1])
-            first, n = _added_up(pairs)
-            yield pa.RecordBatch.from_arrays([_signed(pairs[first]), pa.array(n)], ["pair", "n"])
+    def rows(block: pa.RecordBatch) -> pa.RecordBatch:
+        words = Words(block.column(0), block.column(1))
+        known = held.value.has(words.ids)
+        at = np.flatnonzero(words.joined[:-1] & known[:-1] & known[1:])
+        pairs = pair_hash(words.ids[at], words.ids[at + 1])
+        first, n = _added_up(pairs)
+        return pa.RecordBatch.from_arrays([_signed(pairs[first]), pa.array(n)], ["pair", "n"])
 
-    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(by_block(rows), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def project(texts: DataFrame, growing: Bitmap, most_words: int) -> DataFrame:
-    """(w1 .. wk, n): the pairs that occurrence pointers stand at and the words after them; 0 where it ends."""
-    held = texts.sparkSession.sparkContext.broadcast(growing)
+def project(texts: DataFrame, growing: Bitmap, hot: np.ndarray, most_words: int) -> DataFrame:
+    """(w1 .. wk, n, hot): the pairs that occurrence pointers stand at and the words after them; 0 where it ends.
+
+    ``hot`` are the hashes of pairs to be marked, in order.  They are marked here
+    and not in a step of their own: each Python step of a stage takes a worker of
+    its own for every task, and these stay in the executor's memory.
+    """
+    held = texts.sparkSession.sparkContext.broadcast((growing, hot))
     names = [f"w{k + 1}" for k in range(most_words)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            words = Words(block.column(0), block.column(1))
-            opens = words.joined.copy()
-            at = np.flatnonzero(opens)
-            opens[at] = held.value.has(pair_hash(words.ids[at], words.ids[at + 1]))
-            pointers = np.flatnonzero(opens)
-            found = [words.ids[pointers], words.ids[pointers + 1]]
-            alive = np.ones(len(pointers), dtype=bool)
-            for k in range(2, most_words):
-                # the word after stands if the pair that it closes can grow
-                alive = alive & opens[np.minimum(pointers + k - 1, len(opens) - 1)]
-                found.append(np.where(alive, words.ids[np.minimum(pointers + k, len(opens) - 1)], U64(0)))
-            key = np.zeros(len(pointers), dtype=U64)
-            for w in found:
-                key = pair_hash(key, w)
-            first, n = _added_up(key)
-            yield pa.RecordBatch.from_arrays([*(_signed(w[first]) for w in found), pa.array(n)], [*names, "n"])
-
-    return texts.mapInArrow(run, ", ".join(f"{w} long" for w in [*names, "n"]))
+    def rows(block: pa.RecordBatch) -> pa.RecordBatch:
+        growing, hot = held.value
+        words = Words(block.column(0), block.column(1))
+        opens = words.joined.copy()
+        at = np.flatnonzero(opens)
+        pairs = pair_hash(words.ids[at], words.ids[at + 1])
+        opens[at] = grows = growing.has(pairs)
+        pointers, pairs = at[grows], pairs[grows]
+        found = [words.ids[pointers], words.ids[pointers + 1]]
+        alive = np.ones(len(pointers), dtype=bool)
+        for k in range(2, most_words):
+            # the word after stands if the pair that it closes can grow
+            alive = alive & opens[np.minimum(pointers + k - 1, len(opens) - 1)]
+            found.append(np.where(alive, words.ids[np.minimum(pointers + k, len(opens) - 1)], U64(0)))
+        key = np.zeros(len(pointers), dtype=U64)
+        for w in found:
+            key = pair_hash(key, w)
+        first, n = _added_up(key)
+        return pa.RecordBatch.from_arrays([*(_signed(w[first]) for w in found), pa.array(n), pa.array(_among(pairs[first], hot))], [*names, "n", "hot"])
+
+    return texts.mapInArrow(by_block(rows), ", ".join(f"{w} long" for w in [*names, "n"]) + ", hot boolean")
+
+
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(x), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
 def grow(batches: Iterator[pa.RecordBatch], most_words: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -241,15 +261,9 @@ def frequent_phrases(texts: DataFrame, words: DataFrame, most_words: int, least:
     hot = [r["pair"] for r in pairs.filter(F.col("n") > max(least, total // HOT_SHARE)).select("pair").collect()]
     drop_tables(pairs)
     names = [f"w{k + 1}" for k in range(most_words)]
-    held = texts.sparkSession.sparkContext.broadcast(np.array(sorted(hot), dtype=np.int64))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pair = pair_hash(*(batch.column(k).to_numpy().view(U64) for k in (0, 1))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.isin(pair, held.value))], [*names, "n", "hot"])
-
+    ordered = np.sort(np.array(hot, dtype=np.int64).view(U64))
+    dealt = project(texts, growing, ordered, most_words).repartition("w1", "w2", F.when(F.col("hot"), F.col(names[min(2, most_words - 1)])).otherwise(0))
     ddl = ", ".join(f"{w} long" for w in [*names, "n"])
-    dealt = project(texts, growing, most_words).mapInArrow(marked, f"{ddl}, hot boolean").repartition("w1", "w2", F.when(F.col("hot"), F.col(names[min(2, most_words - 1)])).otherwise(0))
     grown = dealt.sortWithinPartitions(*names).mapInArrow(lambda batches: grow(batches, most_words, least), ddl)
     return grown.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
