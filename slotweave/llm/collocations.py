@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotweave.llm.text import _LOWER, HASH_STEP, U64, _Powers, blocks, checkpoint, drop_tables, mix, string_buffers
+from slotweave.llm.text import _LOWER, HASH_STEP, U64, _Powers, blocks, checkpoint, drop_tables, in_few, mix, string_buffers
 
 PIECE_ENDS = ".,;:!?\n\v\f\r"
 MOST_WORDS = 3
@@ -141,6 +141,12 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
 
 
+def _ids(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a block's words, and which are in a piece with the word after; where the words stand is not kept."""
+    words = Words(block.column(0), block.column(1))
+    return words.ids, words.joined
+
+
 def by_block(rows: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task that puts out ``rows`` of each block; what they were made from is free again before the next block."""
     return lambda batches: map(rows, blocks(batches))
@@ -163,10 +169,10 @@ def count_pairs(texts: DataFrame, frequent: Bitmap) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(block: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(block.column(0), block.column(1))
-        known = held.value.has(words.ids)
-        at = np.flatnonzero(words.joined[:-1] & known[:-1] & known[1:])
-        pairs = pair_hash(words.ids[at], words.ids[at + 1])
+        ids, joined = _ids(block)
+        known = held.value.has(ids)
+        at = np.flatnonzero(joined[:-1] & known[:-1] & known[1:])
+        pairs = pair_hash(ids[at], ids[at + 1])
         first, n = _added_up(pairs)
         return pa.RecordBatch.from_arrays([_signed(pairs[first]), pa.array(n)], ["pair", "n"])
 
@@ -185,18 +191,17 @@ def project(texts: DataFrame, growing: Bitmap, hot: np.ndarray, most_words: int)
 
     def rows(block: pa.RecordBatch) -> pa.RecordBatch:
         growing, hot = held.value
-        words = Words(block.column(0), block.column(1))
-        opens = words.joined.copy()
+        ids, opens = _ids(block)
         at = np.flatnonzero(opens)
-        pairs = pair_hash(words.ids[at], words.ids[at + 1])
+        pairs = pair_hash(ids[at], ids[at + 1])
         opens[at] = grows = growing.has(pairs)
         pointers, pairs = at[grows], pairs[grows]
-        found = [words.ids[pointers], words.ids[pointers + 1]]
+        found = [ids[pointers], ids[pointers + 1]]
         alive = np.ones(len(pointers), dtype=bool)
         for k in range(2, most_words):
             # the word after stands if the pair that it closes can grow
             alive = alive & opens[np.minimum(pointers + k - 1, len(opens) - 1)]
-            found.append(np.where(alive, words.ids[np.minimum(pointers + k, len(opens) - 1)], U64(0)))
+            found.append(np.where(alive, ids[np.minimum(pointers + k, len(opens) - 1)], U64(0)))
         key = np.zeros(len(pointers), dtype=U64)
         for w in found:
             key = pair_hash(key, w)
@@ -254,7 +259,9 @@ def grow(batches: Iterator[pa.RecordBatch], most_words: int, least: int) -> Iter
 def frequent_phrases(texts: DataFrame, words: DataFrame, most_words: int, least: int) -> DataFrame:
     """(w1 .. wk, n) of the phrases of two words or more that occur ``least`` times or more; ``words`` are the frequent ones."""
     frequent = bitmap(words, "id", WORD_BITS)
-    pairs = checkpoint(count_pairs(texts, frequent).filter(F.col("n") >= least))
+    # what occurs ``least`` times or more is no more than a ``least``-th of the words, for each length
+    most = (words.agg(F.sum("n")).first()[0] or 0) // least
+    pairs = checkpoint(in_few(count_pairs(texts, frequent).filter(F.col("n") >= least), 16 * most))
     growing = bitmap(pairs, "pair", PAIR_BITS)
     total = pairs.agg(F.sum("n")).first()[0] or 0
     # at most HOT_SHARE pairs have that share of all
@@ -265,7 +272,7 @@ def frequent_phrases(texts: DataFrame, words: DataFrame, most_words: int, least:
     dealt = project(texts, growing, ordered, most_words).repartition("w1", "w2", F.when(F.col("hot"), F.col(names[min(2, most_words - 1)])).otherwise(0))
     ddl = ", ".join(f"{w} long" for w in [*names, "n"])
     grown = dealt.sortWithinPartitions(*names).mapInArrow(lambda batches: grow(batches, most_words, least), ddl)
-    return grown.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return in_few(grown.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least), 8 * (most_words + 1) * (most_words - 1) * (total // least))
 
 
 def scored(phrases: DataFrame, words: DataFrame, most_words: int) -> DataFrame:
@@ -334,7 +341,7 @@ def collocations(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEA
     in an empty table, there are no rows.  Other columns are ignored.
     """
     texts = texts_of(docs)
-    counted = checkpoint(count_words(texts))
+    counted = checkpoint(in_few(count_words(texts), texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
     words = counted.filter(F.col("n") >= least)
     phrases = checkpoint(frequent_phrases(texts, words, most_words, least))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))

@@ -58,3 +58,28 @@ def test_hot_pairs_are_marked():
     x = np.array([5, 0, 2**63 + 1, 9, 2**64 - 1], dtype=np.uint64)
     assert collocations._among(x, np.array([0, 9, 2**63 + 1], dtype=np.uint64)).tolist() == [False, True, True, True, False]
     assert not collocations._among(x, x[:0]).any() and not len(collocations._among(x[:0], x))
+
+
+def test_tables_of_few_rows_are_few_files(spark, monkeypatch):
+    new = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in new}
+    files = []
+
+    def checkpoint(df, plain=collocations.checkpoint):
+        out = plain(df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(collocations, "checkpoint", checkpoint)
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        text = ". ".join(f"w{k} x{k} y{k} z{k}" for k in range(300))
+        docs = spark.createDataFrame([(text, "en")] * 12, "text string, lang string").repartition(3)
+        found = collocations.collocations(docs, keep=400).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    # three words in two ways a line; pairs are held by them
+    assert len(found) == 400 and {(r["a"], r["n"], len(r["phrase"].split())) for r in found} == {(12, 14400, 3)}
+    assert len(files) == 3 and max(files) <= max(8, spark.sparkContext.defaultParallelism) < 40
