@@ -1,8 +1,9 @@
 """Compilation of mapping rows into relational specs.
 
-Mapping rows and schemas are small tables, so every step is a few joins and
-aggregations over them; broken rows become diagnostics instead of stopping the
-run.  The result has four tables:
+Every step is a few joins and aggregations over mapping rows and schemas; broken
+rows become diagnostics instead of stopping the run.  Up to ``HELD_ROWS`` rows the
+steps are small jobs and the driver holds their results; beyond, the same steps run
+like those of data and their results are kept in files.  The result has four tables:
 
 * ``classes``: deriv_id, source_class, target_class, is_wide, ord
 * ``slots``: deriv_id, target_slot, kind (copy, expr, const), source_slot, expr, settings, ord
@@ -20,13 +21,14 @@ import json
 from collections import OrderedDict
 from dataclasses import dataclass, field
 
+import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotweave.functions import names
 from slotweave.operators import reshape
-from slotweave.sources.local import local_table, settled, small_jobs
+from slotweave.sources.local import few, kept, local_table, numbered, settled, small_jobs, spread
 from slotweave.sources.metadata import Schema
 
 PAIR = ["sourceClass", "targetClass"]
@@ -52,6 +54,10 @@ class Specs:
     diagnostics: DataFrame
     #: What execution has read of them, so that it is collected once.
     read: dict = field(default_factory=dict, compare=False, repr=False)
+    #: Whether the tables are in files and may be too large for the driver.
+    large: bool = False
+    #: (enum, pos, value) of source enums whose values are a table.
+    listed: DataFrame | None = None
 
 
 def _note(rows: DataFrame, severity: str, code: str, message: Column) -> DataFrame:
@@ -69,19 +75,49 @@ def _settings_cells(rows: list, columns: list[str], ord_at: int | None) -> tuple
     for row in map(list, rows):
         for k in at:
             if row[k] is not None and row[k].strip():
-                try:
-                    held = yaml.safe_load(row[k])
-                except yaml.YAMLError:
-                    held = ""
-                if isinstance(held, dict):
-                    row[k] = json.dumps({str(n): json.dumps(v, sort_keys=True, default=str) for n, v in sorted(held.items(), key=lambda x: str(x[0]))})
-                else:
-                    bad.append(("error", "E_SETTINGS", None if ord_at is None else row[ord_at], f"settings that are no YAML mapping: {row[k]}"))
-                    row[k] = None
+                told = _settings_json(row[k])
+                if told is None:
+                    bad.append(("error", "E_SETTINGS", None if ord_at is None else row[ord_at], f"{_BAD_SETTINGS}{row[k]}"))
+                row[k] = told
         out.append(tuple(row))
     return out, bad
 
 
+#: libyaml's loader where it is there: many times faster.
+_LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+_BAD_SETTINGS = "settings that are no YAML mapping: "
+
+
+def _settings_json(cell: str) -> str | None:
+    """A YAML mapping as a JSON object of JSON texts; None of what is none."""
+    try:
+        held = yaml.load(cell, _LOADER)
+    except yaml.YAMLError:
+        # libyaml refuses a few texts that PyYAML takes
+        try:
+            held = yaml.safe_load(cell)
+        except yaml.YAMLError:
+            return None
+    return json.dumps({str(n): json.dumps(v, sort_keys=True, default=str) for n, v in sorted(held.items(), key=lambda x: str(x[0]))}) if isinstance(held, dict) else None
+
+
+def _read_cells(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The same of a large table, by tasks: (rows, diagnostics or None where there are no settings)."""
+    @F.pandas_udf("string")
+    def told(cells: pd.Series) -> pd.Series:
+        known: dict[str, str | None] = {}
+        for c in cells:
+            if c is not None and c not in known:
+                known[c] = _settings_json(c) if c.strip() else c
+        return pd.Series([None if c is None else known[c] for c in cells], dtype=object)
+
+    columns = [c for c in SETTINGS if dict(rows.dtypes).get(c) == "string"]
+    read = kept((spread(rows) if columns else rows).withColumns({f"_told_{c}": told(c) for c in columns}))
+    out = read.withColumns({c: F.col(f"_told_{c}") for c in columns}).select(*rows.columns)
+    notes = [_note(read.filter(f"{c} IS NOT NULL AND _told_{c} IS NULL"), "error", "E_SETTINGS", F.concat(F.lit(_BAD_SETTINGS), c)) for c in columns]
+    return out, reshape.union_all(notes) if notes else None
+
+
 def _read_settings(c: Column) -> Column:
     return F.coalesce(F.map_entries(F.from_json(c, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))
 
@@ -92,6 +128,20 @@ def _last_settings(cells: Column) -> Column:
     return F.aggregate(merged, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
 
 
+def _merged_settings(rows: DataFrame, keys: list[str], cell: str) -> DataFrame:
+    """(keys, settings): the settings of all cells of a group as one map, those that come last at its end; of equal names the last row's counts.
+
+    Names are met before the rows of a group are, so however many rows have the same settings nothing grows with them.
+    """
+    each = rows.filter(_filled(cell)).select(*keys, "_ord", F.posexplode(_read_settings(F.col(cell))).alias("_at", "_e"))
+    last = each.groupBy(*keys, F.col("_e.key").alias("_name")).agg(F.max(F.struct("_ord", "_at", F.col("_e.value").alias("value"))).alias("_l"))
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("_l._ord").alias("o"), F.col("_l._at").alias("a"), F.col("_name").alias("key"), F.col("_l.value").alias("value"))))
+    return last.groupBy(*keys).agg(F.map_from_entries(F.transform(in_order, lambda x: F.struct(x["key"], x["value"]))).alias("settings"))
+
+
+_NO_SETTINGS = "CAST(map() AS map<string,string>)"
+
+
 def class_derivations(maps: DataFrame, source: Schema) -> tuple[DataFrame, DataFrame]:
     """(pair slots, diagnostics): one slot derivation for each class pair and target slot."""
     spark = maps.sparkSession
@@ -106,11 +156,12 @@ def class_derivations(maps: DataFrame, source: Schema) -> tuple[DataFrame, DataF
     entry = F.struct("kind", F.when(F.col("kind") == "copy", F.col("sourceSlot")).alias("source_slot"), F.when(F.col("kind") == "expr", F.col("targetExpr")).alias("expr"), told.alias("told"))
     folded = (
         rows.withColumn("entry", entry).groupBy(*PAIR, "targetSlot")
-        .agg(F.collect_set("entry").alias("entries"), F.min("_ord").alias("_ord"), F.array_sort(F.collect_list(F.struct("_ord", F.col("slotDerivationSettings").alias("s")))).alias("extras"))
+        .agg(F.min("entry").alias("e"), F.max("entry").alias("other"), F.min("_ord").alias("_ord"))
     )
-    conflict = _note(folded.filter(F.size("entries") > 1), "error", "E_CONFLICT", F.concat_ws("", F.lit("several derivations of "), "targetClass", F.lit("."), "targetSlot"))
-    settings = _last_settings(F.transform("extras", lambda x: x["s"]))
-    out = folded.select(*PAIR, "targetSlot", F.get("entries", 0).alias("e"), settings.alias("settings"), "_ord").select(*PAIR, "targetSlot", "e.kind", "e.source_slot", "e.expr", "settings", "_ord")
+    conflict = _note(folded.filter("NOT e <=> other"), "error", "E_CONFLICT", F.concat_ws("", F.lit("several derivations of "), "targetClass", F.lit("."), "targetSlot"))
+    settings = _merged_settings(rows, [*PAIR, "targetSlot"], "slotDerivationSettings").withColumnsRenamed({c: f"_{c}" for c in (*PAIR, "targetSlot")})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*PAIR, "targetSlot")]
+    out = folded.join(settings, same[0] & same[1] & same[2], "left").select(*PAIR, "targetSlot", "e.kind", "e.source_slot", "e.expr", F.coalesce("settings", F.expr(_NO_SETTINGS)).alias("settings"), "_ord")
     return out, reshape.union_all([lost, unknown, conflict])
 
 
@@ -149,10 +200,8 @@ def enum_derivations(rows: DataFrame, source: Schema, target: Schema, ontology:
     aimed = aimed.withColumn("target_enum", F.when(_filled("targetClass") & _filled("targetSlot"), by_slot).otherwise(fallback))
     full = _full_value(_full_value(aimed, source, "source_enum", "sourceValue", ontology), target, "target_enum", "targetValue", ontology)
     key = [*SCOPE, "target_enum"]
-    enums = full.groupBy(*key).agg(
-        F.min_by("source_enum", "_ord").alias("source_enum"), F.count_distinct("source_enum").alias("_n"),
-        _last_settings(F.transform(F.array_sort(F.collect_list(F.struct("_ord", F.col("enumDerivationSettings").alias("s")))), lambda x: x["s"])).alias("settings"), F.min("_ord").alias("_ord"),
-    )
+    enums = full.groupBy(*key).agg(F.min_by("source_enum", "_ord").alias("source_enum"), F.count_distinct("source_enum").alias("_n"), F.min("_ord").alias("_ord"))
+    enums = enums.join(_merged_settings(full, key, "enumDerivationSettings"), key, "left").withColumn("settings", F.coalesce("settings", F.expr(_NO_SETTINGS)))
     enums = enums.withColumn("mirror_source", F.coalesce(F.try_element_at("settings", F.lit("mirror_source")).try_cast("boolean"), F.lit(False)))
     two = _note(enums.filter("_n > 1"), "error", "E_TWO_SOURCES", F.concat_ws("", F.lit("several source enums feed "), "target_enum"))
     pairs = full.withColumnRenamed("targetValue", "target_value")
@@ -217,7 +266,7 @@ def bind_enums(slots: DataFrame, enums: DataFrame, source: Schema) -> tuple[Data
 
     A scope matches where each of its keys is blank or equal; exactly one match
     binds, none mirrors the range's values, several are an error.  ``mirrored``
-    has the values of a range that is mirrored.
+    has the values of a range that is mirrored, unless these are a table.
     """
     ranges = source.range_table(slots.sparkSession).filter("kind = 'enum'").select(F.col("class").alias("source_class"), F.col("slot").alias("source_slot"), F.col("range").alias("source_enum"))
     wanted = slots.filter("kind = 'copy'").join(ranges, ["source_class", "source_slot"])
@@ -231,7 +280,7 @@ def bind_enums(slots: DataFrame, enums: DataFrame, source: Schema) -> tuple[Data
     found = met.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by(F.struct(*SCOPE, "target_enum", "mirror_source", "settings"), rank).alias("b"))
     counted = wanted.groupBy(*keys).agg(F.min("ord").alias("_ord")).join(found, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     many = _note(counted.filter("n > 1"), "error", "E_AMBIGUOUS", F.concat_ws("", F.lit("several enum derivations fit "), "target_slot"))
-    known = source.value_table(slots.sparkSession).groupBy(F.col("enum").alias("source_enum")).agg(F.collect_list("value").alias("mirrored"))
+    known = source.held_values(slots.sparkSession).groupBy(F.col("enum").alias("source_enum")).agg(F.collect_list("value").alias("mirrored"))
     found = F.col("n") == 1
     bound = counted.filter("n <= 1").select(
         "deriv_id", "target_slot", "source_enum", *(F.when(found, F.col(f"b.{c}")).alias(c) for c in SCOPE),
@@ -253,10 +302,15 @@ def forget_specs(spark: SparkSession) -> None:
 def compile_mapping(spark: SparkSession, source: Schema, target: Schema, maps: DataFrame | None = None, wide: DataFrame | None = None, enums: DataFrame | None = None, source_ops: list | None = None, ontology: str | None = None, strict: bool = False) -> Specs:
     """Specs of prepared ``maps``, ``wide`` and ``enums`` rows; ``strict`` raises on the first errors.
 
-    Specs that the session has compiled from the same rows and schemas are used again.
+    Specs that the session has compiled from the same rows and schemas are used
+    again, but for large ones.
     """
     with small_jobs(spark):
-        given = {k: (None if x is None else (x, x.collect())) for k, x in (("maps", maps), ("wide", wide), ("enums", enums))}
+        given = {k: (None if x is None else (x, few(x))) for k, x in (("maps", maps), ("wide", wide), ("enums", enums))}
+    if source.listed is not None or target.listed is not None or any(x and x[1] is None for x in given.values()):
+        specs = _compiled(spark, source, target, {k: x and (x[0], None) for k, x in given.items()}, source_ops, ontology, large=True)
+        return _checked(specs) if strict else specs
+    with small_jobs(spark):
         told = [(k, x and x[0].dtypes, x and [tuple(r) for r in x[1]]) for k, x in given.items()]
         key = hashlib.sha256(repr((told, source.raw, target.raw, source_ops, ontology, spark.conf.get("spark.sql.session.timeZone"))).encode()).hexdigest()
         kept = _kept(spark)
@@ -265,54 +319,64 @@ def compile_mapping(spark: SparkSession, source: Schema, target: Schema, maps: D
             specs = kept[key] = _compiled(spark, source, target, given, source_ops, ontology)
             while len(kept) > KEPT_SPECS:
                 kept.popitem(last=False)
-        if strict and (errors := specs.diagnostics.filter("severity = 'error'").orderBy("ord").limit(20).collect()):
-            raise MappingError("; ".join(f"{r['code']}: {r['message']}" for r in errors))
-        return specs
+        return _checked(specs) if strict else specs
+
+
+def _checked(specs: Specs) -> Specs:
+    if errors := specs.diagnostics.filter("severity = 'error'").orderBy("ord").limit(20).collect():
+        raise MappingError("; ".join(f"{r['code']}: {r['message']}" for r in errors))
+    return specs
 
 
-def _compiled(spark: SparkSession, source: Schema, target: Schema, given: dict[str, tuple[DataFrame, list] | None], source_ops: list | None, ontology: str | None) -> Specs:
+def _compiled(spark: SparkSession, source: Schema, target: Schema, given: dict[str, tuple[DataFrame, list | None] | None], source_ops: list | None, ontology: str | None, large: bool = False) -> Specs:
+    keep = kept if large else settled
     empty = local_table(spark, [], ", ".join(f"{c} string" for c in ("sourceClass", "sourceSlot", "sourceValue", "targetClass", "targetSlot", "targetValue", "targetExpr", "customData", "slotDerivationSettings", "enumDerivationSettings", "sourceEnum", "targetEnum", "wideGroup", "wideOtherSlots")) + ", _ord long")
-    tables, bad = {"maps": empty, "wide": empty, "enums": None}, []
+    tables, bad, notes_of_cells = {"maps": empty, "wide": empty, "enums": None}, [], []
     for name, held in given.items():
         if held is not None:
             frame, rows = held
+            if large:
+                tables[name], wrong = _read_cells(frame)
+                notes_of_cells += [] if wrong is None else [wrong]
+                continue
             read, wrong = _settings_cells(rows, frame.columns, frame.columns.index("_ord") if "_ord" in frame.columns else None)
             tables[name] = settled(frame, read)
             bad += wrong
     maps, wide, enums = tables["maps"], tables["wide"], tables["enums"]
-    has_wide = given["wide"] is not None and bool(given["wide"][1])
+    has_wide = given["wide"] is not None and not wide.isEmpty()
     base, notes = class_derivations(maps.filter(_filled("targetSlot") | _filled("targetExpr")), source)
-    base = settled(base)
-    notes = notes.unionByName(local_table(spark, bad, "severity string, code string, ord long, message string"))
+    base = keep(base)
+    notes = reshape.union_all([notes, local_table(spark, bad, "severity string, code string, ord long, message string"), *notes_of_cells])
     # a wide row of one slot has its cell in targetValue, so only a source value makes it an enum row
     coded = wide.filter(_filled("sourceValue")) if "wideRowNumber" in wide.columns else wide
     parts = [reshape.pad(x, [*SCOPE, "sourceEnum", "targetEnum", "sourceValue", "targetValue", "enumDerivationSettings", "_ord"]) for x in (maps, enums, coded) if x is not None]
-    value_rows = settled(reshape.union_all(parts).filter(_filled("sourceValue") | _filled("targetValue")).withColumn("_ord", F.col("_ord").cast("long")))
+    value_rows = keep(reshape.union_all(parts).filter(_filled("sourceValue") | _filled("targetValue")).withColumn("_ord", F.col("_ord").cast("long")))
     if not value_rows.head(1):
         enum_table = local_table(spark, [], ", ".join(f"{c} string" for c in (*SCOPE, "target_enum", "source_enum")) + ", settings map<string,string>, mirror_source boolean, _ord long")
         values = local_table(spark, [], ", ".join(f"{c} string" for c in (*SCOPE, "target_enum", "target_value")) + ", source_values array<string>")
     else:
         enum_table, values, enum_notes = enum_derivations(value_rows, source, target, ontology)
-        enum_table, values, notes = settled(enum_table), settled(values), notes.unionByName(enum_notes)
+        enum_table, values, notes = keep(enum_table), keep(values), notes.unionByName(enum_notes)
     keys = ["sourceClass", "sourceSlot", "targetClass", "wideGroup"]
     # a pair with wide groups emits those, not its base
     pairs = base.groupBy(*PAIR).agg(F.min("_ord").alias("ord"))
     everything = pairs.withColumns({"sourceSlot": F.lit(""), "wideGroup": F.lit(""), "is_wide": F.lit(False)})
     cells = None
     if has_wide:
-        cells = settled((wide_row_cells if "wideRowNumber" in wide.columns else wide_cells)(wide, source_ops))
+        cells = keep((wide_row_cells if "wideRowNumber" in wide.columns else wide_cells)(wide, source_ops))
         order = cells.groupBy(*keys).agg(F.min("_ord").alias("ord")).withColumn("is_wide", F.lit(True))
         everything = order.unionByName(everything.join(order.select(*PAIR).distinct(), PAIR, "left_anti").select(*order.columns))
-    numbered = settled(everything.withColumn("deriv_id", F.row_number().over(Window.orderBy(F.desc("is_wide"), "ord", *keys)) - 1))  # mapping rows only: a few thousand
+    order = [F.desc("is_wide"), F.col("ord"), *map(F.col, keys)]
+    placed = numbered(everything, order, "deriv_id").withColumn("deriv_id", F.col("deriv_id").cast("int")) if large else settled(everything.withColumn("deriv_id", F.row_number().over(Window.orderBy(*order)) - 1))
     entry = [F.col("sourceClass").alias("source_class"), F.col("targetClass").alias("target_class"), F.col("targetSlot").alias("target_slot"), "kind", "source_slot", "expr", "settings"]
-    slots = base.join(numbered.filter("NOT is_wide").select(*PAIR, "deriv_id"), PAIR).select("deriv_id", *entry, F.col("_ord").alias("ord"))
+    slots = base.join(placed.filter("NOT is_wide").select(*PAIR, "deriv_id"), PAIR).select("deriv_id", *entry, F.col("_ord").alias("ord"))
     if cells is not None:
-        by_group = overlay(base, cells).join(numbered, keys).select("deriv_id", *entry, F.row_number().over(Window.partitionBy("deriv_id").orderBy("_first", "targetSlot")).cast("long").alias("ord"))
+        by_group = overlay(base, cells).join(placed, keys).select("deriv_id", *entry, F.row_number().over(Window.partitionBy("deriv_id").orderBy("_first", "targetSlot")).cast("long").alias("ord"))
         slots = by_group.unionByName(slots)
         notes = notes.unionByName(_note(cells.filter("targetSlot = ''"), "error", "E_EMPTY_SLOT", F.lit("a wide cell without a slot name")))
-    slots = settled(slots)
+    slots = keep(slots)
     bindings, many = bind_enums(slots, enum_table, source)
-    bindings = settled(bindings)
-    diagnostics = settled(notes.unionByName(many))
-    classes = numbered.select("deriv_id", F.col("sourceClass").alias("source_class"), F.col("targetClass").alias("target_class"), "is_wide", "ord")
-    return Specs(classes, slots, enum_table, values, bindings, diagnostics)
+    bindings = keep(bindings)
+    diagnostics = keep(notes.unionByName(many))
+    classes = placed.select("deriv_id", F.col("sourceClass").alias("source_class"), F.col("targetClass").alias("target_class"), "is_wide", "ord")
+    return Specs(classes, slots, enum_table, values, bindings, diagnostics, large=large, listed=source.listed)

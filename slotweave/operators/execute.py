@@ -18,7 +18,7 @@ from slotweave.functions.names import EXTRA_PREFIX
 from slotweave.operators import lists
 from slotweave.operators.losses import Losses
 from slotweave.operators.compile import SCOPE, Specs
-from slotweave.sources.local import local_table, small_jobs
+from slotweave.sources.local import kept, local_table, small_jobs
 from slotweave.sources.metadata import Schema
 
 
@@ -32,6 +32,51 @@ def translate(value: Column, mapping: dict[str, str], unmapped: str = "null") ->
     return lists.resolved(F.try_element_at(lists.literal_map(mapping), text) if mapping else F.lit(None).cast("string"), text, unmapped)
 
 
+@dataclass(frozen=True)
+class Listed:
+    """A value list that stays a table (source_value, target_value); lists of one number are the same."""
+
+    number: int
+    values: DataFrame = field(compare=False, repr=False)
+
+    def held(self) -> dict[str, str]:
+        return {r["source_value"]: r["target_value"] for r in self.values.collect()}
+
+
+Values = dict[str, str] | Listed
+
+
+def _same_list(values: Values):
+    return values if isinstance(values, Listed) else frozenset(values.items())
+
+
+def _value_tables(specs: Specs) -> dict[tuple, tuple[Values, bool]]:
+    """``_value_maps`` of large specs: lists that are no literals stay a table, each once however many slots it holds for."""
+    spark, own = specs.slots.sparkSession, [*SCOPE, "target_enum"]
+    bound: dict[tuple, list[tuple]] = {}
+    # as many as the plan has coded slots; their values are not collected
+    for r in specs.bindings.select("deriv_id", "target_slot", "source_enum", "mirror_source", *own).collect():
+        bound.setdefault((r[0], r[1]), []).append(tuple(r[2:]))
+    keys = {at: tuple(sorted(set(b), key=repr)) for at, b in bound.items()}
+    numbers = {key: n for n, key in enumerate(dict.fromkeys(keys.values()))}
+    mirrored = {key: all(b[1] for b in key) for key in numbers}
+    told = local_table(spark, [(n, *b, bool(b[1]) and not mirrored[key]) for key, n in numbers.items() for b in key], f"list int, source_enum string, mirror_source boolean, {', '.join(f'{c} string' for c in own)}, itself boolean")
+    mapped = told.join(specs.values, own).select("list", F.explode("source_values").alias("source_value"), "target_value", F.lit(0).alias("rank"))
+    parts = [specs.bindings.filter("mirrored IS NOT NULL").groupBy("source_enum").agg(F.first("mirrored").alias("m")).select("source_enum", F.explode("m").alias("value"))]
+    parts += [] if specs.listed is None else [specs.listed.select(F.col("enum").alias("source_enum"), "value")]
+    for part in parts:
+        mapped = mapped.unionByName(told.filter("itself").select("list", "source_enum").distinct().join(part, "source_enum").select("list", F.col("value").alias("source_value"), F.col("value").alias("target_value"), F.lit(1).alias("rank")))
+    values = kept(mapped.groupBy("list", "source_value").agg(F.min(F.struct("rank", "target_value"))["target_value"].alias("target_value")))
+    sizes = {r[0]: r[1] for r in values.groupBy("list").agg(F.sum(F.length("source_value") + F.coalesce(F.length("target_value"), F.lit(0)) + lists.LITERAL_ENTRY)).collect()}
+    literal = {n: {} for n in numbers.values() if sizes.get(n, 0) <= lists.LITERAL_BYTES}
+    if sizes:
+        for r in values.filter(F.col("list").isin(list(literal))).collect():
+            literal[r["list"]][r["source_value"]] = r["target_value"]
+    table = lambda n: Listed(n, values.filter(F.col("list") == n).select("source_value", "target_value"))
+    found = {n: literal[n] if n in literal else table(n) for n in numbers.values()}
+    return {at: (found[numbers[key]], mirrored[key]) for at, key in keys.items()}
+
+
 def _value_maps(specs: Specs) -> dict[tuple, tuple[dict[str, str], bool]]:
     """(deriv, slot) -> (source value -> target value, mirror). Specs hold as many rows as the mapping sheets.
 
@@ -65,23 +110,23 @@ class _Source:
     #: (target slot, source slot, list) -> (value, what it becomes) of coded slots whose other values become null
     coded: dict[tuple, tuple[Column, Column]] = field(default_factory=dict)
 
-    def listed(self, slot: str, mapping: dict[str, str]) -> Column:
+    def listed(self, slot: str, mapping: Values) -> Column:
         """A slot's values through a list that is too large for a literal: a join, once for each slot and list."""
-        key = (slot, frozenset(mapping.items()))
+        key = (slot, _same_list(mapping))
         if key not in self.found:
             out = f"_list{len(self.found)}"
             while out in self.data.columns:
                 out = f"_{out}"
-            values = local_table(self.data.sparkSession, list(mapping.items()), "source_value string, target_value string")
+            values = mapping.values if isinstance(mapping, Listed) else local_table(self.data.sparkSession, list(mapping.items()), "source_value string, target_value string")
             self.data, self.found[key] = lists.looked_up(self.data, F.col(f"`{slot}`").cast("string"), values, out), out
         return F.col(self.found[key])
 
-    def _told(self, slot, mapping: dict[str, str], rule: str, value: Column, hit: Column) -> Column:
+    def _told(self, slot, mapping: Values, rule: str, value: Column, hit: Column) -> Column:
         if rule == "null":
-            self.coded[slot["target_slot"], slot["source_slot"], frozenset(mapping.items())] = (value.cast("string"), hit)
+            self.coded[slot["target_slot"], slot["source_slot"], _same_list(mapping)] = (value.cast("string"), hit)
         return hit
 
-    def column(self, slot, held: tuple[dict[str, str], bool] | None, kind: T.DataType, on_multi: str) -> Column:
+    def column(self, slot, held: tuple[Values, bool] | None, kind: T.DataType, on_multi: str) -> Column:
         if slot["kind"] == "const":
             return F.lit(slot["expr"]).cast(kind)
         if slot["kind"] == "expr":
@@ -89,10 +134,12 @@ class _Source:
         name = slot["source_slot"]
         c, many = F.col(f"`{name}`"), isinstance(self.schema[name].dataType, T.ArrayType)
         rule = "keep" if held and held[1] else "null"
-        if held and not many and not lists.fits_literal(held[0]):
+        if held and not many and (isinstance(held[0], Listed) or not lists.fits_literal(held[0])):
             hit = lists.resolved(self.listed(name, held[0]), c.cast("string"), rule)
             return self._told(slot, held[0], rule, c, hit).try_cast(kind)
         # an array's values go through a literal, whatever the list's size
+        if held and isinstance(held[0], Listed):
+            held = (held[0].held(), held[1])
         through = (lambda x: translate(x, held[0], rule)) if held else (lambda x: x)
         if not many:
             return (self._told(slot, held[0], rule, c, through(c)) if held else c).try_cast(kind)
@@ -137,7 +184,9 @@ def execute(specs: Specs, tables: dict[str, DataFrame], target: Schema, on_multi
     ``losses`` is told, while the rows are written, what mapping turns into null.
     """
     groups: dict[tuple[str, str], dict[int, list]] = {}
-    if not specs.read:
+    if not specs.read and specs.large:
+        specs.read.update(maps=_value_tables(specs), slots=specs.slots.orderBy("deriv_id", "ord").collect())
+    elif not specs.read:
         with small_jobs(specs.slots.sparkSession):
             specs.read.update(maps=_value_maps(specs), slots=specs.slots.orderBy("deriv_id", "ord").collect())
     maps = specs.read["maps"]

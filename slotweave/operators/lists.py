@@ -21,6 +21,8 @@ from slotweave.sources.local import work_folder
 LITERAL_BYTES = 16 << 10
 BROADCAST_BYTES = 32 << 20
 HOT_SHARE = 1000
+#: Bytes of a literal's entry besides its texts.
+LITERAL_ENTRY = 8
 #: Bytes of a row of a hash table besides its texts.
 ROW_BYTES = 48
 
@@ -30,7 +32,7 @@ def literal_map(mapping: dict[str, str]) -> Column:
 
 
 def fits_literal(mapping: dict[str, str]) -> bool:
-    return sum(len(k) + len(v or "") + 8 for k, v in mapping.items()) <= LITERAL_BYTES
+    return sum(len(k) + len(v or "") + LITERAL_ENTRY for k, v in mapping.items()) <= LITERAL_BYTES
 
 
 def resolved(hit: Column, value: Column, unmapped: str) -> Column:

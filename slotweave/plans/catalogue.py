@@ -34,9 +34,17 @@ def rows(spark: SparkSession, *table: dict[str, str]) -> DataFrame:
     return local_table(spark, [(*(r.get(c) for c in columns), k) for k, r in enumerate(table)], ", ".join([*(f"`{c}` string" for c in columns), "_ord long"]))
 
 
-def specs_of(spark: SparkSession, maps: list[dict] = (), wide: list[dict] = (), enums: list[dict] = ()) -> compiler.Specs:
+def rows_of(table: DataFrame, order: str | Column, *entries: dict[str, str | Column | None], step: int | None = None) -> DataFrame:
+    """Mapping rows made of each row of a table, however large, in the order of a key of it; ``step`` is how many rows a key has at most, if not as many as here."""
+    columns = list(dict.fromkeys(c for e in entries for c in e))
+    cell = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("string")
+    place = (F.col(order) if isinstance(order, str) else order).cast("long") * (step or len(entries))
+    return table.select(F.inline(F.array(*(F.struct(*(cell(e.get(c)).alias(c) for c in columns), (place + k).alias("_ord")) for k, e in enumerate(entries)))))
+
+
+def specs_of(spark: SparkSession, maps: list[dict] | DataFrame = (), wide: list[dict] = (), enums: list[dict] = ()) -> compiler.Specs:
     return compiler.compile_mapping(
-        spark, Schema.parse(SOURCE), Schema.parse(TARGET), prepare.prepare_maps(rows(spark, *maps)) if maps else None,
+        spark, Schema.parse(SOURCE), Schema.parse(TARGET), prepare.prepare_maps(maps if isinstance(maps, DataFrame) else rows(spark, *maps)) if maps else None,
         prepare.prepare_wide(rows(spark, *wide)) if wide else None, prepare.prepare_enums(rows(spark, *enums)) if enums else None, strict=True,
     )
 
@@ -45,11 +53,11 @@ def mapped(spark: SparkSession, sf_dir: str, source: str, target: str, **parts)
     return execute.execute(specs_of(spark, **parts), {source: read_table(spark, sf_dir, source)}, Schema.parse(TARGET))[target]
 
 
-def _row(source: str, slot: str | None, target: str, to: str, **more: str) -> dict:
+def _row(source: str | Column, slot: str | Column | None, target: str | Column, to: str | Column, **more: str | Column) -> dict:
     return {"sourceClass": source, "sourceSlot": slot, "targetClass": target, "targetSlot": to, **more}
 
 
-def _sale(slot: str | None, to: str, **more: str) -> dict:
+def _sale(slot: str | Column | None, to: str | Column, **more: str | Column) -> dict:
     return _row("orders", slot, "sales", to, **more)
 
 

@@ -10,7 +10,7 @@ from slotweave.functions import versions
 from slotweave.operators import compile as compiler
 from slotweave.operators import execute, lists, prepare, reshape
 from slotweave.operators.losses import Losses
-from slotweave.plans.catalogue import _STATES, _item, _row, _sale, _wide, query, rows, specs_of
+from slotweave.plans.catalogue import _STATES, _item, _row, _sale, _wide, query, rows, rows_of, specs_of
 from slotweave.plans.schemas import SOURCE, TARGET
 from slotweave.sources.local import work_folder
 from slotweave.sources.metadata import Schema
@@ -49,18 +49,17 @@ def wide_many_groups(spark, sf_dir):
 
 def _parts(spark, sf_dir, settings: str):
     """Lineitem with its part as a coded value: a list of all parts, of which nine of ten are mapped."""
-    held = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name").orderBy("p_partkey").collect()
+    part = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("key"), F.concat_ws(" ", "p_brand", "p_name").alias("name"))
     source, target = yaml.safe_load(SOURCE), yaml.safe_load(TARGET)
     source["classes"]["lineitem"]["slots"].append("l_partkey")
     source["slots"]["l_partkey"] = {"range": "partSet"}
-    source["enums"]["partSet"] = {"permissible_values": {str(r["p_partkey"]): {} for r in held}}
     target["classes"]["measures"]["slots"].append("part")
     target["slots"]["part"] = {"range": "partNames"}
-    target["enums"]["partNames"] = {"permissible_values": {f"{r['p_brand']} {r['p_name']}": {} for r in held}}
-    maps = [_item("l_orderkey", "saleID"), _item("l_linenumber", "line")]
-    maps += [_item("l_partkey", "part", sourceValue=str(r["p_partkey"]), targetValue=f"{r['p_brand']} {r['p_name']}", enumDerivationSettings=settings) for r in held if r["p_partkey"] % 10]
-    read, aimed = Schema("star", source), Schema("long", target)
-    specs = compiler.compile_mapping(spark, read, aimed, prepare.prepare_maps(rows(spark, *maps)), strict=True)
+    maps = rows(spark, _item("l_orderkey", "saleID"), _item("l_linenumber", "line"))
+    coded = rows_of(part.filter("p_partkey % 10 <> 0"), F.col("p_partkey") + 2, _item("l_partkey", "part", sourceValue=F.col("key"), targetValue=F.col("name"), enumDerivationSettings=settings))
+    read = Schema("star", source).with_values("partSet", part.select(F.col("p_partkey").alias("pos"), F.col("key").alias("value")))
+    aimed = Schema("long", target).with_values("partNames", part.select(F.col("p_partkey").alias("pos"), F.col("name").alias("value")))
+    specs = compiler.compile_mapping(spark, read, aimed, prepare.prepare_maps(reshape.union_all([maps, coded])), strict=True)
     return execute.execute(specs, {"lineitem": read_table(spark, sf_dir, "lineitem")}, aimed)["measures"]
 
 

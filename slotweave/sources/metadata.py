@@ -12,20 +12,26 @@ from typing import Any
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotweave.functions import names
-from slotweave.sources.local import local_table
+from slotweave.sources.local import few, kept, local_table
 
 _TYPES = {"integer": T.LongType(), "float": T.DoubleType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(), "datetime": T.TimestampType(), "decimal": T.DecimalType(38, 10)}
 
 
 @dataclass(frozen=True)
 class Schema:
-    """A parsed schema, with lookups for the driver and tables for joins."""
+    """A parsed schema, with lookups for the driver and tables for joins.
+
+    ``listed`` (enum, pos, value) has the permissible values of enums that are too
+    large for the driver; ``raw`` has these enums without values.
+    """
 
     name: str
     raw: dict[str, Any]
+    listed: DataFrame | None = None
 
     @classmethod
     def parse(cls, text: str) -> Schema:
@@ -36,6 +42,17 @@ class Schema:
     def read(cls, spark: SparkSession, path: str) -> Schema:
         return cls.parse(spark.read.text(path, wholetext=True).first()[0])
 
+    def with_values(self, enum: str, values: DataFrame) -> Schema:
+        """The schema with an enum of a table's values (pos, value), each once at its first pos; large ones stay a table."""
+        once = values.filter("value IS NOT NULL").groupBy("value").agg(F.min("pos").cast("long").alias("pos"))
+        found = few(once)
+        own = {r["value"]: {} for r in sorted(found or [], key=lambda r: r["pos"])}
+        raw = {**self.raw, "enums": {**(self.raw.get("enums") or {}), enum: {"permissible_values": own}}}
+        if found is not None:
+            return Schema(self.name, raw, self.listed)
+        table = kept(once.select(F.lit(enum).alias("enum"), "pos", "value"))
+        return Schema(self.name, raw, table if self.listed is None else self.listed.unionByName(table))
+
     def dump(self) -> str:
         return yaml.safe_dump(self.raw, sort_keys=False)
 
@@ -96,8 +113,14 @@ class Schema:
         rows = [(c, s, k, r, self.kind(r)) for c in self.classes() for s in self.slots(c) for k, r in enumerate(self.ranges(c, s))]
         return local_table(spark, rows, "class string, slot string, pos int, range string, kind string")
 
+    def held_values(self, spark: SparkSession) -> DataFrame:
+        """(enum, pos, value) of the enums whose values the driver holds."""
+        rows = [(e, k, v) for e in self.raw.get("enums") or {} for k, v in enumerate(self.values(e))]
+        return local_table(spark, rows, "enum string, pos long, value string")
+
     def value_table(self, spark: SparkSession, ontology: str | None = None) -> DataFrame:
         """(enum, pos, value, stripped): permissible values, and what is left of them without ontology identifiers."""
-        rows = [(e, k, v) for e in self.raw.get("enums") or {} for k, v in enumerate(self.values(e))]
-        table = local_table(spark, rows, "enum string, pos int, value string")
+        table = self.held_values(spark)
+        if self.listed is not None:
+            table = table.unionByName(self.listed)
         return table.withColumn("stripped", names.strip_ontology(table["value"], ontology))

@@ -9,6 +9,7 @@ and the batch counts once its mark is written after all of them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,7 @@ def start_many(spark: SparkSession, specs: Specs, source_class: str, stream: Dat
     whole batches.  After a failure the same checkpoint carries on: a batch that
     was cut off is written again over what it left.
     """
-    own = Specs(*(t.filter(F.col("source_class") == source_class) if "source_class" in t.columns else t for t in (specs.classes, specs.slots)), specs.enums, specs.values, specs.bindings, specs.diagnostics)
+    own = replace(specs, **{name: t.filter(F.col("source_class") == source_class) for name, t in (("classes", specs.classes), ("slots", specs.slots))}, read={})
 
     def batch(rows: DataFrame, number: int) -> None:
         held = rows.persist(StorageLevel.MEMORY_AND_DISK)
