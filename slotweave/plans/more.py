@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slotweave.functions import exprs, names
 from slotweave.operators import compile as compiler
 from slotweave.operators import execute, legacy, prepare, reshape, validate
-from slotweave.plans.catalogue import _BASE, _STATES, _row, _sale, _wide, mapped, query, rows, specs_of
+from slotweave.plans.catalogue import _BASE, _STATES, _row, _sale, _wide, mapped, query, rows, rows_of, specs_of
 from slotweave.plans.schemas import SOURCE, TARGET
 from slotweave.sources import specs as stored
 from slotweave.sources import tables
@@ -162,9 +162,9 @@ def slot_settings(spark, sf_dir):
 
 @query("SELECT c_custkey AS row, CASE WHEN c_nationkey % 5 = 0 THEN 'E_SETTINGS' END AS code FROM customer WHERE c_nationkey % 5 = 0")
 def bad_settings(spark, sf_dir):
-    held = read_table(spark, sf_dir, "customer").orderBy("c_custkey").collect()
-    maps = [_sale("o_orderkey", f"s{n['c_custkey']}", slotDerivationSettings="just text" if n["c_nationkey"] % 5 == 0 else "a: 1") for n in held]
-    found = compiler.compile_mapping(spark, Schema.parse(SOURCE), Schema.parse(TARGET), prepare.prepare_maps(rows(spark, *maps))).diagnostics
+    cell = F.when(F.col("c_nationkey") % 5 == 0, "just text").otherwise("a: 1")
+    maps = rows_of(read_table(spark, sf_dir, "customer"), "c_custkey", _sale("o_orderkey", F.concat(F.lit("s"), "c_custkey"), slotDerivationSettings=cell))
+    found = compiler.compile_mapping(spark, Schema.parse(SOURCE), Schema.parse(TARGET), prepare.prepare_maps(maps)).diagnostics
     return found.select(F.col("ord").cast("int").alias("row"), "code")
 
 
