@@ -353,14 +353,12 @@ def empty_derivations(spark, sf_dir):
 @query("SELECT 'W_UNKNOWN_CLASS' AS code, 'no source class ' || c_name AS message FROM customer WHERE c_nationkey % 5 = 0 UNION ALL SELECT 'E_UNKNOWN_SLOT', 'no source slot orders.' || c_name FROM customer WHERE c_nationkey % 5 = 1 UNION ALL SELECT 'E_CONFLICT', 'several derivations of sales.c' || c_custkey FROM customer WHERE c_nationkey % 5 = 2")
 def diagnostics(spark, sf_dir):
     """Rows of unknown classes, unknown slots and contradicting rows are reported and stop nothing."""
-    maps = []
-    for n in read_table(spark, sf_dir, "customer").orderBy("c_custkey").collect():
-        key = n["c_custkey"]
-        maps += [
-            [_row(n["c_name"], "a", "sales", f"a{key}")], [_sale(n["c_name"], f"b{key}")], [_sale("o_orderkey", f"c{key}"), _sale("o_custkey", f"c{key}")],
-            [_sale("o_orderkey", f"d{key}"), _sale("o_orderkey", f"d{key}")],
-        ][min(n["c_nationkey"] % 5, 3)]
-    return compiler.compile_mapping(spark, Schema.parse(SOURCE), Schema.parse(TARGET), prepare.prepare_maps(rows(spark, *maps))).diagnostics.select("code", "message")
+    customer, to = read_table(spark, sf_dir, "customer"), lambda kind: F.concat(F.lit(kind), "c_custkey")
+    maps = [rows_of(customer.filter(F.least(F.col("c_nationkey") % 5, F.lit(3)) == k), "c_custkey", *entries, step=2) for k, entries in enumerate((
+        [_row(F.col("c_name"), "a", "sales", to("a"))], [_sale(F.col("c_name"), to("b"))], [_sale("o_orderkey", to("c")), _sale("o_custkey", to("c"))],
+        [_sale("o_orderkey", to("d")), _sale("o_orderkey", to("d"))],
+    ))]
+    return compiler.compile_mapping(spark, Schema.parse(SOURCE), Schema.parse(TARGET), prepare.prepare_maps(reshape.union_all(maps))).diagnostics.select("code", "message")
 
 
 @query("SELECT c_custkey, c_name || ' [X:' || c_custkey || ']' AS full_value FROM customer")
