@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotweave.functions import exprs, names
 from slotweave.functions.names import EXTRA_PREFIX
 from slotweave.operators.compile import SCOPE, Specs
-from slotweave.sources.local import local_table, small_jobs
+from slotweave.sources.local import local_table, small_jobs, work_folder
 from slotweave.sources.metadata import Schema
 
 COLUMNS = ["sourceClass", "sourceSlot", "sourceEnumName", "sourceEnumValue", "targetClass", "targetSlot", "targetEnumName", "targetEnumValue", "numMappers", "mapper"]
@@ -144,6 +145,8 @@ def unknown_target_slots(specs: Specs, source: Schema, target: Schema) -> DataFr
 def refused_expressions(specs: Specs, source: Schema, target: Schema | None = None) -> DataFrame:
     """(deriv_id, source_class, target_class, target_slot, message) of expressions and statements that cannot be a Column over their source class."""
     spark = specs.slots.sparkSession
+    if specs.large:
+        return _refused_of_many(specs, source)
     with small_jobs(spark):
         told = specs.slots.filter("kind = 'expr' AND expr IS NOT NULL").select("deriv_id", "source_class", "target_class", "target_slot", "expr").orderBy("deriv_id", "ord").collect()
     known: dict[tuple[str, str], str | None] = {}
@@ -153,6 +156,34 @@ def refused_expressions(specs: Specs, source: Schema, target: Schema | None = No
     return local_table(spark, rows, "deriv_id int, source_class string, target_class string, target_slot string, message string")
 
 
+#: Refused texts that the driver holds at once.
+REFUSED_AT_ONCE = 10_000
+
+
+def _refused_of_many(specs: Specs, source: Schema) -> DataFrame:
+    """The same of large specs: Columns are made where the session is, so each distinct text passes by the driver once, and refused ones are written as they are found."""
+    spark, path, refused = specs.slots.sparkSession, work_folder(specs.slots.sparkSession), []
+    told = specs.slots.filter("kind = 'expr' AND expr IS NOT NULL").select("deriv_id", "source_class", "target_class", "target_slot", "expr")
+    texts = told.select("source_class", "expr").distinct()
+
+    def write() -> None:
+        local_table(spark, refused, "source_class string, expr string, message string").write.mode("append").parquet(path)
+        refused.clear()
+
+    structs: dict[str, T.StructType] = {}
+    write()
+    for cls, text in texts.toLocalIterator():
+        if cls not in structs:
+            structs[cls] = source.struct(cls)
+        if why := exprs.why_refused(text, structs[cls]):
+            refused.append((cls, text, why))
+            if len(refused) == REFUSED_AT_ONCE:
+                write()
+    write()
+    wrong = spark.read.schema("source_class string, expr string, message string").parquet(path)
+    return told.join(wrong, ["source_class", "expr"]).select("deriv_id", "source_class", "target_class", "target_slot", "message")
+
+
 CHECKS: dict[str, Callable[[Specs, Schema, Schema], DataFrame]] = {"free_text_to_enum": free_text_to_enum, "multi_to_single": multi_to_single, "unknown_target_slots": unknown_target_slots, "refused_expressions": refused_expressions}
 
 

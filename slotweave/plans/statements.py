@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slotweave.functions import exprs
 from slotweave.operators import compile as compiler
 from slotweave.operators import execute, prepare, validate
-from slotweave.plans.catalogue import _BASE, _row, _sale, _wide, mapped, query, rows, specs_of
+from slotweave.plans.catalogue import _BASE, _row, _sale, _wide, mapped, query, rows_of, specs_of
 from slotweave.plans.schemas import SOURCE, TARGET
 from slotweave.sources.metadata import Schema
 from slotweave.sources.tables import read_table
@@ -90,9 +90,9 @@ _TEXTS = ["target = src.o_orderkey\npass", "for x in src.o_orderstatus:\n    tar
 @query("SELECT 's' || c_custkey AS target_slot, CASE c_custkey % 5 WHEN 1 THEN 'not allowed in statements: for x in src.o_orderstatus:' WHEN 2 THEN 'not allowed in statements: import os' WHEN 3 THEN 'no source slot nothing' END AS message FROM customer WHERE c_custkey % 5 IN (1, 2, 3)")
 def refused_expressions(spark, sf_dir):
     """A mapping row of every customer; those whose text cannot be a Column are named before anything runs."""
-    held = read_table(spark, sf_dir, "customer").select("c_custkey").orderBy("c_custkey").collect()
-    maps = [_sale(None, f"s{r[0]}", targetExpr=_TEXTS[r[0] % 5]) for r in held]
-    specs = compiler.compile_mapping(spark, Schema.parse(SOURCE), Schema.parse(TARGET), prepare.prepare_maps(rows(spark, *maps)))
+    text = F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("c_custkey") % 5 + 1).cast("int"))
+    maps = rows_of(read_table(spark, sf_dir, "customer"), "c_custkey", _sale(None, F.concat(F.lit("s"), "c_custkey"), targetExpr=text))
+    specs = compiler.compile_mapping(spark, Schema.parse(SOURCE), Schema.parse(TARGET), prepare.prepare_maps(maps))
     return validate.refused_expressions(specs, Schema.parse(SOURCE)).select("target_slot", "message")
 
 
