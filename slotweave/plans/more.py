@@ -152,11 +152,12 @@ def enum_mirror_yaml(spark, sf_dir):
 @query("SELECT 's' || c_custkey AS slot, 'range' AS name, '\"' || c_name || '\"' AS value FROM customer UNION ALL SELECT 's' || c_custkey, 'rank', CAST(c_custkey AS VARCHAR) FROM customer")
 def slot_settings(spark, sf_dir):
     """Settings cells of several rows of one slot are merged, later rows win, and are kept in the specs."""
-    held = read_table(spark, sf_dir, "customer").orderBy("c_custkey").collect()
-    maps = [r for n in held for r in (
-        _sale("o_orderkey", f"s{n['c_custkey']}", slotDerivationSettings=f"range: old\nrank: {n['c_custkey']}"),
-        _sale("o_orderkey", f"s{n['c_custkey']}", slotDerivationSettings=f"range: {n['c_name']}"),
-    )]
+    slot = F.concat(F.lit("s"), "c_custkey")
+    maps = rows_of(
+        read_table(spark, sf_dir, "customer"), "c_custkey",
+        _sale("o_orderkey", slot, slotDerivationSettings=F.concat(F.lit("range: old\nrank: "), "c_custkey")),
+        _sale("o_orderkey", slot, slotDerivationSettings=F.concat(F.lit("range: "), "c_name")),
+    )
     return specs_of(spark, maps=maps).slots.select(F.col("target_slot").alias("slot"), F.explode("settings").alias("name", "value"))
 
 
