@@ -252,8 +252,7 @@ def spec_documents(spark, sf_dir):
 
 @query("SELECT 's' || c_custkey AS target_slot, unnest(['o_custkey', 'o_orderkey']) AS source_slot FROM customer")
 def slots_read_by_expressions(spark, sf_dir):
-    held = read_table(spark, sf_dir, "customer").orderBy("c_custkey").collect()
-    maps = [_sale(None, f"s{n['c_custkey']}", targetExpr=f"src.o_orderkey + src.o_custkey * {n['c_custkey']}") for n in held]
+    maps = rows_of(read_table(spark, sf_dir, "customer"), "c_custkey", _sale(None, F.concat(F.lit("s"), "c_custkey"), targetExpr=F.concat(F.lit("src.o_orderkey + src.o_custkey * "), "c_custkey")))
     return stored.source_slots(spark, specs_of(spark, maps=maps)).select("target_slot", "source_slot")
 
 

@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from slotweave.functions import exprs, names
 from slotweave.operators.compile import SCOPE, Specs
 from slotweave.sources.files import read_named, write_named
-from slotweave.sources.local import local_table, small_jobs
+from slotweave.sources.local import local_table, small_jobs, spread
 from slotweave.sources.metadata import Schema
 from slotweave.sources.tables import SHEET
 
 
 #: Fixed value: the class that stands for the collection of all tables in a schema.
 ROOT = "Container"
+#: Spec files that a task writes.
+TASK_SPECS = 1000
+#: Spec files are written by PyYAML's own code; libyaml's, where it is there, reads them many times faster.
+_LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 
 
 def spec_rows(specs: Specs) -> DataFrame:
@@ -37,9 +43,15 @@ def spec_rows(specs: Specs) -> DataFrame:
     held = bound.groupBy("deriv_id", "target_enum").agg(F.min(F.struct("source_enum", "mirror", "settings")).alias("told"), F.array_sort(F.collect_set(F.when(F.col("target_value").isNotNull(), F.struct("target_value", "source_values")))).alias("values"))
     enums = held.groupBy("deriv_id").agg(by_order("target_enum", "told", "values").alias("enums"))
     sheet = F.floor(F.coalesce("ord", F.lit(0)) / SHEET)
-    group = F.row_number().over(Window.partitionBy("is_wide", sheet).orderBy("deriv_id")) - 1
+    if specs.large:
+        # only wide groups go by their number: they come first, sheet by sheet, so it is counted from the sheet's first
+        firsts = specs.classes.filter("is_wide").groupBy(sheet.alias("_sheet")).agg(F.min("deriv_id").alias("_first"))
+        classes = specs.classes.join(F.broadcast(firsts), F.col("is_wide") & (sheet == F.col("_sheet")), "left")
+        group = F.col("deriv_id") - F.col("_first")
+    else:
+        classes, group = specs.classes, F.row_number().over(Window.partitionBy("is_wide", sheet).orderBy("deriv_id")) - 1
     decorated = names.decorated_name(F.col("target_class"), sheet, group, F.coalesce("copied", F.array().cast("array<string>")))
-    named = specs.classes.join(slots, "deriv_id", "left").withColumn("name", F.when(F.col("is_wide"), decorated).otherwise(F.col("target_class")))
+    named = classes.join(slots, "deriv_id", "left").withColumn("name", F.when(F.col("is_wide"), decorated).otherwise(F.col("target_class")))
     file = F.format_string("mapper-%010d-%s-%s.yaml", "deriv_id", names.safe_file_name(F.col("source_class")), names.safe_file_name(F.col("name")))
     return named.join(enums, "deriv_id", "left").select("deriv_id", file.alias("file"), "name", "source_class", "slots", "enums")
 
@@ -83,22 +95,48 @@ def write_specs(specs: Specs, path: str, tasks: int = 8) -> None:
 
     The files appear together when all are written; a failed job leaves the folder as it was.
     """
+    if specs.large:
+        tasks = max(tasks, specs.classes.count() // TASK_SPECS)
     rows = spec_rows(specs).repartition(tasks, "deriv_id")
     write_named(rows.mapInArrow(_texts, "file string, document string"), path, suffix=".yaml")
 
 
 def read_documents(spark: SparkSession, path: str) -> list[tuple[str, dict[str, Any]]]:
     """(file name, document) of a folder of spec files, in the order of their names."""
-    return [(r["file"], yaml.safe_load(r["document"])) for r in read_named(spark, path, ".yaml").orderBy("file").collect()]
+    return [(r["file"], yaml.load(r["document"], _LOADER)) for r in read_named(spark, path, ".yaml").orderBy("file").collect()]
 
 
 def slot_rows(spark: SparkSession, docs: list[tuple[str, dict[str, Any]]]) -> DataFrame:
     """(file, source_class, target_class, target_slot, source_slot, expr) of spec documents."""
-    rows = [
-        (f, c.get("populated_from"), t, s, (e or {}).get("populated_from"), (e or {}).get("expr"))
-        for f, d in docs for t, c in (d.get("class_derivations") or {}).items() for s, e in (c.get("slot_derivations") or {}).items() if t != ROOT
+    return local_table(spark, [r[:-1] for f, d in docs for r in _slots_of(f, d)], _SLOT_ROWS)
+
+
+_SLOT_ROWS = "file string, source_class string, target_class string, target_slot string, source_slot string, expr string"
+
+
+def _slots_of(file: str, doc: dict[str, Any]) -> list[tuple]:
+    return [
+        (file, c.get("populated_from"), t, s, (e or {}).get("populated_from"), (e or {}).get("expr"), place)
+        for t, c in (doc.get("class_derivations") or {}).items() for place, (s, e) in enumerate((c.get("slot_derivations") or {}).items()) if t != ROOT
     ]
-    return local_table(spark, rows, "file string, source_class string, target_class string, target_slot string, source_slot string, expr string")
+
+
+def _in_batches(made: Callable[[dict[str, Any]], list[tuple]], schema: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow``: the rows that ``made`` makes of each row."""
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if rows := [x for r in batch.to_pylist() for x in made(r)]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
+
+    return run
+
+
+def stored_slot_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``slot_rows`` of a folder's spec files, with each slot's ``place`` in its class: read and parsed by tasks, whatever their number."""
+    schema = f"{_SLOT_ROWS}, place int"
+    return read_named(spark, path, ".yaml").mapInArrow(_in_batches(lambda r: _slots_of(r["file"], yaml.load(r["document"], _LOADER) or {}), schema), schema)
 
 
 def read_specs(spark: SparkSession, docs: list[tuple[str, dict[str, Any]]], source: Schema) -> Specs:
@@ -140,12 +178,21 @@ def read_specs(spark: SparkSession, docs: list[tuple[str, dict[str, Any]]], sour
         local_table(spark, values, f"{scoped}, target_enum string, target_value string, source_values array<string>"),
         local_table(spark, bindings, f"deriv_id int, target_slot string, source_enum string, {scoped}, target_enum string, mirror_source boolean, settings map<string,string>, mirrored array<string>"),
         local_table(spark, [], "severity string, code string, ord long, message string"),
+        large=source.listed is not None,
+        listed=source.listed,
     )
 
 
 def source_slots(spark: SparkSession, specs: Specs) -> DataFrame:
     """(deriv_id, source_class, target_class, target_slot, source_slot): every source slot that a derivation reads, copied or in an expression."""
+    schema = "deriv_id int, source_class string, target_class string, target_slot string, source_slot string"
+    told = specs.slots.filter("kind <> 'const'").select("deriv_id", "source_class", "target_class", "target_slot", "kind", "source_slot", "expr")
+    if specs.large:
+        return spread(told).mapInArrow(_in_batches(_slots_read, schema), schema)
     with small_jobs(spark):
-        told = specs.slots.filter("kind <> 'const'").select("deriv_id", "source_class", "target_class", "target_slot", "kind", "source_slot", "expr").collect()
-    rows = [(*r[:4], s) for r in told for s in ([r["source_slot"]] if r["kind"] == "copy" else exprs.slots_in(r["expr"]) if r["expr"] else [])]
-    return local_table(spark, rows, "deriv_id int, source_class string, target_class string, target_slot string, source_slot string")
+        return local_table(spark, [x for r in told.collect() for x in _slots_read(r.asDict())], schema)
+
+
+def _slots_read(slot: dict[str, Any]) -> list[tuple]:
+    found = [slot["source_slot"]] if slot["kind"] == "copy" else exprs.slots_in(slot["expr"]) if slot["expr"] else []
+    return [(slot["deriv_id"], slot["source_class"], slot["target_class"], slot["target_slot"], s) for s in found]
