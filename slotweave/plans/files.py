@@ -6,11 +6,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from slotweave.operators import reshape
-from slotweave.plans.catalogue import _row, query, specs_of
+from slotweave.plans.catalogue import _row, query, rows_of, specs_of
 from slotweave.sources import specs as stored
 from slotweave.sources import workbooks
 from slotweave.sources.files import write_named
-from slotweave.sources.local import local_table, work_folder
+from slotweave.sources.local import work_folder
 from slotweave.sources.tables import read_table
 
 
@@ -20,12 +20,11 @@ FROM supplier, (VALUES ('saleID', 'o_orderkey', 0), ('state', 'o_orderstatus', 1
 """)
 def spec_files(spark, sf_dir):
     """Specs of a target class of every supplier, each a file of its own, in order and under names that files may have."""
-    held = [r[0] for r in read_table(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]
-    maps = [_row("orders", slot, f"t{k}/x#", to) for k in held for slot, to in (("o_orderkey", "saleID"), ("o_orderstatus", "state"))]
+    target = F.concat(F.lit("t"), "s_suppkey", F.lit("/x#"))
+    maps = rows_of(read_table(spark, sf_dir, "supplier"), "s_suppkey", *(_row("orders", slot, target, to) for slot, to in (("o_orderkey", "saleID"), ("o_orderstatus", "state"))))
     path = work_folder(spark)
     stored.write_specs(specs_of(spark, maps=maps), path)
-    rows = [(file, name, slot, entry["populated_from"], place) for file, doc in stored.read_documents(spark, path) for name, body in doc["class_derivations"].items() if name != stored.ROOT for place, (slot, entry) in enumerate(body["slot_derivations"].items())]
-    return local_table(spark, rows, "file string, target_class string, target_slot string, source_slot string, place int")
+    return stored.stored_slot_rows(spark, path).select("file", "target_class", "target_slot", "source_slot", "place")
 
 
 #: Customers of a workbook.
