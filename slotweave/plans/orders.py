@@ -73,6 +73,6 @@ def run_from_files(spark, sf_dir):
         local_table(spark, [(text,)], "value string").coalesce(1).write.text(f"{folder}/{name}.yaml")
     text = yaml.safe_dump({"source-schema-file": "source.yaml", "target-schema-file": "target.yaml", "maps-files": ["b_maps.csv", "a_maps.tsv"], "selectors": ["core=3.1", "!off"], "output-dir": "specs"})
     run(spark, tables.read_options(text, base=folder))
-    return stored.slot_rows(spark, stored.read_documents(spark, f"{folder}/specs")).select("target_class", "target_slot")
+    return stored.stored_slot_rows(spark, f"{folder}/specs").select("target_class", "target_slot")
 
 

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from slotweave.sources.local import spread
+
 FORMAT = "named_files"
-#: Files that a task reads.
-TASK_FILES = 1000
 #: Rows that a task reads at once, and the bytes of them at which it stops sooner.
 BATCH_FILES, BATCH_BYTES = 500, 4 << 20
 
@@ -43,9 +43,7 @@ class Written(WriterCommitMessage):
 class NamedFiles(DataSource):
     """``df.write.format("named_files")`` of (file, document): each row becomes a file of that name in the folder, text or bytes.
 
-    Read, its rows are the files of a folder as texts, ``TASK_FILES`` to a task.
-
-    Option ``suffix``: only files with that ending are read; with ``mode("overwrite")``, older files with that ending go
+    Option ``suffix``: with ``mode("overwrite")``, older files with that ending go
     when the new ones are in place; without it a folder that has such files is refused.
     """
 
@@ -56,9 +54,6 @@ class NamedFiles(DataSource):
     def schema(self) -> str:
         return "file string, document string"
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return NamedFileReader(self.options["path"], self.options.get("suffix", ""))
-
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return NamedFileWriter(self.options["path"], self.options.get("suffix", ""), overwrite)
 
@@ -68,35 +63,6 @@ def _names_in(store: fs.FileSystem, at: str, suffix: str, missing: bool) -> list
     return [f.base_name for f in found if f.is_file and f.base_name.endswith(suffix) and not f.base_name.startswith((".", "_"))]
 
 
-@dataclass
-class Names(InputPartition):
-    files: tuple[str, ...]
-
-
-class NamedFileReader(DataSourceReader):
-    def __init__(self, path: str, suffix: str):
-        self.path, self.suffix = path.rstrip("/"), suffix
-
-    def partitions(self) -> list[Names]:
-        found = sorted(_names_in(*open_store(self.path), self.suffix, False))
-        return [Names(tuple(found[k : k + TASK_FILES])) for k in range(0, max(len(found), 1), TASK_FILES)]
-
-    def read(self, partition: Names) -> Iterator[pa.RecordBatch]:
-        store, at = open_store(self.path)
-        files, texts, size = [], [], 0
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(texts, pa.string())], ["file", "document"])
-        for f in partition.files:
-            with store.open_input_stream(f"{at}/{f}") as held:
-                texts.append(held.read().decode())
-            files.append(f)
-            size += len(texts[-1])
-            if len(files) == BATCH_FILES or size > BATCH_BYTES:
-                yield batch()
-                files, texts, size = [], [], 0
-        if files:
-            yield batch()
-
-
 class NamedFileWriter(DataSourceWriter):
     """Attempts write to folders of their own below a staging folder; only the commit moves files to their place.
 
@@ -159,6 +125,29 @@ def write_named(files: DataFrame, path: str, suffix: str = "", overwrite: bool =
 
 
 def read_named(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """(file, document) of a folder's files."""
-    spark.dataSource.register(NamedFiles)
-    return spark.read.format(FORMAT).option("suffix", suffix).load(path)
+    """(file, document) of a folder's files: one task lists the folder, all read its files."""
+    path = path.rstrip("/")
+
+    def listed(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(_names_in(*open_store(path), suffix, False))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["file"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = open_store(path)
+        for batch in batches:
+            files, texts, size = [], [], 0
+            for f in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{at}/{f}") as held:
+                    texts.append(held.read().decode())
+                files.append(f)
+                size += len(texts[-1])
+                if len(files) == BATCH_FILES or size > BATCH_BYTES:
+                    yield _documents(files, texts)
+                    files, texts, size = [], [], 0
+            yield _documents(files, texts)
+
+    return spread(spark.range(1).coalesce(1).mapInArrow(listed, "file string")).mapInArrow(read, "file string, document string")
+
+
+def _documents(files: list[str], texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(texts, pa.string())], ["file", "document"])

@@ -29,7 +29,7 @@ def collected(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("name", [
-    "enum_list_of_parts_mirrored", "bad_settings", "diagnostics", "enum_list_of_parts", "refused_expressions", "slot_settings", "slots_read_by_expressions", "spec_files",
+    "enum_list_of_parts_mirrored", "bad_settings", "diagnostics", "enum_list_of_parts", "refused_expressions", "slot_settings", "slots_read_by_expressions", "spec_files", "run_from_files",
 ])
 def test_rows_stay_out_of_the_driver(spark, duck, collected, tmp_path, name):  # noqa: F811
     catalogue.QUERIES[name](spark, DATA).write.parquet(f"{tmp_path}/out")
