@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from slotweave.operators import compile as compiler
 from slotweave.operators import execute, lists, prepare
+from slotweave.plans import volume
 from slotweave.plans.catalogue import _item, _sale, _wide, rows, specs_of
 from slotweave.plans.schemas import SOURCE, TARGET
 from slotweave.sources.local import local_table
@@ -133,3 +134,9 @@ def test_one_derivation_has_no_generator(spark):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     out = execute.execute(specs_of(spark, maps=[_sale("o_orderkey", "saleID")]), {"orders": orders}, Schema.parse(TARGET))["sales"]
     assert "Generate" not in plan_of(out)
+
+
+def test_many_groups_compute_letters_before_the_sums(spark):
+    plan = volume.wide_many_groups(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = next(line for line in plan.splitlines() if "Aggregate [" in line)
+    assert "sum(" in aggregate and "length(" not in aggregate
